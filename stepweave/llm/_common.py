@@ -177,7 +177,7 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     out = hashes[:n] * _PLACE[0]
     for k in range(1, size):
         out += hashes[k : n + k] * _PLACE[k]
-    return mix(out + np.uint64(size) * _LENGTH)
+    return mix(out + _PLACE[8 + size])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

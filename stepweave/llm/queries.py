@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, pii
+from . import _common as C
+from . import bpe, chat, fingerprint, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +58,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op6_chat, op10_fingerprint)}
+def _judged(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", (C.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _judged(quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _judged(toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op6_chat, op10_fingerprint)}
 ORACLE_SQL = {"op6_chat": OP6_SQL}
