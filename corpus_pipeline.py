@@ -1,4 +1,54 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages over the documents, each a function of (spark, docs, sf_dir)."""
 
-STAGES: list = []
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stepweave.llm import _common as C
+from stepweave.llm import bpe, decontaminate, neardup, pii, quality
+from stepweave.llm.queries import table
+
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, score_col="_score").where(F.col("_score") >= 0.7).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-copies (85 hundredths): that of the least id.  Of rows with one id, those of one text stay."""
+    kept = neardup.link(docs, 85).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each span of personal data replaced by its kind in brackets."""
+    return pii.redact(pii.find_personal_data(docs)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, number of tokens and the packed ids."""
+    return bpe.encode_decode(docs, decoded=False).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
+STAGES = [("quality", keep_quality), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("pii", redact_personal_data), ("bpe", encode)]
+
+#: No SQL: the quality score and the token ids aren't expressible in it.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = C.cut(stage(spark, docs, sf_dir))
+    return docs

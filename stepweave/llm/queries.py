@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, fingerprint, pii, quality, toxicity
+from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,5 +72,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op6_chat, op10_fingerprint)}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(documents(spark, sf_dir), 85)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its benchmark items: doc_id, item_id, similarity of the best window."""
+    found = decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max(F.col("common") / F.col("total")), 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op8_decontaminate, op10_fingerprint)}
 ORACLE_SQL = {"op6_chat": OP6_SQL}

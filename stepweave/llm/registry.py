@@ -1,6 +1,8 @@
 """All queries of this folder, and the pipeline."""
 
+import corpus_pipeline
+
 from . import queries as _queries
 
-QUERIES = dict(_queries.QUERIES)
+QUERIES = {**_queries.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLE_SQL = dict(_queries.ORACLE_SQL)
