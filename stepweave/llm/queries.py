@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, toxicity
+from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +82,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max(F.col("common") / F.col("total")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op8_decontaminate, op10_fingerprint)}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substrings.remove_repeats(documents(spark, sf_dir))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op8_decontaminate, op9_substrings, op10_fingerprint)}
 ORACLE_SQL = {"op6_chat": OP6_SQL}
