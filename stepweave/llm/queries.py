@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, substrings, toxicity
+from . import bpe, chat, decontaminate, fingerprint, lm, neardup, pii, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +87,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op8_decontaminate, op9_substrings, op10_fingerprint)}
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: C.crc_mod(F.col("doc_id"), 7) == 2
+    df = lm.score(documents(spark, sf_dir), ~held_out())
+    return df.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint)}
 ORACLE_SQL = {"op6_chat": OP6_SQL}
