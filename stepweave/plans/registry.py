@@ -1,4 +1,266 @@
-"""Queries over the test tables and their SQL."""
+"""Queries over the test tables, one or more for each operator, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cluster
+from ..operators.engine import run, run_update
+from ..operators.graph import PropertyGraph
+from ..operators.pagerank import pagerank, top, with_titles
+from ..operators.program import ComputeStep, Program
+from ..sources import readers, reports
+from . import testgraphs as G
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+DIGITS = 10
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rank_sql(graph: str, updates: int, select: str = "SELECT id, round(val, 10) AS rank FROM r WHERE k = {u}", init: str = "0.0", sends: int = 30) -> str:
+    """PageRank as a recursive query; after superstep sends - 1 no mail comes."""
+    return f"""WITH RECURSIVE {graph}, deg AS (SELECT src, count(*) AS c FROM e GROUP BY src), m AS (SELECT src, dst, count(*) AS w FROM e GROUP BY ALL), r(k, id, val) AS (
+SELECT 0, id, {init}::DOUBLE FROM v UNION ALL
+SELECT k + 1, id, 0.15 / (SELECT count(*) FROM v) + 0.85 * sum(m) FROM (
+SELECT r.k, m.dst AS id, CASE WHEN r.k < {sends} THEN r.val * m.w / deg.c ELSE 0 END AS m FROM r JOIN m ON m.src = r.id JOIN deg ON deg.src = r.id WHERE r.k < {updates}
+UNION ALL SELECT r.k, r.id, 0.0 FROM r WHERE r.k < {updates}) GROUP BY k, id)
+{select.format(u=updates)}"""
+
+
+def ranks(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("value", DIGITS).alias("rank"))
+
+
+# ---------------------------------------------------------------- graphs
+
+@query(f"WITH {G.SUPPLY} SELECT id FROM v")
+def graph_vertices_union(spark: SparkSession, d: str) -> DataFrame:
+    return G.supply(spark, d).vertices.select("id")
+
+
+@query(f"WITH {G.TRADE} SELECT id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = id GROUP BY id")
+def graph_out_degree(spark: SparkSession, d: str) -> DataFrame:
+    return G.trade(spark, d).out_degree()
+
+
+@query(f"WITH {G.TRANSITIONS} SELECT id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.dst = id GROUP BY id")
+def graph_in_degree_multi(spark: SparkSession, d: str) -> DataFrame:
+    return G.transitions(spark, d).in_degree()
+
+
+@query(f"WITH {G.LINKS} SELECT id FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.id)")
+def dangling_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return G.links(spark, d).dangling()
+
+
+def _distinct_trade(spark: SparkSession, d: str) -> PropertyGraph:
+    g = G.trade(spark, d)
+    return PropertyGraph(g.vertices, g.edges.distinct())
+
+
+_LINES = f"WITH {G.TRADE} SELECT id, id::VARCHAR || ':' || coalesce(' ' || string_agg(DISTINCT dst::VARCHAR, ' ' ORDER BY dst::VARCHAR), '') AS line FROM v LEFT JOIN e ON e.src = id GROUP BY id"
+
+
+@query(_LINES)
+def adjacency_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.adjacency_lines(_distinct_trade(spark, d))
+
+
+@query(f"WITH {G.TRADE} SELECT DISTINCT src::VARCHAR AS src, dst::VARCHAR AS dst FROM e")
+def adjacency_parse(spark: SparkSession, d: str) -> DataFrame:
+    lines = reports.adjacency_lines(_distinct_trade(spark, d)).select(F.col("line").alias("text"))
+    return readers.graph_of(readers.parse_adjacency(lines)).edges
+
+
+@query(f"WITH {G.SUPPLY}, deg AS (SELECT src, count(*) AS c FROM e GROUP BY src) SELECT id, round(coalesce(sum(1.0 / deg.c), 0), 8) AS inbox FROM v LEFT JOIN e ON e.dst = id LEFT JOIN deg ON deg.src = e.src GROUP BY id")
+def inbox_sum_one_superstep(spark: SparkSession, d: str) -> DataFrame:
+    g = G.supply(spark, d)
+    shares = g.shares()
+    send = lambda state, _: shares.join(state, F.col("src") == F.col("id")).select("src", "dst", (F.col("value") * F.col("share")).alias("value"))
+    start = PropertyGraph(g.vertices.select("id", F.lit(1.0).alias("value")), g.edges)
+    program = Program(ComputeStep(send=send)).then(ComputeStep(lambda value, inbox, _: F.coalesce(inbox, F.lit(0.0))))
+    return run(start, program, 2).select("id", F.round("value", 8).alias("inbox"))
+
+
+@query("SELECT r_regionkey AS id, count(c_custkey) AS customers, round(coalesce(max(c_acctbal), 0), 2) AS most FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
+def message_to_arbitrary_vertex(spark: SparkSession, d: str) -> DataFrame:
+    """Customers write to their region, which no edge leads to: once how many they are, once their balance."""
+    mail = G.table(spark, d, "customer").join(G.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("src"), F.col("n_regionkey").alias("dst"), F.col("c_acctbal").alias("value"))
+    g = PropertyGraph.isolated(G.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit(0.0).alias("value")))
+    told = lambda combine: run(g, Program(ComputeStep(send=lambda *_: mail, combine=combine)).then(ComputeStep(lambda v, inbox, _: F.coalesce(inbox, F.lit(0)).cast("double"), combine=combine)), 2)
+    return told(F.count).select("id", F.col("value").cast("long").alias("customers")).join(told(F.max).select("id", F.round("value", 2).alias("most")), "id")
+
+
+# ---------------------------------------------------------------- ranking
+
+@query(rank_sql(G.TRADE, 9))
+def pagerank_trade(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.trade(spark, d), 10))
+
+
+@query(rank_sql(G.SUPPLY, 4))
+def pagerank_parts(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.supply(spark, d), 5))
+
+
+@query(rank_sql(G.LINKS, 9))
+def pagerank_links(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.links(spark, d), 10))
+
+
+@query(rank_sql(G.TRANSITIONS, 9, init="0.25"))
+def pagerank_init(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.transitions(spark, d), 10, init=0.25))
+
+
+@query(f"WITH {G.TRADE} SELECT id, 0.0::DOUBLE AS rank FROM v")
+def pagerank_iter1(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.trade(spark, d), 1))
+
+
+@query(f"WITH {G.TRADE} SELECT id, round(0.15 / (SELECT count(*) FROM v), 10)::DOUBLE AS rank FROM v")
+def pagerank_iter32(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(pagerank(G.trade(spark, d), 32))
+
+
+_TITLED = "SELECT r.id, coalesce(t.title, 'no_title[' || r.id || ']') AS title, round(val, 10) AS value FROM r LEFT JOIN (SELECT n_nationkey AS id, n_name AS title FROM nation WHERE n_nationkey % 3 <> 0) t ON t.id = r.id WHERE k = {u} ORDER BY value DESC, r.id LIMIT 10"
+
+
+@query(rank_sql(G.TRADE, 9, _TITLED))
+def pagerank_topk_titles(spark: SparkSession, d: str) -> DataFrame:
+    titles = G.table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").cast("string").alias("label"), F.col("n_name").alias("title"))
+    return with_titles(top(pagerank(G.trade(spark, d), 10)), titles)
+
+
+@query(rank_sql(G.TRADE, 4))
+def udf_program_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank as a plain Python vertex function."""
+    def update(s, n, _, value, inbox, near):
+        value = value if s == 0 else 0.15 / n + 0.85 * sum(inbox)
+        return value, [(x, value / len(near)) for x in near]
+
+    return ranks(run_update(G.trade(spark, d), update, 5))
+
+
+# ---------------------------------------------------------------- crunches and control
+
+def _nations(spark: SparkSession, d: str, value=None) -> PropertyGraph:
+    return PropertyGraph.isolated(G.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.lit(0.0) if value is None else value).alias("value")))
+
+
+_MORE = ComputeStep(lambda v, _, c: v + 1)
+_ASSIGN = ComputeStep(lambda v, _, c: F.lit(c.crunched).cast("double"))
+
+
+def _balances(spark: SparkSession, d: str, **how) -> DataFrame:
+    g = PropertyGraph.isolated(G.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value")))
+    program = Program(ComputeStep()).crunch(**how).then(ComputeStep(lambda v, _, c: F.lit(c.crunched)))
+    return run(g, program, 3).select("value").distinct().withColumnRenamed("value", "total")
+
+
+@query("SELECT sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS total FROM customer")
+def crunch_sum(spark: SparkSession, d: str) -> DataFrame:
+    return _balances(spark, d, aggregate=F.sum)
+
+
+@query("SELECT max(round(c_acctbal * 100)::BIGINT)::BIGINT AS total FROM customer")
+def crunch_max(spark: SparkSession, d: str) -> DataFrame:
+    """With a function of two values instead of an aggregate."""
+    return _balances(spark, d, fold=max)
+
+
+@query("SELECT n_nationkey AS id, (SELECT count(*) FROM nation)::DOUBLE AS value FROM nation")
+def crunch_broadcast_assign(spark: SparkSession, d: str) -> DataFrame:
+    return run(_nations(spark, d), Program(_MORE).crunch(F.sum).then(_ASSIGN), 3)
+
+
+@query("SELECT n_nationkey AS id, 1.0::DOUBLE AS value FROM nation")
+def increment_program(spark: SparkSession, d: str) -> DataFrame:
+    return run(_nations(spark, d), Program(_MORE), 1)
+
+
+@query("SELECT n_nationkey AS id, (n * (n + 1) + 1)::DOUBLE AS value FROM nation, (SELECT count(*) AS n FROM nation)")
+def cyclic_chain_7_steps(spark: SparkSession, d: str) -> DataFrame:
+    return run(_nations(spark, d), Program(_MORE).crunch(F.sum).then(_ASSIGN), 7)
+
+
+@query("SELECT n_nationkey AS id, ceil(100.0 / (SELECT count(*) FROM nation))::DOUBLE AS value FROM nation")
+def iterate_until_total(spark: SparkSession, d: str) -> DataFrame:
+    return run(_nations(spark, d), Program(_MORE), until=lambda state, _: state.agg(F.sum("value")).first()[0] >= 100)
+
+
+# ---------------------------------------------------------------- clustering
+
+@query(f"WITH {G.pairs_sql(G.NATION_CELLS)} SELECT i, j, round(d, 10) AS d FROM p")
+def pairwise_pearson(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.pairs(G.nations(spark, d)).select("i", "j", F.round("d", DIGITS).alias("d"))
+
+
+@query(f"WITH {G.pairs_sql(G.USER_CELLS)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(d, 10) AS d FROM p")
+def pairwise_triangular(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.pairs(G.users(spark, d)).select("i", "j", F.round("d", DIGITS).alias("d"))
+
+
+@query(f"WITH {G.pairs_sql(G.NATION_CELLS)} SELECT i, j, round(d, 10) AS d FROM p ORDER BY p.d, i, j LIMIT 1")
+def closest_pair(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.closest(cluster.pairs(G.nations(spark, d))).select("i", "j", F.round("d", DIGITS).alias("d"))
+
+
+@query(f"WITH {G.pairs_sql(G.NATION_CELLS)}, m AS (SELECT * FROM p ORDER BY d, i, j LIMIT 1) SELECT m.i AS left_id, m.j AS right_id, round(m.d, 10) AS distance, string_agg(((a.n + b.n) // 2)::VARCHAR, ' ' ORDER BY a.c) AS vec FROM m JOIN cells a ON a.r = m.i JOIN cells b ON b.r = m.j AND b.c = a.c GROUP BY ALL")
+def first_merge_vector(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.first_merge(G.nations(spark, d)).select("left_id", "right_id", F.round("distance", DIGITS).alias("distance"), F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
+
+
+def _merges(df: DataFrame) -> DataFrame:
+    return df.select("merge_id", "left_id", "right_id", F.round("distance", DIGITS).alias("distance"), F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
+
+
+@query()
+def hcluster_seq_merges(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(cluster.hcluster(G.nations(spark, d), "seq"))
+
+
+@query()
+def hcluster_bsp_merges(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(cluster.hcluster(G.nations(spark, d), "bsp"))
+
+
+@query()
+def dendrogram_lines(spark: SparkSession, d: str) -> DataFrame:
+    merges = [tuple(r) for r in cluster.hcluster(G.nations(spark, d)).collect()]
+    names = {r[0]: r[1] for r in G.table(spark, d, "nation").select("n_nationkey", "n_name").collect()}
+    return spark.createDataFrame(cluster.dendrogram(merges, names), "line int, depth int, text string")
+
+
+# ---------------------------------------------------------------- text
+
+@query(r"SELECT doc_id, i AS line, parts[i + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i >= 1 AND i < 4")
+def line_slice_drop_take(spark: SparkSession, d: str) -> DataFrame:
+    lines = G.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return readers.line_range(lines.withColumn("line", F.col("line").cast("long")), 1, 3)
+
+
+@query("SELECT substr(url, 9, length(url) - 8 - 2) AS text FROM pages WHERE url LIKE 'https://%'")
+def prefix_filter_substring(spark: SparkSession, d: str) -> DataFrame:
+    return readers.prefixed(G.table(spark, d, "pages").select(F.col("url").alias("text")), "https://", 2)
+
+
+@query(f"WITH {G.NATION_CELLS}, {G._CELLS} SELECT r AS id, 'n' || r AS name, string_agg(n::VARCHAR, ' ' ORDER BY c) AS vec FROM cells GROUP BY r")
+def matrix_parse(spark: SparkSession, d: str) -> DataFrame:
+    """The nations' matrix written as tab separated text, and read again."""
+    m = G.nations(spark, d)
+    head = spark.createDataFrame([(0, "name\t" + "\t".join(f"c{i}" for i in range(25)))], "line long, text string")
+    body = m.select((F.col("id") + 1).cast("long").alias("line"), F.concat(F.lit("n"), F.col("id").cast("string"), F.lit("\t"), F.array_join(F.col("vec").cast("array<string>"), "\t")).alias("text"))
+    rows, _ = readers.parse_matrix(head.union(body), reverse=False)
+    return rows.select("id", "name", F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
