@@ -258,6 +258,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             same[1:] = content[order][1:] == content[order][:-1]
             head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
             words = (hashes >> np.uint64(32)).astype(np.uint32)
+            spread = C.mix(d[row].astype(np.uint64) + (t[row] + p).astype(np.uint64)).view(np.int64)  # routes of known repeats, which no index needs
             rows: list[list] = [[], [], [], [], [], [], []]
             for k, h in zip(order.tolist(), head.tolist(), strict=True):
                 s, e = int(at[k]), int(at[k] + size[k])
@@ -266,7 +267,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     text = words[s:e].tobytes()
                 else:
                     text = None
-                for column, value in zip(rows, (int(route[k].view(np.int64)) if text is not None else int(t[i]), int(d[i]), int(t[i]), int(p[k]), int(n[k]), int(weight[k]), text), strict=True):
+                for column, value in zip(rows, (int(route[k].view(np.int64)) if text is not None else int(spread[k]), int(d[i]), int(t[i]), int(p[k]), int(n[k]), int(weight[k]), text), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:6]), pa.array(rows[6], pa.binary())], names=["route", "d", "t", "p", "n", "k", "words"])
 
