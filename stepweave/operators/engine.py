@@ -79,10 +79,10 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int) -> DataF
             if not len(left):
                 return pd.DataFrame({"id": [], "value": [], "dst": []})
             vertex, value, near = left["id"].iloc[0], left["value"].iloc[0], left["neighbours"].iloc[0]
-            value, sent = update(s, size, vertex, value, right["value"].tolist(), [] if near is None else list(near))
+            value, sent = update(s, size, vertex, value, right["mail"].tolist(), [] if near is None else list(near))
             return pd.DataFrame({"id": [vertex] + [None] * len(sent), "value": [value] + [x for _, x in sent], "dst": [None] + [d for d, _ in sent]}, dtype=object)
 
-        whole = state.join(fixed.select("id", "neighbours"), "id")
-        out = cut(whole.groupBy("id").cogroup(mail.withColumnRenamed("dst", "id").groupBy("id")).applyInPandas(step, f"id {kind}, value double, dst {kind}"))
+        whole = state.select(F.col("id").alias("id"), F.col("value").alias("value")).join(fixed.select("id", "neighbours"), "id")
+        out = cut(whole.groupBy("id").cogroup(mail.select(F.col("dst").alias("id"), F.col("value").alias("mail")).groupBy("id")).applyInPandas(step, f"id {kind}, value double, dst {kind}"))
         state, mail = out.where("id is not null").select("id", "value"), out.where("dst is not null").select("dst", "value")
     return state
