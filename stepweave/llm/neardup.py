@@ -124,7 +124,10 @@ def rest_pairs(unresolved: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Linked sets share one of the first n - ceil(n * percent / 100) + 1 shingles
     in any order that all sets follow.  Here shingles of one component come
-    first, which no pair shares, then rarer ones.
+    first, which no pair shares, then rarer ones.  At the first that two sets
+    share, what is left of each must still hold the intersection that a link
+    needs: so sets that each differ from all others in enough places make no
+    pair, however many they are.
     """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "v"):
@@ -137,9 +140,9 @@ def rest_pairs(unresolved: DataFrame, sets: DataFrame, percent: int) -> DataFram
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
     per_set = tokens.join(shared, "token").groupBy("set", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    prefix = C.cut(per_set.where(most > 0).select("set", "component", "n", F.explode(F.slice("t", 1, most.cast("int"))).alias("t")).select("set", "component", "n", "t.token"))
-    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "component", "n")]) for k in "ab")
-    fits: Column = (F.col("component_a") < F.col("component_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    prefix = C.cut(per_set.where(most > 0).select("set", "component", "n", F.size("t").alias("m"), F.posexplode(F.slice("t", 1, most.cast("int"))).alias("at", "t")).select("set", "component", "n", (F.col("m") - F.col("at")).alias("left"), "t.token"))
+    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "component", "n", "left")]) for k in "ab")
+    fits: Column = (F.col("component_a") < F.col("component_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     return a.join(b, "token").where(fits).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
