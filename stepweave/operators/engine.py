@@ -64,7 +64,7 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int) -> DataF
     State and mail are cogrouped by id; mail to ids that are no vertices is
     dropped.  Values are doubles.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     if iterations < 1:
         raise ValueError("give a positive number of iterations")
@@ -75,14 +75,14 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int) -> DataF
     state = fixed.select("id", "value")
     mail = graph.vertices.sparkSession.createDataFrame([], f"dst {kind}, value double")
     for s in range(iterations):
-        def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # sent before s changes: cut runs it
-            if not len(left):
-                return pd.DataFrame({"id": [], "value": [], "dst": []})
-            vertex, value, near = left["id"].iloc[0], left["value"].iloc[0], left["neighbours"].iloc[0]
-            value, sent = update(s, size, vertex, value, right["mail"].tolist(), [] if near is None else list(near))
-            return pd.DataFrame({"id": [vertex] + [None] * len(sent), "value": [value] + [x for _, x in sent], "dst": [None] + [d for d, _ in sent]}, dtype=object)
+        def step(left: pa.Table, right: pa.Table) -> pa.Table:  # run by cut before s changes
+            ids, values, to = [], [], []
+            for vertex in left.to_pylist():
+                value, sent = update(s, size, vertex["id"], vertex["value"], right.column("mail").to_pylist(), vertex["neighbours"] or [])
+                ids, values, to = [vertex["id"]] + [None] * len(sent), [value, *(x for _, x in sent)], [None, *(d for d, _ in sent)]
+            return pa.table({"id": pa.array(ids, left.schema.field("id").type), "value": pa.array(values, pa.float64()), "dst": pa.array(to, left.schema.field("id").type)})
 
         whole = state.select(F.col("id").alias("id"), F.col("value").alias("value")).join(fixed.select("id", "neighbours"), "id")
-        out = cut(whole.groupBy("id").cogroup(mail.select(F.col("dst").alias("id"), F.col("value").alias("mail")).groupBy("id")).applyInPandas(step, f"id {kind}, value double, dst {kind}"))
+        out = cut(whole.groupBy("id").cogroup(mail.select(F.col("dst").alias("id"), F.col("value").alias("mail")).groupBy("id")).applyInArrow(step, f"id {kind}, value double, dst {kind}"))
         state, mail = out.where("id is not null").select("id", "value"), out.where("dst is not null").select("dst", "value")
     return state
