@@ -8,6 +8,8 @@ the keys of 64 tables of four hashes each for 32 min-hashes instead of 256.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ _SEEDS = C._odd(2 * HALVES * HALF_HASHES)
 _KEYS = C._odd(4)
 #: Most candidate texts whose ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of the parities by which pairs are told apart.
+PARITY_WORDS = 8
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -127,7 +131,9 @@ def rest_pairs(unresolved: DataFrame, sets: DataFrame, percent: int) -> DataFram
     first, which no pair shares, then rarer ones.  At the first that two sets
     share, what is left of each must still hold the intersection that a link
     needs: so sets that each differ from all others in enough places make no
-    pair, however many they are.
+    pair, however many they are.  Nor may the shingles in one set only exceed
+    what a link allows; those that no other component has, and the bits in which
+    the parities of the sets' other shingles differ, are as many at least.
     """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "v"):
@@ -140,9 +146,15 @@ def rest_pairs(unresolved: DataFrame, sets: DataFrame, percent: int) -> DataFram
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
     per_set = tokens.join(shared, "token").groupBy("set", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    prefix = C.cut(per_set.where(most > 0).select("set", "component", "n", F.size("t").alias("m"), F.posexplode(F.slice("t", 1, most.cast("int"))).alias("at", "t")).select("set", "component", "n", (F.col("m") - F.col("at")).alias("left"), "t.token"))
-    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "component", "n", "left")]) for k in "ab")
+    words = [f"parity{w}" for w in range(PARITY_WORDS)]
+    parity = [F.expr(f"aggregate(t, 0L, (acc, x) -> acc ^ if((x.token >> 6) % {PARITY_WORDS} in ({w}, {w - PARITY_WORDS}), shiftleft(1L, cast(x.token & 63 as int)), 0L))").alias(c) for w, c in enumerate(words)]
+    ready = per_set.where(most > 0).select("set", "component", "n", F.size("t").alias("m"), F.slice("t", 1, most.cast("int")).alias("first"), *parity)
+    prefix = C.cut(ready.select("set", "component", "n", "m", *words, F.posexplode("first").alias("at", "t")).select("set", "component", "n", "m", *words, (F.col("m") - F.col("at")).alias("left"), "t.token"))
+    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "component", "n", "m", "left", *words)]) for k in "ab")
+    odd = reduce(add, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words])
+    apart = F.col("n_a") - F.col("m_a") + F.col("n_b") - F.col("m_b") + odd
     fits: Column = (F.col("component_a") < F.col("component_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    fits &= apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     return a.join(b, "token").where(fits).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
