@@ -16,6 +16,8 @@ from . import _common as C
 POSITIVES, UNLABELLED = 6000, 8000
 #: The score that all but LOST of the trusted positives are to reach: the bias is raised if need be.
 SURE, LOST = 0.7, 0.01
+#: The score of every text where there is nothing to learn from.
+UNKNOWN = 0.75
 _KIND = np.full(256, 6, np.uint8)  # other signs
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[32, 9, 11, 12, 13]], _KIND[10], _KIND[[44, 46, 58, 59, 63, 33, 39, 34, 40, 41, 45]], _KIND[128:] = 0, 1, 2, 3, 4, 5, 7
 N_FEATURES = 256 + 64 + 8
@@ -70,10 +72,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, decay: f
 
     A first model, of trusted against unlabelled, gives the class prior pi.
     Where the estimated negative risk falls below 0, a step goes back up it.
-    At last the bias is set by SURE and LOST, on trusted positives.
+    At last the bias is set by SURE and LOST, on trusted positives.  With
+    under two rows of either kind nothing can be learned: every text scores
+    UNKNOWN, so that none is rejected.
     """
-    if not len(positive) or not len(unlabelled):
-        return {"mean": np.zeros(N_FEATURES, np.float32), "scale": np.ones(N_FEATURES, np.float32), "w": np.zeros(N_FEATURES + 1, np.float32), "prior": 0.5}
+    if min(len(positive), len(unlabelled)) < 2:
+        w = np.zeros(N_FEATURES + 1, np.float32)
+        w[-1] = np.log(UNKNOWN / (1 - UNKNOWN))
+        return {"mean": np.zeros(N_FEATURES, np.float32), "scale": np.ones(N_FEATURES, np.float32), "w": w, "prior": 0.5}
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
     scaled = lambda x: np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1), np.float32)]).astype(np.float32)
     p, u = scaled(positive), scaled(unlabelled)
