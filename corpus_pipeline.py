@@ -15,13 +15,23 @@ from stepweave.llm.queries import table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, score_col="_score").where(F.col("_score") >= 0.7).drop("_score")
+    score = "_score" + "_" * max(map(len, docs.columns))  # longer than any column, so not one of docs
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.7).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies (85 hundredths): that of the least id.  Of rows with one id, those of one text stay."""
-    kept = neardup.link(docs, 85).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One document of each class of near-copies (85 hundredths): that of the least id, of two texts with that id the one of the lesser hash.
+
+    Of repeated rows of it one stays; rows without words are in no class and stay all.
+    """
+    stays = neardup.link(docs, 85).where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias("_rows"))
+    stays = C.cut(stays)
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs["text"]) == chosen["_hash"]), "left_semi")
+
+    once, repeated = of(stays.where("_rows < 2")), stays.where("_rows > 1")
+    return once if repeated.isEmpty() else once.unionByName(of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind in brackets."""
-    return pii.redact(pii.find_personal_data(docs)).select(*docs.columns)
+    hidden = docs.toDF(*[c if c in ("text", "n_chars") else f"_{i}_" for i, c in enumerate(docs.columns)])  # no column of docs is taken for one of the operator's
+    return pii.redact(pii.find_personal_data(hidden)).select(*hidden.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

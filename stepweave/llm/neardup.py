@@ -56,17 +56,17 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, set (hash of its shingle set, null if empty), n_shingles, signature of each row of (doc_id, text)."""
+    """doc_id, text_hash, set (hash of its shingle set, null if empty), n_shingles, signature of each row of (doc_id, text_hash, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text"):
             values, offsets, ids, some = _sets(batch.column("text"))
             rows = np.ascontiguousarray(signatures(values, offsets))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.int64(), mask=~some), pa.array(np.diff(offsets), pa.int64()), C.binary_rows(rows.reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])],
-                names=["doc_id", "set", "n_shingles", "signature"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ids, pa.int64(), mask=~some), pa.array(np.diff(offsets), pa.int64()), C.binary_rows(rows.reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])],
+                names=["doc_id", "text_hash", "set", "n_shingles", "signature"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, set long, n_shingles long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, set long, n_shingles long, signature binary")
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
@@ -164,8 +164,11 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     docs: id_col (long), text_col.  Words, shingles and links as in the
     README: 5-word shingles, 100 * intersection >= percent * union.  Returns
     doc_id, n_shingles, component_id (the least id linked by any chain, itself
-    included; null ids don't count, a class of null ids alone has null) and
-    kept, for every row.  Rows whose sets are equal are one node from the start,
+    included; null ids don't count, a class of null ids alone has null), kept
+    (doc_id is component_id), text_hash (xxhash64 of the text) and stays, for
+    every row.  stays marks one (doc_id, text_hash) of each class, the least, with
+    an id where there is one: repeated rows of it have it all, and so has every
+    row without shingles.  Rows whose sets are equal are one node from the start,
     so repeated rows and copies aren't paired.  Null and empty texts are linked
     with nothing.  Of an empty table, none.
 
@@ -176,7 +179,7 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     similarity 0.85 miss each other in all tables with probability 7e-5.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = C.cut(sketch(texts))
+    rows = C.cut(sketch(texts.withColumn("text_hash", F.xxhash64("text"))))
     nodes = rows.where("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("at"), F.first("signature").alias("signature"))
     keys = keys_of(nodes)
     shared = C.cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "key"))
@@ -194,10 +197,12 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     if not unresolved.isEmpty():
         more = confirm(rest_pairs(unresolved, sets, percent), sets, percent)
         found = C.cut(components(edges.unionByName(more)))
-    members_of = rows.select("doc_id", "set", "n_shingles").join(found, F.col("set") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set")).drop("node")
-    first = members_of.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    members_of = rows.select("doc_id", "text_hash", "set", "n_shingles").join(found, F.col("set") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set")).drop("node")
+    ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = members_of.where("component is not null").groupBy("component").agg(F.min(ranked).alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
     out = members_of.join(first, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", (F.col("component").isNull() | kept & (F.col("text_hash") == F.col("first_hash"))).alias("stays"))
 
 
 def shingle_sets(texts: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.link(documents(spark, sf_dir), 85)
+    return neardup.link(documents(spark, sf_dir), 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
