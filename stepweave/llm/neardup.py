@@ -56,7 +56,7 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, set (hash of its shingle set, null if empty), n_shingles, signature of each row of (doc_id, text_hash, text)."""
+    """doc_id, text_hash, set (hash of its shingle set, null if empty), n_shingles, signature of each row of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text"):
             values, offsets, ids, some = _sets(batch.column("text"))
@@ -66,7 +66,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text_hash", "set", "n_shingles", "signature"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, set long, n_shingles long, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, set long, n_shingles long, signature binary")
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     similarity 0.85 miss each other in all tables with probability 7e-5.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = C.cut(sketch(texts.withColumn("text_hash", F.xxhash64("text"))))
+    rows = C.cut(sketch(texts))
     nodes = rows.where("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("at"), F.first("signature").alias("signature"))
     keys = keys_of(nodes)
     shared = C.cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "key"))
