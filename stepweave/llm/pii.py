@@ -1,8 +1,9 @@
 r"""Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
-Base spans are seeds.  The words beside them, with their kind and shape, are
-lexical patterns; other runs with digits or an at sign are unseen instances of
-the patterns around them.  Spark scores the graph of patterns and instances
+Base spans are seeds.  The words beside them, with their kind, are lexical
+patterns, whatever the seeds look like; other runs with digits or an at sign,
+spaced or punctuated in any way, are unseen instances of the patterns around
+them.  Spark scores the graph of patterns and instances
 iteratively, and the patterns that end with high confidence add spans.
 """
 
@@ -30,6 +31,9 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _RUN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789@+()._%/-")
 _REST = re.compile(r"[A-Za-z0-9@+()._%/-]++")
+#: What may stand between the parts of one spaced or punctuated run; a full stop, comma or colon before a space ends it.
+_GAP = re.compile(r"[ \u00a0\u2007\u2009\u202f]?[-+()/\u00b7\u2010-\u2015~|][ \u00a0\u2007\u2009\u202f]?|[ \u00a0\u2007\u2009\u202f]|[.,:;_]")
+_LETTERS = re.compile(r"[A-Za-z]{3}")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A context is looked for in so many code points beside a span.
 REACH = 48
@@ -71,17 +75,6 @@ def base_spans(text: str) -> list[Span]:
     return [(b, e, KINDS[k]) for b, k, e in found]
 
 
-def shape(value: str) -> str:
-    """What a value looks like: runs of digits as 9, of letters as a, with run lengths in powers of two, other characters as they are."""
-    out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", value, re.S):
-        x = m[0]
-        out.append((f"9{len(x).bit_length()}" if x[0].isdigit() else f"a{len(x).bit_length()}") if x[0].isalnum() else x)
-        if len(out) == 16:
-            break
-    return "".join(out)
-
-
 def contexts(text: str, begin: int, end: int) -> list[str]:
     """The lexical patterns around a span: the word before it, the two before, the word after."""
     left = [w.lower() for w in _WORD.findall(text[max(0, begin - REACH) : begin])][-2:]
@@ -93,10 +86,17 @@ def contexts(text: str, begin: int, end: int) -> list[str]:
 
 
 def unseen(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs with five digits or an at sign, that no base span touches."""
+    """Runs with five digits or an at sign, that no base span touches.
+
+    Runs side by side with digits, without an at sign or three letters in a
+    row, are one where only a _GAP is between them: so numbers in groups, but
+    not two numbers of eight digits or more.
+    """
     if not (_DIGIT.search(text) or "@" in text):
         return []
-    found, k, reach, done = [], 0, 0, 0
+    digits = lambda b, e: sum("0" <= c <= "9" for c in text[b:e])
+    parts: list[tuple[int, int, int]] = []  # begin, end, digits if it may go on (else -1)
+    k, reach, done = 0, 0, 0
     spans = sorted(taken)
     m = _MARK.search(text)
     while m:
@@ -106,28 +106,31 @@ def unseen(text: str, taken: list[Span]) -> list[tuple[int, int]]:
         done = e = _REST.match(text, m.start()).end()
         while e > b and text[e - 1] in ".(+/%-_":
             e -= 1
-        if "@" in text[b:e] or sum("0" <= c <= "9" for c in text[b:e]) >= 5:
-            while k < len(spans) and spans[k][0] < e:
-                reach = max(reach, spans[k][1])
-                k += 1
-            if reach <= b:
-                found.append((b, e))
+        while k < len(spans) and spans[k][0] < e:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= b:
+            more = -1 if "@" in text[b:e] or _LETTERS.search(text, b, e) else digits(b, e)
+            if parts and min(more, parts[-1][2]) >= 0 and min(more, parts[-1][2]) < 8 and _GAP.fullmatch(text, parts[-1][1], b):
+                parts[-1] = (parts[-1][0], e, parts[-1][2] + more)
+            else:
+                parts.append((b, e, more))
         m = _MARK.search(text, done)
-    return found
+    return [(b, e) for b, e, n in parts if n >= 5 or n < 0 and ("@" in text[b:e] or digits(b, e) >= 5)]
 
 
 def observe(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Per row: its columns, base spans, and all occurrences with their patterns.
 
-    Adds base (spans) and seen (spans, seed or not, shape, patterns); a null
+    Adds base (spans) and seen (spans, seed or not, value, patterns); a null
     text is empty.
     """
     span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
-    seen = T.StructType([*span.fields, T.StructField("shape", T.StringType()), T.StructField("value", T.LongType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
+    seen = T.StructType([*span.fields, T.StructField("value", T.LongType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
     df = C.without(docs, "base", "seen")
     schema = T.StructType([*df.schema.fields, T.StructField("base", T.ArrayType(span)), T.StructField("seen", T.ArrayType(seen))])
     a_span = [("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
-    a_seen = pa.list_(pa.struct([*a_span, ("shape", pa.string()), ("value", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+    a_seen = pa.list_(pa.struct([*a_span, ("value", pa.int64()), ("patterns", pa.list_(pa.string()))]))
 
     def value(text: str) -> int:
         return int.from_bytes(hashlib.blake2b(text.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -139,7 +142,7 @@ def observe(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
                 spans = base_spans(text) if text else []
                 every = [(*s,) for s in spans] + [(b, e, None) for b, e in unseen(text, spans)] if text else []
                 bases.append([{"begin": b, "end": e, "kind": k} for b, e, k in spans])
-                seens.append([{"begin": b, "end": e, "kind": k, "shape": shape(text[b:e]), "value": value(text[b:e]), "patterns": p} for b, e, k in every if (p := contexts(text, b, e))])
+                seens.append([{"begin": b, "end": e, "kind": k, "value": value(text[b:e]), "patterns": p} for b, e, k in every if (p := contexts(text, b, e))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, pa.list_(pa.struct(a_span))), pa.array(seens, a_seen)], names=schema.names)
 
     out = df.mapInArrow(run, schema)
@@ -147,29 +150,29 @@ def observe(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
 
 
 def score_patterns(seen: DataFrame, rounds: int = 3, confidence: float = 0.9, support: int = 5) -> DataFrame:
-    """Score the pattern-instance graph; return the confident patterns (kind, pattern, shape, score).
+    """Score the pattern-instance graph; return the confident patterns (kind, pattern, score).
 
-    seen: kind (null: not a seed), shape, value, pattern.  A node on one side
-    is a pattern with a kind and the shape of what it holds, so that a context
-    adds only what looks like its seeds.  On the other side are values.  A
+    seen: kind (null: not a seed), value, pattern.  A node on one side is a
+    pattern with a kind, so that a context adds what stands in it whatever its
+    format.  On the other side are values.  A
     seed's score is 1, another value's starts at 0.  Each round a pattern's
     score is the mean of its values' scores, with one value of score 0 more;
     then an unseen value's score for a kind is 1 less the product of (1 -
     score) over its patterns.  Patterns of fewer than support different seeds
     don't count.
     """
-    edges = seen.groupBy("pattern", "shape", "value", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern", "shape", "value").agg(F.max("kind").alias("kind"))
-    seeds = edges.where("kind is not null").groupBy("kind", "pattern", "shape").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
+    edges = seen.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
+    seeds = edges.where("kind is not null").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
     if seeds.isEmpty():
-        return seeds.select("kind", "pattern", "shape", F.lit(0.0).alias("score"))
+        return seeds.select("kind", "pattern", F.lit(0.0).alias("score"))
     # each edge once for each kind that its pattern has seeds of
-    graph = C.cut(edges.withColumnRenamed("kind", "own").join(seeds, ["pattern", "shape"]))
+    graph = C.cut(edges.withColumnRenamed("kind", "own").join(seeds, "pattern"))
     score = F.when(F.col("own") == F.col("kind"), 1.0).otherwise(0.0)
     scored = graph.withColumn("value_score", score)
     pattern = None
     for _ in range(rounds):
-        pattern = scored.groupBy("kind", "pattern", "shape").agg((F.sum("value_score") / (F.count(F.lit(1)) + 1)).alias("score"))
-        values = graph.where("own is null").join(pattern, ["kind", "pattern", "shape"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("found"))
+        pattern = scored.groupBy("kind", "pattern").agg((F.sum("value_score") / (F.count(F.lit(1)) + 1)).alias("score"))
+        values = graph.where("own is null").join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("found"))
         scored = C.cut(graph.join(values, ["kind", "value"], "left").withColumn("value_score", F.when(F.col("own").isNull(), F.coalesce("found", F.lit(0.0))).otherwise(score)).drop("found"))
     return pattern.where(F.col("score") >= confidence)
 
@@ -187,9 +190,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", rounds: int = 3,
     df = C.without(docs, "spans")
     seen = C.cut(observe(df, text_col, keep_text).withColumn("_row", F.monotonically_increasing_id()))
     each = seen.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    at = each.select("_row", "begin", "end", "kind", "shape", "value", F.explode("patterns").alias("pattern"))
-    patterns = score_patterns(at.select("kind", "shape", "value", "pattern"), rounds, confidence, support)
-    best = at.where("kind is null").drop("kind").join(patterns, ["pattern", "shape"]).groupBy("_row", "begin", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    at = each.select("_row", "begin", "end", "kind", "value", F.explode("patterns").alias("pattern"))
+    patterns = score_patterns(at.select("kind", "value", "pattern"), rounds, confidence, support)
+    best = at.where("kind is null").drop("kind").join(patterns, "pattern").groupBy("_row", "begin", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     more = best.groupBy("_row").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("_more"))
     order = lambda s: F.struct(s["begin"].alias("begin"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))
     spans = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("_more", F.array().cast("array<struct<begin:int,end:int,kind:string>>"))), order)), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))

@@ -93,6 +93,27 @@ def test_pii_bootstrapping_finds_what_its_context_tells(spark):
     assert good and all(rows[i].spans and rows[i].spans[0].kind == "card" for i in range(200, 300))
 
 
+FORMATS = ["1(017)555-7799", "017 555 77 99", "(017) 555-7799", "1.017.555.7799", "017 - 555 - 7799", "0175557799", "017/555/7799"]
+
+
+def test_pii_bootstrapping_finds_new_formats_at_the_confidence_in_use(spark):
+    docs = [(i, f"please call phone +1 (017) 555-77{i:02d} now") for i in range(60)]
+    docs += [(100 + i, f"please call phone {x} now") for i, x in enumerate(FORMATS)] + [(200, "nothing here but 1234567 words"), (201, "in phone 12 now 34")]
+    rows = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, x in enumerate(FORMATS):
+        text = docs[60 + i][1]
+        assert not rows[100 + i].base and [(s.kind, text[s.begin : s.end]) for s in rows[100 + i].spans] == [("phone", x)], x
+    assert not rows[200].spans and not rows[201].spans
+
+
+def test_pii_unseen_runs_stay_apart():
+    found = lambda t: [t[b:e] for b, e in pii.unseen(t, pii.base_spans(t))]
+    assert found("a 12345678 87654321 b") == ["12345678", "87654321"]
+    assert found("a 555 1234. 12345 b, 55512, 12345") == ["555 1234", "12345", "55512", "12345"]
+    assert found("12345 +1 (017) 555-7713 b") == ["12345"]
+    assert found("x@y 123 4567 abc123 4567 89") == ["x@y", "123 4567", "4567 89"]
+
+
 def test_pii_odd_rows(odd):
     rows = pii.find_personal_data(odd).collect()
     assert len(rows) == len(ODD) and "text_" in rows[0].asDict()
