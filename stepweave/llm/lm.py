@@ -1,10 +1,13 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
 A word's probability is its class's, given hashed features of the words before
-it, times its share of the class.  Features: the word before, the word before
-that (a skip), and both together.  They take few values, so one pass over the
-corpus gathers all counts of (context, class), and gradient updates over those
-counts are the same as over every token.
+it, times its part of the class, given features of the same words.  Features:
+the word before, the word before that (a skip), and both together.  For the
+class they take few values, so one pass over the corpus gathers all counts of
+(context, class), and gradient updates over those counts are the same as over
+every token.  For the word in its class they are of real words: a sparse table
+of hashed (context, word) features that grows with the training tokens, dealt
+over shards (word_factor).
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ CLASSES = 64
 _TAIL = CLASSES - 1
 #: Values of a context word: those with their own class, the end, and hashes of the rest.  Buckets for both words together.
 VALUES, BOTH = 64, 1024
+#: Tokens a shard of the word features; one group of one task, so their number grows with the text.
+SHARD_TOKENS = 1_000_000
 _END = np.uint64(0x1D)  # a word's hash is mixed, so it equals this with probability 2**-64
 
 
@@ -76,6 +81,7 @@ class Vocabulary:
         self.keys, self.counts, self.n, self.v, self.tail_tokens, self.unseen = keys[order], counts[order], n, v, tail_tokens, max(1, once)
         frequent = np.lexsort((self.keys, -self.counts))
         self.classes = np.minimum(OWN + 1 + np.log2(np.maximum(self.counts, 1)).astype(np.int64), _TAIL - 1)
+        self.frequent = frequent.astype(np.int32)
         self.classes[frequent[:OWN]] = np.arange(len(frequent[:OWN]))
         end = np.flatnonzero(self.keys == _END)
         if len(end):
@@ -207,6 +213,173 @@ def count_contexts(docs: DataFrame, sent) -> DataFrame:
     return docs.select("text").mapInArrow(run, "context int, n array<long>").groupBy("context").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(CLASSES)]).alias("n"))
 
 
+def _pair(a: np.ndarray, b: np.ndarray, order: int = 0) -> np.ndarray:
+    """Hash of two 64-bit values."""
+    return C.mix(C.mix(a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93 + 2 * order) + b)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """The values' bytes, plane after plane, compressed: planes of like bytes and skewed ones get small."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    size = np.dtype(dtype).itemsize
+    planes = [np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.uint8) for b in column.to_pylist()]
+    return [np.ascontiguousarray(x.reshape(size, -1).T).view(dtype).reshape(-1) for x in planes]
+
+
+def _joined(table: pa.Table, **columns) -> list[np.ndarray]:
+    """All records' columns; row is kept as differences in each packed row."""
+    out = []
+    for name, dtype in columns.items():
+        parts = _unpack(table.column(name), dtype)
+        out.append(np.concatenate([np.cumsum(x) for x in parts] if name in ("row", "at") else parts))
+    return out
+
+
+def _dealt(to: np.ndarray, row: np.ndarray, *columns: np.ndarray, beyond: tuple[np.ndarray, np.ndarray] | None = None) -> list[pa.Array]:
+    """A row for each value of to: it, and the packed columns of its records; row ascends.  beyond: a mask, and values of the masked records alone."""
+    order = np.argsort(to, kind="stable")
+    keys, at = np.unique(to[order], return_index=True)
+    bounds = list(zip(at, [*at[1:], len(order)], strict=False))
+    sorted_row = row[order]
+    out = [pa.array(keys.astype(np.int32)), pa.array([_pack(np.diff(sorted_row[i:j], prepend=0)) for i, j in bounds], pa.binary())]
+    for c in columns:
+        c = c[order]
+        out.append(pa.array([_pack(c[i:j]) for i, j in bounds], pa.binary()))
+    if beyond:
+        mask, values = beyond[0][order], beyond[1][order]
+        out.append(pa.array([_pack(values[i:j][mask[i:j]]) for i, j in bounds], pa.binary()))
+    return out
+
+
+def _counted(keys: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """For each record, how many learned ones have its key."""
+    _, at = np.unique(keys, return_inverse=True)
+    return np.bincount(at, learn)[at]
+
+
+def _fit_weight(n: np.ndarray, total: np.ndarray, without: np.ndarray) -> float:
+    """The weight of the base, by the likelihood of each learned token when it is left out itself."""
+    if not len(n):
+        return 1.0
+    value = lambda k: float(np.log((n - 1 + 2.0**k * without) / (total - 1 + 2.0**k)).sum())
+    best = max(range(-4, 25, 4), key=value)
+    best = max((best + k for k in (-2, 0, 2)), key=value)
+    return 2.0 ** max((best + k for k in (-1, 0, 1)), key=value)
+
+
+def _level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, tail: np.ndarray, p: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Add one feature: p is a record's probability in its class without it.
+
+    other is p with the record's own token left out of what was learned (head
+    words), or what a word's share of the tail is still to be multiplied by
+    (tail words, whose p lacks it).  The feature's weight is log(1 + n / (m p)),
+    its normaliser (N + m) / m: the same p for words not seen after the
+    context, and a sum of 1 over the class for every context.
+    """
+    total, n = _counted(context, learn), _counted(_pair(context, word), learn)
+    fitted = learn & ~tail
+    m = _fit_weight(n[fitted], total[fitted], other[fitted])
+    left_out = (n - 1 + m * other) / np.maximum(total - 1 + m, 1e-9)
+    return (n + m * p) / (total + m), np.where(tail, other * m / (total + m), np.where(learn, left_out, 1.0))
+
+
+def word_factor(texts: DataFrame, sent, shards: int, tails: bool) -> DataFrame:
+    """(row, gain, tail): what the word features add to the sum of log10 shares of a row's words in their classes.
+
+    texts: row, text, learn.  tail: for each word beyond the head h, a and b;
+    its probability in the tail is a + b * its share.  A token goes to the shard
+    of its skip context and class, then to that of the word before it and its
+    class, with its probability so far; each shard holds all records of its
+    contexts, so its counts are whole, and fits its own weights on them.  A
+    word alone in its class has no factor and isn't sent.  Nor are words beyond
+    the head if not tails, where all of them were learned once or never: left
+    out itself, none has been seen after any context, so its weights are 0.
+    """
+    def number(x: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Words as 32 bits: the rank of head words, the hash of others."""
+        return np.where(place >= 0, rank[place] if len(rank) else 0, (x >> np.uint64(33)).astype(np.int64) | 1 << 31).astype(np.uint32)
+
+    def known(vocab: Vocabulary, word: np.ndarray, flags: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """learn, tail, each record's word, class and share of it."""
+        learn, tail = (flags & 1) > 0, flags > 1
+        place = vocab.frequent[word[~tail]]
+        words, classes, share = word.astype(np.uint64), np.full(len(word), _TAIL, np.uint64), np.zeros(len(word))
+        words[tail], classes[~tail], share[~tail] = h, vocab.classes[place], vocab.within[place]
+        return learn, tail, words, classes, share
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = sent.value.ready()
+        rank = np.empty(len(vocab.keys), np.int64)
+        rank[vocab.frequent] = np.arange(len(rank))
+        for batch in C.pieces(batches, "text", 4 * C.CHUNK_BYTES):
+            x, first = tokens(batch.column("text"))
+            place, classes = vocab.classed(x)
+            id_, end = number(x, place, rank), np.uint32(0xFFFF_FFFF)
+            one, two = np.full(len(x), end), np.full(len(x), end)
+            one[1:], two[2:] = id_[:-1], id_[:-2]
+            one[first[:-1]] = two[first[:-1]] = end
+            second = first[:-1] + 1
+            two[second[second < first[1:]]] = end
+            go = np.flatnonzero((classes > OWN) & (tails | (place >= 0)))
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(first))[go]
+            flags = (batch.column("learn").to_numpy(zero_copy_only=False)[rows] + 2 * (place[go] < 0)).astype(np.uint8)
+            to = _pair(two[go].astype(np.uint64), classes[go].astype(np.uint64), 2) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays(_dealt(to, batch.column("row").to_numpy()[rows], two[go], one[go], id_[go], flags, beyond=(place[go] < 0, x[go])), names=["shard", "row", "two", "one", "word", "flags", "h"])
+
+    def skips(table: pa.Table) -> pa.Table:
+        row, two, one, word, flags, h = _joined(table, row=np.int64, two=np.uint32, one=np.uint32, word=np.uint32, flags=np.uint8, h=np.uint64)
+        learn, tail, words, classes, share = known(sent.value, word, flags, h)
+        share = np.where(tail, 0, 10**share)
+        p, other = _level(_pair(two.astype(np.uint64), classes, 2), words, learn, tail, share, np.where(tail, 1.0, share))
+        order = np.argsort(row, kind="stable")
+        to = (_pair(one.astype(np.uint64), classes, 1) % np.uint64(shards))[order]
+        # other matters in the fit alone for head words, as a part of p there
+        columns = [c[order] for c in (two, one, word, flags, p.astype(np.float32), np.where(tail, 1, other / np.where(tail, 1, p)).astype(np.float16))]
+        values = np.empty((len(row), 2))
+        values[:, 0], values[:, 1] = words.view(np.float64), other
+        return pa.Table.from_arrays(_dealt(to, row[order], *columns, beyond=(tail[order], values.view("V16").reshape(-1)[order])), names=["shard", "row", "two", "one", "word", "flags", "p", "other", "h"])
+
+    def pairs(table: pa.Table) -> pa.Table:
+        row, two, one, word, flags, p, part, more = _joined(table, row=np.int64, two=np.uint32, one=np.uint32, word=np.uint32, flags=np.uint8, p=np.float32, other=np.float16, h="V16")
+        more = more.view(np.float64).reshape(-1, 2)
+        learn, tail, words, classes, share = known(sent.value, word, flags, np.ascontiguousarray(more[:, 0]).view(np.uint64))
+        p = p.astype(float)
+        other = np.maximum(p * part, 1e-12)
+        other[tail] = more[:, 1]
+        before = _pair(one.astype(np.uint64), classes, 1)
+        for context in (before, _pair(before, two.astype(np.uint64))):
+            p, other = _level(context, words, learn, tail, p, other)
+        rows, at = np.unique(row[~tail], return_inverse=True)
+        gain = np.bincount(at, np.log10(p[~tail]) - share[~tail], len(rows)).astype(np.float32)
+        order = np.argsort(row[tail], kind="stable")
+        at = row[tail][order]
+        head, rest = _dealt(rows >> 33, rows, gain), _dealt(at >> 33, at, words[tail][order], p[tail][order], other[tail][order])
+        none = lambda like: pa.array([_pack(np.empty(0))] * len(like), pa.binary())
+        a = pa.Table.from_arrays([*head, *[none(head[0])] * 4], names=["part", "row", "gain", "at", "h", "a", "b"])
+        return pa.concat_tables([a, pa.Table.from_arrays([rest[0], none(rest[0]), none(rest[0]), *rest[1:]], names=a.column_names)])
+
+    a_tail = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
+
+    def summed(table: pa.Table) -> pa.Table:
+        row, gain, at, *values = _joined(table, row=np.int64, gain=np.float32, at=np.int64, h=np.int64, a=float, b=float)
+        rows, inverse = np.unique(np.concatenate([row, at]), return_inverse=True)
+        sums = np.bincount(inverse[: len(row)], gain, len(rows)).astype(float)
+        order = np.argsort(inverse[len(row) :], kind="stable")
+        values = pa.StructArray.from_arrays([pa.array(v[order]) for v in values], names=["h", "a", "b"])
+        offsets = np.searchsorted(inverse[len(row) :][order], np.arange(len(rows) + 1)).astype(np.int32)
+        return pa.Table.from_arrays([pa.array(rows), pa.array(sums), pa.ListArray.from_arrays(pa.array(offsets), values).cast(a_tail)], names=["row", "gain", "tail"])
+
+    binary = lambda *names: ", ".join(f"{c} binary" for c in names)
+    dealt = texts.select("row", "text", "learn").mapInArrow(features, f"shard int, {binary('row', 'two', 'one', 'word', 'flags', 'h')}")
+    dealt = dealt.groupBy("shard").applyInArrow(skips, f"shard int, {binary('row', 'two', 'one', 'word', 'flags', 'p', 'other', 'h')}")
+    dealt = dealt.groupBy("shard").applyInArrow(pairs, f"part int, {binary('row', 'gain', 'at', 'h', 'a', 'b')}")
+    return dealt.groupBy("part").applyInArrow(summed, "row long, gain double, tail array<struct<h: long, a: double, b: double>>")
+
+
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = 12) -> DataFrame:
     """Learn from the rows where training (a Column over doc_id) holds; score all.
 
@@ -216,8 +389,8 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     score (the model's log10 probability).  Repeated rows and null ids are rows
     like others; training rows may be none.  Of an empty table, none.
 
-    The model is proper: class probabilities sum to 1, and so do the shares in
-    a class.  Words beyond the head, known or not, are one class; unknown ones
+    The model is proper: class probabilities sum to 1, and so do those of the
+    words in a class after any two words.  Words beyond the head, known or not, are one class; unknown ones
     share the mass of as many tokens as there are words seen once.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -245,12 +418,16 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail, first).astype(np.int32)), pa.array(x[tail].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first)), *map(pa.array, sums), lists], names=schema.names)
 
-    rows = C.cut(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema))
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    rows = C.cut(numbered.select("row", "doc_id", "text").mapInArrow(run, schema))
+    # the same scan gives the same numbers: texts are read again, not kept
+    words = C.cut(word_factor(numbered.select("row", "text", F.coalesce(training, F.lit(False)).alias("learn")), sent, vocab.n // SHARD_TOKENS + 1, least > 2))
     rare = counts.where(F.col("c") < least)
-    shared = float(np.log10(vocab.tail_tokens + vocab.unseen))
-    tail = rows.select("row", F.explode("tail").alias("h")).join(rare, "h", "left").groupBy("row").agg(
-        F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_base"), F.sum(F.log10(F.coalesce("c", F.lit(vocab.unseen))) - shared).alias("more"))
+    of = F.coalesce("c", F.lit(vocab.unseen)) / float(vocab.tail_tokens + vocab.unseen)
+    beyond = words.select("row", F.explode("tail").alias("t")).select("row", "t.*") if least > 2 else rows.select("row", F.explode("tail").alias("h"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    tail = beyond.join(rare, "h", "left").groupBy("row").agg(
+        F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_base"), F.sum(F.log10(F.col("a") + F.col("b") * of)).alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("tail").join(tail, "row", "left").select(
+    return rows.drop("tail").join(words.select("row", "gain"), "row", "left").join(tail, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base") - F.col("n_tokens") * float(np.log10(vocab.n + vocab.v + 1))).alias("base_score"), (F.col("model") + zero("more")).alias("score"))
+        (F.col("base") + zero("more_base") - F.col("n_tokens") * float(np.log10(vocab.n + vocab.v + 1))).alias("base_score"), (F.col("model") + zero("gain") + zero("more")).alias("score"))

@@ -74,3 +74,38 @@ def test_odd_rows(spark):
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 3, 50001, 50001] and all(r.n_known == r.n_tokens for r in got)
     assert lm.score(df.limit(0), F.lit(True), rounds=1).count() == 0
     assert all(r.n_known == 0 for r in lm.score(df, F.lit(False), rounds=1).collect())
+
+
+@pytest.mark.parametrize("shard_tokens", [10**6, 700])
+@pytest.mark.parametrize("head", [10**6, 60])
+def test_word_features_tell_words_of_a_class_apart(spark, monkeypatch, head, shard_tokens):
+    """Pairs of ordinary words of like frequency: the second is foretold by the first, or by the one before it."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(120):
+        k = [int(j) for j in rng.permutation(50)[:12]]
+        docs.append((i, " ".join(f"a{j} b{j} z c{j}" for j in k)))
+    probes = [(1000, "a7 b7"), (1001, "a9 b9"), (1002, "a7 b9"), (1003, "a9 b7"), (1004, "b7 z c7"), (1005, "b9 z c9"), (1006, "b7 z c9"), (1007, "b9 z c7"), (1008, "c3 q"), (1009, "c3 a2")]
+    df = spark.createDataFrame(docs + probes, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 1000, head=head, rounds=2).collect()}
+    # pairs that stand in the text against the same words crosswise, so that their own frequencies don't count
+    assert got[1000] + got[1001] > got[1002] + got[1003] + 1 and got[1004] + got[1005] > got[1006] + got[1007] + 0.5
+    assert all(np.isfinite(x) and x < 0 for x in got.values())
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_each_feature_keeps_the_sum_of_a_class(seed):
+    rng = np.random.default_rng(seed)
+    number, contexts = 9, 4
+    share = rng.dirichlet(np.ones(number))
+    word, context = rng.integers(0, number, 200), rng.integers(0, contexts, 200)
+    every = np.array([(c, w) for c in range(contexts) for w in range(number)])
+    context, word = (np.concatenate([a, b]).astype(np.uint64) for a, b in ((context, every[:, 0]), (word, every[:, 1])))
+    learn, no_tail = np.arange(len(word)) < 200, np.zeros(len(word), bool)
+    p, other = share[word.astype(int)], share[word.astype(int)]
+    for of in (context, np.zeros(len(word), np.uint64), context + np.uint64(9)):
+        p, other = lm._level(of, word, learn, no_tail, p, other)
+        assert np.allclose(p[200:].reshape(contexts, number).sum(1), 1) and (p > 0).all()
+    a, b = lm._level(context, word, learn, ~no_tail, np.zeros(len(word)), np.ones(len(word)))
+    assert np.allclose((a + b * share[word.astype(int)])[200:].reshape(contexts, number).sum(1), 1)
