@@ -10,6 +10,8 @@ from stepweave.llm import _common as C
 from stepweave.llm import bpe, decontaminate, neardup, pii, quality
 from stepweave.llm.queries import table
 
+#: Hundredths of similarity from which near_dedup links; op5's 85 is its own query's.
+LINKED = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +22,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies (85 hundredths): that of the least id, of two texts with that id the one of the lesser hash.
+    """One document of each class of near-copies (LINKED hundredths): that of the least id, of two texts with that id the one of the lesser hash.
 
     Of repeated rows of it one stays; rows without words are in no class and stay all.
     """
-    stays = neardup.link(docs, 85).where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias("_rows"))
+    stays = neardup.link(docs, LINKED).where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias("_rows"))
     stays = C.cut(stays)
 
     def of(chosen: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 Two collections of HALVES half-keys, each of HALF_HASHES min-hashes, give
 HALVES squared table keys by pairing a half-key of one with one of the other:
 the keys of 64 tables of four hashes each for 32 min-hashes instead of 256.
+Below 85 hundredths there are WIDER half-keys of each, so 100 tables.
 """
 
 from __future__ import annotations
@@ -22,28 +23,33 @@ from . import _common as C
 HALVES, HALF_HASHES = 8, 2
 _SEEDS = C._odd(2 * HALVES * HALF_HASHES)
 _KEYS = C._odd(4)
+WIDER = 10
+#: Drawn apart, so that the other hashes stay as they are.
+_MORE = np.random.Generator(np.random.PCG64(85)).integers(0, 2**64, 2 * (WIDER - HALVES) * HALF_HASHES, dtype=np.uint64) | np.uint64(1)
 #: Most candidate texts whose ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of the parities by which pairs are told apart.
 PARITY_WORDS = 8
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, offsets: np.ndarray, halves: int = HALVES) -> np.ndarray:
     """Min-hashes of each row's shingles; rows without any are 0."""
-    out = np.zeros((len(offsets) - 1, len(_SEEDS)), np.uint32)
+    seeds = np.concatenate([_SEEDS, _MORE])[: 2 * halves * HALF_HASHES]
+    out = np.zeros((len(offsets) - 1, len(seeds)), np.uint32)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        for j, seed in enumerate(_SEEDS):
+        for j, seed in enumerate(seeds):
             out[some, j] = np.minimum.reduceat((values ^ (values >> np.uint64(29))) * seed, offsets[some]) >> np.uint64(32)
     return out
 
 
 def table_keys(signature: np.ndarray) -> np.ndarray:
     """The table keys of each signature: a column for each pair of half-keys."""
-    half = signature.reshape(len(signature), 2, HALVES, HALF_HASHES).astype(np.uint64)
+    halves = signature.shape[1] // (2 * HALF_HASHES)
+    half = signature.reshape(len(signature), 2, halves, HALF_HASHES).astype(np.uint64)
     packed = C.mix((half[..., 0] << np.uint64(32) | half[..., 1]) * _KEYS[0])
-    table = np.arange(HALVES * HALVES, dtype=np.uint64).reshape(HALVES, HALVES) * _KEYS[3]
-    return C.mix(packed[:, 0, :, None] * _KEYS[1] + packed[:, 1, None, :] * _KEYS[2] + table).reshape(len(signature), -1)
+    table = np.arange(halves * halves, dtype=np.uint64).reshape(halves, halves) * _KEYS[3]
+    return C.mix(packed[:, 0, :, None] * _KEYS[1] + packed[:, 1, None, :] * _KEYS[2] + table).reshape(len(signature), halves * halves)
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,12 +61,12 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return values, offsets, C.mix(total[offsets[1:]] - total[offsets[:-1]] + size * _KEYS[3]).astype(np.int64), size > 0
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, halves: int = HALVES) -> DataFrame:
     """doc_id, text_hash, set (hash of its shingle set, null if empty), n_shingles, signature of each row of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text"):
             values, offsets, ids, some = _sets(batch.column("text"))
-            rows = np.ascontiguousarray(signatures(values, offsets))
+            rows = np.ascontiguousarray(signatures(values, offsets, halves))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(ids, pa.int64(), mask=~some), pa.array(np.diff(offsets), pa.int64()), C.binary_rows(rows.reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])],
                 names=["doc_id", "text_hash", "set", "n_shingles", "signature"],
@@ -176,10 +182,11 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     against its hub, the set that meets most others over all its tables, so one
     near the middle of a group; buckets that then still hold sets of several components
     go on to rest_pairs, so that no link among candidates is lost.  Two sets of
-    similarity 0.85 miss each other in all tables with probability 7e-5.
+    similarity 0.85 miss each other in all tables with probability 7e-5, and so do
+    two of 0.8 where percent is under 85, since there are more tables then.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = C.cut(sketch(texts))
+    rows = C.cut(sketch(texts, HALVES if percent >= 85 else WIDER))
     nodes = rows.where("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("at"), F.first("signature").alias("signature"))
     keys = keys_of(nodes)
     shared = C.cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "key"))

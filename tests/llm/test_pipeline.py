@@ -90,3 +90,34 @@ def test_empty_tables(spark, folder, tmp_path):
     docs = spark.createDataFrame(ODD, SCHEMA)
     assert sorted(map(str, rows(P.keep_quality(spark, docs, str(tmp_path))))) == sorted(map(str, ODD))
     assert P.drop_leaks(spark, docs, str(tmp_path)).count() == len(ODD)
+
+
+def test_near_copies_from_eight_tenths_on(spark, folder):
+    """Pairs of similarity 0.80 to 0.85 lose one row, those below none."""
+    rng = np.random.default_rng(8)
+    docs, want = [], 0
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        edited = words.copy()
+        for k in range(4 if i % 2 else 6):  # each edit changes five of 200 shingles: 20 of them 180/220, 30 of them 170/230
+            edited[20 + 30 * k] = f"x{i}y{k}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+        common, both = len(test_neardup.shingle_set(docs[-1][1]) & test_neardup.shingle_set(docs[-2][1])), len(test_neardup.shingle_set(docs[-1][1]) | test_neardup.shingle_set(docs[-2][1]))
+        assert (0.8 <= common / both < 0.85) == (i % 2 == 1) and common / both < 0.85
+        want += 2 - i % 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert P.drop_near_copies(spark, df, folder).count() == want
+
+
+def test_near_dedup_stage_equals_brute_force_at_eight_tenths(spark, folder):
+    docs = P.C.cut(P.keep_quality(spark, queries.table(spark, folder, "documents"), folder))
+    numbered = sorted(rows(docs), key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [test_neardup.shingle_set(r[1]) for r in numbered]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    want = [r for i, r in enumerate(numbered) if not sets[i] or root[i] == i]
+    assert sorted(map(str, rows(P.drop_near_copies(spark, docs, folder)))) == sorted(map(str, want))
