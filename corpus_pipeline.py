@@ -49,8 +49,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, number of tokens and the packed ids."""
-    return bpe.encode_decode(docs, decoded=False).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    """doc_id, lang, source, number of tokens, the packed ids, the SHA-256 of what they decode to, and whether that is the text."""
+    done = bpe.encode_decode(docs)
+    same = F.col("decoded_text") == F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"), same.alias("decoded_same"))
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("pii", redact_personal_data), ("bpe", encode)]

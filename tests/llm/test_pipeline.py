@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -121,3 +122,10 @@ def test_near_dedup_stage_equals_brute_force_at_eight_tenths(spark, folder):
                 root = [a if r == b else r for r in root]
     want = [r for i, r in enumerate(numbered) if not sets[i] or root[i] == i]
     assert sorted(map(str, rows(P.drop_near_copies(spark, docs, folder)))) == sorted(map(str, want))
+
+
+def test_bpe_stage_decodes(spark, folder):
+    """Each row says what its ids decode to, and that this is its text."""
+    out = P.encode(spark, spark.createDataFrame(ODD, SCHEMA), folder).collect()
+    sha = [hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ODD]
+    assert sorted(r.decoded_sha256 for r in out) == sorted(sha) and all(r.decoded_same for r in out)
