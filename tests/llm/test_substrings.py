@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from stepweave.llm import queries, substrings
@@ -30,9 +31,8 @@ def test_query_equals_brute_force(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op9_substrings(spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize(("broadcast", "shard", "hot"), [(10**6, 300_000, 256), (0, 300_000, 256), (10**6, 500, 2), (10**6, 500, 10**9)])
-def test_passages_loops_and_hot_routes(spark, monkeypatch, broadcast, shard, hot):
-    monkeypatch.setattr(substrings, "BROADCAST_GRAMS", broadcast)
+@pytest.mark.parametrize(("shard", "hot"), [(300_000, 256), (500, 2), (500, 10**9), (300_000, 0)])
+def test_passages_loops_and_hot_routes(spark, monkeypatch, shard, hot):
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     monkeypatch.setattr(substrings, "HOT", hot)
     random.seed(7)
@@ -51,6 +51,42 @@ def test_passages_loops_and_hot_routes(spark, monkeypatch, broadcast, shard, hot
     assert [got[d] for d, _ in docs] == want and sum(g for _, g, _ in want) > 1000
 
 
+def test_index_and_matching_statistics():
+    """Intervals, places and lengths of matches of streamed texts, some of whose words the index lacks, against a plain search."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 5, rng.integers(20, 79)) for _ in range(20)] + [np.tile([1, 2, 3], 26), np.tile([1, 2, 3], 20)]
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    text = np.concatenate([np.append(t, 0) for t in texts])
+    index = substrings.FmIndex(text, begin)
+    assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+    queries = [texts[3], np.concatenate([texts[4][:30], rng.integers(1, 7, 10), texts[20][5:40]]), rng.integers(1, 5, 25)]
+    query = np.minimum(np.concatenate(queries), index.before.size - 2)
+    at = np.concatenate([[0], np.cumsum([len(q) for q in queries])])
+    stands = lambda x: [i for i in range(len(text) - len(x) + 1) if (text[i : i + len(x)] == x).all()]
+    long = 0
+    got = {}
+    for places, size, low, high in substrings.matching_statistics(index, query, at[:-1], np.diff(at)):
+        for a, n, lo, hi in zip(places.tolist(), size.tolist(), low, high, strict=True):
+            assert a not in got and (not n or sorted(index.locate(np.arange(lo, hi)).tolist()) == stands(query[a : a + n]))
+            got[a] = n
+    for i, q in enumerate(queries):
+        for a in range(len(q)):
+            most = max(n for n in range(min(substrings.WINDOW, len(q) - a) + 1) if not n or stands(query[at[i] + a : at[i] + a + n]))
+            assert got[at[i] + a] == most
+            long += most == substrings.WINDOW
+    assert len(got) == len(query) and 60 < long < len(query)
+
+
+def test_windows_of_one_changed_word_and_common_lines(spark, monkeypatch):
+    """A line in every document beside words of their own: single windows of hot grams are routes of their own."""
+    monkeypatch.setattr(substrings, "HOT", 8)
+    line = [f"common{i}" for i in range(17)]
+    docs = [(d, " ".join([f"a{d}", f"b{d % 3}", f"c{d % 2}", *line, f"x{d % 4}", f"y{d % 2}", f"z{d}"])) for d in range(200)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text.encode()) for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs)
+    assert [got[d] for d, _ in docs] == want and sum(g for _, g, _ in want) > 3000
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [(1, None, 1), (2, "", 1), (None, long, 1), (3, long, 1), (3, long, 1), (4, "x" * 100000, 1)]
