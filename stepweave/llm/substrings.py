@@ -24,8 +24,8 @@ from . import _common as C
 WINDOW, GRAM = 20, 10
 #: Windows of a run at most, so that 81 words hold a run and its end; words of a shard's index; runs of a least gram from which each window is a route of its own.
 RUN, SHARD_WORDS, HOT = 60, 300_000, 256
-#: Packets of a partition: what is sent to and fro is summed in each.
-PACKETS = 4
+#: Packets, and shards of least grams, of a partition: what is sent to and fro is summed in each packet, and several even out the partitions.
+PACKETS, SHARDS = 16, 4
 #: Words from one sampled place to the next.
 SAMPLED = 8
 _ONE, _ZERO = np.uint64(1), np.uint64(0)
@@ -471,7 +471,7 @@ def repeated_spans(packets: DataFrame, parts: int) -> DataFrame:
             low, packet, weight = low[order], packet[order], weight[order]
             begin = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (packet[1:] != packet[:-1])]))
             low, packet, weight = low[begin], packet[begin], np.minimum(np.add.reduceat(weight, begin), 255)
-            shard = ((low >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            shard = ((low >> np.uint64(32)) * np.uint64(parts * SHARDS) >> np.uint64(32)).astype(np.int32)
             (packet, shard), lows, weights = _grouped([packet, shard], low, weight)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(packet), lows, weights], names=["shard", "packet", "low", "n"])
 
