@@ -1,13 +1,17 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A word's probability is its class's, given hashed features of the words before
-it, times its part of the class, given features of the same words.  Features:
-the word before, the word before that (a skip), and both together.  For the
-class they take few values, so one pass over the corpus gathers all counts of
-(context, class), and gradient updates over those counts are the same as over
-every token.  For the word in its class they are of real words: a sparse table
-of hashed (context, word) features that grows with the training tokens, dealt
-over shards (word_factor).
+A word's probability is its class's, given hashed features of the two words
+before it, times its share of the class, times the factors of two word
+features: the word with the one before that before it (a skip), and with the
+word before it.  For the class the features take few values, so one pass over
+the corpus gathers all counts of (context, class), and gradient updates over
+those counts are the same as over every token.  The word features are of all
+pairs of real words: a sparse table of hashed pairs, dealt over shards, that
+grows with the training tokens.
+
+The corpus is coded once into packets of texts.  A packet asks shards for the
+counts of its different words and pairs, in sorted and packed batches, and is
+scored where it lies; no vocabulary is sent to the driver or to every executor.
 """
 
 from __future__ import annotations
@@ -22,45 +26,19 @@ from pyspark.sql import types as T
 
 from . import _common as C
 
-#: Words with their own class; of the others, those of the head vocabulary are classed by the logarithm of their count.
-OWN = 30
-#: Most words that are broadcast (12 bytes each): those of the largest counts.  Counts of the others are joined by a shuffle.
-HEAD = 1 << 20
-CLASSES = 64
-_TAIL = CLASSES - 1
+#: Words with their own class; then the end's, one for each power of two of a word's count, and that of words not learned.
+OWN, CLASSES = 30, 64
+_END_CLASS, _UNSEEN = OWN, CLASSES - 1
 #: Values of a context word: those with their own class, the end, and hashes of the rest.  Buckets for both words together.
 VALUES, BOTH = 64, 1024
-#: Tokens a shard of the word features; one group of one task, so their number grows with the text.
-SHARD_TOKENS = 1_000_000
+#: Bytes of text in a packet, and shards of words and pairs of each partition.
+PACKET_BYTES, SHARDS = 8 << 20, 4
+#: Weights of what is known without a word feature, in tokens: for the skip and for the word before.  All texts are scored with each pair, and the pair is taken that foretells every learned token best from the others.
+SKIP_WEIGHTS = (8.0, 128.0, 2048.0, 32768.0, 1048576.0)
+WORD_WEIGHTS = (2.0, 16.0, 128.0, 2048.0, 1048576.0)
 _END = np.uint64(0x1D)  # a word's hash is mixed, so it equals this with probability 2**-64
 
 
-class Lookup:
-    """Places of 64-bit keys in a sorted array, by their top bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(1, min(22, int(len(keys)).bit_length() + 1))
-        self.start = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits < 64 else 0).astype(np.int32)
-        self.start[-1] = len(keys)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1."""
-        out = np.full(len(x), -1, np.int32)
-        if not len(self.keys):
-            return out
-        top = (x >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end, left = self.start[top], self.start[top + 1], np.arange(len(x))
-        while True:
-            live = at < end
-            left, at, end = left[live], at[live], end[live]
-            if not len(left):
-                return out
-            hit = self.keys[at] == x[left]
-            out[left[hit]] = at[hit]
-            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
-
-
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all rows' words, each row closed by the end, and each row's first token."""
     hashes, _, _, first = C.words(*C.buffers(column))
@@ -73,45 +51,6 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + rows
 
 
-class Vocabulary:
-    """Head words, sorted by hash, with counts and classes."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, tail_tokens: int, once: int):
-        order = np.argsort(keys)
-        self.keys, self.counts, self.n, self.v, self.tail_tokens, self.unseen = keys[order], counts[order], n, v, tail_tokens, max(1, once)
-        frequent = np.lexsort((self.keys, -self.counts))
-        self.classes = np.minimum(OWN + 1 + np.log2(np.maximum(self.counts, 1)).astype(np.int64), _TAIL - 1)
-        self.frequent = frequent.astype(np.int32)
-        self.classes[frequent[:OWN]] = np.arange(len(frequent[:OWN]))
-        end = np.flatnonzero(self.keys == _END)
-        if len(end):
-            self.classes[end[0]] = OWN
-        mass = np.bincount(self.classes, self.counts, minlength=CLASSES)
-        self.within = np.log10(self.counts / mass[self.classes]) if len(keys) else np.empty(0)
-
-    def ready(self) -> Vocabulary:
-        self.lookup = Lookup(self.keys)
-        return self
-
-    def classed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's place in the head (-1: none) and class."""
-        place = self.lookup.find(x)
-        return place, np.where(place >= 0, self.classes[place] if len(self.classes) else 0, _TAIL)
-
-    def contexts(self, x: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Each token's context: VALUES * the word before that before it + the word before it; the end stands before a text."""
-        value = np.where(classes <= OWN, classes, OWN + 1 + (x % np.uint64(VALUES - OWN - 1)).astype(np.int64))
-        one = np.full(len(x), OWN)
-        one[1:] = value[:-1]
-        one[first[:-1]] = OWN
-        two = np.full(len(x), OWN)
-        two[2:] = value[:-2]
-        two[first[:-1]] = OWN
-        second = first[:-1] + 1
-        two[second[second < first[1:]]] = OWN
-        return two * VALUES + one
-
-
 def _features() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = np.arange(VALUES * VALUES)
     return context % VALUES, context // VALUES, (C.mix(context.astype(np.uint64) + np.uint64(77)) % np.uint64(BOTH)).astype(np.int64)
@@ -127,8 +66,8 @@ def log_softmax(weights: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def fit(counts: DataFrame, rounds: int = 12, rate: float = 2.0) -> np.ndarray:
-    """Logarithms (base 10) of class probabilities by context, from (context, n: CLASSES counts) rows.
+def fit(counts: DataFrame, rounds: int = 12, rate: float = 2.0) -> list[np.ndarray]:
+    """Weights of class probabilities by context, from (context, n: CLASSES counts) rows.
 
     Each round the executors sum the gradient of their rows' likelihood, and
     the driver takes a step of its own length for each weight: a sum over the
@@ -171,51 +110,14 @@ def fit(counts: DataFrame, rounds: int = 12, rate: float = 2.0) -> np.ndarray:
             weights[k] = w + rate * 0.25 * g / np.sqrt(past[k])
         rate *= 0.85
         sent.unpersist()
-    return (log_softmax(weights, np.arange(VALUES * VALUES)) / np.log(10)).astype(np.float32)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): counts of all tokens of texts, summed per batch before the shuffle."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.pieces(batches, "text", 8 * C.CHUNK_BYTES):
-            h, c = np.unique(tokens(batch.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return weights
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
-    """The head of counts and the count from which words are in it: the least, over 1, that at most head words reach."""
-    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("c")).toArrow()
-    c, words = (by_count.column(k).to_numpy().astype(np.int64) for k in ("c", "words"))
-    n, v = int((c * words).sum()), int(words.sum())
-    inside = (np.cumsum(words) <= head) & (c > 1)  # words seen once tell the tail's class how often unseen ones come
-    least = int(c[inside][-1]) if inside.any() else 1 << 62
-    got = counts.where(F.col("c") >= least).toArrow()
-    tail = int((c * words)[~inside].sum())
-    # words seen once stand for those never seen
-    return Vocabulary(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.int64), n, v, tail, int(words[c == 1].sum())), least
-
-
-def count_contexts(docs: DataFrame, sent) -> DataFrame:
-    """(context, n): counts of classes after each context, summed per task before the shuffle."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value.ready()
-        total = np.zeros(VALUES * VALUES * CLASSES, np.int64)
-        for batch in C.pieces(batches, "text"):
-            x, first = tokens(batch.column("text"))
-            _, classes = vocab.classed(x)
-            total += np.bincount(vocab.contexts(x, classes, first) * CLASSES + classes, minlength=len(total))
-        total = total.reshape(-1, CLASSES)
-        some = np.flatnonzero(total.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.int64()))], names=["context", "n"])
-
-    return docs.select("text").mapInArrow(run, "context int, n array<long>").groupBy("context").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(CLASSES)]).alias("n"))
+# ---------------------------------------------------------------- packets
 
-
-def _pair(a: np.ndarray, b: np.ndarray, order: int = 0) -> np.ndarray:
-    """Hash of two 64-bit values."""
-    return C.mix(C.mix(a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93 + 2 * order) + b)
+def _pair(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """Hash of two 64-bit values, in 48 bits."""
+    return C.mix(C.mix(a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93 + 2 * order) + b) >> np.uint64(16)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -224,163 +126,296 @@ def _pack(a: np.ndarray) -> bytes:
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+def _unpack(b: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    planes = [np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.uint8) for b in column.to_pylist()]
-    return [np.ascontiguousarray(x.reshape(size, -1).T).view(dtype).reshape(-1) for x in planes]
-
-
-def _joined(table: pa.Table, **columns) -> list[np.ndarray]:
-    """All records' columns; row is kept as differences in each packed row."""
-    out = []
-    for name, dtype in columns.items():
-        parts = _unpack(table.column(name), dtype)
-        out.append(np.concatenate([np.cumsum(x) for x in parts] if name in ("row", "at") else parts))
-    return out
-
-
-def _dealt(to: np.ndarray, row: np.ndarray, *columns: np.ndarray, beyond: tuple[np.ndarray, np.ndarray] | None = None) -> list[pa.Array]:
-    """A row for each value of to: it, and the packed columns of its records; row ascends.  beyond: a mask, and values of the masked records alone."""
-    order = np.argsort(to, kind="stable")
-    keys, at = np.unique(to[order], return_index=True)
-    bounds = list(zip(at, [*at[1:], len(order)], strict=False))
-    sorted_row = row[order]
-    out = [pa.array(keys.astype(np.int32)), pa.array([_pack(np.diff(sorted_row[i:j], prepend=0)) for i, j in bounds], pa.binary())]
-    for c in columns:
-        c = c[order]
-        out.append(pa.array([_pack(c[i:j]) for i, j in bounds], pa.binary()))
-    if beyond:
-        mask, values = beyond[0][order], beyond[1][order]
-        out.append(pa.array([_pack(values[i:j][mask[i:j]]) for i, j in bounds], pa.binary()))
+    planes = np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _asked(packet: int, keys: np.ndarray, bits: int, shards: int, *numbers: np.ndarray) -> pa.RecordBatch:
+    """Rows (shard, packet, packed keys, packed numbers) of a packet's different keys, which ascend and have so many bits."""
+    shard = ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    parts = [(int(k), slice(bounds[k], bounds[k + 1])) for k in some]
+    columns = [[_pack(np.diff(keys[x], prepend=np.uint64(0))) for _, x in parts], *([_pack(n[x]) for _, x in parts] for n in numbers)]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([packet] * len(parts), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "packet", "keys", *(f"n{i}" for i in range(len(numbers)))])
+
+
+def _sums(table: pa.Table, numbers: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Different keys of a shard's rows, each record's place in them, the sums of their numbers, and the rows' first records."""
+    keys = [np.cumsum(_unpack(b, np.uint64)) for b in table.column("keys").to_pylist()]
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_unpack(b, np.int64) for b in table.column(f"n{i}").to_pylist()]), len(unique)).astype(np.int64) for i in range(numbers)]
+    return unique, at, sums, np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+
+
+def _answers(table: pa.Table, at: np.ndarray, bounds: np.ndarray, *sums: np.ndarray) -> list[pa.Array]:
+    return [table.column("packet").combine_chunks(), pa.array(table.column("shard").to_pylist(), pa.int32()), *(pa.array([_pack(n[at[i:j]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for n in sums)]
+
+
+class Packet:
+    """Texts coded by their own words, most frequent first: doc ids, learn flags, tokens a text, words' hashes, and the tokens' words."""
+
+    COLUMNS = {"ids": np.int64, "none": np.bool_, "learn": np.bool_, "sizes": np.int64, "words": np.uint64, "tokens": np.uint32}
+
+    def __init__(self, **columns: np.ndarray):
+        self.__dict__.update(columns)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    @staticmethod
+    def coded(batch: pa.RecordBatch) -> Packet:
+        x, first = tokens(batch.column("text"))
+        words, at, number = np.unique(x, return_inverse=True, return_counts=True)
+        order = np.argsort(-number, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        ids = batch.column("doc_id")
+        return Packet(ids=ids.fill_null(0).to_numpy(), none=ids.is_null().to_numpy(zero_copy_only=False), learn=batch.column("learn").to_numpy(zero_copy_only=False), sizes=np.diff(first), words=words[order], tokens=rank[at])
+
+    def packed(self) -> list[pa.Array]:
+        return [pa.array([_pack(getattr(self, c))], pa.binary()) for c in self.COLUMNS]
+
+    @staticmethod
+    def read(row: dict) -> Packet:
+        return Packet(**{c: _unpack(row[c], t) for c, t in Packet.COLUMNS.items()})
+
+    def learned(self) -> np.ndarray:
+        """For each token whether it is of a text to learn from."""
+        return np.repeat(self.learn, self.sizes)
+
+    def before(self, steps: int) -> np.ndarray:
+        """For each token the word so many steps before it; the end stands before a text."""
+        end = int(np.flatnonzero(self.words == _END)[0])
+        out = np.full(len(self.tokens), end, np.int64)
+        out[steps:] = self.tokens[:-steps] if steps < len(out) else out[steps:]
+        for k in range(steps):
+            at = self.first[:-1] + k
+            out[at[at < self.first[1:]]] = end
+        return out
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its learned tokens, and how many fewer learned tokens stand two places after it than these."""
+        learned = self.learned()
+        number = np.bincount(self.tokens[learned], minlength=len(self.words)).astype(np.int64)
+        return number, number - np.bincount(self.before(2)[learned], minlength=len(self.words))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different hashed pairs of words, and the places in them of each token's pair with the word before it, then of that with the one before."""
+        word = self.words[self.tokens]
+        return np.unique(np.concatenate([_pair(self.words[self.before(k)], word, k) for k in (1, 2)]), return_inverse=True)
+
+
+class Model:
+    """What all packets need to know: words with a class of their own, and sums over all words."""
+
+    def __init__(self, own: np.ndarray, types: np.ndarray, mass: np.ndarray, once: int, twice: int):
+        self.own = np.sort(own)
+        self.types, self.mass = types, mass
+        #: tokens, different ones, and words that may not have been learned, as many as those learned once and twice tell
+        self.n, self.v, self.unseen = int(mass.sum()), int(types.sum()), max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Each word's own class, or -1."""
+        if not len(self.own):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+        return np.where(self.own[at] == words, at, -1)
+
+    def classes(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        power = np.minimum(_END_CLASS + 1 + np.log2(np.maximum(counts, 1)).astype(np.int64), _UNSEEN - 1)
+        own = self.place(words)
+        return np.where(words == _END, _END_CLASS, np.where(own >= 0, own, np.where(counts > 0, power, _UNSEEN)))
+
+    def shares(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Each word's part of its class, by counts; words not learned share theirs evenly."""
+        of = np.where(classes == _UNSEEN, 1 / self.unseen, counts / np.maximum(self.mass[classes], 1))
+        return np.where(classes <= _END_CLASS, 1.0, of)
+
+    def contexts(self, packet: Packet) -> np.ndarray:
+        """Each token's context: VALUES * the value of the word before that before it + that of the word before it."""
+        own = self.place(packet.words)
+        value = np.where(packet.words == _END, OWN, np.where(own >= 0, own, OWN + 1 + (packet.words % np.uint64(VALUES - OWN - 1)).astype(np.int64)))
+        return value[packet.before(2)] * VALUES + value[packet.before(1)]
+
+    def logs(self, weights: list[np.ndarray]) -> np.ndarray:
+        """Logarithms of class probabilities by context; classes without words have none."""
+        log = log_softmax(weights, np.arange(VALUES * VALUES))
+        log[:, (self.mass == 0) & (np.arange(CLASSES) != _UNSEEN)] = -np.inf
+        return log - np.log(np.exp(log).sum(1, keepdims=True))
+
+
+def pack(texts: DataFrame, parts: int) -> DataFrame:
+    """Packets of texts (doc_id, text, learn) with their words' learned counts: packet, Packet.COLUMNS, counts, fewer."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.pieces(batches, "text", PACKET_BYTES):
+            yield pa.RecordBatch.from_arrays(Packet.coded(batch).packed(), names=list(Packet.COLUMNS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                packet = Packet.read(row)
+                order = np.argsort(packet.words)
+                yield _asked(row["packet"], packet.words[order], 64, parts * SHARDS, *(n[order] for n in packet.counts()))
+
+    def answer(table: pa.Table) -> pa.Table:
+        unique, at, (number, fewer), bounds = _sums(table, 2)
+        shard = table.column("shard")[0].as_py()
+        known = number > 0
+        most = np.lexsort((unique, -number))[: OWN + 1]  # one may be the end
+        most = most[known[most]]
+        power = np.log2(np.maximum(number, 1)).astype(np.int64)[known]
+        stats = np.concatenate([np.bincount(power, minlength=64), np.bincount(power, number[known], 64).astype(np.int64), [(number == 1).sum(), (number == 2).sum(), 0]])
+        end = unique == _END
+        if end.any() and known[end].any():  # of no power of two
+            c = int(number[end][0])
+            stats[[int(np.log2(c)), 64 + int(np.log2(c)), 128, 129, 130]] -= [1, c, c == 1, c == 2, -c]
+        most = most[unique[most] != _END][:OWN]
+        own = pa.Table.from_arrays([pa.array([-1 - shard], pa.int64()), pa.array([shard], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (stats.astype(np.int64), np.concatenate([unique[most].view(np.int64), number[most]])))], names=["packet", "shard", "n0", "n1"])
+        return pa.concat_tables([pa.Table.from_arrays(_answers(table, at, bounds, number, fewer), names=own.column_names), own])
+
+    schema = ", ".join(f"{c} binary" for c in Packet.COLUMNS)
+    coded = texts.select("doc_id", "text", "learn").mapInArrow(code, schema).withColumn("packet", F.monotonically_increasing_id()).repartition(parts, "packet")
+
+    def join(packets: pa.Table, answers: pa.Table) -> pa.Table:
+        """A packet with its answers; a shard's sums by themselves."""
+        rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        names = [*Packet.COLUMNS, "packet", "counts", "fewer"]
+        if not packets.num_rows:
+            return pa.Table.from_pylist([{**dict.fromkeys(Packet.COLUMNS), "packet": r["packet"], "counts": r["n0"], "fewer": r["n1"]} for r in rows], arrow)
+        row = packets.to_pylist()[0]
+        back = np.argsort(np.argsort(_unpack(row["words"], np.uint64)))  # answers ascend with the hashes
+        values = [np.concatenate([_unpack(r[c], np.int64) for r in rows])[back] for c in ("n0", "n1")]
+        return pa.Table.from_pylist([{**{c: row[c] for c in names[:-2]}, "counts": _pack(values[0]), "fewer": _pack(values[1])}], arrow)
+
+    arrow = pa.schema([*((c, pa.binary()) for c in Packet.COLUMNS), ("packet", pa.int64()), ("counts", pa.binary()), ("fewer", pa.binary())])
+    answers = coded.mapInArrow(ask, "shard int, packet long, keys binary, n0 binary, n1 binary").groupBy("shard").applyInArrow(answer, "packet long, shard int, n0 binary, n1 binary")
+    return coded.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(join, f"{schema}, packet long, counts binary, fewer binary")
+
+
+def model(packets: DataFrame) -> Model:
+    """The sums over all words, from pack's rows of shards, summed per task first; the words of the largest counts among the shards' own."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, most = np.zeros(131, np.int64), np.empty((0, 2), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                stats += _unpack(row["counts"], np.int64)
+                most = np.concatenate([most, _unpack(row["fewer"], np.int64).reshape(2, -1).T])
+                most = most[np.lexsort((most[:, 0].view(np.uint64), -most[:, 1]))[:OWN]]
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([stats.tolist()]), pa.array([most.tolist()], pa.list_(pa.list_(pa.int64())))], names=["one", "stats", "most"])
+
+    rows = packets.where("packet < 0").select("counts", "fewer").mapInArrow(part, "one long, stats array<long>, most array<array<long>>")
+    total = rows.agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(131)]).first()
+    top = rows.select(F.explode("most").alias("m")).select(F.col("m")[0].alias("h"), F.col("m")[1].alias("c")).orderBy(F.desc("c"), "h").limit(OWN).collect()
+    stats = np.array([x or 0 for x in total], np.int64)
+    types, mass = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for k in range(64):
+        of = min(_END_CLASS + 1 + k, _UNSEEN - 1)
+        types[of] += stats[k]
+        mass[of] += stats[64 + k]
+    types[_END_CLASS], mass[_END_CLASS] = stats[130] > 0, stats[130]
+    words, numbers = (np.array([r[c] for r in top], np.int64) for c in ("h", "c"))
+    out = Model(words.view(np.uint64), types, mass, int(stats[128]), int(stats[129]))
+    for of, c in zip(out.place(words.view(np.uint64)), numbers, strict=True):
+        k = min(_END_CLASS + 1 + int(np.log2(c)), _UNSEEN - 1)
+        types[k], mass[k], types[of], mass[of] = types[k] - 1, mass[k] - c, 1, c
     return out
 
 
-def _counted(keys: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """For each record, how many learned ones have its key."""
-    _, at = np.unique(keys, return_inverse=True)
-    return np.bincount(at, learn)[at]
+def count_contexts(packets: DataFrame, sent) -> DataFrame:
+    """(context, n): counts of classes after each context, summed per task before the shuffle.
 
+    A learned word's class is the one that it has without the token itself, so
+    that a word learned once tells how often words not learned come.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VALUES * VALUES * CLASSES, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                packet, counts = Packet.read(row), _unpack(row["counts"], np.int64)
+                classes = sent.value.classes(packet.words, counts - 1)[packet.tokens]
+                total += np.bincount((sent.value.contexts(packet) * CLASSES + classes)[packet.learned()], minlength=len(total))
+        total = total.reshape(-1, CLASSES)
+        some = np.flatnonzero(total.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.int64()))], names=["context", "n"])
 
-def _fit_weight(n: np.ndarray, total: np.ndarray, without: np.ndarray) -> float:
-    """The weight of the base, by the likelihood of each learned token when it is left out itself."""
-    if not len(n):
-        return 1.0
-    value = lambda k: float(np.log((n - 1 + 2.0**k * without) / (total - 1 + 2.0**k)).sum())
-    best = max(range(-4, 25, 4), key=value)
-    best = max((best + k for k in (-2, 0, 2)), key=value)
-    return 2.0 ** max((best + k for k in (-1, 0, 1)), key=value)
+    rows = packets.where("packet >= 0").select(*Packet.COLUMNS, "counts")
+    return rows.mapInArrow(run, "context int, n array<long>").groupBy("context").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(CLASSES)]).alias("n"))
 
 
-def _level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, tail: np.ndarray, p: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Add one feature: p is a record's probability in its class without it.
+def probabilities(p: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probabilities of tokens (columns) with each pair of weights (rows), from p, those without word features.
 
-    other is p with the record's own token left out of what was learned (head
-    words), or what a word's share of the tail is still to be multiplied by
-    (tail words, whose p lacks it).  The feature's weight is log(1 + n / (m p)),
-    its normaliser (N + m) / m: the same p for words not seen after the
-    context, and a sum of 1 over the class for every context.
+    A word feature's weight is log(1 + n / (m p)) where its pair was learned n
+    times, else 0; its normaliser after a context learned N times is (N + m) /
+    m.  So what is added up over all words stays 1.
     """
-    total, n = _counted(context, learn), _counted(_pair(context, word), learn)
-    fitted = learn & ~tail
-    m = _fit_weight(n[fitted], total[fitted], other[fitted])
-    left_out = (n - 1 + m * other) / np.maximum(total - 1 + m, 1e-9)
-    return (n + m * p) / (total + m), np.where(tail, other * m / (total + m), np.where(learn, left_out, 1.0))
-
-
-def word_factor(texts: DataFrame, sent, shards: int, tails: bool) -> DataFrame:
-    """(row, gain, tail): what the word features add to the sum of log10 shares of a row's words in their classes.
-
-    texts: row, text, learn.  tail: for each word beyond the head h, a and b;
-    its probability in the tail is a + b * its share.  A token goes to the shard
-    of its skip context and class, then to that of the word before it and its
-    class, with its probability so far; each shard holds all records of its
-    contexts, so its counts are whole, and fits its own weights on them.  A
-    word alone in its class has no factor and isn't sent.  Nor are words beyond
-    the head if not tails, where all of them were learned once or never: left
-    out itself, none has been seen after any context, so its weights are 0.
-    """
-    def number(x: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Words as 32 bits: the rank of head words, the hash of others."""
-        return np.where(place >= 0, rank[place] if len(rank) else 0, (x >> np.uint64(33)).astype(np.int64) | 1 << 31).astype(np.uint32)
-
-    def known(vocab: Vocabulary, word: np.ndarray, flags: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """learn, tail, each record's word, class and share of it."""
-        learn, tail = (flags & 1) > 0, flags > 1
-        place = vocab.frequent[word[~tail]]
-        words, classes, share = word.astype(np.uint64), np.full(len(word), _TAIL, np.uint64), np.zeros(len(word))
-        words[tail], classes[~tail], share[~tail] = h, vocab.classes[place], vocab.within[place]
-        return learn, tail, words, classes, share
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value.ready()
-        rank = np.empty(len(vocab.keys), np.int64)
-        rank[vocab.frequent] = np.arange(len(rank))
-        for batch in C.pieces(batches, "text", 4 * C.CHUNK_BYTES):
-            x, first = tokens(batch.column("text"))
-            place, classes = vocab.classed(x)
-            id_, end = number(x, place, rank), np.uint32(0xFFFF_FFFF)
-            one, two = np.full(len(x), end), np.full(len(x), end)
-            one[1:], two[2:] = id_[:-1], id_[:-2]
-            one[first[:-1]] = two[first[:-1]] = end
-            second = first[:-1] + 1
-            two[second[second < first[1:]]] = end
-            go = np.flatnonzero((classes > OWN) & (tails | (place >= 0)))
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(first))[go]
-            flags = (batch.column("learn").to_numpy(zero_copy_only=False)[rows] + 2 * (place[go] < 0)).astype(np.uint8)
-            to = _pair(two[go].astype(np.uint64), classes[go].astype(np.uint64), 2) % np.uint64(shards)
-            yield pa.RecordBatch.from_arrays(_dealt(to, batch.column("row").to_numpy()[rows], two[go], one[go], id_[go], flags, beyond=(place[go] < 0, x[go])), names=["shard", "row", "two", "one", "word", "flags", "h"])
-
-    def skips(table: pa.Table) -> pa.Table:
-        row, two, one, word, flags, h = _joined(table, row=np.int64, two=np.uint32, one=np.uint32, word=np.uint32, flags=np.uint8, h=np.uint64)
-        learn, tail, words, classes, share = known(sent.value, word, flags, h)
-        share = np.where(tail, 0, 10**share)
-        p, other = _level(_pair(two.astype(np.uint64), classes, 2), words, learn, tail, share, np.where(tail, 1.0, share))
-        order = np.argsort(row, kind="stable")
-        to = (_pair(one.astype(np.uint64), classes, 1) % np.uint64(shards))[order]
-        # other matters in the fit alone for head words, as a part of p there
-        columns = [c[order] for c in (two, one, word, flags, p.astype(np.float32), np.where(tail, 1, other / np.where(tail, 1, p)).astype(np.float16))]
-        values = np.empty((len(row), 2))
-        values[:, 0], values[:, 1] = words.view(np.float64), other
-        return pa.Table.from_arrays(_dealt(to, row[order], *columns, beyond=(tail[order], values.view("V16").reshape(-1)[order])), names=["shard", "row", "two", "one", "word", "flags", "p", "other", "h"])
-
-    def pairs(table: pa.Table) -> pa.Table:
-        row, two, one, word, flags, p, part, more = _joined(table, row=np.int64, two=np.uint32, one=np.uint32, word=np.uint32, flags=np.uint8, p=np.float32, other=np.float16, h="V16")
-        more = more.view(np.float64).reshape(-1, 2)
-        learn, tail, words, classes, share = known(sent.value, word, flags, np.ascontiguousarray(more[:, 0]).view(np.uint64))
-        p = p.astype(float)
-        other = np.maximum(p * part, 1e-12)
-        other[tail] = more[:, 1]
-        before = _pair(one.astype(np.uint64), classes, 1)
-        for context in (before, _pair(before, two.astype(np.uint64))):
-            p, other = _level(context, words, learn, tail, p, other)
-        rows, at = np.unique(row[~tail], return_inverse=True)
-        gain = np.bincount(at, np.log10(p[~tail]) - share[~tail], len(rows)).astype(np.float32)
-        order = np.argsort(row[tail], kind="stable")
-        at = row[tail][order]
-        head, rest = _dealt(rows >> 33, rows, gain), _dealt(at >> 33, at, words[tail][order], p[tail][order], other[tail][order])
-        none = lambda like: pa.array([_pack(np.empty(0))] * len(like), pa.binary())
-        a = pa.Table.from_arrays([*head, *[none(head[0])] * 4], names=["part", "row", "gain", "at", "h", "a", "b"])
-        return pa.concat_tables([a, pa.Table.from_arrays([rest[0], none(rest[0]), none(rest[0]), *rest[1:]], names=a.column_names)])
-
-    a_tail = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
-
-    def summed(table: pa.Table) -> pa.Table:
-        row, gain, at, *values = _joined(table, row=np.int64, gain=np.float32, at=np.int64, h=np.int64, a=float, b=float)
-        rows, inverse = np.unique(np.concatenate([row, at]), return_inverse=True)
-        sums = np.bincount(inverse[: len(row)], gain, len(rows)).astype(float)
-        order = np.argsort(inverse[len(row) :], kind="stable")
-        values = pa.StructArray.from_arrays([pa.array(v[order]) for v in values], names=["h", "a", "b"])
-        offsets = np.searchsorted(inverse[len(row) :][order], np.arange(len(rows) + 1)).astype(np.int32)
-        return pa.Table.from_arrays([pa.array(rows), pa.array(sums), pa.ListArray.from_arrays(pa.array(offsets), values).cast(a_tail)], names=["row", "gain", "tail"])
-
-    binary = lambda *names: ", ".join(f"{c} binary" for c in names)
-    dealt = texts.select("row", "text", "learn").mapInArrow(features, f"shard int, {binary('row', 'two', 'one', 'word', 'flags', 'h')}")
-    dealt = dealt.groupBy("shard").applyInArrow(skips, f"shard int, {binary('row', 'two', 'one', 'word', 'flags', 'p', 'other', 'h')}")
-    dealt = dealt.groupBy("shard").applyInArrow(pairs, f"part int, {binary('row', 'gain', 'at', 'h', 'a', 'b')}")
-    return dealt.groupBy("part").applyInArrow(summed, "row long, gain double, tail array<struct<h: long, a: double, b: double>>")
-
-
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = 12) -> DataFrame:
+    out = np.empty((len(SKIP_WEIGHTS) * len(WORD_WEIGHTS), len(p)))
+    for i, a in enumerate(SKIP_WEIGHTS):
+        q = (pairs[1] + a * p) / (totals[1] + a)
+        for j, b in enumerate(WORD_WEIGHTS):
+            out[i * len(WORD_WEIGHTS) + j] = (pairs[0] + b * q) / (totals[0] + b)
+    return np.log10(out, out=out)
+
+
+def score_packet(packet: Packet, counts: np.ndarray, fewer: np.ndarray, number: np.ndarray, of: Model, logs: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Table, np.ndarray]:
+    """Rows (doc_id, n_tokens, known, base, scores with each pair of weights) of a packet, and the sums of its learned tokens' log10 probabilities, each foretold from the others."""
+    x, context = packet.tokens, of.contexts(packet)
+    one, two = packet.before(1), packet.before(2)
+    places = keys[1].reshape(2, -1)
+    n1, n2, t1, t2 = number[places[0]], number[places[1]], counts[one], (counts - fewer)[two]
+
+    def plain(counts: np.ndarray) -> np.ndarray:
+        classes = of.classes(packet.words, counts)
+        return np.exp(logs[context, classes[x]]) * of.shares(classes, counts)[x]
+
+    size = 1 << 18
+    alone, learned = np.zeros(len(SKIP_WEIGHTS) * len(WORD_WEIGHTS)), packet.learned()
+    p, own = plain(counts), np.maximum(plain(counts - 1), 1e-15)
+    totals = np.zeros((len(alone), len(packet.sizes)))
+    row = np.repeat(np.arange(len(packet.sizes)), packet.sizes)
+    for a in range(0, len(x), size):
+        s = slice(a, a + size)
+        begin = np.flatnonzero(np.diff(row[s], prepend=-1))
+        part = probabilities(p[s], (n1[s], n2[s]), (t1[s], t2[s]))
+        totals[:, row[s][begin]] += np.add.reduceat(part, begin, axis=1)
+        k = np.flatnonzero(learned[s]) + a
+        if len(k):
+            alone += probabilities(own[k], (n1[k] - 1, n2[k] - 1), (t1[k] - 1, t2[k] - 1)).sum(1)
+    seen = np.add.reduceat((counts[x] > 0).astype(np.int64), packet.first[:-1])
+    base = np.add.reduceat(np.log10(counts[x] + 1.0), packet.first[:-1]) - packet.sizes * np.log10(of.n + of.v + 1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packet.sizes) + 1, dtype=np.int32) * len(totals)), pa.array(np.ascontiguousarray(totals.T).reshape(-1)))
+    return pa.Table.from_arrays([pa.array(packet.ids, mask=packet.none), pa.array(packet.sizes), pa.array(seen), pa.array(base), lists, pa.array(np.ones(len(packet.sizes), bool))], names=["doc_id", "n_tokens", "known", "base", "scores", "text"]), alone
+
+
+def score_words(packets: DataFrame, sent, logs, parts: int) -> DataFrame:
+    """score_packet's rows, and for each packet one (not text) with the sums of its learned tokens."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                packet = Packet.read(row)
+                keys, at = packet.pairs()
+                yield _asked(row["packet"], keys, 48, parts * SHARDS, np.bincount(at, np.tile(packet.learned(), 2), len(keys)).astype(np.int64))
+
+    def answer(table: pa.Table) -> pa.Table:
+        _, at, sums, bounds = _sums(table, 1)
+        return pa.Table.from_arrays(_answers(table, at, bounds, *sums), names=["packet", "shard", "n0"])
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        packet, counts, fewer = Packet.read(row), _unpack(row["counts"], np.int64), _unpack(row["fewer"], np.int64)
+        number = np.concatenate([_unpack(r["n0"], np.int64) for r in sorted(answers.to_pylist(), key=lambda r: r["shard"])])
+        table, alone = score_packet(packet, counts, fewer, number, sent.value, logs.value, packet.pairs())
+        sums = pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([alone.tolist()]), pa.array([False])], names=table.column_names)
+        return pa.concat_tables([table, sums])
+
+    # every branch reads the same exchange
+    dealt = packets.where("packet >= 0").repartition(parts, "packet")
+    answers = dealt.mapInArrow(ask, "shard int, packet long, keys binary, n0 binary").groupBy("shard").applyInArrow(answer, "packet long, shard int, n0 binary")
+    return dealt.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(run, "doc_id long, n_tokens long, known long, base double, scores array<double>, text boolean")
+
+
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12) -> DataFrame:
     """Learn from the rows where training (a Column over doc_id) holds; score all.
 
     docs: id_col (long), text_col; null texts are empty, and a text's tokens
@@ -389,45 +424,21 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     score (the model's log10 probability).  Repeated rows and null ids are rows
     like others; training rows may be none.  Of an empty table, none.
 
-    The model is proper: class probabilities sum to 1, and so do those of the
-    words in a class after any two words.  Words beyond the head, known or not, are one class; unknown ones
-    share the mass of as many tokens as there are words seen once.
+    The model is proper: class probabilities sum to 1, so do the shares of a
+    class, and the word features keep that.  Words that were not learned have
+    one class, and share it evenly by an estimate of their number (of those
+    learned once, squared, half as often as there are words learned twice).
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    learned = texts.where(training)
-    counts = C.cut(count_words(learned))
-    vocab, least = vocabulary(counts, head)
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(vocab)
-    logs = context.broadcast(fit(C.cut(count_contexts(learned, sent)), rounds))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, table = sent.value.ready(), logs.value.reshape(-1)
-        plus_one = np.log10(vocab.counts + 1.0)
-        for batch in C.pieces(batches, "text"):
-            x, first = tokens(batch.column("text"))
-            place, classes = vocab.classed(x)
-            log = table[vocab.contexts(x, classes, first) * CLASSES + classes].astype(float)
-            inside = place >= 0
-            log[inside] += vocab.within[place[inside]]
-            base = np.zeros(len(x))
-            base[inside] = plus_one[place[inside]]
-            tail = np.flatnonzero(~inside)
-            sums = [np.add.reduceat(v, first[:-1]) for v in (inside.astype(np.int64), base, log)]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail, first).astype(np.int32)), pa.array(x[tail].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first)), *map(pa.array, sums), lists], names=schema.names)
-
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    rows = C.cut(numbered.select("row", "doc_id", "text").mapInArrow(run, schema))
-    # the same scan gives the same numbers: texts are read again, not kept
-    words = C.cut(word_factor(numbered.select("row", "text", F.coalesce(training, F.lit(False)).alias("learn")), sent, vocab.n // SHARD_TOKENS + 1, least > 2))
-    rare = counts.where(F.col("c") < least)
-    of = F.coalesce("c", F.lit(vocab.unseen)) / float(vocab.tail_tokens + vocab.unseen)
-    beyond = words.select("row", F.explode("tail").alias("t")).select("row", "t.*") if least > 2 else rows.select("row", F.explode("tail").alias("h"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
-    tail = beyond.join(rare, "h", "left").groupBy("row").agg(
-        F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_base"), F.sum(F.log10(F.col("a") + F.col("b") * of)).alias("more"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("tail").join(words.select("row", "gain"), "row", "left").join(tail, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base") - F.col("n_tokens") * float(np.log10(vocab.n + vocab.v + 1))).alias("base_score"), (F.col("model") + zero("gain") + zero("more")).alias("score"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("learn", F.coalesce(training, F.lit(False)))
+    packets = C.cut(pack(texts, parts))
+    of = model(packets)
+    context = spark.sparkContext
+    sent = context.broadcast(of)
+    logs = context.broadcast(of.logs(fit(C.cut(count_contexts(packets, sent)), rounds)))
+    rows = C.cut(score_words(packets, sent, logs, parts))
+    number = len(SKIP_WEIGHTS) * len(WORD_WEIGHTS)
+    alone = rows.where("NOT text").agg(*[F.sum(F.col("scores")[k]).alias(f"s{k}") for k in range(number)]).first()
+    best = int(np.argmax([x or 0.0 for x in alone]))
+    return rows.where("text").select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(of.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("scores")[best].alias("score"))
