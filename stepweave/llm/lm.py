@@ -33,6 +33,8 @@ _END_CLASS, _UNSEEN = OWN, CLASSES - 1
 VALUES, BOTH = 64, 1024
 #: Bytes of text in a packet, and shards of words and pairs of each partition.
 PACKET_BYTES, SHARDS = 8 << 20, 4
+#: Tokens that are scored at a time.
+TOKENS = 1 << 16
 #: Weights of what is known without a word feature, in tokens: for the skip and for the word before.  All texts are scored with each pair, and the pair is taken that foretells every learned token best from the others.
 SKIP_WEIGHTS = (8.0, 128.0, 2048.0, 32768.0, 1048576.0)
 WORD_WEIGHTS = (2.0, 16.0, 128.0, 2048.0, 1048576.0)
@@ -187,7 +189,7 @@ class Packet:
     def before(self, steps: int) -> np.ndarray:
         """For each token the word so many steps before it; the end stands before a text."""
         end = int(np.flatnonzero(self.words == _END)[0])
-        out = np.full(len(self.tokens), end, np.int64)
+        out = np.full(len(self.tokens), end, np.uint32)
         out[steps:] = self.tokens[:-steps] if steps < len(out) else out[steps:]
         for k in range(steps):
             at = self.first[:-1] + k
@@ -203,7 +205,8 @@ class Packet:
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Different hashed pairs of words, and the places in them of each token's pair with the word before it, then of that with the one before."""
         word = self.words[self.tokens]
-        return np.unique(np.concatenate([_pair(self.words[self.before(k)], word, k) for k in (1, 2)]), return_inverse=True)
+        keys, at = np.unique(np.concatenate([_pair(self.words[self.before(k)], word, k) for k in (1, 2)]), return_inverse=True)
+        return keys, at.astype(np.uint32)
 
 
 class Model:
@@ -232,16 +235,20 @@ class Model:
         of = np.where(classes == _UNSEEN, 1 / self.unseen, counts / np.maximum(self.mass[classes], 1))
         return np.where(classes <= _END_CLASS, 1.0, of)
 
+    def values(self, words: np.ndarray) -> np.ndarray:
+        """Each word's value in a context."""
+        own = self.place(words)
+        return np.where(words == _END, OWN, np.where(own >= 0, own, OWN + 1 + (words % np.uint64(VALUES - OWN - 1)).astype(np.int64))).astype(np.int32)
+
     def contexts(self, packet: Packet) -> np.ndarray:
         """Each token's context: VALUES * the value of the word before that before it + that of the word before it."""
-        own = self.place(packet.words)
-        value = np.where(packet.words == _END, OWN, np.where(own >= 0, own, OWN + 1 + (packet.words % np.uint64(VALUES - OWN - 1)).astype(np.int64)))
+        value = self.values(packet.words)
         return value[packet.before(2)] * VALUES + value[packet.before(1)]
 
     def logs(self, weights: list[np.ndarray]) -> np.ndarray:
-        """Logarithms of class probabilities by context; classes without words have none."""
+        """Logarithms of class probabilities by context; classes without words have none, but for the end's and that of words not learned."""
         log = log_softmax(weights, np.arange(VALUES * VALUES))
-        log[:, (self.mass == 0) & (np.arange(CLASSES) != _UNSEEN)] = -np.inf
+        log[:, (self.mass == 0) & ~np.isin(np.arange(CLASSES), (_END_CLASS, _UNSEEN))] = -np.inf
         return log - np.log(np.exp(log).sum(1, keepdims=True))
 
 
@@ -343,7 +350,7 @@ def count_contexts(packets: DataFrame, sent) -> DataFrame:
     return rows.mapInArrow(run, "context int, n array<long>").groupBy("context").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(CLASSES)]).alias("n"))
 
 
-def probabilities(p: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def probabilities(p: np.ndarray, pairs: list[np.ndarray], totals: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of tokens (columns) with each pair of weights (rows), from p, those without word features.
 
     A word feature's weight is log(1 + n / (m p)) where its pair was learned n
@@ -360,28 +367,25 @@ def probabilities(p: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], totals: t
 
 def score_packet(packet: Packet, counts: np.ndarray, fewer: np.ndarray, number: np.ndarray, of: Model, logs: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Table, np.ndarray]:
     """Rows (doc_id, n_tokens, known, base, scores with each pair of weights) of a packet, and the sums of its learned tokens' log10 probabilities, each foretold from the others."""
-    x, context = packet.tokens, of.contexts(packet)
-    one, two = packet.before(1), packet.before(2)
+    x, one, two, value = packet.tokens, packet.before(1), packet.before(2), of.values(packet.words)
     places = keys[1].reshape(2, -1)
-    n1, n2, t1, t2 = number[places[0]], number[places[1]], counts[one], (counts - fewer)[two]
-
-    def plain(counts: np.ndarray) -> np.ndarray:
-        classes = of.classes(packet.words, counts)
-        return np.exp(logs[context, classes[x]]) * of.shares(classes, counts)[x]
-
-    size = 1 << 18
+    after = counts - fewer  # learned tokens two places after each word
+    known, foretold = ((c, of.shares(c, n)) for c, n in ((of.classes(packet.words, n), n) for n in (counts, counts - 1)))
     alone, learned = np.zeros(len(SKIP_WEIGHTS) * len(WORD_WEIGHTS)), packet.learned()
-    p, own = plain(counts), np.maximum(plain(counts - 1), 1e-15)
     totals = np.zeros((len(alone), len(packet.sizes)))
-    row = np.repeat(np.arange(len(packet.sizes)), packet.sizes)
-    for a in range(0, len(x), size):
-        s = slice(a, a + size)
+    row = np.repeat(np.arange(len(packet.sizes), dtype=np.int32), packet.sizes)
+    for a in range(0, len(x), TOKENS):
+        s = slice(a, a + TOKENS)
+        context = value[two[s]] * VALUES + value[one[s]]
+        n, t = [number[places[k, s]] for k in (0, 1)], [counts[one[s]], after[two[s]]]
         begin = np.flatnonzero(np.diff(row[s], prepend=-1))
-        part = probabilities(p[s], (n1[s], n2[s]), (t1[s], t2[s]))
+        part = probabilities(np.exp(logs[context, known[0][x[s]]]) * known[1][x[s]], n, t)
         totals[:, row[s][begin]] += np.add.reduceat(part, begin, axis=1)
-        k = np.flatnonzero(learned[s]) + a
+        k = np.flatnonzero(learned[s])
         if len(k):
-            alone += probabilities(own[k], (n1[k] - 1, n2[k] - 1), (t1[k] - 1, t2[k] - 1)).sum(1)
+            word = x[s][k]
+            own = np.maximum(np.exp(logs[context[k], foretold[0][word]]) * foretold[1][word], 1e-15)
+            alone += probabilities(own, [v[k] - 1 for v in n], [v[k] - 1 for v in t]).sum(1)
     seen = np.add.reduceat((counts[x] > 0).astype(np.int64), packet.first[:-1])
     base = np.add.reduceat(np.log10(counts[x] + 1.0), packet.first[:-1]) - packet.sizes * np.log10(of.n + of.v + 1)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packet.sizes) + 1, dtype=np.int32) * len(totals)), pa.array(np.ascontiguousarray(totals.T).reshape(-1)))
