@@ -37,6 +37,8 @@ _LETTERS = re.compile(r"[A-Za-z]{3}")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A context is looked for in so many code points beside a span.
 REACH = 48
+#: The score from which a pattern speaks for its values while it isn't confident yet.
+LIKELY = 0.5
 Span = tuple[int, int, str]
 
 
@@ -76,9 +78,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def contexts(text: str, begin: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the word before it, the two before, the word after."""
-    left = [w.lower() for w in _WORD.findall(text[max(0, begin - REACH) : begin])][-2:]
-    right = [w.lower() for w in _WORD.findall(text[end : end + REACH])][:1]
+    """The lexical patterns around a span: the word before it, the two before, the word after, where they stand within REACH as wholes."""
+    low, high = max(0, begin - REACH), end + REACH
+    cut = lambda at: 0 < at < len(text) and _WORD.fullmatch(text, at - 1, at + 1)
+    left = [m[0].lower() for m in _WORD.finditer(text, low, begin) if m.start() > low or not cut(low)][-2:]
+    right = [m[0].lower() for m in _WORD.finditer(text, end, high) if m.end() < high or not cut(high)][:1]
     found = [f"L {left[-1]}"] if left else []
     if len(left) == 2:
         found.append(f"LL {' '.join(left)}")
@@ -154,53 +158,60 @@ def score_patterns(seen: DataFrame, rounds: int = 3, confidence: float = 0.9, su
 
     seen: kind (null: not a seed), value, pattern.  A node on one side is a
     pattern with a kind, so that a context adds what stands in it whatever its
-    format.  On the other side are values.  A
-    seed's score is 1, another value's starts at 0.  Each round a pattern's
-    score is the mean of its values' scores, with one value of score 0 more;
-    then an unseen value's score for a kind is 1 less the product of (1 -
-    score) over its patterns.  Patterns of fewer than support different seeds
-    don't count.
+    format.  On the other side are values.  A seed's score for its kind is 1,
+    another value's starts at 0.  Each round a pattern's score is the mean of
+    its values' scores, with half a value of score 0 more; it counts if support
+    different values or more have scores of confidence.  Then an unseen
+    value's score for a kind is 1 less the product of (1 - score) over the
+    patterns that count and have a score of LIKELY.  So what a round finds
+    induces patterns in the next, also where no seed stands.
     """
-    edges = seen.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    seeds = edges.where("kind is not null").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    if seeds.isEmpty():
-        return seeds.select("kind", "pattern", F.lit(0.0).alias("score"))
-    # each edge once for each kind that its pattern has seeds of
-    graph = C.cut(edges.withColumnRenamed("kind", "own").join(seeds, "pattern"))
-    score = F.when(F.col("own") == F.col("kind"), 1.0).otherwise(0.0)
-    scored = graph.withColumn("value_score", score)
-    pattern = None
+    edges = C.cut(seen.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern", "value").agg(F.max("kind").alias("own")))
+    seeds = edges.where("own is not null").select("value", F.col("own").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
+    values, patterns = seeds, None
     for _ in range(rounds):
-        pattern = scored.groupBy("kind", "pattern").agg((F.sum("value_score") / (F.count(F.lit(1)) + 1)).alias("score"))
-        values = graph.where("own is null").join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("found"))
-        scored = C.cut(graph.join(values, ["kind", "value"], "left").withColumn("value_score", F.when(F.col("own").isNull(), F.coalesce("found", F.lit(0.0))).otherwise(score)).drop("found"))
-    return pattern.where(F.col("score") >= confidence)
+        sums = edges.join(values, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("total"), F.sum((F.col("score") >= confidence).cast("int")).alias("sure")).where(F.col("sure") >= support)
+        patterns = C.cut(sums.join(size, "pattern").select("kind", "pattern", (F.col("total") / (F.col("size") + 0.5)).alias("score")).where(F.col("score") >= min(LIKELY, confidence)))
+        found = edges.where("own is null").join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
+        values = C.cut(seeds.unionByName(found))
+    return patterns.where(F.col("score") >= confidence)
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", rounds: int = 3, confidence: float = 0.9, support: int = 5, keep_text: bool = True) -> DataFrame:
     """Base spans and bootstrapped spans of whole texts.
 
-    Rows keep all their columns, and repeated rows stay; columns named base or
-    spans are replaced.  Null and empty texts have no spans; an empty table
-    gives none.  Adds base and spans: arrays of (begin, end, kind) in code
-    points, by begin, then kind as in KINDS; base is a part of spans.  An added
-    span overlaps no base span.  keep_text: whether the result has the texts.  The texts are read once; found occurrences,
-    not texts, are shuffled, and a hot pattern is summed before the shuffle.
+    Rows keep all their columns, whatever their names, and repeated rows stay;
+    columns named base or spans are replaced.  Null and empty texts have no
+    spans; an empty table gives none.  Adds base and spans: arrays of (begin,
+    end, kind) in code points, by begin, then kind as in KINDS; base is a part
+    of spans.  An added span overlaps no base span.  keep_text: whether the
+    result has the texts.  The texts are read once; found occurrences, not
+    texts, are shuffled, and a hot pattern is summed before the shuffle.
     """
-    df = C.without(docs, "spans")
-    seen = C.cut(observe(df, text_col, keep_text).withColumn("_row", F.monotonically_increasing_id()))
-    each = seen.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    at = each.select("_row", "begin", "end", "kind", "value", F.explode("patterns").alias("pattern"))
+    names = docs.columns
+    text = names.index(text_col)
+    stay = [i for i, c in enumerate(names) if c.lower() not in ("base", "spans") and (keep_text or i != text)]
+    hidden = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(*[f"c{i}" for i in sorted({*stay, text})])  # no column of docs is taken for one of these
+    seen = C.cut(observe(hidden, f"c{text}", keep_text).withColumn("row", F.monotonically_increasing_id()))
+    each = seen.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    at = each.select("row", "begin", "end", "kind", "value", F.explode("patterns").alias("pattern"))
     patterns = score_patterns(at.select("kind", "value", "pattern"), rounds, confidence, support)
-    best = at.where("kind is null").drop("kind").join(patterns, "pattern").groupBy("_row", "begin", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    more = best.groupBy("_row").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("_more"))
+    best = at.where("kind is null").drop("kind").join(patterns, "pattern").groupBy("row", "begin", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    more = best.groupBy("row").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("more"))
     order = lambda s: F.struct(s["begin"].alias("begin"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))
-    spans = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("_more", F.array().cast("array<struct<begin:int,end:int,kind:string>>"))), order)), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return seen.drop("seen").join(more, "_row", "left").withColumn("spans", spans).drop("_row", "_more")
+    spans = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast("array<struct<begin:int,end:int,kind:string>>"))), order)), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
+    out = seen.drop("seen").join(more, "row", "left").withColumn("spans", spans)
+    return out.select(*[f"c{i}" for i in stay], "base", "spans").toDF(*[names[i] for i in stay], "base", "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """Put [KIND] in the place of each span of spans_col; overlapping spans count as one, of the first's kind.  n_chars follows if it is there."""
+    """Put [KIND] in the place of each span of spans_col; overlapping spans count as one, of the first's kind.
+
+    Rows and columns stay as they are but for text_col, and n_chars, which
+    follows if it is there.  Null and empty texts, and texts with null or no
+    spans, stay; so do repeated rows.  Of an empty table, none.
+    """
     schema = docs.schema
     has_n = "n_chars" in docs.columns
 

@@ -106,6 +106,32 @@ def test_pii_bootstrapping_finds_new_formats_at_the_confidence_in_use(spark):
     assert not rows[200].spans and not rows[201].spans
 
 
+def test_pii_bootstrapping_induces_patterns_round_by_round(spark):
+    """Values found beside seeds induce a context without any seed, at default settings; what that adds induces nothing in one round."""
+    new = [f"017 555 {i:02d} 99" for i in range(25)]
+    docs = [(i, f"please call phone +1 (017) 555-77{i:02d} now") for i in range(60)] + [(100 + i, f"please call phone {x} now") for i, x in enumerate(new)]
+    docs += [(200 + i, f"reachable under {x} daily") for i, x in enumerate(new)] + [(300, "reachable under 017/4321/88 daily"), (301, "ordered under 017/4321/88 daily"), (302, "size 12345 weekly")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    found = {i: [(s.kind, dict(docs)[i][s.begin : s.end]) for s in r.spans] for i, r in rows.items()}
+    assert all(found[100 + i] == found[200 + i] == [("phone", x)] for i, x in enumerate(new))
+    assert found[300] == [("phone", "017/4321/88")] and not found[302]
+    one = {r.doc_id: r.spans for r in pii.find_personal_data(df, rounds=1).collect()}
+    assert not any(spans for i, spans in one.items() if i >= 200)
+
+
+def test_pii_contexts_are_whole_words():
+    text = "x" * 60 + " " + "y" * 60 + " here 12345 and " + "z" * 60
+    assert pii.contexts(text, text.index("1"), text.index("5") + 1) == ["L here", "R and"]
+    assert pii.contexts("call 1", 5, 6) == ["L call"] and pii.contexts("1 " + "w" * 47, 0, 1) == [f"R {'w' * 47}"]
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd", 2, 3, 4, 5, 6)], "row long, text string, seen int, _row int, _more int, more int, base int")
+    got = pii.find_personal_data(df).collect()
+    assert [tuple(r)[:6] for r in got] == [(1, "mail a@b.cd", 2, 3, 4, 5)] and got[0].base == got[0].spans and len(got[0].base) == 1
+
+
 def test_pii_unseen_runs_stay_apart():
     found = lambda t: [t[b:e] for b, e in pii.unseen(t, pii.base_spans(t))]
     assert found("a 12345678 87654321 b") == ["12345678", "87654321"]
