@@ -14,8 +14,10 @@ from . import _common as C
 
 #: Bounds of the samples that the classifier is fitted on, the least by a hash of their ids.
 POSITIVES, UNLABELLED = 6000, 8000
-#: The score that all but LOST of the trusted positives are to reach: the bias is raised if need be.
-SURE, LOST = 0.7, 0.01
+#: The score that all but LOST of the trusted positives are to reach: the bias is raised if need be, by one in APART of them, which the weights aren't fitted on.
+SURE, LOST, APART = 0.7, 0.01, 5
+#: Scores of the first model are counted in so many steps a unit, from -REACH to REACH.
+STEPS, REACH = 100, 30
 #: The score of every text where there is nothing to learn from.
 UNKNOWN = 0.75
 _KIND = np.full(256, 6, np.uint8)  # other signs
@@ -46,12 +48,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled: the least ratio of the two samples' shares above a score, over scores that a tenth of the positives exceed."""
-    cuts = np.quantile(positive, np.linspace(0.0, 0.9, 91))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
-    slack = 1 / np.sqrt(len(unlabelled)) if len(unlabelled) else 1
-    return float(np.clip(np.min((above(unlabelled) + slack * 0.5) / np.maximum(above(positive), 1e-9)), 0.05, 0.99))
+def class_prior(positive: np.ndarray, counts: np.ndarray) -> float:
+    """The share of positives among all documents, whose scores are counted in STEPS.
+
+    The least ratio of the shares of documents and of positives above a score,
+    over scores that a tenth of the positives exceed.
+    """
+    cuts = steps(np.quantile(positive, np.linspace(0.0, 0.9, 91)))
+    of_positive = 1 - np.searchsorted(np.sort(steps(positive)), cuts) / len(positive)
+    total = max(1, counts.sum())
+    of_all = 1 - np.concatenate([[0], np.cumsum(counts)])[cuts] / total
+    return float(np.clip(np.min((of_all + 0.5 / np.sqrt(total)) / np.maximum(of_positive, 1e-9)), 0.05, 0.99))
+
+
+def steps(z: np.ndarray) -> np.ndarray:
+    return ((np.clip(z, -REACH, REACH) + REACH) * STEPS).astype(np.int64)
 
 
 def _adam(x: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
@@ -67,41 +78,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, decay: float = 1e-4) -> dict:
-    """Minimise the non-negative risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) of the logistic loss.
+def _scaled(x: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.hstack([np.clip((x - scale[0]) / scale[1], -6, 6), np.ones((len(x), 1), np.float32)]).astype(np.float32)
 
-    A first model, of trusted against unlabelled, gives the class prior pi.
-    Where the estimated negative risk falls below 0, a step goes back up it.
-    At last the bias is set by SURE and LOST, on trusted positives.  With
-    under two rows of either kind nothing can be learned: every text scores
-    UNKNOWN, so that none is rejected.
-    """
-    if min(len(positive), len(unlabelled)) < 2:
-        w = np.zeros(N_FEATURES + 1, np.float32)
-        w[-1] = np.log(UNKNOWN / (1 - UNKNOWN))
-        return {"mean": np.zeros(N_FEATURES, np.float32), "scale": np.ones(N_FEATURES, np.float32), "w": w, "prior": 0.5}
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
-    scaled = lambda x: np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    p, u = scaled(positive), scaled(unlabelled)
-    penalty = np.full(p.shape[1], decay, np.float32)
-    penalty[-1] = 0
 
-    def apart(p, u, w):
-        return -(p * sigmoid(-(p @ w))[:, None]).mean(0) + (u * sigmoid(u @ w)[:, None]).mean(0) + penalty * w * 10
+def _penalty(decay: float) -> np.ndarray:
+    return np.append(np.full(N_FEATURES, decay, np.float32), np.float32(0))
+
+
+def tell_apart(p: np.ndarray, u: np.ndarray, rounds: int = 200, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a first model, of trusted rows against unlabelled ones."""
+    return _adam(p, lambda w: -(p * sigmoid(-(p @ w))[:, None]).mean(0) + (u * sigmoid(u @ w)[:, None]).mean(0) + _penalty(decay) * w, rounds, 0.02)
+
 
-    first = _adam(p[::2], lambda w: apart(p[::2], u[::2], w), steps // 2, 0.02)
-    prior = class_prior(p[1::2] @ first, u[1::2] @ first)  # of rows that the first model hasn't seen
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive and the negative part of the unbiased risk of the logistic loss, pi R_p(+) and R_u(-) - pi R_p(-), and their gradients."""
+    zp, zu = p @ w, u @ w
+    up = -(p * sigmoid(-zp)[:, None]).mean(0) * prior
+    down = (u * sigmoid(zu)[:, None]).mean(0) - prior * (p * sigmoid(zp)[:, None]).mean(0)
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean(), up, down
 
-    def risk(w):
-        zp, zu = p @ w, u @ w
-        up = -(p * sigmoid(-zp)[:, None]).mean(0) * prior
-        down = (u * sigmoid(zu)[:, None]).mean(0) - prior * (p * sigmoid(zp)[:, None]).mean(0)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return (up + down if negative >= 0 else -down) + penalty * w
 
-    w = _adam(p, risk, steps, 0.02)
-    w[-1] += max(0.0, np.log(SURE / (1 - SURE)) - np.quantile(p @ w, LOST))
-    return {"mean": mean.astype(np.float32), "scale": scale.astype(np.float32), "w": w, "prior": prior}
+def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, decay: float = 1e-4) -> np.ndarray:
+    """Minimise the non-negative risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)).
+
+    Where the estimated negative risk falls below 0, a step goes back up it.
+    """
+    def gradient(w):
+        _, negative, up, down = risk(w, p, u, prior)
+        return (up + down if negative >= 0 else -down) + _penalty(decay) * w
+
+    return _adam(p, gradient, rounds, 0.02)
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
@@ -109,28 +116,70 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return sigmoid(z.astype(np.float64))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
-    """Fit on trusted positives (labels.quality = 1) and unlabelled documents, both of ids whose crc32 mod 4 isn't 2.
-
-    Bounded samples: the positives and unlabelled ids of the least hash.  No
-    other label is looked at.
-    """
+def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """role (1: trusted), a hash of the id, and features of the bounded samples: one row of each id, in an order that no partitioning changes."""
     order = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     fold = C.crc_mod(F.col("doc_id"), 4) != 2
     trusted = order(labels.where((F.col("quality") == 1) & fold).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), positives)
     web = order(docs.where(fold & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), unlabelled)
-    sample = trusted.withColumn("role", F.lit(1)).unionByName(web.withColumn("role", F.lit(0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("role", "text")  # at most positives + unlabelled ids
+    chosen = trusted.withColumn("role", F.lit(1)).unionByName(web.withColumn("role", F.lit(0)))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled ids
+    rows = rows.groupBy("role", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("role", "doc_id", F.xxhash64("doc_id").alias("h"), "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text"):
             x = features(*C.buffers(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array([r.tobytes() for r in x], pa.binary())], names=["role", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("role"), batch.column("doc_id"), batch.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["role", "doc_id", "h", "x"])
 
-    got = rows.mapInArrow(run, "role int, x binary").toArrow()
+    got = rows.mapInArrow(run, "role int, doc_id long, h long, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    role = got.column("role").to_numpy()
-    return fit(x[role == 1], x[role == 0])
+    role, ids, h = (got.column(c).to_numpy() for c in ("role", "doc_id", "h"))
+    by = np.lexsort((ids, h, role))
+    return role[by], h[by].view(np.uint64), x[by]
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
+    """Fit on trusted positives (labels.quality = 1) and unlabelled documents, both of ids whose crc32 mod 4 isn't 2.
+
+    Bounded samples: the positives and unlabelled ids of the least hash, one
+    row of each id, a null text as the empty one; null ids and other labels
+    aren't looked at.  A first model, of half of each, scores all documents of
+    these ids: the class prior is that of the corpus, by the trusted rows of the
+    other half.  At last the bias is set by SURE and LOST on trusted rows that
+    the weights weren't fitted on.  With under two rows of either kind, so with
+    an empty table, nothing can be learned: every text scores UNKNOWN, so that
+    none is rejected.
+    """
+    role, h, x = sample(docs, labels, positives, unlabelled)
+    p, u, hp, hu = x[role == 1], x[role == 0], h[role == 1], h[role == 0]
+    if min(len(p), len(u)) < 2:
+        w = np.zeros(N_FEATURES + 1, np.float32)
+        w[-1] = np.log(UNKNOWN / (1 - UNKNOWN))
+        return {"mean": np.zeros(N_FEATURES, np.float32), "scale": np.ones(N_FEATURES, np.float32), "w": w, "prior": 0.5}
+    scale = u.mean(0), u.std(0) + np.float32(0.02)
+    p, u = _scaled(p, scale), _scaled(u, scale)
+    half = lambda x, h, k: x[h >> np.uint64(63) == k] if 0 < (h >> np.uint64(63) == k).sum() else x
+    first = tell_apart(half(p, hp, 0), half(u, hu, 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * REACH * STEPS + 1, np.int64)
+        for batch in C.pieces(batches, "text"):
+            total += np.bincount(steps(_scaled(features(*C.buffers(batch.column("text"))), scale) @ first), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["step", "n"])
+
+    fold = docs.where((C.crc_mod(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull()).select("text")
+    got = fold.mapInArrow(count, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()  # a number for each step at most
+    counts = np.zeros(2 * REACH * STEPS + 1, np.int64)
+    counts[got.column("step").to_numpy()] = got.column("n").to_numpy()
+    prior = class_prior(half(p, hp, 1) @ first, counts)
+    apart = hp % np.uint64(APART) == 0
+    if not 20 <= apart.sum() < len(p):
+        apart = np.ones(len(p), bool)
+    w = fit(p if apart.all() else p[~apart], u, prior)
+    w[-1] += max(0.0, np.log(SURE / (1 - SURE)) - np.quantile(p[apart] @ w, LOST))
+    return {"mean": scale[0].astype(np.float32), "scale": scale[1].astype(np.float32), "w": w, "prior": prior}
 
 
 def score_quality(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:

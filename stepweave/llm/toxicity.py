@@ -57,13 +57,20 @@ def present(data: np.ndarray, offsets: np.ndarray, among: np.ndarray | None = No
 
 
 def sample(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """toxic and text of at most n labelled ids, of those whose crc32 mod 4 isn't 2; an id with two labels counts as toxic."""
-    ids = labels.where(F.col("toxic").isNotNull() & (C.crc_mod(F.col("doc_id"), 4) != 2)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    """doc_id, toxic and text of at most n labelled ids, of those whose crc32 mod 4 isn't 2, one row of each; an id with two labels counts as toxic, a null text is empty."""
+    ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (C.crc_mod(F.col("doc_id"), 4) != 2)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
-    """Count n-grams by class, choose features, and fit a logistic model to their scaled presence."""
+    """Count n-grams by class, choose features, and fit a logistic model to their scaled presence.
+
+    The sample has one row of each id, so repeated rows and labels count once;
+    null ids and null labels don't count, null texts are empty.  With labels of
+    one kind, every text gets the score of that kind; with none, or empty
+    tables, 0.5.  The order of rows plays no part.
+    """
     rows = C.cut(sample(docs, labels, labelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +103,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text", C.CHUNK_BYTES // 2):
             row, b = present(*C.buffers(batch.column("text")), place >= 0)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), C.binary_rows(place[b], np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["toxic", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), C.binary_rows(place[b], np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["doc_id", "toxic", "f"])
 
-    got = rows.mapInArrow(presence, "toxic int, f binary").toArrow()
+    got = rows.mapInArrow(presence, "doc_id long, toxic int, f binary").toArrow().sort_by("doc_id")  # labelled rows at most
     y = got.column("toxic").to_numpy().astype(np.float64)
     parts = [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()]
-    f, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    f, row = np.concatenate([np.empty(0, np.int32), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     w, bias = logistic(f, row, ratio, y)
     value = np.zeros(BUCKETS, np.float32)
     value[bucket] = w * ratio
-    return {"value": value, "bias": bias}
+    return {"value": value, "bias": bias, "ratio": dict(zip(bucket.tolist(), ratio.tolist(), strict=True))}
 
 
 def logistic(f: np.ndarray, row: np.ndarray, ratio: np.ndarray, y: np.ndarray, steps: int = 200, decay: float = 2e-4) -> tuple[np.ndarray, float]:

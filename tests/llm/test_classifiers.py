@@ -54,3 +54,81 @@ def test_odd_rows(spark):
             assert len({r.score for r in rows if not r.text}) == 1
         assert score(docs.limit(0), train(docs.limit(0), labels)).count() == 0
     assert all(r.score >= 0.7 for r in quality.score_quality(docs, quality.train(docs, labels.limit(0))).collect())
+
+
+def test_quality_does_not_depend_on_the_partitioning(spark):
+    docs, labels = queries.documents(spark, SF), queries.table(spark, SF, "labels")
+    a = quality.train(docs, labels)
+    for parts in (1, 7):
+        b = quality.train(docs.repartition(parts), labels.repartition(parts))
+        assert a["prior"] == b["prior"] and np.array_equal(a["w"], b["w"]) and np.array_equal(a["mean"], b["mean"])
+
+
+def test_samples_hold_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 9, "some text here") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(9)] * 5, "doc_id long, quality int, toxic int")
+    role, _, _ = quality.sample(docs, labels)
+    assert len(role) <= 18 and toxicity.sample(docs, labels, 100).count() <= 9
+
+
+def plain_features(text):
+    raw = text.encode()
+    n = max(len(raw), 1)
+    kind = lambda b: 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if b in (32, 9, 11, 12, 13) else 4 if b == 10 else 5 if b in b",.:;?!'\"()-" else 7 if b >= 128 else 6
+    out = [np.sqrt(raw.count(b) / n) for b in range(256)]
+    pairs = [kind(a) * 8 + kind(b) for a, b in zip(raw, raw[1:])]
+    out += [np.sqrt(pairs.count(k) / n) for k in range(64)]
+    words = raw.lower().split() if raw.isascii() else bytes(b + 32 if 65 <= b < 91 else b for b in raw).split()
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] * bool(words)
+    different, fresh, length, shape = len(set(words)) / max(1, len(words)), len(set(runs)) / max(1, len(runs)), np.log1p(len(words)), len(raw) / max(1, len(words))
+    return [*out, different, fresh, fresh**4, length, length**2 / 10, min(shape, 50) / 10, len(words) < 5, len(words) < 20]
+
+
+def test_quality_features_and_risk_against_plain_ones():
+    rng = np.random.default_rng(4)
+    texts = ["", "A", "One two, three. FOUR\nfive five five!", "é è ?", *("".join(rng.choice(list("aB c1.\n#é"), 300)) for _ in range(20))]
+    raw = [t.encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-5)
+    p, u, prior = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (60, 5)), 0.4
+    loss = lambda z: np.log(1 + np.exp(-z))
+    w = rng.normal(0, 1, 5)
+    up, down, g_up, g_down = quality.risk(w, p, u, prior)
+    assert np.isclose(up, prior * np.mean([loss(x @ w) for x in p])) and np.isclose(down, np.mean([loss(-x @ w) for x in u]) - prior * np.mean([loss(-x @ w) for x in p]))
+    for k in range(5):  # the gradients, by differences
+        e = np.eye(5)[k] * 1e-5
+        a, b = quality.risk(w + e, p, u, prior), quality.risk(w - e, p, u, prior)
+        assert np.isclose((a[0] - b[0]) / 2e-5, g_up[k], atol=1e-4) and np.isclose((a[1] - b[1]) / 2e-5, g_down[k], atol=1e-4)
+    positive, counts = rng.normal(3, 1, 2000), np.bincount(quality.steps(np.concatenate([rng.normal(3, 1, 60000), rng.normal(-3, 1, 40000)])), minlength=2 * quality.REACH * quality.STEPS + 1)
+    assert abs(quality.class_prior(positive, counts) - 0.6) < 0.05
+
+
+def test_toxicity_ratios_and_scores_against_plain_ones(spark):
+    """Log-count ratios from sets of n-grams of plain strings, and scores as sums over a text's different n-grams."""
+    rng = np.random.default_rng(6)
+    docs, labels = [], []
+    for i in range(200):
+        toxic = i % 4 == 0
+        words = list(rng.choice(["alpha", "beta", "gamma", "delta,", "Eps-ilon"], 8)) + ["vile", "rotten"] * toxic
+        docs.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    fold = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t)
+    grams = {i: {fold(t)[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)} for i, t in docs}
+    bucket = lambda g: next(int(b[0]) for b, _ in toxicity.grams(np.frombuffer(g.encode(), np.uint8), np.array([0, len(g)])) if len(b) == 1)
+    of = {g: bucket(g) for i in learned for g in grams[i]}
+    clean, bad = [i for i in learned if i % 4], [i for i in learned if i % 4 == 0]
+    want = {}
+    for g, b in of.items():
+        t, c = sum(g in grams[i] for i in bad), sum(g in grams[i] for i in clean)
+        p, q = (t + 1) / (len(bad) + 2), (c + 1) / (len(clean) + 2)
+        ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
+        if t + c >= toxicity.SUPPORT and abs(ratio) >= toxicity.RATIO:
+            want[b] = ratio
+    assert set(np.flatnonzero(model["value"])) <= set(want) and {of["vile"], of["rotten"]} <= set(np.flatnonzero(model["value"]))
+    assert all(abs(model["ratio"][b] - r) < 1e-4 for b, r in want.items())
+    rows = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    for r in rows:
+        z = sum(model["value"][b] for b in {of.get(g, -1) for g in grams[r.doc_id]} - {-1}) + model["bias"]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-4
