@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ Turn = tuple[str, str]
 CONTROL = regex.compile(r"\\*(?:### [A-Za-z0-9_.~%-]*: |</turn>)")
 #: Stands for a text while the place of a turn's text is looked for.
 PROBE = "\ue000probe\ue000"
-#: Turns of a long conversation that are rendered as one block.
-BLOCK = 128
+#: Rendered turns that a process remembers, of those under so many letters.
+MEMORY, LETTERS = 1 << 14, 4096
 
 
 class HistoryRewritten(ValueError):
@@ -34,9 +35,16 @@ def unescape(text: str) -> str:
     return CONTROL.sub(lambda m: m[0][1:] if m[0][0] == "\\" else m[0], text)
 
 
+def _turn(role: str, text: str) -> str:
+    return f"### {quote(role, safe='')}: {escape(text)} </turn>\n"
+
+
+_known = lru_cache(MEMORY)(_turn)
+
+
 def render(turns: list[Turn]) -> str:
     """The default template, a line each turn: `### role: text </turn>`.  The space keeps a text's last backslash from the control."""
-    return "".join(f"### {quote(role, safe='')}: {escape(text)} </turn>\n" for role, text in turns)
+    return "".join([_known(role, text) if len(text) < LETTERS else _turn(role, text) for role, text in turns])
 
 
 def parse(output: str) -> list[Turn]:
@@ -57,28 +65,19 @@ def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) ->
 
     A turn's span is what its prefix adds to the one before, which must begin
     it: else HistoryRewritten.  Its text is where a probe stands when it takes
-    the text's place.  Long conversations are rendered block by block if their
-    blocks' outputs, joined, are the whole's output; so the work is that of
-    BLOCK renderings of the whole at most.
+    the text's place.  Every prefix is rendered, with its whole history, however
+    long the conversation: a template may rewrite at any length.  So the work
+    grows with the square of a conversation's turns.
     """
-    blocks = [turns[i : i + BLOCK] for i in range(0, len(turns), BLOCK)]
-    whole = template(turns)
-    if len(blocks) > 1 and "".join(map(template, blocks)) != whole:
-        blocks = [turns]
-    found, base = [], 0
-    for block in blocks:
-        before = template([])
-        for k, (role, _) in enumerate(block):
-            now, probed = template(block[: k + 1]), template([*block[:k], (role, PROBE)])
-            if not now.startswith(before) or not probed.startswith(before):
-                raise HistoryRewritten(f"turn {len(found) + 1} changes what was rendered before")
-            at = probed.index(PROBE, len(before))
-            found.append((base + len(before), base + len(now), base + at, base + len(now) - (len(probed) - at - len(PROBE))))
-            before = now
-        if not whole.startswith(before, base):
-            raise HistoryRewritten("the whole differs from its prefixes")
-        base += len(before)
-    return whole, found
+    found, before = [], template([])
+    for k, (role, _) in enumerate(turns):
+        now, probed = template(turns[: k + 1]), template([*turns[:k], (role, PROBE)])
+        if not now.startswith(before) or not probed.startswith(before):
+            raise HistoryRewritten(f"turn {k + 1} changes what was rendered before")
+        at = probed.index(PROBE, len(before))
+        found.append((len(before), len(now), at, len(now) - (len(probed) - at - len(PROBE))))
+        before = now
+    return before, found
 
 
 def format_conversations(conversations: DataFrame, template: Callable[[list[Turn]], str] = render, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -132,5 +131,3 @@ def read_back(formatted: DataFrame) -> DataFrame:
             )
 
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, schema)
-
-

@@ -166,6 +166,23 @@ def test_chat_query_equals_sql(spark):
     assert got == want
 
 
+def test_chat_templates_that_rewrite_long_histories_alone():
+    """Whatever the length from which a template rewrites, and also if its rendering of the whole doesn't show it."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(200)]
+
+    def omits(some):  # over 130 turns an odd number of them loses the first three
+        return chat.render(some[3:] if len(some) > 130 and len(some) % 2 else some)
+
+    with pytest.raises(chat.HistoryRewritten):
+        chat.locate(turns, omits)
+    assert chat.locate(turns[:130], omits)[0] == chat.render(turns[:130])
+    with pytest.raises(chat.HistoryRewritten):
+        chat.locate(turns[:132], lambda some: chat.render(some) if len(some) != 131 else "")
+    many = turns * 10
+    out, places = chat.locate(many)
+    assert chat.parse(out) == many and len(places) == 2000 and [chat.unescape(out[b:e]) for _, _, b, e in places] == [t for _, t in many]
+
+
 def test_chat_escapes_reversibly():
     random.seed(9)
     for _ in range(5000):
