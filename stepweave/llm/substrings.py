@@ -24,8 +24,8 @@ from . import _common as C
 WINDOW, GRAM = 20, 10
 #: Windows of a run at most, so that 81 words hold a run and its end; words of a shard's index; runs of a least gram from which each window is a route of its own.
 RUN, SHARD_WORDS, HOT = 60, 300_000, 256
-#: Packets, and shards of least grams, of a partition: what is sent to and fro is summed in each packet, and several even out the partitions.
-PACKETS, SHARDS = 16, 4
+#: Packets, and shards of least grams, of a partition: what is sent to and fro is summed in each packet, and takes a row for each packet and shard at most.
+PACKETS, SHARDS = 4, 1
 #: Words from one sampled place to the next.
 SAMPLED = 8
 _ONE, _ZERO = np.uint64(1), np.uint64(0)
