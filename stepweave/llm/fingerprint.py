@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +61,8 @@ def _texts(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int64)
 
 
-def _hex(rows: np.ndarray, some: np.ndarray) -> list[str]:
-    return [r.tobytes().hex() if s else "" for r, s in zip(rows, some, strict=True)]
+def _bytes(rows: np.ndarray, some: np.ndarray) -> list[bytes]:
+    return [r.tobytes() if s else b"" for r, s in zip(rows, some, strict=True)]
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -74,35 +75,23 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, text_col):
-            rows = _hex(*sketches(*C.buffers(batch.column(text_col))))
+            rows = [x.hex() for x in _bytes(*sketches(*C.buffers(batch.column(text_col))))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
-def neighbour_ranges(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """Deal rows to ranges of descending id so that each range also holds the row after its last.
-
-    Adds part (the range) and ahead (true for the extra row).  Only ids are
-    looked at to place the bounds; a range's first row is found by its largest
-    (id, text hash), one per range on the driver.
-    """
-    key = F.coalesce(F.col(id_col), F.lit(-(2**63)))
-    df = docs.withColumns({"_key": key, "_tie": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    bounds = sorted(set(df.select("_key").approxQuantile("_key", [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
-    edges = [int(b) for b in bounds]
-    # ids at or below edges[0] are in the last range
-    part = F.lit(len(edges)) - sum([(F.col("_key") > e).cast("int") for e in edges], F.lit(0))
-    df = df.withColumn("part", part)
-    heads = sorted(df.groupBy("part").agg(F.max(F.struct("_key", "_tie")).alias("h")).collect(), key=lambda r: r["part"])
-    before = {r["part"]: heads[i - 1]["part"] for i, r in enumerate(heads)}  # the first range follows the last
-    if not heads:
-        return df.withColumn("ahead", F.lit(False))
-    lookup = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values for x in pair]), F.col("part"))
-    is_head = (F.col("_key") == lookup([(r["part"], r["h"]["_key"]) for r in heads])) & (F.col("_tie") == lookup([(r["part"], r["h"]["_tie"]) for r in heads]))
-    own = F.struct(F.col("part"), F.lit(False).alias("ahead"))
-    extra = F.struct(lookup(list(before.items())).alias("part"), F.lit(True).alias("ahead"))
-    return df.withColumn("_to", F.explode(F.when(is_head, F.array(own, extra)).otherwise(F.array(own)))).drop("part").select("*", "_to.part", "_to.ahead").drop("_to")
+def _compared(ids: list, texts: list[str], nexts: list[str]) -> list[pa.Array]:
+    """Columns of rows with their next texts, each the text of the row below but for the last's."""
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]
+    raw, raw_edited = [t.encode() for t in texts], [t.encode() for t in edited]
+    prints, some = sketches(*_texts([*raw, nexts[-1].encode()]))
+    of_edited, some_edited = sketches(*_texts(raw_edited))
+    return [
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in raw_edited], pa.binary()),
+        pa.array(_bytes(prints[:-1], some[:-1]), pa.binary()), pa.array(_bytes(of_edited, some_edited), pa.binary()),
+        pa.array(likeness(prints[:-1], of_edited, some[:-1], some_edited), pa.float64()), pa.array(likeness(prints[:-1], prints[1:], some[:-1], some[1:]), pa.float64()),
+    ]
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -114,52 +103,54 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows give repeated rows.  Edited: the last half of the code
     points gives way to the start of the next document.  Returns the id,
     n_chars, edited_text's SHA-256, both fingerprints and their likenesses;
-    of an empty table, none.  One shuffle of the texts, to ranges of ids.
+    of an empty table, none.
+
+    One shuffle of the texts, to sorted ranges of (id, text's hash), so that
+    many texts of one id are dealt too.  A range's first and last row are put
+    aside with their texts: the last row's next is the first of the range after.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = neighbour_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", parts)
-    df = df.repartition(parts, "part").sortWithinPartitions(F.col("part"), "ahead", F.desc("_key"), F.desc("_tie")).select("part", "ahead", "doc_id", "text")
-    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
-
-    def emit(rows: list[tuple], nexts: list[str]) -> pa.RecordBatch:
-        texts = [r[3] for r in rows]
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]
-        raw, raw_edited = [t.encode() for t in texts], [t.encode() for t in edited]
-        prints, some = sketches(*_texts([*raw, nexts[-1].encode()]))  # each text's next is the row below
-        of_edited, some_edited = sketches(*_texts(raw_edited))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[2] for r in rows], pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in raw_edited], pa.string()),
-                pa.array(_hex(prints[:-1], some[:-1]), pa.string()),
-                pa.array(_hex(of_edited, some_edited), pa.string()),
-                pa.array(likeness(prints[:-1], of_edited, some[:-1], some_edited), pa.float64()),
-                pa.array(likeness(prints[:-1], prints[1:], some[:-1], some[1:]), pa.float64()),
-            ],
-            names=schema.names,
-        )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = [F.desc("d"), F.desc("t")]
+    keyed = texts.withColumns({"d": F.coalesce("doc_id", F.lit(-(2**63))), "t": F.xxhash64("text")})
+    ranges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    found = [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited", T.BinaryType()), ("print", T.BinaryType()), ("edited_print", T.BinaryType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))]
+    aside = [T.StructField("part", T.IntegerType()), T.StructField("edge", T.StringType()), T.StructField("text", T.StringType())]
+    names = [f.name for f in [*found, *aside]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
+        part = TaskContext.get().partitionId()
+
+        def edge(which: str, doc_id: int | None, text: str) -> pa.RecordBatch:
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *none, pa.array([part], pa.int32()), pa.array([which]), pa.array([text], pa.string())], names=names)
+
+        last = None
         for batch in C.pieces(batches, "text"):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text")), strict=True):
-                row = (*row[:3], row[3] or "")
-                if rows and (row[0] != rows[-1][0] or row[1] or held > C.CHUNK_BYTES):  # another range, its extra row, or enough
-                    if row[0] == rows[-1][0]:
-                        yield emit(rows, [r[3] for r in rows[1:]] + [row[3]])
-                    else:
-                        raise AssertionError("a range without the row after it")
-                    rows, held = [], 0
-                    if row[1]:
-                        continue
-                if row[1]:  # the extra row of rows already emitted
-                    continue
-                rows.append(row)
-                held += len(row[3])
-        if rows:
-            raise AssertionError("a range without the row after it")
-
-    return df.mapInArrow(run, schema)
+            ids, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            if last is None:
+                yield edge("first", ids[0], rows[0])
+            else:
+                ids, rows = [last[0], *ids], [last[1], *rows]
+            last = ids[-1], rows[-1]
+            if len(rows) > 1:
+                n = len(rows) - 1
+                yield pa.RecordBatch.from_arrays([*_compared(ids[:-1], rows[:-1], rows[1:]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=names)
+        if last is not None:
+            yield edge("last", *last)
+
+    rows = C.cut(ranges.mapInArrow(run, T.StructType([*found, *aside])))
+    with_rows = sorted(r["part"] for r in rows.where("edge = 'first'").select("part").collect())  # a number for each range
+    after = spark.createDataFrame(list(zip(with_rows, with_rows[1:] + with_rows[:1], strict=True)), "part int, after int")
+    firsts = rows.where("edge = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next"))
+    edges = rows.where("edge = 'last'").select("part", "doc_id", "text").join(after, "part").join(firsts, "after").select("doc_id", "text", "next")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays(_compared([i], [t], [n]), names=[f.name for f in found])
+
+    every = rows.where("edge IS NULL").select(*[f.name for f in found]).unionByName(edges.mapInArrow(close, T.StructType(found)))
+    hexed = lambda c: F.lower(F.hex(c))
+    return every.select("doc_id", "n_chars", hexed("edited").alias("edited_sha256"), hexed("print").alias("fingerprint"), hexed("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
