@@ -113,14 +113,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each node links its larger neighbours,
     then itself and its smaller ones, to the least; rounds grow with the
-    logarithm of the longest path.  Links stay in tables throughout.
+    logarithm of the longest path.  Links stay in tables throughout, and each
+    node's least is a table before it is joined, so that a hub's links can be
+    split over tasks.
     """
     state, links = None, C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = C.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = C.cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = C.cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         links = C.cut(small)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -207,6 +209,7 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     members_of = rows.select("doc_id", "text_hash", "set", "n_shingles").join(found, F.col("set") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set")).drop("node")
     ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = members_of.where("component is not null").groupBy("component").agg(F.min(ranked).alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    first = C.cut(first)  # joined from a table, so that the rows of a large class can be split over tasks
     out = members_of.join(first, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", (F.col("component").isNull() | kept & (F.col("text_hash") == F.col("first_hash"))).alias("stays"))
