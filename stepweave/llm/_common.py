@@ -22,17 +22,32 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and go on from its files.
 
-    The folder is the session's own (spark.checkpoint.dir or setCheckpointDir);
-    one is set only where there is none, as in local tests.
+    The folder is the session's own (spark.checkpoint.dir or setCheckpointDir).
+    Only with a local master, as in tests, one is made where there is none: on
+    a cluster the executors wouldn't share it.
     """
     context = df.sparkSession.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if not folder.isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stepweave-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="stepweave-"))
         folder = context._jsc.sc().getCheckpointDir()
     path = f"{folder.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that cut made and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_table", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

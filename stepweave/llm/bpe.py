@@ -23,8 +23,8 @@ from . import _common as C
 
 #: The pattern that splits text for byte-level vocabularies, its white space as the Unicode property has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Z}\x09-\x0d\x85\p{L}\p{N}]+|[\p{Z}\x09-\x0d\x85]+(?![^\p{Z}\x09-\x0d\x85])|[\p{Z}\x09-\x0d\x85]+"
-#: Split words, and pairs of tokens, that a process remembers; it starts anew when they are more.
-MEMORY = 800_000
+#: Split words of at most LETTERS letters, and pairs of tokens, that a process remembers; it starts anew when they are more.
+MEMORY, LETTERS = 800_000, 32
 _NEVER = 1 << 40
 
 
@@ -126,9 +126,10 @@ class Codec:
                 at = back[at]
             ids.reverse()
         packed = np.array(ids, "<u4").tobytes()
-        if len(self._known) > MEMORY:
-            self._known.clear()
-        self._known[word] = packed
+        if len(word) <= LETTERS:
+            if len(self._known) > MEMORY:
+                self._known.clear()
+            self._known[word] = packed
         return packed
 
     def _ordinary(self, text: str) -> bytes:
@@ -165,7 +166,8 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = No
     with a null id too; columns named like the new ones are replaced.  Adds
     n_tokens (long), token_ids (binary, little-endian 32-bit ids) and, if
     decoded, decoded_text.  path: a vocabulary file that each executor can
-    read.  No row moves; memory is that of a batch and MEMORY words.
+    read.  No row moves; memory is that of a batch and of MEMORY short words,
+    under 300 MB.
     """
     path = path or default_path()
     df = C.without(docs, "n_tokens", "token_ids", "decoded_text")

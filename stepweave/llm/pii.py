@@ -172,9 +172,11 @@ def score_patterns(seen: DataFrame, rounds: int = 3, confidence: float = 0.9, su
     values, patterns = seeds, None
     for _ in range(rounds):
         sums = edges.join(values, "value").groupBy("kind", "pattern").agg(F.sum("score").alias("total"), F.sum((F.col("score") >= confidence).cast("int")).alias("sure")).where(F.col("sure") >= support)
+        before = values, patterns
         patterns = C.cut(sums.join(size, "pattern").select("kind", "pattern", (F.col("total") / (F.col("size") + 0.5)).alias("score")).where(F.col("score") >= min(LIKELY, confidence)))
         found = edges.where("own is null").join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
         values = C.cut(seeds.unionByName(found))
+        C.free(*before)
     return patterns.where(F.col("score") >= confidence)
 
 

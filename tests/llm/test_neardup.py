@@ -16,7 +16,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets, parent = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def root(i):
@@ -25,7 +25,7 @@ def brute(rows):
         return i
 
     for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}

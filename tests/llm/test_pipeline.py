@@ -55,7 +55,7 @@ def test_stages(spark, folder):
 
     # one row of each class: the least id with one, then the text
     numbered = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0))
-    classes = test_neardup.brute([(i, r[1]) for i, r in enumerate(numbered)])
+    classes = test_neardup.brute([(i, r[1]) for i, r in enumerate(numbered)], P.LINKED)
     want = sorted(str(r) for i, r in enumerate(numbered) if classes[i][0] == 0 or classes[i][1] == i)
     got = rows(steps["near_dedup"])
     assert sorted(map(str, got)) == want
