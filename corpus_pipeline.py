@@ -1,7 +1,11 @@
-"""The corpus pipeline: five stages over the documents, each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: five stages over the documents, each a function of (spark, docs, sf_dir).
 
-from __future__ import annotations
+Every stage takes null and empty texts, null and repeated ids, repeated rows,
+very long texts and further columns of any name, and gives an empty table for
+one; all but the last return the rows that they keep with all their columns.
+"""
 
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,10 @@ LINKED = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more."""
+    """Documents whose quality score is 0.7 or more, by a model of this table's trusted rows; without labels all.
+
+    Null texts score as empty ones.  Equal texts score alike, so repeated rows stay or go together.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = "_score" + "_" * max(map(len, docs.columns))  # longer than any column, so not one of docs
     return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.7).drop(score)
@@ -37,22 +44,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; null and empty texts hold none, and of repeated rows all go or stay."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each span of personal data replaced by its kind in brackets."""
+    """All documents, with each span of personal data replaced by its kind in brackets; n_chars follows, and null texts stay null."""
     hidden = docs.toDF(*[c if c in ("text", "n_chars") else f"_{i}_" for i, c in enumerate(docs.columns)])  # no column of docs is taken for one of the operator's
     return pii.redact(pii.find_personal_data(hidden)).select(*hidden.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, number of tokens, the packed ids, the SHA-256 of what they decode to, and whether that is the text."""
+    """doc_id, lang, source (those that are there), number of tokens, the packed ids, the SHA-256 of what they decode to, and whether that is the text.
+
+    A row for each row; null and empty texts have no tokens and decode to the empty text.
+    """
     done = bpe.encode_decode(docs)
     same = F.col("decoded_text") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"), same.alias("decoded_same"))
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return done.select(*kept, "n_tokens", "token_ids", F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"), same.alias("decoded_same"))
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("pii", redact_personal_data), ("bpe", encode)]
