@@ -3,86 +3,89 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import PropertyGraph
-from .lineage import cut
+from .lineage import cut, free
 from .program import Context, CrunchStep, Program
 
 log = logging.getLogger(__name__)
 
 
-def run(graph: PropertyGraph, program: Program, iterations: int | None = None, until: Callable[[DataFrame, int], bool] | None = None, cut_every: int = 4) -> DataFrame:
+def run(graph: PropertyGraph, program: Program, iterations: int | None = None, until: Callable[[DataFrame, int], bool] | None = None) -> DataFrame:
     """Run supersteps 0, 1, ... and return the vertices (id, value) as they end.
 
     Ends after iterations supersteps, or when until(state, supersteps done)
-    holds at a barrier.  Mail reaches the next superstep only; what is sent
-    just before a crunch is dropped.  A crunch takes a superstep, and its
-    result is known to the next one; a run that ends on a crunch doesn't
-    deliver it.  Every cut_every compute steps the state goes through a table,
-    so that plans stay short.
+    holds at a barrier; 0 iterations are no bound, so need until.  Mail reaches
+    the next superstep only; what is sent just before a crunch is dropped.  A
+    crunch takes a superstep, and its result is known to the next one; a run
+    that ends on a crunch doesn't deliver it.  Every superstep's state is a
+    table, read for the values and for the mail, and goes when the next is there.
     """
-    if (iterations is None) == (until is None) or (iterations is not None and iterations < 1):
+    if (not iterations and until is None) or (iterations or 0) < 0 or (iterations and until is not None):
         raise ValueError("give a positive number of iterations, or until")
-    state, mail, crunched, since, s = graph.vertices.select("id", "value"), None, None, 0, 0
-    while iterations is None or s < iterations:
+    state, mail, crunched, s = graph.vertices.select("id", "value"), None, None, 0
+    while not iterations or s < iterations:
         step, context = program[s], Context(s, graph.size, crunched)
         if isinstance(step, CrunchStep):
-            if since:
-                state, since = cut(state), 0
             crunched, mail = step.run(state), None
         else:
-            crunched = None
+            crunched, before = None, state
             if step.update is not None:
                 if mail is None:
-                    state = state.select("id", step.update(F.col("value"), F.lit(None).cast("double"), context).alias("value"))
+                    after = state.select("id", step.update(F.col("value"), F.lit(None).cast("double"), context).alias("value"))
                 else:
                     inbox = mail.groupBy(F.col("dst").alias("id")).agg(step.combine(F.col("value")).alias("inbox"))
-                    state = state.join(inbox, "id", "left").select("id", step.update(F.col("value"), F.col("inbox"), context).alias("value"))
-                since += 1
-                if since >= cut_every:
-                    state, since = cut(state), 0
+                    after = state.join(inbox, "id", "left").select("id", step.update(F.col("value"), F.col("inbox"), context).alias("value"))
+                state = cut(after)
+                free(before)
             mail = step.send(state, context) if step.send is not None else None
         s += 1
         log.debug("superstep %d done", s)
-        if until is not None:
-            if since:
-                state, since = cut(state), 0
-            if until(state, s):
-                break
+        if until is not None and until(state, s):
+            break
     return state
 
 
-def run_update(graph: PropertyGraph, update: Callable, iterations: int) -> DataFrame:
+def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None) -> DataFrame:
     """Run an arbitrary Python vertex function, where Columns can't say it.
 
     update(superstep, size, id, value, inbox, neighbours) -> (value, [(dst,
-    value), ...]); inbox is the list of received values, empty without mail.
-    State and mail are cogrouped by id; mail to ids that are no vertices is
-    dropped.  Values are doubles.
+    value), ...]); inbox is the list of received values, empty without mail, or
+    with combine the one value that an aggregate of Columns makes of them
+    before they are moved.  Batches of vertices go through one call of Python
+    each; mail to ids that are no vertices is dropped.  Values are doubles.
+    Repeated vertex ids are vertices of their own, and each gets their mail.
     """
-    import pyarrow as pa
-
     if iterations < 1:
         raise ValueError("give a positive number of iterations")
     kind = dict(graph.vertices.dtypes)["id"]
     size = graph.size
-    neighbours = graph.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbours"))
-    fixed = cut(graph.vertices.select("id", F.col("value").cast("double").alias("value")).join(neighbours, "id", "left"))
-    state = fixed.select("id", "value")
-    mail = graph.vertices.sparkSession.createDataFrame([], f"dst {kind}, value double")
+    neighbours = cut(graph.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbours")))
+    state = graph.vertices.select("id", F.col("value").cast("double").alias("value"))
+    out, mail = None, None
     for s in range(iterations):
-        def step(left: pa.Table, right: pa.Table) -> pa.Table:  # run by cut before s changes
-            ids, values, to = [], [], []
-            for vertex in left.to_pylist():
-                value, sent = update(s, size, vertex["id"], vertex["value"], right.column("mail").to_pylist(), vertex["neighbours"] or [])
-                ids, values, to = [vertex["id"]] + [None] * len(sent), [value, *(x for _, x in sent)], [None, *(d for d, _ in sent)]
-            return pa.table({"id": pa.array(ids, left.schema.field("id").type), "value": pa.array(values, pa.float64()), "dst": pa.array(to, left.schema.field("id").type)})
+        def step(batches: Iterator[pa.RecordBatch], s: int = s) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, values, to = [], [], []
+                for i, value, inbox, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    value, sent = update(s, size, i, value, inbox or [], near or [])
+                    ids += [i, *[None] * len(sent)]
+                    values += [value, *(x for _, x in sent)]
+                    to += [None, *(d for d, _ in sent)]
+                kinds = batch.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array(values, pa.float64()), pa.array(to, kinds), pa.array([d is not None for d in to])], names=["id", "value", "dst", "sent"])
 
-        whole = state.select(F.col("id").alias("id"), F.col("value").alias("value")).join(fixed.select("id", "neighbours"), "id")
-        out = cut(whole.groupBy("id").cogroup(mail.select(F.col("dst").alias("id"), F.col("value").alias("mail")).groupBy("id")).applyInArrow(step, f"id {kind}, value double, dst {kind}"))
-        state, mail = out.where("id is not null").select("id", "value"), out.where("dst is not null").select("dst", "value")
+        whole = state.withColumn("inbox", F.lit(None).cast("array<double>"))
+        if mail is not None:
+            gathered = F.collect_list("value") if combine is None else F.array(combine(F.col("value")))
+            whole = state.join(mail.groupBy(F.col("dst").alias("id")).agg(gathered.alias("inbox")), "id", "left")
+        before, out = out, cut(whole.join(neighbours, "id", "left").select("id", "value", "inbox", "neighbours").mapInArrow(step, f"id {kind}, value double, dst {kind}, sent boolean"))
+        free(before)
+        state, mail = out.where("NOT sent").select("id", "value"), out.where("sent").select("dst", "value")
+    free(neighbours)
     return state

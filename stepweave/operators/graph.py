@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 @dataclass
 class PropertyGraph:
@@ -19,7 +21,8 @@ class PropertyGraph:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, value: float = 0.0) -> PropertyGraph:
-        """Vertices are all sources and targets, each once, in state value."""
+        """Vertices are all sources and targets, each once, in state value.  The edges are made once, as a table."""
+        edges = cut(edges)
         ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id is not null").distinct()
         return cls(ids.withColumn("value", F.lit(value)), edges)
 
@@ -37,6 +40,14 @@ class PropertyGraph:
             raise ValueError("an edge's end is no vertex")
         return self
 
+    def kept(self) -> PropertyGraph:
+        """The same graph with its edges as a table, so that what makes them runs once."""
+        return PropertyGraph(self.vertices, cut(self.edges))
+
+    def leader(self, state: DataFrame | None = None) -> DataFrame:
+        """The one vertex of the least id, of state or of the graph."""
+        return (self.vertices if state is None else state).orderBy("id").limit(1)
+
     @cached_property
     def size(self) -> int:
         return self.vertices.count()

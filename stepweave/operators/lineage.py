@@ -5,14 +5,49 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder (one is set only if there is none) and read it back."""
-    context = df.sparkSession.sparkContext
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the session's checkpoint folder; with a local master one is made where there is none, on a cluster it must be set."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stepweave-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="stepweave-"))
     path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the checkpoint folder and read it back."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _made.discard(path)
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that cut made and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_table", None):
+            _delete(df.sparkSession, path)
+
+
+def terminate(spark: SparkSession) -> int:
+    """Delete all that this process has put into the checkpoint folder; results that are still read from there end with it.  Returns how many."""
+    paths = list(_made)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .engine import run
 from .graph import PropertyGraph
-from .lineage import cut
+from .lineage import cut, free
 from .program import ComputeStep, Context, Program
 
 
@@ -16,9 +16,12 @@ def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_unti
 
     Vertices without out-edges send nothing, so their rank is lost.  After
     superstep send_until - 1 none send (None: all do), and an update without
-    mail leaves (1 - damping) / N.  Parallel edges count each.
+    mail leaves (1 - damping) / N.  Parallel edges count each.  Shares are dealt
+    by source once and kept, so that each superstep moves states and mail alone.
     """
-    shares = cut(graph.shares())
+    spark = graph.vertices.sparkSession
+    table = cut(graph.shares())
+    shares = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
 
     def update(value: Column, inbox: Column, at: Context) -> Column:
         return value if at.superstep == 0 else F.lit((1 - damping) / at.size) + damping * F.coalesce(inbox, F.lit(0.0))
@@ -29,7 +32,10 @@ def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_unti
         return shares.join(state, shares["src"] == state["id"]).select("src", "dst", (F.col("value") * F.col("share")).alias("value"))
 
     start = PropertyGraph(graph.vertices.select("id", F.lit(float(init)).alias("value")), graph.edges)
-    return run(start, Program(ComputeStep(update, send)), iterations)
+    ranks = run(start, Program(ComputeStep(update, send)), iterations)
+    shares.unpersist()
+    free(table)
+    return ranks
 
 
 def with_titles(ranks: DataFrame, titles: DataFrame) -> DataFrame:

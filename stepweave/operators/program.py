@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -41,8 +46,23 @@ class CrunchStep:
     def run(self, state: DataFrame):
         if self.aggregate is not None:
             return state.agg(self.aggregate(F.col("value"))).first()[0]
-        values = state.select("value").rdd.map(lambda r: r[0])
-        return None if values.isEmpty() else values.treeReduce(self.fold, depth=3)
+        values, parts = state.select("value"), state.rdd.getNumPartitions()
+        while True:  # a value for each partition, then for each eight of them
+            values, parts = values.mapInArrow(self._folded(values.schema), values.schema), -(-parts // 8)
+            if parts <= 1:
+                break
+            values = values.coalesce(parts)
+        return reduce(self.fold, found) if (found := [r[0] for r in values.collect()]) else None
+
+    def _folded(self, schema: StructType):
+        fold, kind = self.fold, to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = chain.from_iterable(b.column(0).to_pylist() for b in batches)
+            for first in values:  # none of an empty partition
+                yield pa.RecordBatch.from_pydict({"value": [reduce(fold, values, first)]}, schema=kind)
+
+        return run
 
 
 class Program:

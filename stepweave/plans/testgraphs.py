@@ -29,7 +29,7 @@ SALES = "j AS (SELECT l_partkey, l_suppkey, o_custkey, c_nationkey, s_nationkey
 
 def trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     edges = sales(spark, sf_dir).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
-    return PropertyGraph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(0.0).alias("value")), edges)
+    return PropertyGraph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(0.0).alias("value")), edges).kept()
 
 
 TRADE = f"{SALES}, e AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM j), v AS (SELECT n_nationkey AS id FROM nation)"

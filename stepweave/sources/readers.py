@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.graph import PropertyGraph
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text), lines from 0 in the file's order; two passes, the first counts lines of partitions."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "line long, text string")
+    """(line, text), lines from 0 in the order of one file; two passes, the first counts the lines of partitions."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.col("value").alias("text")).select(F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "text")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("row")).alias("line"), "text")
 
 
 def line_range(lines: DataFrame, skip: int = 0, take: int | None = None) -> DataFrame:
@@ -82,6 +85,11 @@ def read_matrix(spark: SparkSession, path: str, lines: int | None = None, strict
     return parse_matrix(line_range(numbered_lines(spark, path), 0, lines), strict)
 
 
+def first_names(rows: DataFrame, n: int = 10) -> DataFrame:
+    """(id, name) of the n least ids, for a look at what was read."""
+    return rows.orderBy("id").limit(n).select("id", "name")
+
+
 def prefixed(lines: DataFrame, prefix: str, suffix_length: int) -> DataFrame:
     """The text between prefix and the last suffix_length characters of the lines that begin so."""
     text = F.col("text")

@@ -2,14 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions.vectors import pearson, wrap32
-from stepweave.operators import cluster
+from stepweave.operators import cluster, lineage
 from stepweave.operators.engine import run, run_update
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.pagerank import pagerank, with_titles
 from stepweave.operators.program import ComputeStep, Program
 from stepweave.sources import readers, reports
 
-WEB = [("BBC", "MS"), ("EPFL", "BBC"), ("PHILIPP", "BBC"), ("PHILIPP", "EPFL")]
+WEB = [("A", "B"), ("C", "A"), ("D", "A"), ("D", "C")]
 MATRIX = [("alpha", [9, 1, 0, 4]), ("beta", [8, 2, 1, 5]), ("gamma", [0, 7, 6, 1]), ("delta", [1, 8, 5, 0]), ("eps", [3, 3, 3, 3])]
 
 
@@ -27,11 +27,11 @@ def web(spark):
 ])
 def test_sample_web(spark, init, n, want):
     got = values(pagerank(web(spark).validate(), n, init))
-    assert [got[k] for k in ("BBC", "MS", "EPFL", "PHILIPP")] == pytest.approx(want, abs=1e-12)
+    assert [got[k] for k in ("A", "B", "C", "D")] == pytest.approx(want, abs=1e-12)
 
 
 def test_standard_ranks_go_on_after_30(spark):
-    assert values(pagerank(web(spark), 34, send_until=None))["MS"] == pytest.approx(0.12153046875)
+    assert values(pagerank(web(spark), 34, send_until=None))["B"] == pytest.approx(0.12153046875)
 
 
 def chain(spark, n, steps):
@@ -47,8 +47,10 @@ def test_crunch_chain(spark):
 
 def test_control(spark):
     g = web(spark)
-    with pytest.raises(ValueError):
-        run(g, Program(ComputeStep()), 0)
+    for bad in (0, -1, None):
+        with pytest.raises(ValueError):
+            run(g, Program(ComputeStep()), bad)
+    assert set(values(run(g, Program(ComputeStep(lambda v, *_: v + 1)), 0, lambda _, s: s == 3)).values()) == {3.0}
     with pytest.raises(ValueError):
         Program().then(ComputeStep())
     empty = PropertyGraph.isolated(spark.createDataFrame([], "id long, value double"))
@@ -58,10 +60,44 @@ def test_control(spark):
         PropertyGraph.isolated(twice).validate()
 
 
+def test_python_updates_keep_repeated_vertices_and_combine_mail(spark):
+    vertices = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 5.0)], "id long, value double")
+    g = PropertyGraph(vertices, spark.createDataFrame([(2, 1), (2, 1), (1, 2)], "src long, dst long"))
+    update = lambda s, n, i, v, inbox, near: (v + sum(inbox), [(x, 1.0) for x in near])
+    for combine in (None, F.sum):
+        assert sorted(map(tuple, run_update(g, update, 2, combine).collect())) == [(1, 3.0), (1, 3.0), (2, 7.0)]
+
+
+def test_folds_of_any_partitioning(spark):
+    for parts in (1, 3, 30):
+        g = PropertyGraph.isolated(spark.range(20).select("id", (F.col("id") * 1.0).alias("value")).repartition(parts))
+        assert Program(ComputeStep()).crunch(fold=lambda a, b: a + b)[1].run(g.vertices) == 190.0
+        assert Program(ComputeStep()).crunch(fold=max)[1].run(g.vertices.limit(0)) is None
+
+
+def test_terminate_frees_tables(spark):
+    df = lineage.cut(spark.range(3))
+    assert df.count() == 3 and lineage.terminate(spark) >= 1 and lineage.terminate(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|file"):
+        df.collect()
+
+
+def test_numbered_lines_of_many_splits(spark, tmp_path):
+    path = tmp_path / "many.txt"
+    path.write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        rows = readers.numbered_lines(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 5
+        assert all(r.text.startswith(f"line {r.line} ") for r in rows.collect()) and rows.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_python_updates_drop_mail_to_no_vertex(spark):
     g = web(spark)
     got = values(run_update(g, lambda s, n, i, v, inbox, near: (v + sum(inbox), [(x, 1.0) for x in near] + [("nobody", 1.0)]), 2))
-    assert got == {"BBC": 2.0, "MS": 1.0, "EPFL": 1.0, "PHILIPP": 0.0}
+    assert got == {"A": 2.0, "B": 1.0, "C": 1.0, "D": 0.0}
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [([1, 2, 3, 4], [2, 4, 6, 8], 0.0), ([1, 2, 3, 4], [4, 3, 2, 1], 2.0), ([5, 5, 5, 5], [1, 2, 3, 4], 0.0), ([1, 0, 2, 7], [0, 3, 1, 1], 1.24913643956122)])
