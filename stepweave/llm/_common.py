@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +65,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 # ---------------------------------------------------------------- Arrow
 
+def trim() -> None:
+    """Give freed memory back, where the C library can: idle workers shouldn't hold what a task needed."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(_libc(), "malloc_trim", None)) is not None:
+        give(0)
+
+
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts take at most limit bytes, or one row."""
+    """The same rows in batches whose texts take at most limit bytes, or one row.  After the last, freed memory goes back to the system."""
     for batch in batches:
         i, n = 0, batch.num_rows
         if not n:
@@ -75,6 +89,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             j = max(i + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(i, j - i)
             i = j
+    trim()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -132,6 +132,11 @@ class Codec:
             self._known[word] = packed
         return packed
 
+    def forget(self) -> None:
+        """Give up what was remembered, so that an idle process holds the vocabulary alone."""
+        self._known.clear()
+        self._beside.clear()
+
     def _ordinary(self, text: str) -> bytes:
         known, word = self._known, self._word
         return b"".join([known.get(w) or word(w) for w in self.split(text)])
@@ -167,7 +172,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = No
     n_tokens (long), token_ids (binary, little-endian 32-bit ids) and, if
     decoded, decoded_text.  path: a vocabulary file that each executor can
     read.  No row moves; memory is that of a batch and of MEMORY short words,
-    under 300 MB.
+    under 300 MB, while a task runs.
     """
     path = path or default_path()
     df = C.without(docs, "n_tokens", "token_ids", "decoded_text")
@@ -181,5 +186,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = No
             if decoded:
                 more.append(pa.array([c.decode_packed(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in new)])
+        c.forget()
+        C.trim()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))
