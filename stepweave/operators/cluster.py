@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean, pearson
-from .lineage import cut
+from .lineage import cut, free
 
+log = logging.getLogger(__name__)
 MERGES = "merge_id int, left_id int, right_id int, distance double, vec array<int>"
 
 
@@ -20,6 +23,13 @@ def pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", pearson(F.col("vi"), F.col("vj"), arith).alias("d"))
 
 
+def ordered_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
+    """(i, j, d) for each row and every other one, so both orders of each pair; a distance is worked out once."""
+    found = pairs(matrix, arith)
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return found.select(F.explode(both).alias("p"), "d").select("p.i", "p.j", "d")
+
+
 def closest(distances: DataFrame) -> DataFrame:
     """The least (d, i, j) as one row."""
     return distances.agg(F.min(F.struct("d", "i", "j")).alias("m")).select("m.i", "m.j", "m.d")
@@ -49,39 +59,69 @@ def _oriented(a: int, b: int, mode: str) -> tuple[int, int]:
     return (high, low) if mode == "bsp" and low < 0 else (low, high)
 
 
+def _distances(vec: np.ndarray, others: np.ndarray, arith: str) -> np.ndarray:
+    """distance of one vector to each row of others, NaN where there is none."""
+    if arith == "int32" or not len(others) or vec.size == 0:
+        return np.array([distance(vec.tolist(), o.tolist(), arith) for o in others])
+    n, most = len(vec), max(int(np.abs(others).max()), int(np.abs(vec).max()), 1)
+    if (most * n) ** 4 >= 2**62:  # products may leave 64 bits
+        return np.array([distance(vec.tolist(), o.tolist(), arith) for o in others])
+    cut = lambda x: np.sign(x) * (np.abs(x) // n)
+    sx, sy = vec.sum(), others.sum(1)
+    num = others @ vec - cut(sx * sy)
+    under = ((vec * vec).sum() - cut(sx * sx)) * ((others * others).sum(1) - cut(sy * sy))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(under == 0, 0.0, 1.0 - num / np.sqrt(under.astype(float)))
+
+
 def merge_all(ids: list[int], vectors: list[list[int]], mode: str = "seq", arith: str = "int64") -> list[tuple]:
-    """All merges of one small matrix, by the two modes' orders among ties.
+    """All merges of one matrix, by the two modes' orders among ties.
 
     seq: least (distance, lower id, higher id), the lower id left.  bsp: pairs
     with a merged cluster are (older, newer), and ties go by these.  A NaN never
     beats another distance; if nothing else is there, seq merges the first two
-    and bsp raises.
+    and bsp raises.  Each row keeps its least distance to later rows, so a merge
+    takes one new row of distances and a look at these.
     """
-    live = dict(zip(ids, vectors, strict=True))
     if len({len(v) for v in vectors}) > 1:
         raise ValueError("vectors differ in length")
-    known: dict[tuple[int, int], float] = {}
-    keys = sorted(live)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            known[_oriented(a, b, mode)] = distance(live[a], live[b], arith)
-    merges, new = [], 0
-    while len(live) > 1:
-        first = tuple(sorted(live)[:2])
-        if mode == "seq" and math.isnan(known[first]):
-            kept, gone, d = *first, known[first]
+    n = len(ids)
+    order = sorted(range(n), key=lambda k: ids[k], reverse=True)  # new ids are lower, so come behind
+    name = np.array([ids[k] for k in order] + [-k for k in range(1, max(n, 1))], np.int64)
+    vec = np.zeros((2 * n - 1 if n else 0, len(vectors[0]) if n else 0), np.int64)
+    for k, of in enumerate(order):
+        vec[k] = vectors[of]
+    live = np.zeros(len(vec), bool)
+    live[:n] = True
+    d = np.full((len(vec), len(vec)), np.nan)  # of a row to the rows before it, which have higher ids
+    for k in range(1, n):
+        d[k, :k] = _distances(vec[k], vec[:k], arith)
+    rank = lambda x: np.where(np.isnan(x), np.inf, x)
+    least = np.array([rank(d[k, :k]).min(initial=np.inf) for k in range(len(vec))])
+    merges = []
+    for new in range(n, len(vec)):
+        rows = np.flatnonzero(live)
+        best = least[rows].min()
+        first = rows[-1], rows[-2]  # the lowest ids
+        if mode == "seq" and np.isnan(d[first]):
+            low, high = first
+        elif np.isinf(best):
+            raise ValueError("no two clusters have a distance")
         else:
-            valid = [(d, k) for k, d in known.items() if not math.isnan(d)]
-            if not valid:
-                raise ValueError("no two clusters have a distance")
-            d, (kept, gone) = min(valid)
-        new -= 1
-        vec = [_div(x + y, 2) for x, y in zip(live.pop(kept), live.pop(gone), strict=True)]
-        merges.append((new, kept, gone, d, vec))
-        known = {k: v for k, v in known.items() if kept not in k and gone not in k}
-        for other in live:
-            known[_oriented(other, new, mode)] = distance(live[other], vec, arith)
-        live[new] = vec
+            ties = [(int(k), int(j)) for k in rows[least[rows] == best] for j in np.flatnonzero(live[:k] & (d[k, :k] == best))]
+            low, high = min(ties, key=lambda t: _oriented(int(name[t[0]]), int(name[t[1]]), mode))
+        kept, gone = _oriented(int(name[low]), int(name[high]), mode)
+        total = vec[low] + vec[high]
+        vec[new] = np.sign(total) * (np.abs(total) // 2)
+        merges.append((int(name[new]), kept, gone, float(d[low, high]), vec[new].tolist()))
+        live[[low, high]] = False
+        others = np.flatnonzero(live)
+        stale = [k for k in others if k > min(low, high) and least[k] in (d[k, low] if low < k else None, d[k, high] if high < k else None)]
+        for k in stale:
+            least[k] = rank(d[k, :k])[live[:k]].min(initial=np.inf)
+        d[new, others] = _distances(vec[new], vec[others], arith)
+        least[new] = rank(d[new, others]).min(initial=np.inf)
+        live[new] = True
     return merges
 
 
@@ -106,38 +146,47 @@ def hcluster(matrix: DataFrame, mode: str = "seq", arith: str = "int64", key: st
 def hcluster_distributed(matrix: DataFrame, mode: str = "seq", arith: str = "int64", cut_every: int = 8) -> DataFrame:
     """The same merges with the distances of all pairs kept in a table, for matrices too large for a task.
 
-    Each merge is one least pair to the driver, one new row of distances from a
-    one-row broadcast, and a filter of the pairs that are gone.
+    Each merge is one least pair and its two vectors to the driver, one new row
+    of distances, and a filter of the pairs that are gone.
     """
     spark = matrix.sparkSession
     live = cut(matrix.select("id", F.col("vec").cast("array<int>").alias("vec")))
     known = cut(pairs(live, arith).select(F.col("i").alias("a"), F.col("j").alias("b"), "d"))
-    left, merges, new = live.count(), [], 0
+    left, merges, new, tables = live.count(), [], 0, [live, known]
     while left > 1:
-        best = known.agg(F.min(F.struct(F.isnan("d").alias("nan"), "d", "a", "b")).alias("m")).first()["m"]
-        a, b, d = best["a"], best["b"], best["d"]
-        first = sorted(r["id"] for r in live.select("id").orderBy("id").limit(2).collect())
-        if mode == "seq":
-            head = known.where((F.col("a") == first[0]) & (F.col("b") == first[1])).first()
-            if math.isnan(head["d"]):
-                a, b, d = first[0], first[1], head["d"]
-        elif best["nan"]:
+        # the least pair, and that of the two lowest ids, which seq falls back on
+        m, f = known.agg(F.min(F.struct(F.isnan("d").alias("nan"), "d", "a", "b")), F.min(F.struct("a", "b", "d"))).first()
+        a, b, d = (f["a"], f["b"], f["d"]) if mode == "seq" and math.isnan(f["d"]) else (m["a"], m["b"], m["d"])
+        if mode != "seq" and m["nan"]:
             raise ValueError("no two clusters have a distance")
-        va, vb = (live.where(F.col("id") == x).select("vec").first()[0] for x in (a, b))
+        vectors = {r["id"]: r["vec"] for r in live.where(F.col("id").isin(a, b)).collect()}
         new, left = new - 1, left - 1
-        vec = [_div(x + y, 2) for x, y in zip(va, vb, strict=True)]
+        vec = [_div(x + y, 2) for x, y in zip(vectors[a], vectors[b], strict=True)]
         merges.append((new, a, b, d, vec))
+        for line in trace(merges[-1:], left + 1):
+            log.debug(line[2])
         live = live.where(~F.col("id").isin(a, b))
-        other = live.crossJoin(F.broadcast(spark.createDataFrame([(vec,)], "w array<int>")))
-        pair = ("id", "new") if mode == "bsp" else ("new", "id")
-        fresh = other.withColumn("new", F.lit(new)).select(F.col(pair[0]).alias("a"), F.col(pair[1]).alias("b"), pearson(F.col("vec"), F.col("w"), arith).alias("d"))
+        one = F.array(*[F.lit(x) for x in vec]).cast("array<int>")
+        pair = (F.col("id"), F.lit(new)) if mode == "bsp" else (F.lit(new), F.col("id"))
+        fresh = live.select(pair[0].alias("a"), pair[1].alias("b"), pearson(F.col("vec"), one, arith).alias("d"))
         known = known.where(~F.col("a").isin(a, b) & ~F.col("b").isin(a, b)).unionByName(fresh)
         live = live.unionByName(spark.createDataFrame([(new, vec)], "id int, vec array<int>"))
         if -new % cut_every == 0:
             live, known = cut(live), cut(known)
+            free(*tables)
+            tables = [live, known]
+    free(*tables)
     return spark.createDataFrame(merges, MERGES)
 
 
+def trace(merges: list[tuple], clusters: int) -> list[tuple[int, int, str]]:
+    """(merge, line, text): for each merge its closest pair, the new cluster's id, and how many clusters are live after it."""
+    out = []
+    for k, (new, a, b, d, _) in enumerate(merges):
+        out += [(k, 0, f"closest {a} {b} at {d:.6f}"), (k, 1, f"new cluster {new}"), (k, 2, f"live {clusters - k - 1}")]
+    return out
+
+
 def first_merge(matrix: DataFrame) -> DataFrame:
     """(left_id, right_id, distance, vec) of the first merge, as one plan."""
     best = closest(pairs(matrix))

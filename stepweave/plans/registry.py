@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster
+from ..operators import cluster, lineage
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
 from ..operators.pagerank import pagerank, top, with_titles
@@ -86,7 +89,7 @@ def adjacency_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {G.SUPPLY}, deg AS (SELECT src, count(*) AS c FROM e GROUP BY src) SELECT id, round(coalesce(sum(1.0 / deg.c), 0), 8) AS inbox FROM v LEFT JOIN e ON e.dst = id LEFT JOIN deg ON deg.src = e.src GROUP BY id")
 def inbox_sum_one_superstep(spark: SparkSession, d: str) -> DataFrame:
     g = G.supply(spark, d)
-    shares = g.shares()
+    shares = lineage.cut(g.shares())
     send = lambda state, _: shares.join(state, F.col("src") == F.col("id")).select("src", "dst", (F.col("value") * F.col("share")).alias("value"))
     start = PropertyGraph(g.vertices.select("id", F.lit(1.0).alias("value")), g.edges)
     program = Program(ComputeStep(send=send)).then(ComputeStep(lambda value, inbox, _: F.coalesce(inbox, F.lit(0.0))))
@@ -226,23 +229,62 @@ def _merges(df: DataFrame) -> DataFrame:
     return df.select("merge_id", "left_id", "right_id", F.round("distance", DIGITS).alias("distance"), F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
 
 
-@query()
+@query(f"WITH {G.pairs_sql(G.NATION_CELLS)} SELECT i, j, round(d, 10) AS d FROM p UNION ALL SELECT j, i, round(d, 10) FROM p")
+def pairwise_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.ordered_pairs(G.nations(spark, d)).select("i", "j", F.round("d", DIGITS).alias("d"))
+
+
+@query(G.int32_sql(997))
+def pairwise_pearson_int32(spark: SparkSession, d: str) -> DataFrame:
+    """32-bit arithmetic on counts so large that it wraps; -9 where a wrapped product has no root."""
+    large = G.nations(spark, d).withColumn("vec", F.transform("vec", lambda x: x * 997))
+    return cluster.pairs(large, "int32").select("i", "j", F.when(F.isnan("d"), F.lit(-9.0)).otherwise(F.round("d", DIGITS)).alias("d"))
+
+
+@query(G.hcluster_sql("seq"))
 def hcluster_seq_merges(spark: SparkSession, d: str) -> DataFrame:
     return _merges(cluster.hcluster(G.nations(spark, d), "seq"))
 
 
-@query()
+@query(G.hcluster_sql("bsp"))
 def hcluster_bsp_merges(spark: SparkSession, d: str) -> DataFrame:
     return _merges(cluster.hcluster(G.nations(spark, d), "bsp"))
 
 
-@query()
+@query(G.hcluster_sql("seq"))
+def hcluster_distributed_seq(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(cluster.hcluster_distributed(G.nations(spark, d), "seq"))
+
+
+@query(G.hcluster_sql("bsp"))
+def hcluster_distributed_bsp(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(cluster.hcluster_distributed(G.nations(spark, d), "bsp"))
+
+
+@query(G.dendrogram_sql("seq"))
 def dendrogram_lines(spark: SparkSession, d: str) -> DataFrame:
-    merges = [tuple(r) for r in cluster.hcluster(G.nations(spark, d)).collect()]
+    return _dendrogram(spark, d, "seq")
+
+
+@query(G.dendrogram_sql("bsp"))
+def dendrogram_lines_bsp(spark: SparkSession, d: str) -> DataFrame:
+    return _dendrogram(spark, d, "bsp")
+
+
+def _dendrogram(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    merges = [tuple(r) for r in cluster.hcluster(G.nations(spark, d), mode).collect()]
     names = {r[0]: r[1] for r in G.table(spark, d, "nation").select("n_nationkey", "n_name").collect()}
     return spark.createDataFrame(cluster.dendrogram(merges, names), "line int, depth int, text string")
 
 
+@query(G.trace_sql())
+def cluster_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What the clustering says of each merge when it is traced."""
+    m = G.nations(spark, d)
+    merges = sorted((tuple(r) for r in cluster.hcluster(m).collect()), reverse=True)
+    return spark.createDataFrame(cluster.trace(merges, m.count()), "merge int, line int, text string")
+
+
 # ---------------------------------------------------------------- text
 
 @query(r"SELECT doc_id, i AS line, parts[i + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i >= 1 AND i < 4")
@@ -264,3 +306,139 @@ def matrix_parse(spark: SparkSession, d: str) -> DataFrame:
     body = m.select((F.col("id") + 1).cast("long").alias("line"), F.concat(F.lit("n"), F.col("id").cast("string"), F.lit("\t"), F.array_join(F.col("vec").cast("array<string>"), "\t")).alias("text"))
     rows, _ = readers.parse_matrix(head.union(body), reverse=False)
     return rows.select("id", "name", F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
+
+
+# ---------------------------------------------------------------- files and reports
+
+def _file(spark: SparkSession, lines: DataFrame) -> str:
+    """A text file of (line, text), in a new folder beside the tables."""
+    path = lineage.folder(spark)
+    reports.write_lines(lines.repartition(1).sortWithinPartitions("line").select("text"), path)
+    return path
+
+
+def _matrix_file(spark: SparkSession, d: str, empty: bool = False) -> str:
+    m = G.nations(spark, d)
+    fields = F.transform("vec", lambda x, i: F.when(F.lit(empty) & (F.col("id") % 5 == 0) & (i == 3), F.lit("")).otherwise(x.cast("string")))
+    body = m.select((F.col("id") + 1).alias("line"), F.concat(F.lit("n"), F.col("id").cast("string"), F.lit("\t"), F.array_join(fields, "\t")).alias("text"))
+    head = m.limit(1).select(F.lit(0).alias("line"), F.concat(F.lit("name\t"), F.array_join(F.transform("vec", lambda _, i: F.concat(F.lit("c"), i.cast("string"))), "\t")).alias("text"))
+    return _file(spark, head.union(body))
+
+
+_ROWS = f"WITH {G.NATION_CELLS}, {G._CELLS}, cols AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS pos FROM (SELECT DISTINCT c FROM cells)), lines AS (SELECT r, row_number() OVER (ORDER BY r) AS line, count(*) OVER () AS many FROM (SELECT DISTINCT r FROM cells))"
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "name", F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
+
+
+@query(f"{_ROWS} SELECT (many - line)::INTEGER AS id, 'n' || r AS name, string_agg(n::VARCHAR, ' ' ORDER BY c) AS vec FROM cells JOIN lines USING (r) GROUP BY ALL")
+def matrix_file_reversed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a file count from its last line."""
+    return _read(readers.read_matrix(spark, _matrix_file(spark, d))[0])
+
+
+@query(f"{_ROWS} SELECT (10 - line)::INTEGER AS id, 'n' || r AS name, string_agg(n::VARCHAR, ' ' ORDER BY c) AS vec FROM cells JOIN lines USING (r) WHERE line <= 10 GROUP BY ALL")
+def matrix_file_first_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Eleven lines with the header, so ten rows: the limit is what the reader offers."""
+    return _read(readers.read_matrix(spark, _matrix_file(spark, d), 11)[0])
+
+
+@query(f"{_ROWS} SELECT (many - line)::INTEGER AS id, 'n' || r AS name, coalesce(string_agg(n::VARCHAR, ' ' ORDER BY c) FILTER (WHERE r % 5 <> 0 OR pos < 3), '') AS vec FROM cells JOIN lines USING (r) JOIN cols USING (c) GROUP BY ALL")
+def matrix_file_empty_fields(spark: SparkSession, d: str) -> DataFrame:
+    """An empty field ends its row."""
+    return _read(readers.read_matrix(spark, _matrix_file(spark, d, empty=True), strict=False)[0])
+
+
+@query(f"{_ROWS} SELECT (many - line)::INTEGER AS id, 'n' || r AS name FROM lines ORDER BY id LIMIT 10")
+def matrix_sample_names(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten names, for a look at what was read."""
+    return readers.first_names(readers.read_matrix(spark, _matrix_file(spark, d))[0])
+
+
+def _link_file(spark: SparkSession, d: str, blank: bool = False) -> str:
+    lines = reports.adjacency_lines(G.trade(spark, d)).select((F.col("id") * 2).alias("line"), F.col("line").alias("text"))
+    return _file(spark, lines.union(lines.select(F.col("line") + 1, F.lit("  "))) if blank else lines)
+
+
+_RANGE = f"""{G.SALES}, every AS (SELECT c_nationkey AS s, s_nationkey AS t FROM j), e AS (SELECT s::VARCHAR AS src, t::VARCHAR AS dst FROM every WHERE s >= 5 AND s < 20),
+v AS (SELECT n_nationkey::VARCHAR AS id FROM nation WHERE n_nationkey >= 5 AND n_nationkey < 20 UNION SELECT dst FROM e)"""
+
+
+@query(f"WITH {_RANGE} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
+def link_file_range(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the lines 5 to 19 of a link file: the range is what the reader offers."""
+    return readers.read_adjacency(spark, _link_file(spark, d), 5, 15).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {G.TRADE} SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, count(*) AS n FROM e GROUP BY ALL")
+def link_file_skip_blank_lines(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_adjacency(spark, _link_file(spark, d, blank=True), mode="skip").edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _title_file(spark: SparkSession, d: str) -> str:
+    return _file(spark, G.table(spark, d, "nation").select(F.col("n_nationkey").alias("line"), F.col("n_name").alias("text")))
+
+
+@query("SELECT n_nationkey::VARCHAR AS label, n_name AS title FROM nation WHERE n_nationkey < 18")
+def title_file(spark: SparkSession, d: str) -> DataFrame:
+    """The first lines of a title file: the limit is what the reader offers."""
+    return readers.read_titles(spark, _title_file(spark, d), 18)
+
+
+_REPORT = "SELECT coalesce(t.title, 'no_title[' || r.id || ']') || ' has rank ' || round(val, 8)::VARCHAR AS line FROM r LEFT JOIN (SELECT n_nationkey::VARCHAR AS id, n_name AS title FROM nation WHERE n_nationkey < 18) t ON t.id = r.id WHERE k = {u} ORDER BY round(val, 8) DESC, r.id LIMIT 10"
+
+
+@query(rank_sql(_RANGE, 9, _REPORT))
+def rank_report_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """From link file lines and title file lines to the report of the ten largest ranks."""
+    graph = readers.read_adjacency(spark, _link_file(spark, d), 5, 15)
+    best = top(pagerank(graph, 10), 10, 8)
+    return reports.rank_lines(with_titles(best, readers.read_titles(spark, _title_file(spark, d), 18)))
+
+
+@query("SELECT phase || n_nationkey || ': ' || v AS line FROM nation, (VALUES ('before ', '0.0'), ('after ', '3.0')) t(phase, v)")
+def value_dump(spark: SparkSession, d: str) -> DataFrame:
+    """All values before and after a run, written as text and read again."""
+    start = _nations(spark, d)
+    said = lambda phase, state: reports.value_lines(state).select(F.concat(F.lit(phase), "line").alias("line"))
+    path = lineage.folder(spark)
+    reports.write_lines(said("before ", start.vertices).union(said("after ", run(start, Program(_MORE), 3))), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT * FROM (VALUES (0, 'Timings for run'), (1, 'description:' || chr(9) || 'count' || chr(9) || 'time1' || chr(9) || 'all'), (2, 'times(ms):' || chr(9) || '#' || chr(9) || '#' || chr(9) || '#'), (3, 'times(ms):' || chr(9) || '#' || chr(9) || '#' || chr(9) || '#')) t(line, text)")
+def timing_log(spark: SparkSession, d: str) -> DataFrame:
+    """Nested timings, appended twice to a log of the driver's: its head comes once.  Times are shown as #."""
+    t = reports.Timings()
+    with tempfile.TemporaryDirectory() as at:
+        t.tic()
+        with t.timed("count"):
+            G.table(spark, d, "nation").count()
+        t.tic()
+        t.toc()
+        t.toc("all")
+        for _ in range(2):
+            t.append_to(f"{at}/log")
+        with open(f"{at}/log", encoding="utf-8") as f:
+            lines = [re.sub(r"\t[0-9]+", "\t#", x.rstrip("\n")) for x in f]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+# ---------------------------------------------------------------- leaders and bounds
+
+@query("SELECT n_nationkey AS id, (min(n_nationkey) OVER () + 7)::DOUBLE AS value FROM nation")
+def leader_message(spark: SparkSession, d: str) -> DataFrame:
+    """The vertex of the least id alone writes, to all vertices: its id and 7."""
+    g = _nations(spark, d)
+
+    def send(state: DataFrame, _) -> DataFrame:
+        return state.select(F.col("id").alias("dst")).join(F.broadcast(g.leader(state).select(F.col("id").alias("src"), (F.col("id") + 7.0).alias("value"))), how="cross").select("src", "dst", "value")  # one row
+
+    return run(g, Program(ComputeStep(send=send)).then(ComputeStep(lambda v, inbox, _: F.coalesce(inbox, v))), 2)
+
+
+@query("SELECT n_nationkey AS id, 4.0::DOUBLE AS value FROM nation")
+def iterate_without_bound(spark: SparkSession, d: str) -> DataFrame:
+    """0 iterations are no bound; the condition ends the run after four supersteps."""
+    return run(_nations(spark, d), Program(_MORE), 0, lambda _, done: done == 4)

@@ -96,4 +96,49 @@ q AS (SELECT i, j, (sxy - (a.sx * b.sx) // a.k)::DOUBLE AS num, sqrt(((a.sxx - (
 p AS (SELECT i, j, CASE WHEN den = 0 THEN 0.0 ELSE 1 - num / den END AS d FROM q)"""
 
 
+def int32_sql(times: int) -> str:
+    """Distances of NATION_CELLS, multiplied, in wrapping 32-bit arithmetic."""
+    w = lambda x: f"((({x}) + 2147483648) & 4294967295) - 2147483648"
+    return f"""WITH {NATION_CELLS}, {_CELLS.replace("coalesce(got.n, 0)::BIGINT", f"coalesce(got.n, 0)::BIGINT * {times}")},
+s AS (SELECT r, count(*)::BIGINT AS k, {w("sum(n)::BIGINT")} AS sx, {w(f"sum({w('n * n')})::BIGINT")} AS sxx FROM cells GROUP BY r),
+xy AS (SELECT a.r AS i, b.r AS j, sum({w("a.n * b.n")})::BIGINT AS sxy FROM cells a JOIN cells b ON a.c = b.c AND a.r < b.r GROUP BY ALL),
+t AS (SELECT i, j, {w(f"sxy - trunc(({w('a.sx * b.sx')}) / a.k)::BIGINT")} AS num, {w(f"a.sxx - trunc(({w('a.sx * a.sx')}) / a.k)::BIGINT")} AS va, {w(f"b.sxx - trunc(({w('b.sx * b.sx')}) / a.k)::BIGINT")} AS vb FROM xy JOIN s a ON a.r = i JOIN s b ON b.r = j),
+q AS (SELECT i, j, num, {w("va * vb")} AS under FROM t)
+SELECT i, j, CASE WHEN under < 0 THEN -9.0 WHEN under = 0 THEN 0.0 ELSE round(1 - num::DOUBLE / sqrt(under::DOUBLE), 10) END AS d FROM q"""
+
+
+def _merge_steps(mode: str) -> str:
+    """CTEs ending in h: after k merges the live clusters, and what the last merge was."""
+    sums = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1]::BIGINT * z[2]))::BIGINT"
+    left, right = ("CASE WHEN a.id < 0 THEN b.id ELSE a.id END", "CASE WHEN a.id < 0 THEN a.id ELSE b.id END") if mode == "bsp" else ("a.id", "b.id")
+    return f"""{NATION_CELLS}, {_CELLS}, start AS (SELECT r AS id, list(n ORDER BY c) AS v FROM cells GROUP BY r),
+h(k, live, left_id, right_id, distance, vec) AS (
+SELECT 0, list({{'id': id::INTEGER, 'v': v}}), NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, NULL::BIGINT[] FROM start
+UNION ALL
+SELECT k + 1, list_append(list_filter(live, lambda x: x.id <> l AND x.id <> g), {{'id': (-k - 1)::INTEGER, 'v': m}}), l, g, d, m FROM (
+SELECT k, live, best.l, best.g, best.d, list_transform(list_zip(best.lv, best.gv), lambda z: (z[1] + z[2]) // 2) AS m FROM (
+SELECT k, live, arg_min({{'l': l, 'g': g, 'd': d, 'lv': lv, 'gv': gv}}, {{'d': d, 'l': l, 'g': g}}) AS best FROM (
+SELECT k, live, l, g, lv, gv, CASE WHEN under = 0 THEN 0.0 ELSE 1 - num::DOUBLE / sqrt(under::DOUBLE) END AS d FROM (
+SELECT k, live, l, g, lv, gv, {sums("lv", "gv")} - (list_sum(lv)::BIGINT * list_sum(gv)::BIGINT) // len(lv) AS num,
+({sums("lv", "lv")} - (list_sum(lv)::BIGINT * list_sum(lv)::BIGINT) // len(lv)) * ({sums("gv", "gv")} - (list_sum(gv)::BIGINT * list_sum(gv)::BIGINT) // len(lv)) AS under FROM (
+SELECT k, live, {left} AS l, {right} AS g, CASE WHEN {left} = a.id THEN a.v ELSE b.v END AS lv, CASE WHEN {left} = a.id THEN b.v ELSE a.v END AS gv FROM (
+SELECT k, live, a, unnest(live) AS b FROM (SELECT k, live, unnest(live) AS a FROM h WHERE len(live) > 1)) WHERE a.id < b.id))) GROUP BY k, live)))"""
+
+
+def hcluster_sql(mode: str) -> str:
+    return f"WITH RECURSIVE {_merge_steps(mode)} SELECT (-k)::INTEGER AS merge_id, left_id, right_id, round(distance, 10) AS distance, array_to_string(vec, ' ') AS vec FROM h WHERE k > 0"
+
+
+def dendrogram_sql(mode: str) -> str:
+    return f"""WITH RECURSIVE {_merge_steps(mode)}, m AS (SELECT (-k)::INTEGER AS id, left_id, right_id FROM h WHERE k > 0),
+tree(id, depth, path) AS (SELECT min(id), 0, '' FROM m UNION ALL
+SELECT CASE WHEN side = 0 THEN left_id ELSE right_id END, depth + 1, path || side FROM tree JOIN m USING (id), (VALUES (0), (1)) s(side))
+SELECT (row_number() OVER (ORDER BY path) - 1)::INTEGER AS line, depth::INTEGER AS depth, CASE WHEN id < 0 THEN '-' ELSE n_name END AS text FROM tree LEFT JOIN nation ON n_nationkey = id"""
+
+
+def trace_sql() -> str:
+    return f"""WITH RECURSIVE {_merge_steps("seq")} SELECT (k - 1)::INTEGER AS merge, line, CASE line WHEN 0 THEN printf('closest %d %d at %.6f', left_id, right_id, distance) WHEN 1 THEN 'new cluster ' || -k ELSE 'live ' || len(live) END AS text
+FROM h, (VALUES (0), (1), (2)) t(line) WHERE k > 0"""
+
+
 SCHEMA_TITLES = T.StructType([T.StructField("label", T.StringType()), T.StructField("title", T.StringType())])
