@@ -237,3 +237,17 @@ def test_fingerprint_odd_rows(odd, parts):
     assert fingerprint.compare_edited(odd.limit(0)).count() == 0
     assert fingerprint.compare_edited(odd.where("doc_id = 3").limit(1)).first().near_next == 1.0
     assert fingerprint.fingerprints(odd).select(F.sum(F.length("fingerprint"))).first()[0] == 256 * 5
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_fingerprints_of_many_rows_of_one_id(spark, parts):
+    """Texts of one id are dealt to several ranges, in the order of their hashes; each is followed by the right one."""
+    rows = [(5, f"text {i} of the same id " * (i % 9 + 1)) for i in range(300)] + [(None, "of no id"), (9, ""), (2, None), (5, "text 3 of the same id " * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [(r.doc_id, r.text or "") for r in df.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64(F.coalesce("text", F.lit(""))))).collect()]
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        want.append((d or -1, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprint.compare_edited(df, parts=parts).collect()
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in got) == sorted(want)

@@ -122,3 +122,11 @@ def test_word_features_tell_words_of_a_class_apart(spark, monkeypatch, packet):
     # pairs that stand in the text against the same words crosswise, so that their own frequencies don't count
     assert got[1000] + got[1001] > got[1002] + got[1003] + 1 and got[1004] + got[1005] > got[1006] + got[1007] + 0.5
     assert all(np.isfinite(x) and x < 0 for x in got.values())
+
+
+def test_columns_of_other_names_stay_out(spark):
+    rows = [(i, f"some words {i % 7} here", 1, True, "x", 2.0) for i in range(40)]
+    a = lm.score(spark.createDataFrame(rows, "doc_id long, text string, packet int, learn boolean, tokens string, base double"), F.col("doc_id") < 30, rounds=2)
+    b = lm.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), F.col("doc_id") < 30, rounds=2)
+    assert a.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted((r.doc_id, round(r.score, 6)) for r in a.collect()) == sorted((r.doc_id, round(r.score, 6)) for r in b.collect())

@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from stepweave.llm import neardup
+from stepweave.llm import neardup, queries
 
 
 def shingle_set(text):
@@ -78,3 +78,21 @@ def test_edges_of_the_input(spark):
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "A b c"), (4, "a  B\tc"), (5, long), (6, long + " more"), (7, long), (8, "a b d")]
     assert result(spark, rows) == brute(rows)
     assert result(spark, []) == {}
+
+
+def test_query_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in queries.documents(spark, "/root/testdata/sf0.001").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op5_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute(rows) and sum(not kept for _, _, kept in got.values()) > 0
+
+
+def test_odd_rows_and_columns_of_other_names(spark):
+    """Null ids and texts, repeated rows, a long text, and columns that the operator uses itself."""
+    text, long = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(60000)) + " "
+    rows = [(None, text), (7, text), (7, text), (9, text + " more"), (3, None), (4, ""), (5, None), (6, "two words"), (8, "TWO  words"), (10, long), (11, long + "end"), (None, "lone row of no id")]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, set int, component int, node string")
+    got = sorted(((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.link(df).collect()))
+    assert [g for g in got if g[0] in (7, 9)] == [(7, 46, 7, True), (7, 46, 7, True), (9, 47, 7, False)]
+    assert [g for g in got if g[0] in (3, 4, 5)] == [(3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert [g[2:] for g in got if g[0] in (6, 8)] == [(6, True), (6, False)] and [g[2] for g in got if g[0] in (10, 11)] == [10, 10]
+    assert [g[2] for g in got if g[0] == -1] == [-1, 7] and neardup.link(df.limit(0)).count() == 0
