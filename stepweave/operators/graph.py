@@ -21,10 +21,10 @@ class PropertyGraph:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, value: float = 0.0) -> PropertyGraph:
-        """Vertices are all sources and targets, each once, in state value.  The edges are made once, as a table."""
+        """Vertices are all sources and targets, each once, in state value.  Both are made once, as tables."""
         edges = cut(edges)
         ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id is not null").distinct()
-        return cls(ids.withColumn("value", F.lit(value)), edges)
+        return cls(cut(ids).withColumn("value", F.lit(value)), edges)
 
     @classmethod
     def isolated(cls, vertices: DataFrame) -> PropertyGraph:

@@ -21,7 +21,7 @@ def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_unti
     """
     spark = graph.vertices.sparkSession
     table = cut(graph.shares())
-    shares = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+    shares = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src").persist()
 
     def update(value: Column, inbox: Column, at: Context) -> Column:
         return value if at.superstep == 0 else F.lit((1 - damping) / at.size) + damping * F.coalesce(inbox, F.lit(0.0))
