@@ -23,8 +23,8 @@ from . import _common as C
 
 #: The pattern that splits text for byte-level vocabularies, its white space as the Unicode property has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Z}\x09-\x0d\x85\p{L}\p{N}]+|[\p{Z}\x09-\x0d\x85]+(?![^\p{Z}\x09-\x0d\x85])|[\p{Z}\x09-\x0d\x85]+"
-#: Split words of at most LETTERS letters, and pairs of tokens, that a process remembers; it starts anew when they are more.
-MEMORY, LETTERS = 800_000, 32
+#: Split words of at most LETTERS letters, and pairs of tokens, that a process remembers at least, and twice as many at most: words that come again outlive the others.
+MEMORY, LETTERS = 300_000, 32
 _NEVER = 1 << 40
 
 
@@ -71,6 +71,7 @@ class Codec:
         self._beside: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts that stood at one end of token while it grew (side 1: its left end, 2: its right end), each with the rank of the merge that took it up."""
@@ -95,13 +96,16 @@ class Codec:
         if (found := self._beside.get(key)) is None:
             starts, rank = self._edge(right, 1), self.rank
             found = not any((r := rank.get((a, b))) is not None and r < a_until and r <= b_until for a, a_until in self._edge(left, 2) for b, b_until in starts)
-            if len(self._beside) > MEMORY:
+            if len(self._beside) >= 2 * MEMORY:
                 self._beside.clear()
             self._beside[key] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        """Ids of one split word as 32-bit integers."""
+        """Ids of one split word as 32-bit integers, where it isn't remembered."""
+        if (packed := self._older.get(word)) is not None:
+            self._known[word] = packed
+            return packed
         raw = word.encode().decode("latin-1")
         if (token := self.whole.get(raw)) is not None:
             ids = [token]
@@ -127,19 +131,14 @@ class Codec:
             ids.reverse()
         packed = np.array(ids, "<u4").tobytes()
         if len(word) <= LETTERS:
-            if len(self._known) > MEMORY:
-                self._known.clear()
+            if len(self._known) >= MEMORY:
+                self._older, self._known = self._known, {}
             self._known[word] = packed
         return packed
 
-    def forget(self) -> None:
-        """Give up what was remembered, so that an idle process holds the vocabulary alone."""
-        self._known.clear()
-        self._beside.clear()
-
     def _ordinary(self, text: str) -> bytes:
         known, word = self._known, self._word
-        return b"".join([known.get(w) or word(w) for w in self.split(text)])
+        return b"".join([known.get(w) or word(w) for w in self.split(text)])  # a generation that ends meanwhile is still right
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of text as little-endian 32-bit integers; special tokens' strings give their own ids."""
@@ -171,8 +170,8 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = No
     with a null id too; columns named like the new ones are replaced.  Adds
     n_tokens (long), token_ids (binary, little-endian 32-bit ids) and, if
     decoded, decoded_text.  path: a vocabulary file that each executor can
-    read.  No row moves; memory is that of a batch and of MEMORY short words,
-    under 300 MB, while a task runs.
+    read.  No row moves; memory is that of a batch and of short words remembered, under
+    150 MB.
     """
     path = path or default_path()
     df = C.without(docs, "n_tokens", "token_ids", "decoded_text")
@@ -186,7 +185,5 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = No
             if decoded:
                 more.append(pa.array([c.decode_packed(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in new)])
-        c.forget()
-        C.trim()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))

@@ -117,19 +117,22 @@ def components(edges: DataFrame) -> DataFrame:
     node's least is a table before it is joined, so that a hub's links can be
     split over tasks.
     """
-    state, links = None, C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while True:
+    links = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = C.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = C.cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = C.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         before, links = links, C.cut(small)
-        C.free(before, least, large, low)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+        C.free(before, least, large)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every u has one link (u, v), v < u, to a v that has none: then v is its component's least."""
+    number, different = links.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return number == different and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def rest_pairs(unresolved: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

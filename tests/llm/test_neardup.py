@@ -96,3 +96,20 @@ def test_odd_rows_and_columns_of_other_names(spark):
     assert [g for g in got if g[0] in (3, 4, 5)] == [(3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
     assert [g[2:] for g in got if g[0] in (6, 8)] == [(6, True), (6, False)] and [g[2] for g in got if g[0] in (10, 11)] == [10, 10]
     assert [g[2] for g in got if g[0] == -1] == [-1, 7] and neardup.link(df.limit(0)).count() == 0
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    rng = random.Random(6)
+    edges, want = [], {}
+    for base, shape in ((0, [(i, i + 1) for i in range(150)]), (1000, [(1, i) for i in range(2, 90)]), (2000, [(i, (i + 1) % 40) for i in range(40)]), (3000, [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]), (4000, [(5, 5), (7, 5), (5, 7)])):
+        names = list(range(base, base + 200))
+        rng.shuffle(names)
+        edges += [(names[a], names[b]) for a, b in shape]
+    for a, b in edges:
+        if a != b:
+            want.setdefault(a, a), want.setdefault(b, b)
+            x, y = sorted((want[a], want[b]))
+            want = {k: x if v == y else v for k, v in want.items()}
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
