@@ -26,7 +26,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pii.find_personal_data(documents(spark, sf_dir), keep_text=False)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return df.select("doc_id", *map(number, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return df.select("doc_id", *map(number, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 #: A conversation whose texts hold the template's control strings.
@@ -90,7 +90,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda: C.crc_mod(F.col("doc_id"), 7) == 2
     df = lm.score(documents(spark, sf_dir), ~held_out())
-    return df.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return df.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("per_token"), ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint)}
