@@ -11,8 +11,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one numpy pass works on; long batches are cut by rows, long rows by words.
 CHUNK_BYTES = 1 << 21
@@ -52,6 +53,18 @@ def free(*tables: DataFrame | None) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def even_keys(spark: SparkSession, parts: int, each: int) -> list[int]:
+    """each longs for every one of parts, which hash partitioning into parts deals there: so that few keys fill them evenly."""
+    size = parts * (4 * each + 30)
+    while True:
+        ids = spark.range(size).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+        number = F.row_number().over(Window.partitionBy("part").orderBy("id")).alias("number")
+        got = ids.select("id", "part", number).where(F.col("number") <= each).orderBy("number", "part").toArrow()  # parts * each
+        if got.num_rows == parts * each:
+            return got.column("id").to_pylist()
+        size *= 2
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text mod n; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

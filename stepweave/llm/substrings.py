@@ -458,7 +458,8 @@ def _cut_runs(batch: pa.RecordBatch, wanted: np.ndarray, hot: np.ndarray) -> pa.
 
 
 def repeated_spans(packets: DataFrame, parts: int) -> DataFrame:
-    """(d, t, b, e): spans of words to remove, of texts dealt to packets (packet, d, t, text); parts: shards."""
+    """(d, t, b, e): spans of words to remove, of texts dealt to packets (packet, d, t, text); parts: partitions."""
+    shards = np.array(C.even_keys(packets.sparkSession, parts, SHARDS), np.int64)
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """To each shard of least grams, the packet's different ones with the weights of their runs."""
         for batch in C.pieces(batches, "text", 4 * C.CHUNK_BYTES):
@@ -471,9 +472,9 @@ def repeated_spans(packets: DataFrame, parts: int) -> DataFrame:
             low, packet, weight = low[order], packet[order], weight[order]
             begin = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (packet[1:] != packet[:-1])]))
             low, packet, weight = low[begin], packet[begin], np.minimum(np.add.reduceat(weight, begin), 255)
-            shard = ((low >> np.uint64(32)) * np.uint64(parts * SHARDS) >> np.uint64(32)).astype(np.int32)
+            shard = ((low >> np.uint64(32)) * np.uint64(len(shards)) >> np.uint64(32)).astype(np.int64)
             (packet, shard), lows, weights = _grouped([packet, shard], low, weight)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(packet), lows, weights], names=["shard", "packet", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards[shard]), pa.array(packet), lows, weights], names=["shard", "packet", "low", "n"])
 
     def answer(table: pa.Table) -> pa.Table:
         """To each packet, those of its least grams that stand twice or more, and whether they are hot."""
@@ -497,7 +498,7 @@ def repeated_spans(packets: DataFrame, parts: int) -> DataFrame:
         schema = pa.schema([*((c, pa.int64()) for c in ("route", "d", "t", "p", "n")), ("words", pa.binary())])
         return pa.Table.from_batches(out, schema)
 
-    of = packets.mapInArrow(send, "shard int, packet long, low binary, n binary").groupBy("shard").applyInArrow(answer, "packet long, low binary, hot binary")
+    of = packets.mapInArrow(send, "shard long, packet long, low binary, n binary").groupBy("shard").applyInArrow(answer, "packet long, low binary, hot binary")
     runs = packets.groupBy("packet").cogroup(of.groupBy("packet")).applyInArrow(cut, "route long, d long, t long, p long, n long, words binary")
     return runs.repartition(parts, "route").sortWithinPartitions("route", "d", "t", "p").mapInArrow(_shards, "d long, t long, b long, e long")
 
@@ -518,7 +519,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one exchange that all three steps read; nothing is sent to the driver.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packet = lambda: F.pmod(F.xxhash64("d", "t"), F.lit(parts * PACKETS)).cast("long")
+    keys = C.even_keys(docs.sparkSession, parts, PACKETS)
+    of = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<long>")  # a constant of the plan
+    packet = lambda: F.get(of, F.pmod(F.xxhash64("d", "t"), F.lit(len(keys))).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = texts.withColumns({"d": F.coalesce("doc_id", F.lit(-(2**63))), "t": F.xxhash64("text")})
     packets = keyed.withColumn("packet", packet()).repartition(parts, "packet")

@@ -4,6 +4,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from stepweave.llm import _common as C
 from stepweave.llm import queries, substrings
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +97,10 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert got == [(-1, 30000, 0), (1, 0, 0), (2, 0, 0), (3, 30000, 30000), (3, 30000, 30000), (4, 1, 0)]
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "each"), [(1, 3), (4, 4), (37, 2)])
+def test_even_keys_fill_partitions_evenly(spark, parts, each):
+    keys = C.even_keys(spark, parts, each)
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts, "k").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(set(keys)) == parts * each and [r["count"] for r in rows] == [each] * parts
