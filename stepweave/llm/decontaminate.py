@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-SimHash fingerprints of windows of all documents and of items, blocks of the
-fingerprints that any two within RADIUS share one of, and exact weighted
-similarity of item-sized windows where a block led to an item.
+SimHash fingerprints of all windows of SIZE words of documents and of items,
+blocks of the fingerprints that any two within RADIUS share one of, and exact
+weighted similarity of every item-sized window that can be similar enough by
+what the blocks found in it.
 """
 
 from __future__ import annotations
@@ -15,15 +16,11 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SIZE = 5
-#: Sizes of windows, with the words from one window to the next in documents, largest first.  An item goes with the largest that leaves room for a step.
-STEPS = {23: 3, 9: 3, 5: 1}
 #: Fingerprints within RADIUS bits agree in one of RADIUS + 1 blocks.
 RADIUS = 3
-#: Words beside a found place that the best window may lie off, by words put in or left out.
-SLACK = 5
 #: Words of a piece of a document, so that work is in proportion to its length.
 PIECE = 768
-#: Most rows of the benchmark's fingerprint index, or places found in documents, that are broadcast (under 100 bytes each); more are joined by a shuffle.
+#: Most rows of the benchmark's fingerprint index, or items found in documents with up to 25 places each, that are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bits of a shingle that hold its letters; those beyond count no further.
 _WEIGHT_BITS = 20
@@ -122,6 +119,14 @@ def _blocks(size: int) -> Column:
     return F.array(*[F.struct((value(a, b) + ((size * (RADIUS + 1) + i) << 32)).alias("key"), fp.alias("fp")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
+def _first_block(key: Column, differ: Column) -> Column:
+    """Whether the block of key is the first of those in which two fingerprints agree, so that they meet once."""
+    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    block = F.pmod(F.shiftrightunsigned(key, 32), F.lit(RADIUS + 1))
+    parts = [F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return reduce(lambda so_far, i: so_far & ((block <= i) | (parts[i] != 0)), range(RADIUS), F.lit(True))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Benchmark items that stand in documents.
 
@@ -135,47 +140,44 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     window) once for each (doc_id, text) and item; repeated rows count once,
     null ids are kept as null.  Of empty tables, none.
 
-    An item's fingerprints are those of its first and last windows of its size
-    of STEPS, as many of each as a step has words; a document's, of every
-    step-th window.  So a document with the item has a window that is one of
-    the item's words, unless both ends were changed; and a similarity of 0.8
-    leaves no room for that but in words that RADIUS forgives.  Blocks look the
-    windows up among all items.  Where they lead to an item, all windows of its
-    length are tried that start within SLACK of there, or between two such places
-    as far as one window can hold words of both (2 L apart).
+    Every window of SIZE words has a fingerprint, in documents and in items, and
+    blocks look the documents' up among all items.  A shingle that both have is
+    among what is found, since equal words have equal fingerprints, and so is
+    every item-sized window with common weight.  The letters found in a window
+    are at least its common weight: windows in which they reach percent of the
+    item's weight are all compared, and no other can be similar enough.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0).withColumn("text_hash", F.xxhash64("text"))
-    hashed = C.cut(_hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).distinct(), "text", "item_id").where("n > 0"))
-    items = C.cut(hashed.select("item_id", F.col("n").alias("length"), _set(F.col("h"), F.col("lengths"), F.col("n")).alias("own")))
-    size_of = reduce(lambda c, x: c.when(F.col("n") >= x[0] + x[1] - 1, x[0]), list(STEPS.items())[1:], F.when(F.col("n") >= max(STEPS) + STEPS[max(STEPS)] - 1, max(STEPS)))
-    sized = hashed.withColumn("size", size_of)
-    sizes = sorted((r["size"] for r in sized.select("size").distinct().collect() if r["size"]), reverse=True)  # three at most
+    hashed = _hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).distinct(), "text", "item_id").where("n > 0")
+    items = C.cut(hashed.withColumnRenamed("n", "length").withColumn("own", _set(F.col("h"), F.col("lengths"), F.col("length"))).withColumn("whole", _weight(F.col("own"))))
     words = _hashed(texts, "text", "doc_id", "text_hash")
+    place = ["doc_id", "text_hash", "item_id", "length", "whole"]
 
     short = words.where(F.col("n").between(1, SIZE - 1)).select("doc_id", "text_hash", _shingle(F.col("h"), F.col("lengths"), F.col("n"), F.lit(0)).alias("sh"))
-    places = short.join(_sized(items.where(F.col("length") < SIZE).select("item_id", "length", F.col("own")[0].alias("sh"))), "sh").select("doc_id", "text_hash", "item_id", "length", F.lit(0).alias("start"))
-    for step in sorted({STEPS[x] for x in sizes}):
-        own = [x for x in sizes if STEPS[x] == step]
-        ends = F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(step - 1)), F.sequence(F.col("n") - F.col("size") - step + 1, F.col("n") - F.col("size"))))
-        first = sized.where(F.col("size").isin(own)).select("item_id", "h", F.col("n").alias("length"), "size", F.explode(ends).alias("at"))
-        prints = _fingerprints(first.withColumn("left", F.col("size")), own, "item_id", "length", "size", "at")
-        index = C.cut(reduce(DataFrame.unionByName, [prints.where(F.col("size") == x).select("item_id", "length", F.col("at").alias("item_at"), F.explode(_blocks(x)).alias("b")).select("item_id", "length", "item_at", "b.key", F.col("b.fp").alias("item_fp")) for x in own]))
-        pieces = words.where(F.col("n") >= min(own)).select("doc_id", "text_hash", "n", "h", F.explode(F.sequence(F.lit(0), F.col("n") - min(own), F.lit(PIECE))).alias("from"))
-        pieces = pieces.select("doc_id", "text_hash", "from", F.slice("h", F.col("from") + 1, PIECE + max(own)).alias("h"))
-        starts = F.sequence(F.lit(0), F.least(F.lit(PIECE - 1), F.size("h") - min(own)), F.lit(step))
-        windows = pieces.where(F.size("h") >= min(own)).select("doc_id", "text_hash", "from", "h", F.explode(starts).alias("at")).withColumn("left", F.size("h") - F.col("at"))
-        prints = _fingerprints(windows, own, "doc_id", "text_hash", "from", "at")
-        blocks = prints.select("doc_id", "text_hash", (F.col("from") + F.col("at")).alias("at"), F.explode(F.concat(*map(_blocks, own))).alias("b")).select("doc_id", "text_hash", "at", "b.key", "b.fp")
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-        met = blocks.where("fp is not null").join(_sized(index), "key").where(near)
-        places = places.unionByName(met.select("doc_id", "text_hash", "item_id", "length", (F.col("at") - F.col("item_at")).alias("start")))
-
-    found = places.groupBy("doc_id", "text_hash", "item_id", "length").agg(F.sort_array(F.collect_set("start")).alias("s"))
-    between = F.flatten(F.transform("s", lambda x, i: F.sequence(x - SLACK, F.when(F.get("s", i + 1) - x <= 2 * F.col("length"), F.get("s", i + 1)).otherwise(x) + SLACK)))
-    starts = F.filter(F.array_distinct(between), lambda x: x > -F.col("length"))
-    found = C.cut(found.select("doc_id", "text_hash", F.struct("item_id", "length", starts.alias("starts")).alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("found")))
-
-    number = F.aggregate("found", F.lit(0), lambda a, f: a + F.size(f["starts"]))
+    of_short = short.join(_sized(items.where(F.col("length") < SIZE).select("item_id", "length", "whole", F.col("own")[0].alias("sh"))), "sh").select(*place, F.lit(0).alias("start"))
+
+    every = items.where(F.col("length") >= SIZE).select("item_id", "length", "whole", "h", "lengths", F.explode(F.sequence(F.lit(0), F.col("length") - SIZE)).alias("at"))
+    letters = _shingle(F.col("h"), F.col("lengths"), F.col("length"), F.col("at")).bitwiseAND(F.lit((1 << _WEIGHT_BITS) - 1).cast("long"))
+    prints = _fingerprints(every.withColumn("letters", letters).withColumn("left", F.lit(SIZE)), [SIZE], "item_id", "length", "whole", "letters")
+    index = C.cut(prints.select("item_id", "length", "whole", "letters", F.explode(_blocks(SIZE)).alias("b")).select("item_id", "length", "whole", "letters", "b.key", F.col("b.fp").alias("item_fp")).distinct())
+    pieces = words.where(F.col("n") >= SIZE).select("doc_id", "text_hash", "n", "h", F.explode(F.sequence(F.lit(0), F.col("n") - SIZE, F.lit(PIECE))).alias("from"))
+    pieces = pieces.select("doc_id", "text_hash", "from", F.slice("h", F.col("from") + 1, PIECE + SIZE - 1).alias("h"))
+    windows = pieces.select("doc_id", "text_hash", "from", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SIZE)).alias("at")).withColumn("left", F.lit(SIZE))
+    prints = _fingerprints(windows, [SIZE], "doc_id", "text_hash", "from", "at")
+    blocks = prints.select("doc_id", "text_hash", (F.col("from") + F.col("at")).alias("at"), F.explode(_blocks(SIZE)).alias("b")).select("doc_id", "text_hash", "at", "b.key", "b.fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+    met = blocks.join(_sized(index), "key").where(near & _first_block(F.col("key"), F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    met = met.groupBy(*place).agg(F.collect_set(F.struct("at", "letters")).alias("met"))
+    enough = lambda letters: letters * 100 >= F.col("whole") * percent
+    met = met.where(enough(F.aggregate("met", F.lit(0).cast("long"), lambda a, x: a + x["letters"]))).select(*place, F.explode("met").alias("m"))
+    holding = F.sequence(F.col("m.at") + SIZE - F.col("length"), F.col("m.at"))  # the windows of the item's length with these words
+    most = met.select(*place, F.explode(holding).alias("start"), "m.letters").groupBy(*place, "start").agg(F.sum("letters").alias("letters"))
+    places = of_short.unionByName(most.where(enough(F.col("letters"))).select(*place, "start"))
+
+    found = places.groupBy(*place).agg(F.collect_set("start").alias("starts"))
+    found = C.cut(found.select("doc_id", "text_hash", F.struct("item_id", "length", "starts").alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("found")))
+
+    number = F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + 1 + F.ceil(F.size(f["starts"]) / 25))  # starts take 4 bytes each
     same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["text_hash"] == found["text_hash"])
     chosen = texts.join(_sized(found, number), same).select(texts["doc_id"], texts["text_hash"], "text", "found")
     each = _hashed(chosen, "text", "doc_id", "text_hash", "found").select("doc_id", "text_hash", "n", "h", "lengths", F.explode("found").alias("f")).select("doc_id", "text_hash", "n", "h", "lengths", "f.item_id", "f.length", F.explode("f.starts").alias("start"))

@@ -103,3 +103,23 @@ def test_without_blocks_nothing_is_found(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(30))
     a, b = spark.createDataFrame([(1, text), (2, "one two")], "doc_id long, text string"), spark.createDataFrame([(5, text), (6, "one two")], "item_id long, text string")
     assert got(decontaminate.find_leaks(a, b)).keys() == {(2, 6)}
+
+
+def test_every_window_that_is_similar_enough(spark):
+    """Weights let items be changed at both ends, in several places at once, or down to one long shingle; results are brute force's."""
+    random.seed(5)
+    long, short, huge = [f"{'long' * 9}{i:03d}" for i in range(200)], [f"s{i:03d}" for i in range(300)], [f"{'huge' * 300}{i:03d}" for i in range(9)]
+    items = [(1, short[:8] + long[:40] + short[8:16]), (2, short[20:30] + huge[:1] + short[30:40]), (3, [huge[1 + i // 12] if i % 12 == 6 else short[50 + i] for i in range(60)])]
+    items += [(4, (long[90:95] + short[120:126]) * 4), (5, ["again"] * 12)]
+    docs = [(1, short[140:148] + long[:40] + short[148:156]), (2, short[160:166] + items[1][1][6:15] + short[166:172]), (3, [f"x{i}" if i % 12 == 0 or i == 59 else w for i, w in enumerate(items[2][1])])]
+    docs += [(4, (short[180:189] + items[3][1][:22]) * 2), (5, short[190:193] + ["again"] * 40)]
+    for d in range(10, 90):  # words exchanged among the short ones anywhere, the item anywhere
+        w = [random.choice(short) if x in short and random.random() < 0.4 else x for x in random.choice(items)[1]]
+        k = random.randrange(len(w))
+        w = random.choice([w, w[k:] + w[:k], w[:k] + ["new"] + w[k:]])
+        docs.append((d, random.choices(short, k=random.randint(0, 900)) + w + random.choices(short, k=random.randint(0, 30))))
+    docs, items = [(d, " ".join(w)) for d, w in docs], [(i, " ".join(w)) for i, w in items]
+    want = brute(docs, items)
+    assert {(d, d) for d in (1, 2, 3, 5)} <= want.keys() and len(want) > 20
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got(found) == want
