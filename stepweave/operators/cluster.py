@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean, pearson
+from ..functions.vectors import mean, moments, pearson, pearson_of
 from .lineage import cut, free
 
 log = logging.getLogger(__name__)
+#: Longest vectors whose products are written out one by one; those of longer ones are made in a loop over arrays.
+WIDE = 64
+#: Pairs of rows, in either order, that one task looks at.
+TASK_PAIRS = 40_000_000
 MERGES = "merge_id int, left_id int, right_id int, distance double, vec array<int>"
 
 
@@ -23,6 +27,24 @@ def pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", pearson(F.col("vi"), F.col("vj"), arith).alias("d"))
 
 
+def many_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
+    """As pairs, for many rows: sums are made once a row, and a pair's distance is compiled arithmetic in a loop.
+
+    All vectors must have one length.  All rows go to every task, which is
+    little beside the pairs that they make, and each takes some rows' pairs.
+    """
+    m = cut(matrix.select("id", "vec", *[x.alias(k) for k, x in zip(("s", "v"), moments(F.col("vec"), arith), strict=True)]))
+    rows, least, most = m.agg(F.count(F.lit(1)), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least != most:
+        raise ValueError("vectors differ in length")
+    if not most or most > WIDE:
+        return pairs(m.select("id", "vec"), arith)
+    a, b = (m.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("v").alias(f"v{k}"), *[F.get("vec", F.lit(c)).cast("long").alias(f"{k}{c}") for c in range(most)]) for k in "ij")
+    both = a.repartition(max(1, math.ceil(rows * rows / TASK_PAIRS)), "i").join(F.broadcast(b), F.col("i") < F.col("j"))
+    x, y = ([F.col(f"{k}{c}") for c in range(most)] for k in "ij")
+    return both.select("i", "j", pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith).alias("d"))
+
+
 def ordered_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     """(i, j, d) for each row and every other one, so both orders of each pair; a distance is worked out once."""
     found = pairs(matrix, arith)

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import rounded
 from ..operators import cluster, lineage
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
@@ -212,7 +213,7 @@ def pairwise_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {G.pairs_sql(G.USER_CELLS)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(d, 10) AS d FROM p")
 def pairwise_triangular(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.pairs(G.users(spark, d)).select("i", "j", F.round("d", DIGITS).alias("d"))
+    return cluster.many_pairs(G.users(spark, d)).select("i", "j", rounded(F.col("d"), DIGITS).alias("d"))
 
 
 @query(f"WITH {G.pairs_sql(G.NATION_CELLS)} SELECT i, j, round(d, 10) AS d FROM p ORDER BY p.d, i, j LIMIT 1")

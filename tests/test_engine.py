@@ -171,3 +171,24 @@ def test_readers_and_reports(spark, tmp_path):
     t.append_to(str(log))
     t.append_to(str(log))
     assert len(log.read_text().splitlines()) == 4 and t.times[0][0] == "time0"
+
+
+def test_pairs_of_many_rows(spark, monkeypatch):
+    """pairwise_triangular makes no vector's sums for a pair and deals the pairs to many tasks; distances are those of pairs."""
+    from stepweave.functions.vectors import rounded
+    from stepweave.plans import registry
+
+    plan = registry.QUERIES["pairwise_triangular"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    monkeypatch.setattr(cluster, "TASK_PAIRS", 200)
+    rows = [(i, [(i * 7919 + c * c * 31) % 50 - 25 * (i % 3 == 0) for c in range(4)]) for i in range(-20, 40)] + [(90, [5, 5, 5, 5]), (91, [0, 0, 0, 0]), (92, [90000, 1, 7, 80000]), (92, [1, 2, 3, 4]), (None, [1, 2, 3, 5])]
+    m = spark.createDataFrame(rows, "id int, vec array<int>")
+    for arith in ("int64", "int32"):
+        many = cluster.many_pairs(m, arith)
+        assert sorted(map(str, many.collect())) == sorted(map(str, cluster.pairs(m, arith).collect())) and many.count() == 64 * 63 // 2 - 1
+    assert many.rdd.getNumPartitions() > 5
+    assert cluster.many_pairs(m.limit(0)).count() == 0
+    monkeypatch.setattr(cluster, "WIDE", 3)
+    assert sorted(map(str, cluster.many_pairs(m).collect())) == sorted(map(str, cluster.pairs(m).collect()))
+    values = spark.createDataFrame([(x,) for x in (0.5, -0.5, 1.5, 2.5, -2.5, 0.125, -0.0327, float("nan"), 2.0, 0.0)], "x double")
+    assert [str(r[0] + 0.0) for r in values.select(rounded(F.col("x"), 0)).collect()] == ["1.0", "-1.0", "2.0", "3.0", "-3.0", "0.0", "0.0", "nan", "2.0", "0.0"]
