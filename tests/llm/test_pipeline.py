@@ -129,3 +129,13 @@ def test_bpe_stage_decodes(spark, folder):
     out = P.encode(spark, spark.createDataFrame(ODD, SCHEMA), folder).collect()
     sha = [hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ODD]
     assert sorted(r.decoded_sha256 for r in out) == sorted(sha) and all(r.decoded_same for r in out)
+
+
+def test_leaks_changed_at_both_ends_go(spark, tmp_path):
+    """The decontaminate stage looks at every window, also where no end of an item is left."""
+    ends, middle = [f"e{i:02d}" for i in range(40)], [f"{'middle' * 6}{i:02d}" for i in range(40)]
+    item, leak = ends[:8] + middle + ends[8:16], ends[16:24] + middle + ends[24:32]
+    docs = [(1, " ".join(ends[32:] * 9 + leak + ends[:8])), (2, " ".join(middle[:20] + leak[:8])), (3, None), (None, " ".join(leak))]
+    assert test_decontaminate.brute(docs, [(5, " ".join(item))]).keys() == {(1, 5), (None, 5)}
+    spark.createDataFrame([(5, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in P.drop_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).orderBy("doc_id").collect()] == [2, 3]
