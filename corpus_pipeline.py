@@ -44,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands; null and empty texts hold none, and of repeated rows all go or stay."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """Documents in which no benchmark item stands, of however few words; null and empty texts hold none, and of repeated rows all go or stay."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), short_within=True).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
 
 

@@ -38,8 +38,8 @@ def _words(text: Column) -> Column:
 
 
 def _shingle(h: Column, lengths: Column, n: Column, at: Column) -> Column:
-    """The SIZE words from at, or all words of a shorter text: 44 bits of their hash, and their letters: long words tell more."""
-    words = F.when(n >= SIZE, F.xxhash64(*[F.get(h, at + k) for k in range(SIZE)])).otherwise(F.xxhash64(*[F.get(h, F.lit(k)) for k in range(SIZE)], n))
+    """The SIZE words from at, or n of them where n is less: 44 bits of their hash, and their letters: long words tell more."""
+    words = F.when(n >= SIZE, F.xxhash64(*[F.get(h, at + k) for k in range(SIZE)])).otherwise(F.xxhash64(*[F.when(k < n, F.get(h, at + k)) for k in range(SIZE)], n))
     weight = reduce(lambda a, b: a + b, [F.when(k < n, F.get(lengths, at + k)).otherwise(0) for k in range(SIZE)])
     return F.shiftleft(words, _WEIGHT_BITS).bitwiseOR(F.least(weight, F.lit((1 << _WEIGHT_BITS) - 1)).cast("long"))
 
@@ -58,6 +58,15 @@ def _hashed(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return words.select(*keys, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.transform("words", F.length).alias("lengths"))
 
 
+def _short_windows(words: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+    """(keys, start, sh) of every window of each of sizes, all under SIZE words."""
+    part = lambda c: F.slice(c, F.col("from") + 1, PIECE + SIZE - 2).alias(c)
+    pieces = words.where("n > 0").select(*keys, "h", "lengths", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("from")).select(*keys, "from", part("h"), part("lengths"))
+    starts = pieces.select(*keys, "from", "h", "lengths", F.explode(F.sequence(F.lit(0), F.least(F.size("h"), F.lit(PIECE)) - 1)).alias("at"))
+    windows = starts.select(*keys, "from", "h", "lengths", "at", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.col("at") + F.col("size") <= F.size("h"))
+    return windows.select(*keys, (F.col("from") + F.col("at")).alias("start"), _shingle(F.col("h"), F.col("lengths"), F.col("size"), F.col("at")).alias("sh"))
+
+
 def _added(df: DataFrame, bits: dict[int, list[str]], *others: str) -> tuple[DataFrame, dict[int, list[str]]]:
     """Add up columns of 64 one-bit lanes by full adders: bits names columns by what their bits count for, at the end one for each.
 
@@ -127,7 +136,7 @@ def _first_block(key: Column, differ: Column) -> Column:
     return reduce(lambda so_far, i: so_far & ((block <= i) | (parts[i] != 0)), range(RADIUS), F.lit(True))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", short_within: bool = False) -> DataFrame:
     """Benchmark items that stand in documents.
 
     docs: id_col (long), text_col; benchmark: item_id (long), text; other
@@ -135,10 +144,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     of L successive words of it (fewer at its ends) has, on sets of 5-word
     shingles weighted by their letters, 100 * common weight >= percent * weight
     of the union.  Items of under 5 words are one shingle, found in documents
-    of just these words.  Null or empty texts hold nothing and are in nothing.
-    Returns doc_id, text_hash, item_id, common, total (weights of the best
-    window) once for each (doc_id, text) and item; repeated rows count once,
-    null ids are kept as null.  Of empty tables, none.
+    of just these words; with short_within, as those of more words, in any
+    window.  Null or empty texts hold nothing and are in nothing.  Returns
+    doc_id, text_hash, item_id, common, total (weights of the best window) once
+    for each (doc_id, text) and item; repeated rows count once, null ids of
+    documents and of items are kept as null, and different texts with one
+    item_id are looked for each by itself.  Of empty tables, none.
 
     Every window of SIZE words has a fingerprint, in documents and in items, and
     blocks look the documents' up among all items.  A shingle that both have is
@@ -148,18 +159,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     item's weight are all compared, and no other can be similar enough.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0).withColumn("text_hash", F.xxhash64("text"))
-    hashed = _hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).distinct(), "text", "item_id").where("n > 0")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).distinct()
+    hashed = _hashed(named.withColumn("item", F.xxhash64("item_id", "text")), "text", "item", "item_id").where("n > 0")
     items = C.cut(hashed.withColumnRenamed("n", "length").withColumn("own", _set(F.col("h"), F.col("lengths"), F.col("length"))).withColumn("whole", _weight(F.col("own"))))
     words = _hashed(texts, "text", "doc_id", "text_hash")
-    place = ["doc_id", "text_hash", "item_id", "length", "whole"]
+    place = ["doc_id", "text_hash", "item", "length", "whole"]
 
-    short = words.where(F.col("n").between(1, SIZE - 1)).select("doc_id", "text_hash", _shingle(F.col("h"), F.col("lengths"), F.col("n"), F.lit(0)).alias("sh"))
-    of_short = short.join(_sized(items.where(F.col("length") < SIZE).select("item_id", "length", "whole", F.col("own")[0].alias("sh"))), "sh").select(*place, F.lit(0).alias("start"))
+    short_items = items.where(F.col("length") < SIZE).select("item", "length", "whole", F.col("own")[0].alias("sh"))
+    short = words.where(F.col("n").between(1, SIZE - 1)).select("doc_id", "text_hash", F.lit(0).alias("start"), _shingle(F.col("h"), F.col("lengths"), F.col("n"), F.lit(0)).alias("sh"))
+    if short_within and (sizes := sorted(r.length for r in short_items.select("length").distinct().collect())):
+        short = _short_windows(words, sizes, "doc_id", "text_hash")
+    of_short = short.join(_sized(short_items), "sh").groupBy(*place).agg(F.min("start").alias("start"))  # windows with an item's one shingle are all alike
 
-    every = items.where(F.col("length") >= SIZE).select("item_id", "length", "whole", "h", "lengths", F.explode(F.sequence(F.lit(0), F.col("length") - SIZE)).alias("at"))
+    every = items.where(F.col("length") >= SIZE).select("item", "length", "whole", "h", "lengths", F.explode(F.sequence(F.lit(0), F.col("length") - SIZE)).alias("at"))
     letters = _shingle(F.col("h"), F.col("lengths"), F.col("length"), F.col("at")).bitwiseAND(F.lit((1 << _WEIGHT_BITS) - 1).cast("long"))
-    prints = _fingerprints(every.withColumn("letters", letters).withColumn("left", F.lit(SIZE)), [SIZE], "item_id", "length", "whole", "letters")
-    index = C.cut(prints.select("item_id", "length", "whole", "letters", F.explode(_blocks(SIZE)).alias("b")).select("item_id", "length", "whole", "letters", "b.key", F.col("b.fp").alias("item_fp")).distinct())
+    prints = _fingerprints(every.withColumn("letters", letters).withColumn("left", F.lit(SIZE)), [SIZE], "item", "length", "whole", "letters")
+    index = C.cut(prints.select("item", "length", "whole", "letters", F.explode(_blocks(SIZE)).alias("b")).select("item", "length", "whole", "letters", "b.key", F.col("b.fp").alias("item_fp")).distinct())
     pieces = words.where(F.col("n") >= SIZE).select("doc_id", "text_hash", "n", "h", F.explode(F.sequence(F.lit(0), F.col("n") - SIZE, F.lit(PIECE))).alias("from"))
     pieces = pieces.select("doc_id", "text_hash", "from", F.slice("h", F.col("from") + 1, PIECE + SIZE - 1).alias("h"))
     windows = pieces.select("doc_id", "text_hash", "from", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SIZE)).alias("at")).withColumn("left", F.lit(SIZE))
@@ -175,17 +190,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     places = of_short.unionByName(most.where(enough(F.col("letters"))).select(*place, "start"))
 
     found = places.groupBy(*place).agg(F.collect_set("start").alias("starts"))
-    found = C.cut(found.select("doc_id", "text_hash", F.struct("item_id", "length", "starts").alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("found")))
+    found = C.cut(found.select("doc_id", "text_hash", F.struct("item", "length", "starts").alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("found")))
 
     number = F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + 1 + F.ceil(F.size(f["starts"]) / 25))  # starts take 4 bytes each
     same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["text_hash"] == found["text_hash"])
     chosen = texts.join(_sized(found, number), same).select(texts["doc_id"], texts["text_hash"], "text", "found")
-    each = _hashed(chosen, "text", "doc_id", "text_hash", "found").select("doc_id", "text_hash", "n", "h", "lengths", F.explode("found").alias("f")).select("doc_id", "text_hash", "n", "h", "lengths", "f.item_id", "f.length", F.explode("f.starts").alias("start"))
+    each = _hashed(chosen, "text", "doc_id", "text_hash", "found").select("doc_id", "text_hash", "n", "h", "lengths", F.explode("found").alias("f")).select("doc_id", "text_hash", "n", "h", "lengths", "f.item", "f.length", F.explode("f.starts").alias("start"))
     first = F.greatest(F.col("start"), F.lit(0))
     size = F.least(F.col("start") + F.col("length"), F.col("n")) - first
-    windows = each.where(size > 0).select("doc_id", "text_hash", "item_id", F.slice("h", first + 1, size).alias("h"), F.slice("lengths", first + 1, size).alias("lengths"), size.alias("n"))
-    sets = windows.select("doc_id", "text_hash", "item_id", _set(F.col("h"), F.col("lengths"), F.col("n")).alias("set"))
-    sums = sets.join(_sized(items.select("item_id", "own")), "item_id").select("doc_id", "text_hash", "item_id", _weight(F.array_intersect("set", "own")).alias("common"), _weight(F.array_union("set", "own")).alias("total"))
+    windows = each.where(size > 0).select("doc_id", "text_hash", "item", F.slice("h", first + 1, size).alias("h"), F.slice("lengths", first + 1, size).alias("lengths"), size.alias("n"))
+    sets = windows.select("doc_id", "text_hash", "item", _set(F.col("h"), F.col("lengths"), F.col("n")).alias("set"))
+    sums = sets.join(_sized(items.select("item", "item_id", "own")), "item").select("doc_id", "text_hash", "item_id", _weight(F.array_intersect("set", "own")).alias("common"), _weight(F.array_union("set", "own")).alias("total"))
     best = F.max(F.struct((F.col("common") / F.col("total")).alias("s"), "common", "total")).alias("best")
     leaks = sums.where(F.col("common") * 100 >= F.col("total") * percent)
     return leaks.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.common", "best.total")

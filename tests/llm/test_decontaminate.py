@@ -123,3 +123,36 @@ def test_every_window_that_is_similar_enough(spark):
     assert {(d, d) for d in (1, 2, 3, 5)} <= want.keys() and len(want) > 20
     found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert got(found) == want
+
+
+def test_items_without_id_and_texts_that_share_one(spark):
+    """Each text of the benchmark is looked for by itself, in windows of its own length."""
+    w = [f"w{i:03d}" for i in range(60)]
+    items = [(None, " ".join(w[10:40])), (None, "no id"), (9, " ".join(w[:20])), (9, " ".join(w[25:55])), (5, " ".join([*w[:10], "p", "q", "r", *w[10:20]])), (5, " ".join(["o", *w[:10], *w[10:20]]))]
+    docs = [(1, " ".join(w)), (2, " ".join([*w[30:], *w[:30]])), (3, " ".join(w[:15])), (4, "no id"), (None, " ".join(w[5:42])), (6, " ".join(["o", *w[:10], "p", "q", *w[10:16]]))]
+    want = brute(docs, items)
+    assert {(1, None), (4, None), (None, None), (1, 9), (1, 5)} <= want.keys()
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got(found) == want
+
+
+def test_short_items_in_any_window(spark):
+    """Items of one to four words at all places of longer documents, also where the pieces of a document meet."""
+    random.seed(6)
+    items = [(1, "alone"), (2, "One  two"), (3, "a b c"), (4, "same same"), (5, "d e f g"), (6, "d e f g h"), (7, "same"), (8, None), (9, ""), (None, "no id")]
+    docs = [(1, "alone"), (2, "one two"), (3, "zero one TWO"), (4, "one and two"), (5, "alone d e f g"), (6, "d e f g h"), (7, "same " * 2000), (8, "e f g"), (9, None), (10, ""), (11, "  "), (None, "x no id y")]
+    for d in range(20, 60):
+        filler, w = [f"x{i}" for i in range(2400)], random.choice(items[:6])[1].split()
+        k = random.choice([0, decontaminate.PIECE * random.randint(1, 3) - random.randint(0, 5), random.randrange(2400), 2400])
+        docs.append((d, " ".join([*filler[:k], *w, *filler[k:]])))
+    want = set()
+    for d, t in docs:
+        w = (t or "").lower().split()
+        for i, s in items:
+            v = (s or "").lower().split()
+            if v and any(w[k : k + len(v)] == v for k in range(len(w))):
+                want.add((d, i))
+    assert len(want) > 50
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = got(decontaminate.find_leaks(a, b, short_within=True))
+    assert found.keys() == want and set(found.values()) == {1}

@@ -139,3 +139,11 @@ def test_leaks_changed_at_both_ends_go(spark, tmp_path):
     assert test_decontaminate.brute(docs, [(5, " ".join(item))]).keys() == {(1, 5), (None, 5)}
     spark.createDataFrame([(5, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in P.drop_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_leaks_of_short_items_and_items_without_id_go(spark, tmp_path):
+    """The decontaminate stage looks for every item, also of under five words or without an id, at every place."""
+    long = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(5, "Four words of it"), (6, "alone"), (None, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "here are four words of it and more"), (2, "it is ALONE"), (3, f"before {long} behind"), (4, "four words or it, not alone, stay"), (None, "alone"), (7, None)]
+    assert [r.doc_id for r in P.drop_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).orderBy("doc_id").collect()] == [4, 7]
