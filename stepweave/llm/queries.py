@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, decontaminate, fingerprint, lm, neardup, pii, quality, substrings, toxicity
+from . import bpe, chat, decontaminate, fingerprint, lm, neardup, pii, quality, rules, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,5 +93,34 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("per_token"), ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint)}
-ORACLE_SQL = {"op6_chat": OP6_SQL}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"), keep_text=False)
+    return df.select("doc_id", *rules.BASE, "base_failed", "kept", "llr_sum", "n_grams")
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+each AS (SELECT rid, unnest(range(len(w))) AS p, unnest(w) AS a FROM w),
+three AS (SELECT rid, p, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM each WINDOW o AS (PARTITION BY rid ORDER BY p)),
+again AS (SELECT rid, unnest(list(p)) AS p FROM three WHERE c IS NOT NULL GROUP BY rid, a, b, c HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT p + k) AS n FROM again, (VALUES (0), (1), (2)) t(k) GROUP BY rid),
+base AS (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid)),
+tokens AS (SELECT rid, regexp_extract_all(text, '{rules.TOKEN}') AS t FROM d),
+numbers AS (SELECT rid, unnest(range(len(t))) AS p, ('0x' || substr(md5(unnest(t)), 1, 7))::BIGINT AS h FROM tokens),
+grams AS (SELECT rid, h % {rules.BUCKETS} AS bucket FROM numbers UNION ALL
+  SELECT rid, (g * 1000003 + h) % {rules.BUCKETS} FROM (SELECT rid, h, lag(h) OVER (PARTITION BY rid ORDER BY p) AS g FROM numbers) WHERE g IS NOT NULL),
+ids AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % {rules.APART} = 0 AS apart FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)),
+counts AS (SELECT bucket, count(*) AS n, count(*) FILTER (WHERE NOT apart) AS mine FROM grams JOIN d USING (rid) LEFT JOIN ids USING (doc_id) GROUP BY bucket),
+weights AS (SELECT bucket, floor((ln((mine + 1)::DOUBLE / (sum(mine) OVER () + {rules.BUCKETS})::DOUBLE) - ln((n + 1)::DOUBLE / (sum(n) OVER () + {rules.BUCKETS})::DOUBLE)) * {rules.UNITS} + 0.5)::BIGINT AS weight FROM counts),
+scored AS (SELECT base.*, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, coalesce(s, 0)::BIGINT AS llr_sum, coalesce(g, 0)::BIGINT AS n_grams, coalesce(s::DOUBLE / ({rules.UNITS}.0::DOUBLE * g), 0) AS llr
+  FROM base LEFT JOIN (SELECT rid, sum(weight) AS s, count(*) AS g FROM grams JOIN weights USING (bucket) GROUP BY rid) USING (rid)),
+steps AS (SELECT floor(llr * {rules.STEPS}) AS step, count(*) AS n FROM scored JOIN ids USING (doc_id) WHERE apart AND NOT base_failed GROUP BY step),
+chosen AS (SELECT max(step) / {rules.STEPS} AS threshold FROM (SELECT step, sum(n) OVER (ORDER BY step) - n AS below, sum(n) OVER () AS total FROM steps) WHERE below * 1000 <= {rules.LOST} * total)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(llr >= threshold, true) AS kept, llr_sum, n_grams FROM scored, chosen
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint, op11_quality_rules)}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op11_quality_rules": OP11_SQL}
