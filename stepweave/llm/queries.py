@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, chat, decontaminate, fingerprint, lm, neardup, pii, quality, rules, substrings, toxicity
+from . import bpe, chat, codes, decontaminate, fingerprint, lm, neardup, pii, quality, rules, substrings, toxicity, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,10 +117,43 @@ weights AS (SELECT bucket, floor((ln((mine + 1)::DOUBLE / (sum(mine) OVER () + {
 scored AS (SELECT base.*, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, coalesce(s, 0)::BIGINT AS llr_sum, coalesce(g, 0)::BIGINT AS n_grams, coalesce(s::DOUBLE / ({rules.UNITS}.0::DOUBLE * g), 0) AS llr
   FROM base LEFT JOIN (SELECT rid, sum(weight) AS s, count(*) AS g FROM grams JOIN weights USING (bucket) GROUP BY rid) USING (rid)),
 steps AS (SELECT floor(llr * {rules.STEPS}) AS step, count(*) AS n FROM scored JOIN ids USING (doc_id) WHERE apart AND NOT base_failed GROUP BY step),
-chosen AS (SELECT max(step) / {rules.STEPS} AS threshold FROM (SELECT step, sum(n) OVER (ORDER BY step) - n AS below, sum(n) OVER () AS total FROM steps) WHERE below * 1000 <= {rules.LOST} * total)
+chosen AS (SELECT (3 * max(step) FILTER (WHERE below * 1000 <= {rules.LOST} * total) - max(step) FILTER (WHERE below * 2 <= total))::DOUBLE / {2 * rules.STEPS} AS threshold FROM (SELECT step, sum(n) OVER (ORDER BY step) - n AS below, sum(n) OVER () AS total FROM steps))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(llr >= threshold, true) AS kept, llr_sum, n_grams FROM scored, chosen
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint, op11_quality_rules)}
-ORACLE_SQL = {"op6_chat": OP6_SQL, "op11_quality_rules": OP11_SQL}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    df = codes.with_label_errors(coded)
+    return df.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Every distance of every part to every entry, in each round."""
+    width = f"(len(v) // {codes.PARTS})"
+    steps = f"""
+k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda e: floor({codes.SCALE} * e::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS (SELECT rid, p, v[p * {width} + 1 : (p + 1) * {width}] AS x FROM k, (SELECT unnest(range({codes.PARTS})) AS p)),
+b0 AS (SELECT p, e, x AS b FROM x JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k ORDER BY vec_id, v LIMIT {codes.ENTRIES}) USING (rid))"""
+    nearest = lambda b: f"SELECT rid, p, arg_min(e, (d, e)) AS e, min(d) AS d, any_value(x) AS x FROM (SELECT rid, x.p, e, x, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN {b} USING (p)) GROUP BY rid, p"
+    for r in range(codes.ROUNDS):
+        steps += f""",
+a{r} AS ({nearest(f"b{r}")}),
+m{r} AS (SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM x) + 1)) AS i) GROUP BY ALL),
+b{r + 1} AS (SELECT p, e, coalesce(any_value(t.b), any_value(o.b)) AS b FROM b{r} o LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS b FROM m{r} GROUP BY p, e) t USING (p, e) GROUP BY p, e)"""
+    return f"""WITH {steps},
+f AS ({nearest(f"b{codes.ROUNDS}")}),
+g AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, e)) FROM b{codes.ROUNDS}) AS codebooks_sha256 FROM g JOIN k USING (rid)"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = whiten.whiten(table(spark, sf_dir, "embeddings")).select("*", F.posexplode("whitened").alias("i", "value"))
+    return df.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.get("explained", "i").alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_toxicity, op5_near_dedup, op6_chat, op7_lm, op8_decontaminate, op9_substrings, op10_fingerprint, op11_quality_rules, op12_vector_codes, op13_whitening)}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op11_quality_rules": OP11_SQL, "op12_vector_codes": OP12_SQL}

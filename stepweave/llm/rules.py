@@ -13,7 +13,7 @@ BUCKETS = 1 << 14
 UNITS = 1_000_000
 #: Steps a unit of log-likelihood ratio in which the trusted documents' scores are counted.
 STEPS = 1000
-#: The share of the trusted documents, in thousandths, that may lie under the threshold.
+#: The share of the trusted documents apart, in thousandths, that the tail is cut at.
 LOST = 5
 #: One in so many trusted ids, by their hash, is set apart for the threshold.
 APART = 5
@@ -101,11 +101,10 @@ def multinomials(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ADDED to every row: BASE, the base rules' verdict, the log-likelihood ratio a gram (llr), the threshold and kept.
 
-    kept: the base rules hold and llr is at least the threshold, the highest of
-    STEPS that all but LOST thousandths of the trusted documents apart that pass
-    the base rules reach; one in APART trusted ids is set apart by its hash, so
-    that the threshold is of documents that the trusted counts don't hold.
-    Without such documents the threshold is null and the base rules alone
+    kept: the base rules hold and llr is at least the threshold, by the trusted
+    documents apart that pass the base rules (threshold_of); one in APART
+    trusted ids is set apart by its hash, so that the threshold is of documents
+    that the trusted counts don't hold.  Without such documents the threshold is null and the base rules alone
     decide; a text without grams scores 0.
 
     Rows are as many as before, repeated ones alike, with all their columns
@@ -135,12 +134,17 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", keep_text:
 
 
 def threshold_of(scores: DataFrame, ids: DataFrame) -> float | None:
-    """The highest step that all but LOST thousandths of the rows of scores (doc_id, llr) whose ids are apart reach, from their numbers a step; None without any."""
+    """From the numbers a step of the rows of scores (doc_id, llr) whose ids are apart; None without any.
+
+    The highest step that all but LOST thousandths reach, less half of what the
+    step that half of them reach lies above it: few rows apart say little about
+    the tail, and what is to be found lies far below.
+    """
     steps = marked(scores, ids).where("apart").groupBy(F.floor(F.col("llr") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     counted = sorted((r["step"], r["n"]) for r in steps.collect())  # at most STEPS for each unit of llr that occurs
-    total, below, best = sum(n for _, n in counted), 0, None
+    total, below, low, middle = sum(n for _, n in counted), 0, None, None
     for step, n in counted:  # below: rows under this step
-        if below * 1000 <= LOST * total:
-            best = step
+        low = step if below * 1000 <= LOST * total else low
+        middle = step if below * 2 <= total else middle
         below += n
-    return None if best is None else best / STEPS
+    return None if low is None else (3 * low - middle) / (2 * STEPS)
