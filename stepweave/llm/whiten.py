@@ -17,6 +17,8 @@ from . import _common as C
 COMPONENTS, SCALE, SHIFT = 32, 64, 1_000_000
 #: Largest size of a component times SCALE: beyond, doubles aren't whole numbers apart.
 LARGEST = 1 << 40
+#: Components whose singular value is less than this part of the first one's (a 10^-12th of its eigenvalue) are rounding, not variance.
+LEAST = 1e-6
 
 
 def whole(rows: DataFrame, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
@@ -44,7 +46,7 @@ def components(x: DataFrame, mean: list[float], n: int, most: int) -> tuple[np.n
     """
     at = F.array(*[F.lit(m) for m in mean])
     centred = x.select(array_to_vector(F.zip_with("x", at, lambda c, m: c.cast("double") - m)).alias("v"))
-    found = RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "v")).computeSVD(min(most, len(mean)), computeU=False)
+    found = RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "v")).computeSVD(min(most, len(mean)), computeU=False, rCond=LEAST)
     return np.array(found.s.toArray()) ** 2 / n, np.array(found.V.toArray())
 
 
