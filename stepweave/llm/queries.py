@@ -107,8 +107,10 @@ again AS (SELECT rid, unnest(list(p)) AS p FROM three WHERE c IS NOT NULL GROUP
 covered AS (SELECT rid, count(DISTINCT p + k) AS n FROM again, (VALUES (0), (1), (2)) t(k) GROUP BY rid),
 base AS (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid)),
-tokens AS (SELECT rid, regexp_extract_all(text, '{rules.TOKEN}') AS t FROM d),
-numbers AS (SELECT rid, unnest(range(len(t))) AS p, ('0x' || substr(md5(unnest(t)), 1, 7))::BIGINT AS h FROM tokens),
+tokens AS (SELECT rid, unnest(range(len(t))) AS p, unnest(t) AS t FROM (SELECT rid, regexp_extract_all(text, '{rules.TOKEN}') AS t FROM d)),
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS r),
+known AS (SELECT t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(t)), lambda i: ('0x' || substr(hex(t), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1]))) AS h FROM (SELECT DISTINCT t FROM tokens), crc_table),
+numbers AS (SELECT rid, p, h FROM tokens JOIN known USING (t)),
 grams AS (SELECT rid, h % {rules.BUCKETS} AS bucket FROM numbers UNION ALL
   SELECT rid, (g * 1000003 + h) % {rules.BUCKETS} FROM (SELECT rid, h, lag(h) OVER (PARTITION BY rid ORDER BY p) AS g FROM numbers) WHERE g IS NOT NULL),
 ids AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % {rules.APART} = 0 AS apart FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)),

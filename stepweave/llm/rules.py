@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A token of the model: a run of ASCII letters and digits and of all beyond ASCII, or a run of ASCII signs.
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+SIGNS = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|" + SIGNS
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*BASE, "base_failed", "llr_sum", "n_grams", "llr", "threshold", "kept")
 
@@ -42,37 +45,39 @@ def base_counts(rows: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
-    counted = rows.select("*", words(text).alias("w"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
-    at = F.sequence(F.lit(0), F.size("w") - 3)
-    windows = F.when(F.size("w") >= 3, F.transform(at, lambda p: F.struct(F.xxhash64(F.get("w", p), F.get("w", p + 1), F.get("w", p + 2)).alias("h"), p.alias("p"))))
+    plain = reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit("")), SYMBOLS, text)
+    counted = rows.select("*", words(text).alias("w"), (F.length(text) - F.length(plain)).cast("long").alias("n_symbols"), lines.alias("lines"))
     counted = counted.select(
-        "*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.sort_array(windows).alias("s"),
-    ).drop("w", "lines")
-    same = lambda x, i: (x["h"] == F.get("s", i)["h"])
-    repeated = F.filter("s", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
+        "row", "text", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"),
+    )
+    window = lambda z, p: F.struct(F.xxhash64(F.get("w", p), F.get("w", p + 1), z).alias("h"), p.alias("p"))
+    windows = F.when(F.size("w") >= 3, F.transform(F.slice("w", F.lit(3), F.size("w") - 2), window))
+    counted = counted.select("*", F.sort_array(windows).alias("s")).drop("w")
+    same = lambda x, i: x["h"].eqNullSafe(F.get("s", i)["h"])
+    repeated = F.filter("s", lambda x, i: same(x, i - 1) | same(x, i + 1))
     counted = counted.select("*", F.sort_array(F.transform(repeated, lambda x: x["p"])).alias("places")).drop("s")
     covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
     return counted.select("row", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def number_of(text: Column) -> Column:
-    """28 bits of a text's MD5, which any SQL can make."""
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
-
-
 def grams(text: Column) -> tuple[Column, Column]:
-    """Two steps to the buckets of a text's tokens and pairs of tokens, each occurrence: tokens' numbers (as column t), and from t the buckets."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), number_of)
-    single = F.transform("t", lambda h: h % BUCKETS)
-    double = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda h, i: (F.get("t", i) * 1_000_003 + h) % BUCKETS)
-    return numbers, F.concat(single, double)
+    """Two steps to the numbers of a text's tokens and pairs of tokens, each occurrence, whose remainder by BUCKETS is their bucket.
+
+    Tokens' numbers are the CRC-32 of their bytes (to be column t).  Signs get
+    spaces around them, so that a split by spaces gives the tokens.
+    """
+    spaced = F.regexp_replace(text, f"({SIGNS})|[\\x00-\\x1F\\x7F]", " $1 ")
+    numbers = F.transform(F.array_remove(F.split(spaced, " "), ""), lambda x: F.crc32(x.cast("binary")))
+    double = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda h, i: F.get("t", i) * 1_000_003 + h)
+    return numbers, F.concat("t", double)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(id, apart) of the ids labelled quality = 1, each once: those apart aren't learned from, but set the threshold."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    return ids.select("id", (number_of(F.col("id").cast("string")) % APART == 0).alias("apart"))
+    number = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 7), 16, 10).cast("long")
+    return ids.select("id", (number % APART == 0).alias("apart"))
 
 
 def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -88,8 +93,8 @@ def multinomials(rows: DataFrame, ids: DataFrame) -> DataFrame:
     ones are those of ids that aren't apart.  Each task sends a row a bucket.
     """
     numbers, buckets = grams(F.col("text"))
-    every = marked(rows, ids).select(numbers.alias("t"), F.coalesce(~F.col("apart"), F.lit(False)).cast("long").alias("mine")).select("mine", F.explode(buckets).alias("bucket"))
-    counts = C.cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("mine").alias("mine")))
+    every = marked(rows, ids).select(numbers.alias("t"), F.coalesce(~F.col("apart"), F.lit(False)).cast("long").alias("mine")).select("mine", F.explode(buckets).alias("gram"))
+    counts = C.cut(every.groupBy((F.col("gram") % BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("mine").alias("mine")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("mine"), F.lit(0)).alias("mine")).first()
     filled = rows.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(F.broadcast(counts), "bucket", "left")  # a row a bucket
     share = lambda c, n: F.ln((F.coalesce(c, F.lit(0)) + F.lit(1)).cast("double") / F.lit(float(n + BUCKETS)))
@@ -120,7 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", keep_text:
     weight = multinomials(rows.select("doc_id", "text"), ids)
     table = weight.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w")).scalar()  # BUCKETS numbers
     numbers, buckets = grams(F.col("text"))
-    summed = F.aggregate("b", F.lit(0).cast("long"), lambda s, b: s + F.get("weights", b.cast("int")))
+    summed = F.aggregate("b", F.lit(0).cast("long"), lambda s, b: s + F.get("weights", (b % BUCKETS).cast("int")))
     scored = base_counts(rows.select("row", "text")).select("row", *BASE, numbers.alias("t")).select("row", *BASE, buckets.alias("b"), table.alias("weights"))
     scored = scored.select("row", *BASE, summed.alias("llr_sum"), F.size("b").cast("long").alias("n_grams"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
