@@ -139,13 +139,20 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
     return role[by], h[by].view(np.uint64), x[by]
 
 
+def halves(h: np.ndarray) -> np.ndarray:
+    """0 or 1 for each row, as many of either (or one more): by places in an order that tells nothing of that of h, by which the samples were chosen."""
+    out = np.empty(len(h), np.int64)
+    out[np.argsort(C.mix(h), kind="stable")] = np.arange(len(h)) % 2
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
     """Fit on trusted positives (labels.quality = 1) and unlabelled documents, both of ids whose crc32 mod 4 isn't 2.
 
     Bounded samples: the positives and unlabelled ids of the least hash, one
     row of each id, a null text as the empty one; null ids and other labels
-    aren't looked at.  A first model, of half of each, scores all documents of
-    these ids: the class prior is that of the corpus, by the trusted rows of the
+    aren't looked at.  A first model, of half of each (halves, which no bound
+    and no size empties), scores all documents of these ids: the class prior is that of the corpus, by the trusted rows of the
     other half.  At last the bias is set by SURE and LOST on trusted rows that
     the weights weren't fitted on.  With under two rows of either kind, so with
     an empty table, nothing can be learned: every text scores UNKNOWN, so that
@@ -159,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return {"mean": np.zeros(N_FEATURES, np.float32), "scale": np.ones(N_FEATURES, np.float32), "w": w, "prior": 0.5}
     scale = u.mean(0), u.std(0) + np.float32(0.02)
     p, u = _scaled(p, scale), _scaled(u, scale)
-    half = lambda x, h, k: x[h >> np.uint64(63) == k] if 0 < (h >> np.uint64(63) == k).sum() else x
-    first = tell_apart(half(p, hp, 0), half(u, hu, 0))
+    in_p, in_u = halves(hp), halves(hu)
+    first = tell_apart(p[in_p == 0], u[in_u == 0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * REACH * STEPS + 1, np.int64)
@@ -173,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     got = fold.mapInArrow(count, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()  # a number for each step at most
     counts = np.zeros(2 * REACH * STEPS + 1, np.int64)
     counts[got.column("step").to_numpy()] = got.column("n").to_numpy()
-    prior = class_prior(half(p, hp, 1) @ first, counts)
+    prior = class_prior(p[in_p == 1] @ first, counts)
     apart = hp % np.uint64(APART) == 0
     if not 20 <= apart.sum() < len(p):
         apart = np.ones(len(p), bool)

@@ -132,3 +132,40 @@ def test_toxicity_ratios_and_scores_against_plain_ones(spark):
     for r in rows:
         z = sum(model["value"][b] for b in {of.get(g, -1) for g in grams[r.doc_id]} - {-1}) + model["bias"]
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+@pytest.mark.parametrize(("positives", "unlabelled"), [(60, 150), (6000, 8000)])  # bounds that bind, and that don't
+def test_prior_is_of_trusted_rows_that_the_first_model_was_not_fitted_on(spark, positives, unlabelled):
+    docs, labels = queries.documents(spark, SF), queries.table(spark, SF, "labels")
+    role, h, x = quality.sample(docs, labels, positives, unlabelled)
+    trusted = np.flatnonzero(role == 1)
+    assert len(trusted) == min(positives, 251) or positives > 251
+    for r in (0, 1):
+        half = quality.halves(h[role == r])
+        assert abs((half == 0).sum() - (half == 1).sum()) <= 1 and len(half) >= 2
+        assert 0.2 < np.corrcoef(np.argsort(h[role == r]), half)[0, 1] + 0.5 < 0.8  # not an end of the order that they were chosen in
+    u, p = x[role == 0], x[role == 1]
+    mean, scale = u.mean(0), u.std(0) + np.float32(0.02)
+    scaled = lambda a: np.hstack([np.clip((a - mean) / scale, -6, 6), np.ones((len(a), 1))])
+    p, u, in_p, in_u = scaled(p), scaled(u), quality.halves(h[role == 1]), quality.halves(h[role == 0])
+    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+    for t in range(1, 201):  # the first model, as text books have it
+        a, b = p[in_p == 0], u[in_u == 0]
+        g = -(a / (1 + np.exp(a @ w))[:, None]).mean(0) + (b / (1 + np.exp(-(b @ w)))[:, None]).mean(0)
+        g[:-1] += 1e-3 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    every = [r.text or "" for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    data = np.frombuffer("".join(every).encode(), np.uint8)
+    z = scaled(quality.features(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in every])]))) @ w
+    step = lambda z: np.floor((np.clip(z, -30, 30) + 30) * 100)
+    apart = step(p[in_p == 1] @ w)
+    ratios = [((step(z) >= c).mean() + 0.5 / np.sqrt(len(z))) / (apart >= c).mean() for c in step(np.quantile(p[in_p == 1] @ w, np.linspace(0, 0.9, 91)))]
+    assert quality.train(docs, labels, positives, unlabelled)["prior"] == pytest.approx(np.clip(min(ratios), 0.05, 0.99), abs=0.02)
+
+
+def test_held_out_toxic_labels_are_not_read(spark):
+    docs, labels = queries.documents(spark, SF), queries.table(spark, SF, "labels")
+    turned = labels.selectExpr("doc_id", "quality", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, 1 - toxic, toxic) AS toxic")
+    a, b = (sorted(toxicity.score_toxicity(docs, toxicity.train(docs, x)).select("doc_id", "score").collect()) for x in (labels, turned))
+    assert [r.doc_id for r in a] == [r.doc_id for r in b] and np.allclose([r.score for r in a], [r.score for r in b], atol=1e-6)
