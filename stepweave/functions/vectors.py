@@ -49,9 +49,14 @@ def pearson(a: Column, b: Column, arith: str = "int64") -> Column:
     Sums and quotients are integers; arith="int32" wraps them as 32-bit
     arithmetic does.
     """
+    return pearson_given(a, b, moments(a, arith), moments(b, arith), arith)
+
+
+def pearson_given(a: Column, b: Column, ma: tuple[Column, Column], mb: tuple[Column, Column], arith: str = "int64") -> Column:
+    """pearson of two arrays whose moments are known."""
     w = ARITH[arith]
     sxy = w(F.aggregate(F.zip_with(a, b, lambda x, y: w(x.cast("long") * y.cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x))
-    return _distance(sxy, moments(a, arith), moments(b, arith), F.size(a).cast("long"), w)
+    return _distance(sxy, ma, mb, F.size(a).cast("long"), w)
 
 
 def pearson_of(x: list[Column], y: list[Column], a: tuple[Column, Column], b: tuple[Column, Column], arith: str = "int64") -> Column:

@@ -7,11 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean, moments, pearson, pearson_of
-from .lineage import cut, free
+from ..functions.vectors import mean, moments, pearson, pearson_given, pearson_of
+from .lineage import cut, folder, free
 
 log = logging.getLogger(__name__)
 #: Longest vectors whose products are written out one by one; those of longer ones are made in a loop over arrays.
@@ -27,22 +27,46 @@ def pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", pearson(F.col("vi"), F.col("vj"), arith).alias("d"))
 
 
-def many_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
-    """As pairs, for many rows: sums are made once a row, and a pair's distance is compiled arithmetic in a loop.
+def tiles(matrix: DataFrame, count: int, queries: Column | None = None) -> DataFrame:
+    """Rows i and j of each two with i < j: every column of matrix with i or j behind its name; neither side is sent to all tasks.
 
-    All vectors must have one length.  All rows go to every task, which is
-    little beside the pairs that they make, and each takes some rows' pairs.
+    Rows are dealt to blocks by the hash of their id.  A block of i and one of j
+    are a tile, so each row goes to as many tiles on either side as there are
+    blocks, and a tile looks at about TASK_PAIRS pairs.  With queries, a condition on rows, i are the
+    rows for which it holds and j all others, whatever their ids.
     """
-    m = cut(matrix.select("id", "vec", *[x.alias(k) for k, x in zip(("s", "v"), moments(F.col("vec"), arith), strict=True)]))
+    blocks = max(1, math.ceil(count / math.sqrt(TASK_PAIRS)))
+    dealt = matrix.select("*", F.pmod(F.hash("id"), F.lit(blocks)).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"))
+    own, other = F.col("_own"), F.col("_other")
+    side = lambda df, k, tile: df.select(*[F.col(c).alias(f"{c}{k}") for c in matrix.columns], tile.alias("_tile"))
+    left = side(dealt if queries is None else dealt.where(queries), "i", own * blocks + other)
+    right, which = side(dealt, "j", other * blocks + own), F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
+    dealt_out = lambda df: df.repartition(blocks * blocks, "_tile")
+    return dealt_out(left).join(dealt_out(right), "_tile").where(which).drop("_tile")
+
+
+def measured(matrix: DataFrame, arith: str) -> tuple[DataFrame, int, int]:
+    """A table (id, vec, s, v) with each row's sums, the number of rows and their common length."""
+    m = cut(matrix.select("id", F.col("vec").cast("array<int>").alias("vec"), *[x.alias(k) for k, x in zip(("s", "v"), moments(F.col("vec"), arith), strict=True)]))
     rows, least, most = m.agg(F.count(F.lit(1)), F.min(F.size("vec")), F.max(F.size("vec"))).first()
     if least != most:
         raise ValueError("vectors differ in length")
+    return m, rows, most or 0
+
+
+def many_pairs(matrix: DataFrame, arith: str = "int64", queries: Column | None = None) -> DataFrame:
+    """As pairs, for many rows: sums are made once a row, and a pair's distance is compiled arithmetic in a loop over tiles.
+
+    All vectors must have one length.  With queries (a condition on id), the
+    distances of the rows for which it holds to all other rows.
+    """
+    m, rows, most = measured(matrix, arith)
     if not most or most > WIDE:
-        return pairs(m.select("id", "vec"), arith)
-    a, b = (m.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("v").alias(f"v{k}"), *[F.get("vec", F.lit(c)).cast("long").alias(f"{k}{c}") for c in range(most)]) for k in "ij")
-    both = a.repartition(max(1, math.ceil(rows * rows / TASK_PAIRS)), "i").join(F.broadcast(b), F.col("i") < F.col("j"))
-    x, y = ([F.col(f"{k}{c}") for c in range(most)] for k in "ij")
-    return both.select("i", "j", pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith).alias("d"))
+        both = tiles(m.select("id", "vec"), rows, queries)
+        return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), pearson(F.col("veci"), F.col("vecj"), arith).alias("d"))
+    both = tiles(m.select("id", "s", "v", *[F.get("vec", F.lit(c)).cast("long").alias(f"c{c}_") for c in range(most)]), rows, queries)
+    x, y = ([F.col(f"c{c}_{k}") for c in range(most)] for k in "ij")
+    return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith).alias("d"))
 
 
 def ordered_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
@@ -165,40 +189,162 @@ def hcluster(matrix: DataFrame, mode: str = "seq", arith: str = "int64", key: st
     return grouped.groupBy(name).applyInPandas(one, schema)
 
 
-def hcluster_distributed(matrix: DataFrame, mode: str = "seq", arith: str = "int64", cut_every: int = 8) -> DataFrame:
-    """The same merges with the distances of all pairs kept in a table, for matrices too large for a task.
+def nearest_later(m: DataFrame, count: int, arith: str = "int64") -> DataFrame:
+    """Rows of m (measured) with nan, d and near: the least (distance, id) among the rows of higher ids; null for the highest."""
+    both = tiles(m, count)
+    d = pearson_given(F.col("veci"), F.col("vecj"), (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith)
+    best = both.select(F.col("idi").alias("id"), F.col("idj").alias("near"), d.alias("d")).groupBy("id").agg(F.min(F.struct(F.isnan("d").alias("nan"), "d", "near")).alias("b"))
+    return m.join(best, "id", "left").select("id", "vec", "s", "v", "b.nan", "b.d", "b.near")
+
 
-    Each merge is one least pair and its two vectors to the driver, one new row
-    of distances, and a filter of the pairs that are gone.
+def _ints(values) -> Column:
+    return F.expr(f"cast(array({', '.join(map(str, values))}) as array<int>)")
+
+
+class _Clusters:
+    """The live clusters of one clustering, each with its nearest one of a higher id.
+
+    They are a table, of which the driver has the `most` rows of the least
+    distances (top), what was merged since it was written (gone) and the
+    clusters that this made (made); when these grow, it is written anew.  A row
+    whose nearest one is gone keeps that distance, which its true one can't be
+    under, and is searched for again when nothing else is nearer.  So a merge
+    takes about one pass over the live rows, for the new cluster and some rows
+    that wait; no distances are kept but a row's least one.
     """
-    spark = matrix.sparkSession
-    live = cut(matrix.select("id", F.col("vec").cast("array<int>").alias("vec")))
-    known = cut(pairs(live, arith).select(F.col("i").alias("a"), F.col("j").alias("b"), "d"))
-    left, merges, new, tables = live.count(), [], 0, [live, known]
-    while left > 1:
-        # the least pair, and that of the two lowest ids, which seq falls back on
-        m, f = known.agg(F.min(F.struct(F.isnan("d").alias("nan"), "d", "a", "b")), F.min(F.struct("a", "b", "d"))).first()
-        a, b, d = (f["a"], f["b"], f["d"]) if mode == "seq" and math.isnan(f["d"]) else (m["a"], m["b"], m["d"])
-        if mode != "seq" and m["nan"]:
+
+    FIELDS = "id int, vec array<int>, s long, v long, nan boolean, d double, near int, stale boolean"
+
+    def __init__(self, matrix: DataFrame, mode: str, arith: str, most: int):
+        m, self.left, length = measured(matrix, arith)
+        self.spark, self.mode, self.arith, self.most = matrix.sparkSession, mode, arith, most
+        self.compared = 0  # distances that passes after the first have made
+        if self.left > 1 and m.select("id").distinct().count() < self.left:
+            raise ValueError("ids repeat")
+        self.parts = max(1, math.ceil(self.left * max(1, length) / 2_000_000))
+        self.table = cut(nearest_later(m, self.left, arith).withColumn("stale", F.lit(False)).repartition(self.parts))
+        free(m)
+        self._load()
+
+    def _key(self, c: dict) -> tuple:
+        return c["nan"], 0.0 if c["nan"] else c["d"], *_oriented(c["id"], c["near"], self.mode)
+
+    def _stale(self, c: dict) -> bool:
+        return c["stale"] or c["near"] in self.gone
+
+    def _load(self) -> None:
+        merged = (F.col("id") < 0) & F.lit(self.mode == "bsp")
+        kept, gone = F.when(merged, F.col("near")).otherwise(F.col("id")), F.when(merged, F.col("id")).otherwise(F.col("near"))
+        rows = [r.asDict() for r in self.table.where("near IS NOT NULL").orderBy("nan", "d", kept, gone).limit(self.most).collect()]
+        self.top = {c["id"]: c for c in rows}
+        self.reach = self._key(rows[-1]) if len(rows) == self.most else None  # None: no other row has a nearest one
+        self.gone, self.made = [], {}  # ids, of which there are at most a few times `most`
+
+    def _write(self) -> None:
+        before = self.table
+        rows = [(*(c[k] for k in ("id", "vec", "s", "v", "nan", "d", "near")), self._stale(c)) for c in [*self.top.values(), *self.made.values()]]
+        kept = before.where(~F.array_contains(_ints([*self.gone, *self.top]), F.col("id")))
+        kept = kept.withColumn("stale", F.col("stale") | F.coalesce(F.array_contains(_ints(self.gone), F.col("near")), F.lit(False)))
+        self.table = cut(kept.unionByName(self.spark.createDataFrame(rows, self.FIELDS)).coalesce(self.parts))
+        free(before)
+        self._load()
+
+    def search(self, wanted: list[dict]) -> dict[int, tuple]:
+        """For each wanted cluster, among the live ones of higher ids, the nearest as (nan, d, id) and the first as (id, nan), or None; the nearest is noted in it."""
+        told = ", ".join(f"named_struct('q', {c['id']}, 'w', array({', '.join(map(str, c['vec']))}), 's', {c['s']}L, 'v', {c['v']}L)" for c in wanted)
+        rows = self.table.where(~F.array_contains(_ints(self.gone), F.col("id"))).select("id", "vec", "s", "v", F.explode(F.expr(f"array({told})")).alias("w"))
+        d = pearson_given(F.col("vec"), F.col("w.w"), (F.col("s"), F.col("v")), (F.col("w.s"), F.col("w.v")), self.arith)
+        rows = rows.where(F.col("id") > F.col("w.q")).select(F.col("w.q").alias("q"), "id", d.alias("d"))
+        near, first = F.struct(F.isnan("d").alias("nan"), "d", "id"), F.struct("id", F.isnan("d").alias("nan"))
+        found = {r["q"]: (tuple(r["n"]), tuple(r["f"])) for r in rows.groupBy("q").agg(F.min(near).alias("n"), F.min(first).alias("f")).collect()}
+        self.compared += len(wanted) * self.left
+        for c in wanted:
+            near, first = found.get(c["id"], (None, None))
+            for o in self.made.values():
+                if o["id"] > c["id"]:
+                    d = distance(o["vec"], c["vec"], self.arith)
+                    near = min((x for x in (near, (math.isnan(d), d, o["id"])) if x), key=lambda t: (t[0], 0.0 if t[0] else t[1], t[2]))
+                    first = min((x for x in (first, (o["id"], math.isnan(d))) if x), key=lambda t: t[0])
+            c["nan"], c["d"], c["near"], c["stale"] = *(near or (None, None, None)), False
+            found[c["id"]] = near, first
+        return found
+
+    def closest(self) -> tuple[int, int, float]:
+        while True:
+            named = [c for c in [*self.top.values(), *self.made.values()] if c["near"] is not None]
+            best = min(named, key=self._key, default=None)
+            if self.reach is not None and (best is None or self._key(best) > self.reach):
+                self._write()  # the table may have a nearer pair than those known
+            elif self._stale(best):
+                waiting = sorted(filter(self._stale, named), key=self._key)
+                self.search(waiting[: max(1, self.most // 8)])
+            else:
+                return best["id"], best["near"], best["d"]
+
+    def vector(self, i: int) -> list[int]:
+        known = self.made.get(i) or self.top.get(i)
+        return known["vec"] if known else self.table.where(F.col("id") == i).first()["vec"]
+
+    def merge(self, a: int, b: int, new: int) -> tuple[list[int], tuple | None]:
+        """The new cluster's vector, and the first of the others as (id, nan)."""
+        vec = [_div(x + y, 2) for x, y in zip(self.vector(a), self.vector(b), strict=True)]
+        for i in (a, b):
+            self.top.pop(i, None)
+            self.made.pop(i, None)
+            self.gone.append(i)
+        self.left -= 1
+        cluster = {"id": new, "vec": vec, **dict(zip(("s", "v"), _moments(vec, self.arith), strict=True))}
+        _, first = self.search([cluster])[new]
+        self.made[new] = cluster
+        if len(self.gone) > 4 * self.most:
+            self._write()
+        return vec, first
+
+    def lowest(self) -> dict:
+        return self.table.orderBy("id").first().asDict()
+
+
+def _moments(x: list[int], arith: str) -> tuple[int, int]:
+    w, s = (lambda v: _wrap(v, arith)), _wrap(sum(x), arith)
+    return s, w(w(sum(w(a * a) for a in x)) - _div(w(s * s), len(x))) if x else 0
+
+
+def hcluster_distributed(matrix: DataFrame, mode: str = "seq", arith: str = "int64", cut_every: int = 64) -> DataFrame:
+    """The same merges for matrices too large for a task, by a table of each cluster's nearest one.
+
+    All pairs are looked at once, in tiles; then a merge is about one pass over
+    the live rows.  The driver has some cut_every rows and their vectors at a
+    time, and writes the merges out as often.  ids must be different.
+    """
+    if mode not in ("seq", "bsp"):
+        raise ValueError("mode is seq or bsp")
+    spark, clusters = matrix.sparkSession, _Clusters(matrix, mode, arith, max(2, cut_every))
+    merges, new, path, first = [], 0, folder(spark), None
+    flush = lambda: spark.createDataFrame(merges, MERGES).coalesce(1).write.mode("append").parquet(path)
+    low = clusters.lowest() if clusters.left > 1 and mode == "seq" else None
+    if low:
+        first = clusters.search([dict(low)])[low["id"]][1]
+    while clusters.left > 1:
+        if first and first[1]:  # the two lowest ids have no distance: seq merges them before any others
+            a, b, d = low["id"], first[0], math.nan
+        else:
+            a, b, d = clusters.closest()
+        if mode != "seq" and math.isnan(d):
             raise ValueError("no two clusters have a distance")
-        vectors = {r["id"]: r["vec"] for r in live.where(F.col("id").isin(a, b)).collect()}
-        new, left = new - 1, left - 1
-        vec = [_div(x + y, 2) for x, y in zip(vectors[a], vectors[b], strict=True)]
+        a, b = _oriented(a, b, mode)
+        new -= 1
+        vec, first = clusters.merge(a, b, new)
+        low, first = {"id": new}, first if mode == "seq" else None
         merges.append((new, a, b, d, vec))
-        for line in trace(merges[-1:], left + 1):
+        for line in trace(merges[-1:], clusters.left + 1):
             log.debug(line[2])
-        live = live.where(~F.col("id").isin(a, b))
-        one = F.array(*[F.lit(x) for x in vec]).cast("array<int>")
-        pair = (F.col("id"), F.lit(new)) if mode == "bsp" else (F.lit(new), F.col("id"))
-        fresh = live.select(pair[0].alias("a"), pair[1].alias("b"), pearson(F.col("vec"), one, arith).alias("d"))
-        known = known.where(~F.col("a").isin(a, b) & ~F.col("b").isin(a, b)).unionByName(fresh)
-        live = live.unionByName(spark.createDataFrame([(new, vec)], "id int, vec array<int>"))
-        if -new % cut_every == 0:
-            live, known = cut(live), cut(known)
-            free(*tables)
-            tables = [live, known]
-    free(*tables)
-    return spark.createDataFrame(merges, MERGES)
+        if len(merges) >= cut_every:
+            flush()
+            merges = []
+    flush()
+    free(clusters.table)
+    log.debug("distances after the first of all pairs: %d", clusters.compared)
+    return spark.read.schema(MERGES).parquet(path)
 
 
 def trace(merges: list[tuple], clusters: int) -> list[tuple[int, int, str]]:
@@ -209,6 +355,13 @@ def trace(merges: list[tuple], clusters: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def trace_lines(merges: DataFrame, clusters: int) -> DataFrame:
+    """trace of a table of merges, whose ids are -1, -2, ... of a matrix of so many rows, as a table."""
+    k = -F.col("merge_id") - 1
+    texts = F.array(F.format_string("closest %d %d at %.6f", "left_id", "right_id", "distance"), F.format_string("new cluster %d", "merge_id"), F.format_string("live %d", F.lit(clusters) - k - 1))
+    return merges.select(k.alias("merge"), F.posexplode(texts).alias("line", "text"))
+
+
 def first_merge(matrix: DataFrame) -> DataFrame:
     """(left_id, right_id, distance, vec) of the first merge, as one plan."""
     best = closest(pairs(matrix))
@@ -228,3 +381,33 @@ def dendrogram(merges: list[tuple], names: dict[int, str] | None = None) -> list
         else:
             out.append((len(out), depth, names[node] if names else str(node)))
     return out
+
+
+def dendrogram_lines(merges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """dendrogram of a table of merges as a table (line, depth, text): - for merges, names (id, name) or ids for leaves.
+
+    Each node is entered and left once on a walk round the tree, and each of
+    these events knows the next one.  Twice as far at a time, each event gets
+    what lies between it and the end: the nodes still to be entered, which gives
+    the line, and by how much the walk still rises, which gives the depth.  So a
+    tree of n merges takes about 2 + log2 n rounds, however deep it is, each a
+    join on the event that is pointed at.
+    """
+    sides = merges.select("merge_id", "left_id", "right_id")
+    parent = sides.select(F.col("left_id").alias("id"), F.lit("left").alias("side"), "merge_id", "right_id").unionByName(sides.select(F.col("right_id").alias("id"), F.lit("right").alias("side"), "merge_id", "right_id"))
+    nodes = parent.select("id", "side", F.col("merge_id").alias("up"), "right_id").join(sides.select(F.col("merge_id").alias("id"), F.col("left_id").alias("down")), "id", "full")
+    event = lambda node, leaves: F.when(node.isNotNull(), node.cast("long") * 2 + leaves)
+    enter = nodes.select("id", event(F.col("id"), 0).alias("at"), F.coalesce(event(F.col("down"), 0), event(F.col("id"), 1)).alias("next"), F.lit(1).alias("entered"), F.lit(1).alias("rise"))
+    leave = nodes.select("id", event(F.col("id"), 1).alias("at"), F.when(F.col("side") == "left", event(F.col("right_id"), 0)).otherwise(event(F.col("up"), 1)).alias("next"), F.lit(0).alias("entered"), F.lit(-1).alias("rise"))
+    walk = cut(enter.unionByName(leave))
+    total = walk.count() // 2
+    for _ in range((2 * total).bit_length()):
+        further = walk.select(F.col("at").alias("next"), F.col("next").alias("_next"), F.col("entered").alias("_entered"), F.col("rise").alias("_rise"))
+        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("entered", "rise")]
+        before, walk = walk, cut(walk.join(further, "next", "left").select("id", "at", F.col("_next").alias("next"), *sums))
+        free(before)
+    lines = walk.where("at % 2 = 0").select((F.lit(total) - F.col("entered")).cast("int").alias("line"), (-F.col("rise")).cast("int").alias("depth"), "id")
+    if names is None:
+        return lines.select("line", "depth", F.when(F.col("id") < 0, F.lit("-")).otherwise(F.col("id").cast("string")).alias("text"))
+    named = lines.join(names.select(F.col("id").alias("_id"), "name"), F.col("id") == F.col("_id"), "left")
+    return named.select("line", "depth", F.when(F.col("id") < 0, F.lit("-")).otherwise(F.col("name")).alias("text"))

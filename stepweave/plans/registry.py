@@ -273,17 +273,15 @@ def dendrogram_lines_bsp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dendrogram(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    merges = [tuple(r) for r in cluster.hcluster(G.nations(spark, d), mode).collect()]
-    names = {r[0]: r[1] for r in G.table(spark, d, "nation").select("n_nationkey", "n_name").collect()}
-    return spark.createDataFrame(cluster.dendrogram(merges, names), "line int, depth int, text string")
+    names = G.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return cluster.dendrogram_lines(cluster.hcluster_distributed(G.nations(spark, d), mode), names)
 
 
 @query(G.trace_sql())
 def cluster_trace(spark: SparkSession, d: str) -> DataFrame:
     """What the clustering says of each merge when it is traced."""
     m = G.nations(spark, d)
-    merges = sorted((tuple(r) for r in cluster.hcluster(m).collect()), reverse=True)
-    return spark.createDataFrame(cluster.trace(merges, m.count()), "merge int, line int, text string")
+    return cluster.trace_lines(cluster.hcluster_distributed(m), m.count())
 
 
 # ---------------------------------------------------------------- text
