@@ -10,47 +10,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import PropertyGraph
-from .lineage import cut, free
-from .program import Context, CrunchStep, Program
+from .lineage import cut, dealt, free
+from .program import ComputeStep, Context, CrunchStep, Program, Until
 
 log = logging.getLogger(__name__)
 
 
-def run(graph: PropertyGraph, program: Program, iterations: int | None = None, until: Callable[[DataFrame, int], bool] | None = None) -> DataFrame:
-    """Run supersteps 0, 1, ... and return the vertices (id, value) as they end.
+def run(graph: PropertyGraph, program: Program, iterations: int | None = None, until: Until | Callable[[DataFrame, int], bool] | None = None, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Run supersteps 0, 1, ... and return the vertices (id and the state's columns) as they end.
 
-    Ends after iterations supersteps, or when until(state, supersteps done)
-    holds at a barrier; 0 iterations are no bound, so need until.  Mail reaches
-    the next superstep only; what is sent just before a crunch is dropped.  A
-    crunch takes a superstep, and its result is known to the next one; a run
-    that ends on a crunch doesn't deliver it.  Every superstep's state is a
-    table, read for the values and for the mail, and goes when the next is there.
+    Ends after iterations supersteps, or when until holds at a barrier: an
+    Until, or until(state, supersteps done), which may take a pass of its own;
+    0 iterations are no bound, so need until.  Mail reaches the next superstep
+    only; what is sent just before a crunch is dropped.  A crunch takes a
+    superstep, and its result is known to the next one; a run that ends on a
+    crunch doesn't deliver it.  Every superstep's state is a table, read for the
+    values and for the mail, and goes when the next is there; so do the tables
+    that links hand on, when they are replaced.  If mail is sent at all, states
+    lie in buckets of id, so that a superstep moves nothing but its mail; and a
+    crunch's aggregate, or Until's, is worked out as the state is written.
     """
     if (not iterations and until is None) or (iterations or 0) < 0 or (iterations and until is not None):
         raise ValueError("give a positive number of iterations, or until")
-    state, mail, crunched, s = graph.vertices.select("id", "value"), None, None, 0
+    size, shared, mail, crunched, seen, s = graph.size, {}, None, None, None, 0  # seen: of what aggregate the state knows the result
+    state = graph.vertices.select("id", *columns)
+    by = "id" if size and any(isinstance(x, ComputeStep) and x.send is not None for x in program.steps) else None
+    if by:
+        state = cut(dealt(state, by), by)
     while not iterations or s < iterations:
-        step, context = program[s], Context(s, graph.size, crunched)
+        step, context = program[s], Context(s, size, crunched, shared)
         if isinstance(step, CrunchStep):
-            crunched, mail = step.run(state), None
+            crunched, mail = state.observed if step.aggregate is not None and seen is step.aggregate else step.run(state), None
         else:
             crunched, before = None, state
-            if step.update is not None:
-                if mail is None:
-                    after = state.select("id", step.update(F.col("value"), F.lit(None).cast("double"), context).alias("value"))
-                else:
-                    inbox = mail.groupBy(F.col("dst").alias("id")).agg(step.combine(F.col("value")).alias("inbox"))
-                    after = state.join(inbox, "id", "left").select("id", step.update(F.col("value"), F.col("inbox"), context).alias("value"))
-                state = cut(after)
+            inbox = None if mail is None else mail.groupBy(F.col("dst").alias("id")).agg(step.combine(F.col("value")).alias("inbox"))
+            if (new := step.changes(None if inbox is None else F.col("inbox"), context)) is not None:
+                whole = state if inbox is None else state.join(inbox, "id", "left")
+                after = whole.select("id", *[new.get(c, F.col(c)).alias(c) for c in columns])
+                seen = _watched(program[s + 1], until) if size else None
+                state = cut(after, by, seen and seen(F.col("value")))
                 free(before)
+            if step.link is not None:
+                for name, value in step.link(state, context).items():
+                    if isinstance(shared.get(name), DataFrame):
+                        free(shared[name])
+                    shared[name] = value
             mail = step.send(state, context) if step.send is not None else None
         s += 1
         log.debug("superstep %d done", s)
-        if until is not None and until(state, s):
+        if isinstance(until, Until):
+            if until.holds(state.observed if seen is until.aggregate else state.agg(until.aggregate(F.col("value"))).first()[0]):
+                break
+        elif until is not None and until(state, s):
             break
+    free(*[x for x in shared.values() if isinstance(x, DataFrame)])
     return state
 
 
+def _watched(following: ComputeStep | CrunchStep, until: object) -> Callable[[Column], Column] | None:
+    """What is to be worked out of the values while they are written: Until's aggregate, or that of the crunch that follows."""
+    if isinstance(until, Until):
+        return until.aggregate
+    return following.aggregate if isinstance(following, CrunchStep) else None
+
+
 def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None) -> DataFrame:
     """Run an arbitrary Python vertex function, where Columns can't say it.
 

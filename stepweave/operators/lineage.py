@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _made: set[str] = set()
 
@@ -23,15 +23,37 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the checkpoint folder and read it back."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, by: str | None = None, observed: Column | None = None) -> DataFrame:
+    """Write df as a table in the checkpoint folder and read it back.
+
+    by: the table is in buckets of that column, as many as there are shuffle
+    partitions, so that joins and groups on it take it where it lies.  Rows
+    should already be dealt so, or every task writes to every bucket.
+    observed: an aggregate that is worked out while the table is written; it is
+    then the table's `observed`.
+    """
+    spark, path, watch = df.sparkSession, folder(df.sparkSession), Observation()
+    kept = df if observed is None else df.observe(watch, observed.alias("observed"))
+    if by is None:
+        kept.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        name = f"stepweave_{uuid.uuid4().hex}"
+        kept.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(name)
+        out = spark.table(name)
+        out.schema  # noqa: B018  resolved before its name goes; the files stay
+        spark.sql(f"DROP TABLE {name}")
     out._table = path
+    if observed is not None:
+        out.observed = watch.get["observed"]
     return out
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df dealt to the buckets that cut writes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from .engine import run
 from .graph import PropertyGraph
-from .lineage import cut, free
+from .lineage import cut, dealt, free
 from .program import ComputeStep, Context, Program
 
 
-def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_until: int | None = 30, damping: float = 0.85) -> DataFrame:
+#: A vertex with more targets than this is a hub.
+HUB = 1_000_000
+
+
+def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_until: int | None = 30, damping: float = 0.85, hub: int = HUB) -> DataFrame:
     """(id, value) after iterations supersteps, that is one update fewer.
 
     Vertices without out-edges send nothing, so their rank is lost.  After
     superstep send_until - 1 none send (None: all do), and an update without
-    mail leaves (1 - damping) / N.  Parallel edges count each.  Shares are dealt
-    by source once and kept, so that each superstep moves states and mail alone.
+    mail leaves (1 - damping) / N.  Parallel edges count each.  Shares lie in
+    the buckets of their source, beside its state, so that each superstep moves
+    mail alone.  Those of hubs (sources of more than `hub` targets) are spread
+    over all tasks, to which the hubs' states are sent: there are fewer than
+    edges / hub of them.
     """
-    spark = graph.vertices.sparkSession
-    table = cut(graph.shares())
-    shares = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src").persist()
+    every = cut(graph.shares())
+    hubs = cut(every.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("src"))
+    some = hubs.limit(1).count() > 0
+    shares = cut(dealt(every.join(F.broadcast(hubs), "src", "left_anti") if some else every, "src"), "src")
+    spread = cut(every.join(F.broadcast(hubs), "src", "left_semi").repartition(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if some else None
+    free(every)
 
     def update(value: Column, inbox: Column, at: Context) -> Column:
         return value if at.superstep == 0 else F.lit((1 - damping) / at.size) + damping * F.coalesce(inbox, F.lit(0.0))
@@ -29,12 +39,16 @@ def pagerank(graph: PropertyGraph, iterations: int, init: float = 0.0, send_unti
     def send(state: DataFrame, at: Context) -> DataFrame | None:
         if at.superstep >= iterations - 1 or (send_until is not None and at.superstep >= send_until):
             return None
-        return shares.join(state, shares["src"] == state["id"]).select("src", "dst", (F.col("value") * F.col("share")).alias("value"))
+        part = (F.col("value") * F.col("share")).alias("value")
+        mail = shares.join(state, shares["src"] == state["id"]).select("src", "dst", part)
+        if spread is None:
+            return mail
+        of_hubs = state.join(F.broadcast(hubs), state["id"] == hubs["src"]).select("id", "value")
+        return mail.unionByName(spread.join(F.broadcast(of_hubs), F.col("src") == F.col("id")).select("src", "dst", part))
 
     start = PropertyGraph(graph.vertices.select("id", F.lit(float(init)).alias("value")), graph.edges)
     ranks = run(start, Program(ComputeStep(update, send)), iterations)
-    shares.unpersist()
-    free(table)
+    free(shares, spread, hubs)
     return ranks
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import chain
 
@@ -16,11 +16,12 @@ from pyspark.sql.types import StructType
 
 @dataclass(frozen=True)
 class Context:
-    """What a step knows: the superstep's number, the number of vertices, and the crunch result delivered to it, if any."""
+    """What a step knows: the superstep's number, the number of vertices, the crunch result delivered to it, if any, and what links have handed on."""
 
     superstep: int
     size: int
     crunched: object = None
+    shared: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -29,11 +30,24 @@ class ComputeStep:
 
     send(state, context): messages (src, dst, value) to any vertices, or None.
     combine: how mail for one vertex becomes its inbox.
+    columns(inbox, context): new values of several state columns, by name, in
+    place of update, for states of more than one column.
+    link(state, context): tables and values to hand on, by name; later links
+    find them in context.shared, until they are replaced.
     """
 
     update: Callable[[Column, Column, Context], Column] | None = None
     send: Callable[[DataFrame, Context], DataFrame | None] | None = None
     combine: Callable[[Column], Column] = F.sum
+    columns: Callable[[Column, Context], dict[str, Column]] | None = None
+    link: Callable[[DataFrame, Context], dict[str, object]] | None = None
+
+    def changes(self, inbox: Column | None, context: Context) -> dict[str, Column] | None:
+        if self.columns is not None:
+            return self.columns(F.lit(None) if inbox is None else inbox, context)
+        if self.update is not None:
+            return {"value": self.update(F.col("value"), F.lit(None).cast("double") if inbox is None else inbox, context)}
+        return None
 
 
 @dataclass(frozen=True)
@@ -65,6 +79,14 @@ class CrunchStep:
         return run
 
 
+@dataclass(frozen=True)
+class Until:
+    """Stop at the barrier at which holds(aggregate of all values) is true; the aggregate is worked out while the superstep's state is written."""
+
+    aggregate: Callable[[Column], Column]
+    holds: Callable[[object], bool]
+
+
 class Program:
     """An ordered chain; superstep s runs step s mod its length."""
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
 from ..operators import cluster, lineage
+from ..operators.chain import hcluster_program
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
 from ..operators.pagerank import pagerank, top, with_titles
-from ..operators.program import ComputeStep, Program
+from ..operators.program import ComputeStep, Program, Until
 from ..sources import readers, reports
 from . import testgraphs as G
 
@@ -201,7 +202,7 @@ def cyclic_chain_7_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey AS id, ceil(100.0 / (SELECT count(*) FROM nation))::DOUBLE AS value FROM nation")
 def iterate_until_total(spark: SparkSession, d: str) -> DataFrame:
-    return run(_nations(spark, d), Program(_MORE), until=lambda state, _: state.agg(F.sum("value")).first()[0] >= 100)
+    return run(_nations(spark, d), Program(_MORE), until=Until(F.sum, lambda total: total >= 100))
 
 
 # ---------------------------------------------------------------- clustering
@@ -262,6 +263,19 @@ def hcluster_distributed_bsp(spark: SparkSession, d: str) -> DataFrame:
     return _merges(cluster.hcluster_distributed(G.nations(spark, d), "bsp"))
 
 
+@query(G.hcluster_sql("bsp"))
+def hcluster_bsp_program(spark: SparkSession, d: str) -> DataFrame:
+    """As a vertex program of four links."""
+    return _merges(hcluster_program(G.nations(spark, d)))
+
+
+@query(G.queries_sql())
+def pairwise_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The users whose id is divisible by 20 against all other ones."""
+    found = cluster.many_pairs(G.users(spark, d), queries=F.col("id") % 20 == 0)
+    return found.select("i", "j", rounded(F.col("d"), DIGITS).alias("d"))
+
+
 @query(G.dendrogram_sql("seq"))
 def dendrogram_lines(spark: SparkSession, d: str) -> DataFrame:
     return _dendrogram(spark, d, "seq")

@@ -96,6 +96,12 @@ q AS (SELECT i, j, (sxy - (a.sx * b.sx) // a.k)::DOUBLE AS num, sqrt(((a.sxx - (
 p AS (SELECT i, j, CASE WHEN den = 0 THEN 0.0 ELSE 1 - num / den END AS d FROM q)"""
 
 
+def queries_sql() -> str:
+    """Distances of the rows of USER_CELLS whose id is divisible by 20 to all others."""
+    return f"""WITH {pairs_sql(USER_CELLS)}, every AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(d, 10) AS d FROM every WHERE i % 20 = 0"""
+
+
 def int32_sql(times: int) -> str:
     """Distances of NATION_CELLS, multiplied, in wrapping 32-bit arithmetic."""
     w = lambda x: f"((({x}) + 2147483648) & 4294967295) - 2147483648"
