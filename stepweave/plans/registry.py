@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
-from ..operators import cluster, lineage
+from ..operators import cluster, lineage, nearest
 from ..operators.chain import hcluster_program
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
@@ -222,6 +222,12 @@ def closest_pair(spark: SparkSession, d: str) -> DataFrame:
     return cluster.closest(cluster.pairs(G.nations(spark, d))).select("i", "j", F.round("d", DIGITS).alias("d"))
 
 
+@query(f"WITH {G.pairs_sql(G.USER_CELLS)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(d, 10) AS d FROM p ORDER BY p.d, i, j LIMIT 1")
+def closest_pair_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Without all pairs."""
+    return nearest.closest_pair(G.users(spark, d)).select("i", "j", F.round("d", DIGITS).alias("d"))
+
+
 @query(f"WITH {G.pairs_sql(G.NATION_CELLS)}, m AS (SELECT * FROM p ORDER BY d, i, j LIMIT 1) SELECT m.i AS left_id, m.j AS right_id, round(m.d, 10) AS distance, string_agg(((a.n + b.n) // 2)::VARCHAR, ' ' ORDER BY a.c) AS vec FROM m JOIN cells a ON a.r = m.i JOIN cells b ON b.r = m.j AND b.c = a.c GROUP BY ALL")
 def first_merge_vector(spark: SparkSession, d: str) -> DataFrame:
     return cluster.first_merge(G.nations(spark, d)).select("left_id", "right_id", F.round("distance", DIGITS).alias("distance"), F.array_join(F.col("vec").cast("array<string>"), " ").alias("vec"))
@@ -389,6 +395,20 @@ def link_file_skip_blank_lines(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_adjacency(spark, _link_file(spark, d, blank=True), mode="skip").edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT (2 * n_nationkey + 1)::BIGINT AS line, 'blank line' AS reason, count(*) OVER () AS rejected FROM nation")
+def link_file_rejected_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a link file that are left out, and why."""
+    _, rejected, many = readers.sorted_out(readers.numbered_lines(spark, _link_file(spark, d, blank=True)), colon=True)
+    return rejected.select("line", "reason", F.lit(many).cast("long").alias("rejected"))
+
+
+@query(f"WITH {_RANGE} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
+def link_file_indexed_range(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the lines 5 to 19 by an index of lines: the range is what the reader offers."""
+    index = readers.LineIndex(spark, _link_file(spark, d), 4)
+    return readers.read_adjacency(spark, index, 5, 15).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _title_file(spark: SparkSession, d: str) -> str:
     return _file(spark, G.table(spark, d, "nation").select(F.col("n_nationkey").alias("line"), F.col("n_name").alias("text")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import lineage
 from ..operators.graph import PropertyGraph
 
 
@@ -23,6 +24,28 @@ def line_range(lines: DataFrame, skip: int = 0, take: int | None = None) -> Data
     return kept if take is None else kept.where(F.col("line") < skip + take)
 
 
+class LineIndex:
+    """The lines of a text file with their numbers, kept as a table in line order, so that a range reads its own parts of it alone.
+
+    The file is read twice, once to count the lines of its splits; nothing is
+    shuffled.  The table's blocks have about `rows` lines and know their first
+    and last one, by which a range's filter leaves the others out.  free() when
+    it is not needed any more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rows: int = 100_000):
+        at = lineage.folder(spark)
+        numbered_lines(spark, path).write.option("maxRecordsPerFile", rows).parquet(at)
+        self.lines = spark.read.schema("line long, text string").parquet(at)
+        self.lines._table = at
+
+    def range(self, skip: int = 0, take: int | None = None) -> DataFrame:
+        return line_range(self.lines, skip, take)
+
+    def free(self) -> None:
+        lineage.free(self.lines)
+
+
 def tokens(text: Column) -> Column:
     """White-space separated tokens of a line."""
     return F.split(F.trim(F.regexp_replace(text, "\\s+", " ")), " ")
@@ -43,9 +66,25 @@ def parse_adjacency(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     return split.select(first.substr(F.lit(1), F.length(first) - 1).alias("src"), F.explode_outer(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("dst"))
 
 
-def read_adjacency(spark: SparkSession, path: str, skip: int = 0, take: int | None = None, mode: str = "failfast") -> PropertyGraph:
-    """The graph of an adjacency file, or of a range of its lines; all vertices start at 0."""
-    lines = spark.read.text(path).withColumnRenamed("value", "text") if not skip and take is None else line_range(numbered_lines(spark, path), skip, take)
+def sorted_out(lines: DataFrame, colon: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Lines (line, text) that are adjacency text, the rejected ones (line, reason, text), and how many these are.
+
+    Rejected are blank lines, and with colon those whose first token doesn't end
+    in one.  The lines are judged and counted in one pass, which writes them
+    with their reason; both results read that table.
+    """
+    first = F.get(tokens(F.col("text")), F.lit(0))
+    blank = F.coalesce(F.trim(F.regexp_replace("text", "\\s+", " ")) == "", F.lit(True))
+    reason = F.when(blank, F.lit("blank line"))
+    if colon:
+        reason = reason.when(~first.endswith(":"), F.lit("no colon behind the source"))
+    judged = lineage.cut(lines.select("line", "text", reason.alias("reason")), observed=F.count("reason"))
+    return judged.where("reason IS NULL").select("line", "text"), judged.where("reason IS NOT NULL").select("line", "reason", "text"), judged.observed
+
+
+def read_adjacency(spark: SparkSession, path: str | LineIndex, skip: int = 0, take: int | None = None, mode: str = "failfast") -> PropertyGraph:
+    """The graph of an adjacency file, or of a range of its lines; all vertices start at 0.  path may be a LineIndex."""
+    lines = path.range(skip, take) if isinstance(path, LineIndex) else spark.read.text(path).withColumnRenamed("value", "text") if not skip and take is None else line_range(numbered_lines(spark, path), skip, take)
     return graph_of(parse_adjacency(lines, mode))
 
 

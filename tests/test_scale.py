@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.operators import chain, cluster, engine, lineage, pagerank
+from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
+from stepweave.sources import readers
 
 
 def matrix(spark, n, high, width=4, seed=1, step=3):
@@ -144,3 +145,40 @@ def test_links_hand_on_tables(spark):
     first = ComputeStep(link=lambda state, at: {"seen": lineage.cut(state.select("name")), "n": at.shared.get("n", 0) + 1})
     second = ComputeStep(columns=lambda inbox, at: {"name": F.concat("name", F.lit(str(at.shared["n"])), F.lit(str(at.shared["seen"].count())))})
     assert sorted(map(tuple, engine.run(g, Program(first, second), 4, columns=("value", "name")).collect())) == [(1, 2.0, "a1222"), (2, 3.0, "b1222")]
+
+
+@pytest.mark.parametrize(("n", "high", "width"), [(120, 400, 12), (60, 3, 3), (2, 9, 4), (1, 5, 4), (0, 5, 4)])  # few values: equal rows, rows that don't vary, negative distances
+def test_closest_pair_without_all_pairs(spark, n, high, width):
+    _, m = matrix(spark, max(n, 1), high, width, seed=n, step=2)
+    m = m if n else m.limit(0)
+    want = cluster.closest(cluster.pairs(m)).where("i IS NOT NULL").collect()
+    assert nearest.closest_pair(m).collect() == want and len(want) == (n > 1)
+
+
+def test_candidates_are_few_where_rows_lie_in_clusters(spark, monkeypatch):
+    g = random.Random(4)
+    rows = [(i, [g.randrange(900) * (k % 4 == i % 4) + g.randrange(40) for k in range(12)]) for i in range(400)]
+    m = spark.createDataFrame(rows, "id int, vec array<int>")
+    seen = []
+    monkeypatch.setattr(nearest, "candidates", lambda *a, whole=nearest.candidates: seen.append(whole(*a)) or seen[-1])
+    monkeypatch.setattr(nearest, "free", lambda *a: None)
+    assert nearest.closest_pair(m).collect() == cluster.closest(cluster.pairs(m)).collect()
+    assert seen[0].count() < 0.05 * 400 * 399 / 2
+
+
+def test_rejected_lines_and_ranges_of_an_index(spark, tmp_path):
+    path = tmp_path / "links.txt"
+    path.write_text("".join(f"v{i}: a b\n" if i % 100 else "\n" for i in range(5000)) + "v5000 a\n")
+    good, bad, many = readers.sorted_out(readers.numbered_lines(spark, str(path)), colon=True)
+    assert many == 51 == bad.count() and good.count() == 4950
+    assert {(r.line, r.reason) for r in bad.collect()} == {*((i, "blank line") for i in range(0, 5000, 100)), (5000, "no colon behind the source")}
+    index = readers.LineIndex(spark, str(path), 500)
+    some = index.range(1210, 20)
+    assert [(r.line, r.text) for r in some.orderBy("line").collect()] == [(i, f"v{i}: a b") for i in range(1210, 1230)]
+    assert "GreaterThanOrEqual(line,1210), LessThan(line,1230)" in some._jdf.queryExecution().executedPlan().toString()
+    plan = some._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    plan.execute().count()
+    assert 20 <= scan.metrics().apply("numOutputRows").value() <= 500  # of 5,001: the rows of one block
+    assert readers.read_adjacency(spark, index, 1210, 20).edges.count() == 40
+    index.free()
