@@ -35,14 +35,16 @@ class Timings:
     """Nested timings: tic() ... toc(description), or with timed(description)."""
 
     def __init__(self, name: str = "run"):
-        self.name, self.times, self._starts = name, [], []
+        self.name, self.times, self._starts, self._unnamed = name, [], [], 0
 
     def tic(self) -> None:
         self._starts.append(time.perf_counter())
 
     def toc(self, description: str = "") -> float:
         ms = (time.perf_counter() - self._starts.pop()) * 1000
-        self.times.append((description or f"time{len(self.times)}", ms))
+        if not description:  # those without one are counted by themselves
+            description, self._unnamed = f"time{self._unnamed}", self._unnamed + 1
+        self.times.append((description, ms))
         return ms
 
     @contextmanager

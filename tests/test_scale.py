@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import resource
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
+from stepweave.operators.stream import run_streamed
 from stepweave.sources import readers
 
 
@@ -182,3 +184,39 @@ def test_rejected_lines_and_ranges_of_an_index(spark, tmp_path):
     assert 20 <= scan.metrics().apply("numOutputRows").value() <= 500  # of 5,001: the rows of one block
     assert readers.read_adjacency(spark, index, 1210, 20).edges.count() == 40
     index.free()
+
+
+def test_streamed_vertices_equal_those_of_lists(spark):
+    g = hub_graph(spark)
+    by_list = engine.run_update(g, lambda s, n, i, v, inbox, near: (v + sum(inbox), [(x, 1.0 + s) for x in near] + [("nobody", 1.0)]), 3)
+    for combine in (None, F.sum):
+        got = run_streamed(g, lambda s, n, i, v, inbox, near, degree: (v + sum(inbox), [(x, 1.0 + s) for x in near] + [("nobody", 1.0)]), 3, combine)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_list.collect()))
+    unread = run_streamed(g, lambda s, n, i, v, inbox, near, degree: (v + 1, [(x, 1.0) for x, _ in zip(near, range(1))]), 2)  # neither the mail nor all neighbours
+    assert {r.value for r in unread.collect()} == {2.0}
+    with pytest.raises(ValueError, match="repeat"):
+        run_streamed(PropertyGraph.isolated(g.vertices.union(g.vertices)), None, 1)
+    assert run_streamed(PropertyGraph.isolated(g.vertices.limit(0)), None, 2).count() == 0
+
+
+def test_a_vertex_of_many_neighbours_takes_little_memory(spark):
+    n = 1_000_000
+    edges = spark.range(n).select(F.lit(0).cast("long").alias("src"), (F.col("id") % 50).alias("dst"))
+    g = PropertyGraph(spark.range(50).withColumn("value", F.lit(0.0)), edges)
+
+    def update(s, size, i, value, inbox, near, degree):
+        if s == 0 and i == 0:
+            assert degree == n
+            first = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+            def sent():
+                for x in near:
+                    yield x, 1.0
+                grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - first) / 1024
+                yield 1, 1e9 if grown > 60 else 0.0  # a list of the neighbours alone takes more
+
+            return value, sent()
+        return value + sum(inbox), []
+
+    got = {r.id: r.value for r in run_streamed(g, update, 2).collect()}
+    assert got == {i: n / 50 for i in range(50)}
