@@ -20,7 +20,7 @@ SIZE = 5
 RADIUS = 3
 #: Words of a piece of a document, so that work is in proportion to its length.
 PIECE = 768
-#: Most rows of the benchmark's fingerprint index, or items found in documents with up to 25 places each, that are broadcast (under 100 bytes each); more are joined by a shuffle.
+#: Most rows of the benchmark's fingerprint index, items with up to 12 shingles each, or items found in documents with up to 25 places each, that are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bits of a shingle that hold its letters; those beyond count no further.
 _WEIGHT_BITS = 20
@@ -191,6 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
 
     found = places.groupBy(*place).agg(F.collect_set("start").alias("starts"))
     found = C.cut(found.select("doc_id", "text_hash", F.struct("item", "length", "starts").alias("f")).groupBy("doc_id", "text_hash").agg(F.collect_list("f").alias("found")))
+    C.free(index)
 
     number = F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + 1 + F.ceil(F.size(f["starts"]) / 25))  # starts take 4 bytes each
     same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["text_hash"] == found["text_hash"])
@@ -200,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     size = F.least(F.col("start") + F.col("length"), F.col("n")) - first
     windows = each.where(size > 0).select("doc_id", "text_hash", "item", F.slice("h", first + 1, size).alias("h"), F.slice("lengths", first + 1, size).alias("lengths"), size.alias("n"))
     sets = windows.select("doc_id", "text_hash", "item", _set(F.col("h"), F.col("lengths"), F.col("n")).alias("set"))
-    sums = sets.join(_sized(items.select("item", "item_id", "own")), "item").select("doc_id", "text_hash", "item_id", _weight(F.array_intersect("set", "own")).alias("common"), _weight(F.array_union("set", "own")).alias("total"))
+    sums = sets.join(_sized(items.select("item", "item_id", "own"), 1 + F.floor(F.size("own") / 12)), "item").select("doc_id", "text_hash", "item_id", _weight(F.array_intersect("set", "own")).alias("common"), _weight(F.array_union("set", "own")).alias("total"))
     best = F.max(F.struct((F.col("common") / F.col("total")).alias("s"), "common", "total")).alias("best")
     leaks = sums.where(F.col("common") * 100 >= F.col("total") * percent)
     return leaks.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.common", "best.total")

@@ -15,19 +15,39 @@ from .quality import sigmoid
 
 #: Bound of the labelled sample that the classifier is fitted on, the least by a hash of their ids.
 LABELLED = 12000
-#: n-grams of so many letters; hashed to BUCKETS; of those with SUPPORT documents and a log-count ratio of RATIO, at most FEATURES by their chi-square.
+#: n-grams of so many code points; hashed to BUCKETS; of those with SUPPORT documents and a log-count ratio of RATIO, at most FEATURES by their chi-square.
 SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 22
 SUPPORT, RATIO, FEATURES = 5, 1.0, 1 << 15
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += 32
+#: Code points up to here (Latin, Greek, Cyrillic and Armenian among them) are lower-cased; ASCII signs count as spaces.
+FOLDED = 0x600
+_FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(FOLDED)], np.uint64)
 _FOLD[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of rows of UTF-8, folded, and the offsets of the rows in them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    byte = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint64)
+    first = byte[lead]
+    point, six = first.copy(), np.uint64(6)
+    for size, least, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        some = first >= least
+        if some.any():
+            at, value = lead[some], first[some] & np.uint64(mask)
+            for k in range(1, size):
+                value = (value << six) | (byte[at + k] & np.uint64(0x3F))
+            point[some] = value
+    low = point < FOLDED
+    point[low] = _FOLD[point[low]]
+    return point, np.searchsorted(lead, offsets)
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each size the n-grams' buckets and the places where they begin; signs count as spaces, A-Z as a-z, and no n-gram leaves its row."""
-    code = C.mix(_FOLD[data] + np.uint64(1))
+    """For each size the buckets of the n-grams of code points and their rows; ASCII signs count as spaces, letters of either case alike, and no n-gram leaves its row."""
+    data, offsets = code_points(data, offsets)
+    code = C.mix(data + np.uint64(1))
     bound = np.zeros(len(data) + 1, np.int64)
     np.add.at(bound, offsets[1:-1], 1)
     row = np.cumsum(bound[:-1])
@@ -88,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     n_clean = n_all - n_toxic
     if not n_toxic or not n_clean:
+        C.free(rows)
         return {"value": np.zeros(BUCKETS, np.float32), "bias": 0.0 if not n_all else (6.0 if n_toxic else -6.0)}
     p, q = (F.col("toxic") + 1) / (n_toxic + 2), (F.col("clean") + 1) / (n_clean + 2)
     chi = (F.col("toxic") - (F.col("toxic") + F.col("clean")) * (n_toxic / n_all)) ** 2 / (F.col("toxic") + F.col("clean"))
@@ -106,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), C.binary_rows(place[b], np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["doc_id", "toxic", "f"])
 
     got = rows.mapInArrow(presence, "doc_id long, toxic int, f binary").toArrow().sort_by("doc_id")  # labelled rows at most
+    C.free(rows)
     y = got.column("toxic").to_numpy().astype(np.float64)
     parts = [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()]
     f, row = np.concatenate([np.empty(0, np.int32), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])

@@ -169,3 +169,14 @@ def test_held_out_toxic_labels_are_not_read(spark):
     turned = labels.selectExpr("doc_id", "quality", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, 1 - toxic, toxic) AS toxic")
     a, b = (sorted(toxicity.score_toxicity(docs, toxicity.train(docs, x)).select("doc_id", "score").collect()) for x in (labels, turned))
     assert [r.doc_id for r in a] == [r.doc_id for r in b] and np.allclose([r.score for r in a], [r.score for r in b], atol=1e-6)
+
+
+def test_n_grams_are_of_code_points_of_either_case():
+    texts = ["Ünïcode ÄÖ", "\U0001F600a漢字é", "", "plain", "\u0130x"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    point, at = toxicity.code_points(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert np.diff(at).tolist() == [len(t) for t in texts]
+    assert "".join(map(chr, point.tolist())) == "ünïcode äö\U0001F600a漢字éplain\u0130x"
+    sets = lambda t: {int(b) for bucket, _ in toxicity.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for b in bucket}
+    assert sets("ÀÉÎÕ") == sets("àéîõ") and len(sets("àéîõ")) == 1
