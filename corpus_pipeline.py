@@ -73,8 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written to the shared folder and read again."""
+    """Apply the stages to documents, each written to the shared folder and read again; what a stage has read goes when it is done."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = C.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, C.cut(stage(spark, docs, sf_dir))
+        C.free(before)
     return docs
