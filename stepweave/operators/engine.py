@@ -22,9 +22,10 @@ def run(graph: PropertyGraph, program: Program, iterations: int | None = None, u
     Ends after iterations supersteps, or when until holds at a barrier: an
     Until, or until(state, supersteps done), which may take a pass of its own;
     0 iterations are no bound, so need until.  Mail reaches the next superstep
-    only; what is sent just before a crunch is dropped.  A crunch takes a
-    superstep, and its result is known to the next one; a run that ends on a
-    crunch doesn't deliver it.  Every superstep's state is a table, read for the
+    only.  A crunch takes a superstep, and its result is known to the next one; a
+    run that ends on a crunch doesn't deliver it.  Mail sent just before a
+    crunch goes to the crunch's own update, after the values were reduced; a
+    crunch without one drops it.  Every superstep's state is a table, read for the
     values and for the mail, and goes when the next is there; so do the tables
     that links hand on, when they are replaced.  If mail is sent at all, states
     lie in buckets of id, so that a superstep moves nothing but its mail; and a
@@ -39,23 +40,24 @@ def run(graph: PropertyGraph, program: Program, iterations: int | None = None, u
         state = cut(dealt(state, by), by)
     while not iterations or s < iterations:
         step, context = program[s], Context(s, size, crunched, shared)
-        if isinstance(step, CrunchStep):
-            crunched, mail = state.observed if step.aggregate is not None and seen is step.aggregate else step.run(state), None
+        crunch = isinstance(step, CrunchStep)
+        if crunch:  # of the values as the superstep finds them, before mail changes any
+            crunched = state.observed if step.aggregate is not None and seen is step.aggregate else step.run(state)
         else:
-            crunched, before = None, state
-            inbox = None if mail is None else mail.groupBy(F.col("dst").alias("id")).agg(step.combine(F.col("value")).alias("inbox"))
-            if (new := step.changes(None if inbox is None else F.col("inbox"), context)) is not None:
-                whole = state if inbox is None else state.join(inbox, "id", "left")
-                after = whole.select("id", *[new.get(c, F.col(c)).alias(c) for c in columns])
-                seen = _watched(program[s + 1], until) if size else None
-                state = cut(after, by, seen and seen(F.col("value")))
-                free(before)
-            if step.link is not None:
-                for name, value in step.link(state, context).items():
-                    if isinstance(shared.get(name), DataFrame):
-                        free(shared[name])
-                    shared[name] = value
-            mail = step.send(state, context) if step.send is not None else None
+            crunched = None
+        inbox = None if mail is None else mail.groupBy(F.col("dst").alias("id")).agg(step.combine(F.col("value")).alias("inbox"))
+        if (new := step.changes(None if inbox is None else F.col("inbox"), context)) is not None:
+            before, whole = state, state if inbox is None else state.join(inbox, "id", "left")
+            after = whole.select("id", *[new.get(c, F.col(c)).alias(c) for c in columns])
+            seen = _watched(program[s + 1], until) if size else None
+            state = cut(after, by, seen and seen(F.col("value")))
+            free(before)
+        if not crunch and step.link is not None:
+            for name, value in step.link(state, context).items():
+                if isinstance(shared.get(name), DataFrame):
+                    free(shared[name])
+                shared[name] = value
+        mail = step.send(state, context) if not crunch and step.send is not None else None
         s += 1
         log.debug("superstep %d done", s)
         if isinstance(until, Until):
@@ -74,7 +76,7 @@ def _watched(following: ComputeStep | CrunchStep, until: object) -> Callable[[Co
     return following.aggregate if isinstance(following, CrunchStep) else None
 
 
-def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None) -> DataFrame:
+def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None, crunch: Callable[[int], CrunchStep | None] | None = None) -> DataFrame:
     """Run an arbitrary Python vertex function, where Columns can't say it.
 
     update(superstep, size, id, value, inbox, neighbours) -> (value, [(dst,
@@ -83,6 +85,10 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine:
     before they are moved.  Batches of vertices go through one call of Python
     each; mail to ids that are no vertices is dropped.  Values are doubles.
     Repeated vertex ids are vertices of their own, and each gets their mail.
+    Superstep s is a crunch where crunch(s) is a CrunchStep: its aggregate or
+    fold reduces the values that the superstep finds; update runs as ever, with
+    the mail sent before, but what it sends then is dropped, and the result is
+    all that every vertex finds in its inbox one superstep later.
     """
     if iterations < 1:
         raise ValueError("give a positive number of iterations")
@@ -90,8 +96,11 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine:
     size = graph.size
     neighbours = cut(graph.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbours")))
     state = graph.vertices.select("id", F.col("value").cast("double").alias("value"))
-    out, mail = None, None
+    out, mail, told = None, None, None
     for s in range(iterations):
+        reduce = crunch(s) if crunch else None
+        result = None if reduce is None else (reduce.run(state),)
+
         def step(batches: Iterator[pa.RecordBatch], s: int = s) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, values, to = [], [], []
@@ -104,11 +113,13 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array(values, pa.float64()), pa.array(to, kinds), pa.array([d is not None for d in to])], names=["id", "value", "dst", "sent"])
 
         whole = state.withColumn("inbox", F.lit(None).cast("array<double>"))
-        if mail is not None:
+        if told is not None:
+            whole = state.withColumn("inbox", F.array(F.lit(told[0]).cast("double")))
+        elif mail is not None:
             gathered = F.collect_list("value") if combine is None else F.array(combine(F.col("value")))
             whole = state.join(mail.groupBy(F.col("dst").alias("id")).agg(gathered.alias("inbox")), "id", "left")
         before, out = out, cut(whole.join(neighbours, "id", "left").select("id", "value", "inbox", "neighbours").mapInArrow(step, f"id {kind}, value double, dst {kind}, sent boolean"))
         free(before)
-        state, mail = out.where("NOT sent").select("id", "value"), out.where("sent").select("dst", "value")
+        state, mail, told = out.where("NOT sent").select("id", "value"), out.where("sent").select("dst", "value"), result
     free(neighbours)
     return state

@@ -24,6 +24,15 @@ class Context:
     shared: dict = field(default_factory=dict)
 
 
+def _changes(step: ComputeStep | CrunchStep, inbox: Column | None, context: Context) -> dict[str, Column] | None:
+    """A step's new values of the state's columns, by name, or None if it changes none."""
+    if step.columns is not None:
+        return step.columns(F.lit(None) if inbox is None else inbox, context)
+    if step.update is not None:
+        return {"value": step.update(F.col("value"), F.lit(None).cast("double") if inbox is None else inbox, context)}
+    return None
+
+
 @dataclass(frozen=True)
 class ComputeStep:
     """update(value, inbox, context): the new state, of Columns; inbox is null without mail.
@@ -42,20 +51,25 @@ class ComputeStep:
     columns: Callable[[Column, Context], dict[str, Column]] | None = None
     link: Callable[[DataFrame, Context], dict[str, object]] | None = None
 
-    def changes(self, inbox: Column | None, context: Context) -> dict[str, Column] | None:
-        if self.columns is not None:
-            return self.columns(F.lit(None) if inbox is None else inbox, context)
-        if self.update is not None:
-            return {"value": self.update(F.col("value"), F.lit(None).cast("double") if inbox is None else inbox, context)}
-        return None
+    changes = _changes
 
 
 @dataclass(frozen=True)
 class CrunchStep:
-    """Reduce all values: by an aggregate of Columns, or by any associative and commutative function of two values."""
+    """Reduce all values: by an aggregate of Columns, or by any associative and commutative function of two values.
+
+    update, combine and columns: as a ComputeStep has them, for mail sent just
+    before; what is reduced are the values before they are updated.  A crunch
+    sends nothing, and its result isn't in its own context.
+    """
 
     aggregate: Callable[[Column], Column] | None = None
     fold: Callable[[object, object], object] | None = None
+    update: Callable[[Column, Column, Context], Column] | None = None
+    combine: Callable[[Column], Column] = F.sum
+    columns: Callable[[Column, Context], dict[str, Column]] | None = None
+
+    changes = _changes
 
     def run(self, state: DataFrame):
         if self.aggregate is not None:
@@ -98,8 +112,9 @@ class Program:
     def then(self, step: ComputeStep) -> Program:
         return Program(*self.steps, step)
 
-    def crunch(self, aggregate: Callable[[Column], Column] | None = None, fold: Callable | None = None) -> Program:
-        return Program(*self.steps, CrunchStep(aggregate, fold))
+    def crunch(self, aggregate: Callable[[Column], Column] | None = None, fold: Callable | None = None, **receive) -> Program:
+        """receive: the CrunchStep's update, combine or columns."""
+        return Program(*self.steps, CrunchStep(aggregate, fold, **receive))
 
     def __len__(self) -> int:
         return len(self.steps)

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .graph import PropertyGraph
 from .lineage import cut, dealt, free
+from .program import CrunchStep
 
 #: Rows of one batch that is given on.
 BATCH = 10_000
@@ -36,7 +37,7 @@ class _Rows:
                 yield row[column]
 
 
-def run_streamed(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None) -> DataFrame:
+def run_streamed(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None, crunch: Callable[[int], CrunchStep | None] | None = None) -> DataFrame:
     """As run_update, for vertices with any number of neighbours and any mail.
 
     update(superstep, size, id, value, inbox, neighbours, degree) -> (value,
@@ -47,6 +48,7 @@ def run_streamed(graph: PropertyGraph, update: Callable, iterations: int, combin
     the buckets of their source, beside the states.  With combine, mail for a
     vertex is one value, made before it is moved.  Ids must be different and not
     null, or it is a ValueError; mail to ids that are no vertices is dropped.
+    crunch: as run_update has it.
     """
     if iterations < 1:
         raise ValueError("give a positive number of iterations")
@@ -63,8 +65,11 @@ def run_streamed(graph: PropertyGraph, update: Callable, iterations: int, combin
     edges = cut(dealt(graph.edges.select("src", "dst"), "src"), "src")
     degree = graph.out_degree()
     state = cut(dealt(start.join(degree, "id").select("id", "value", "degree"), "id"), "id")
-    out, mail = state, None
+    out, mail, told = state, None, None
     for s in range(iterations):
+        reduce = crunch(s) if crunch else None
+        result = None if reduce is None else (reduce.run(state),)
+
         def step(batches: Iterator[pa.RecordBatch], s: int = s) -> Iterator[pa.RecordBatch]:
             rows, waiting = _Rows(batches), []
 
@@ -94,9 +99,11 @@ def run_streamed(graph: PropertyGraph, update: Callable, iterations: int, combin
             edges.select(F.col("src").alias("id"), F.lit(EDGE).alias("kind"), none("double").alias("value"), F.col("dst").alias("near"), none("long").alias("degree")))
         if mail is not None:
             got = mail if combine is None else mail.groupBy("id").agg(combine(F.col("value")).alias("value"))
+            if told is not None:
+                got = state.select("id", F.lit(told[0]).cast("double").alias("value"))
             every = every.unionByName(got.select("id", F.lit(MAIL).alias("kind"), "value", none(kind).alias("near"), none("long").alias("degree")))
         before, out = out, cut(dealt(every, "id").sortWithinPartitions("id", "kind").mapInArrow(step, f"id {kind}, value double, degree long, sent boolean"))
         free(before)
-        state, mail = out.where("NOT sent").select("id", "value", "degree"), out.where("sent").select("id", "value")
+        state, mail, told = out.where("NOT sent").select("id", "value", "degree"), out.where("sent").select("id", "value"), result
     free(edges)
     return state.select("id", "value")

@@ -14,7 +14,7 @@ from ..operators.chain import hcluster_program
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
 from ..operators.pagerank import pagerank, top, with_titles
-from ..operators.program import ComputeStep, Program, Until
+from ..operators.program import ComputeStep, CrunchStep, Program, Until
 from ..operators.stream import run_streamed
 from ..sources import readers, reports
 from . import testgraphs as G
@@ -211,6 +211,47 @@ def cyclic_chain_7_steps(spark: SparkSession, d: str) -> DataFrame:
     return run(_nations(spark, d), Program(_MORE).crunch(F.sum).then(_ASSIGN), 7)
 
 
+@query("""WITH t AS (SELECT n_nationkey AS id, count(c_custkey) AS mail FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)
+SELECT id, (id + mail + 100000 * (SELECT sum(id) FROM t))::DOUBLE AS value FROM t""")
+def mail_during_crunch(spark: SparkSession, d: str) -> DataFrame:
+    """Customers write to their nations just before a crunch: it adds up the values without that mail, and takes the mail into them."""
+    mail = G.table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst"), F.lit(1).alias("value"))
+    program = Program(ComputeStep(send=lambda *_: mail)).crunch(F.sum, update=lambda v, inbox, _: v + F.coalesce(inbox, F.lit(0)))
+    return run(_nations(spark, d, F.col("n_nationkey").cast("double")), program.then(ComputeStep(lambda v, _, c: v + 100000 * F.lit(c.crunched))), 3)
+
+
+_SHARE_SQL = f"""WITH {G.TRADE}, deg AS (SELECT v.id, count(src) AS c FROM v LEFT JOIN e ON src = v.id GROUP BY v.id), got AS (SELECT v.id, coalesce(sum(deg.c), 0) AS c FROM v LEFT JOIN e ON dst = v.id LEFT JOIN deg ON deg.id = src GROUP BY v.id)
+SELECT got.id::VARCHAR AS id, round((deg.c + got.c) / (SELECT sum(c) FROM deg), 10) AS share FROM got JOIN deg ON deg.id = got.id"""
+
+
+def _share(s, value, inbox, degree, near):
+    """Degrees are sent, taken in while they are added up without that mail, and divided by their sum."""
+    if s == 0:
+        value = degree
+    elif s == 1:
+        value += sum(inbox)
+    else:
+        value /= next(iter(inbox))
+    return float(value), ((x, float(degree)) for x in near)
+
+
+@query(_SHARE_SQL)
+def udf_program_crunch(spark: SparkSession, d: str) -> DataFrame:
+    """As a plain Python vertex function, with a crunch of two values."""
+    def update(s, n, _, value, inbox, near):
+        value, sent = _share(s, value, inbox, len(near), near)
+        return value, list(sent)
+
+    got = run_update(G.trade(spark, d), update, 3, crunch=lambda s: CrunchStep(fold=lambda a, b: a + b) if s == 1 else None)
+    return got.select(F.col("id").cast("string").alias("id"), F.round("value", DIGITS).alias("share"))
+
+
+@query(_SHARE_SQL)
+def streamed_program_crunch(spark: SparkSession, d: str) -> DataFrame:
+    got = run_streamed(G.trade(spark, d), lambda s, n, _, v, inbox, near, degree: _share(s, v, inbox, degree, near), 3, F.sum, lambda s: CrunchStep(F.sum) if s == 1 else None)
+    return got.select(F.col("id").cast("string").alias("id"), F.round("value", DIGITS).alias("share"))
+
+
 @query("SELECT n_nationkey AS id, ceil(100.0 / (SELECT count(*) FROM nation))::DOUBLE AS value FROM nation")
 def iterate_until_total(spark: SparkSession, d: str) -> DataFrame:
     return run(_nations(spark, d), Program(_MORE), until=Until(F.sum, lambda total: total >= 100))

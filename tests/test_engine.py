@@ -6,7 +6,8 @@ from stepweave.operators import cluster, lineage
 from stepweave.operators.engine import run, run_update
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.pagerank import pagerank, with_titles
-from stepweave.operators.program import ComputeStep, Program
+from stepweave.operators.program import ComputeStep, CrunchStep, Program
+from stepweave.operators.stream import run_streamed
 from stepweave.sources import readers, reports
 
 WEB = [("A", "B"), ("C", "A"), ("D", "A"), ("D", "C")]
@@ -45,6 +46,41 @@ def test_crunch_chain(spark):
     assert chain(spark, 10, 2) == {1.0} and chain(spark, 48, 6) == {2352.0}
 
 
+def test_mail_during_a_crunch(spark):
+    """It goes to the crunch's update after the values were reduced, and no further; without an update it is dropped."""
+    g = PropertyGraph.isolated(spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "id long, value double"))
+    mail = spark.createDataFrame([(1, 2, 10.0), (3, 2, 5.0), (1, 9, 7.0)], "src long, dst long, value double")  # 9 is no vertex
+    write, told = ComputeStep(send=lambda *_: mail), ComputeStep(lambda v, inbox, c: v + F.coalesce(inbox, F.lit(0.0)) + F.lit(c.crunched))
+    take = lambda v, inbox, _: v + F.coalesce(inbox, F.lit(0.0))
+    for how in ({"aggregate": F.sum}, {"fold": lambda a, b: a + b}):
+        assert values(run(g, Program(write).crunch(**how, update=take).then(told), 3)) == {1: 7.0, 2: 23.0, 3: 9.0}
+        assert values(run(g, Program(write).crunch(**how).then(told), 3)) == {1: 7.0, 2: 8.0, 3: 9.0}
+    assert values(run(g, Program(write).crunch(F.sum, update=take, combine=F.max).then(told), 3))[2] == 18.0
+    # the next crunch sees what mail made of the values: 6, then 21
+    assert values(run(g, Program(write).crunch(F.sum, update=take).crunch(F.sum).then(told), 4)) == {1: 22.0, 2: 38.0, 3: 24.0}
+    # a state of two columns
+    both = PropertyGraph.isolated(g.vertices.withColumn("got", F.lit(False)))
+    into = Program(write).crunch(F.sum, columns=lambda inbox, _: {"got": inbox.isNotNull()}).then(ComputeStep())
+    assert {r.id: (r.value, r.got) for r in run(both, into, 3, columns=("value", "got")).collect()} == {1: (1.0, False), 2: (2.0, True), 3: (3.0, False)}
+    assert run(PropertyGraph.isolated(g.vertices.limit(0)), Program(write).crunch(F.sum, update=take).then(told), 3).count() == 0
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_python_programs_with_crunches(spark, streamed):
+    """What is sent in a crunch is dropped; its result is all that the next inbox holds, whatever combines mail, and for vertices without mail too."""
+    g = PropertyGraph(spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "id long, value double"), spark.createDataFrame([(1, 2), (3, 2)], "src long, dst long"))
+    seen = lambda s, v, inbox, near: (v * 1000 + sum(inbox) if s else v, [(x, 10.0) for x in near])
+    for combine in (None, F.count):
+        if streamed:
+            got = run_streamed(g, lambda s, n, i, v, inbox, near, degree: seen(s, v, inbox, near), 4, combine, lambda s: CrunchStep(fold=max) if s == 1 else None)
+        else:
+            got = run_update(g, lambda s, n, i, v, inbox, near: seen(s, v, inbox, near), 4, combine, lambda s: CrunchStep(F.max) if s == 1 else None)
+        mail = 20.0 if combine is None else 2.0
+        assert values(got) == {1: (1000.0 * 1000 + 3) * 1000, 2: ((2000.0 + mail) * 1000 + 3) * 1000 + mail, 3: (3000.0 * 1000 + 3) * 1000}
+    empty = PropertyGraph.isolated(g.vertices.limit(0))
+    assert (run_streamed if streamed else run_update)(empty, None, 3, None, lambda s: CrunchStep(F.sum)).count() == 0
+
+
 def test_control(spark):
     g = web(spark)
     for bad in (0, -1, None):
