@@ -14,6 +14,8 @@ from .program import ComputeStep, Context, Program
 
 #: Merges that the driver has before they are written out.
 BLOCK = 64
+#: The least pair of a table (kept, removed, d), one without a distance last.
+LEAST = "min(struct(isnan(d) AS nan, d, kept, removed))"
 
 
 def hcluster_program(matrix: DataFrame, arith: str = "int64") -> DataFrame:
@@ -23,14 +25,15 @@ def hcluster_program(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     The links hand on a table of the distances of live pairs (kept, removed, d):
 
     1. at the very beginning, the distances of all pairs;
-    2. the least of them is told to the links that follow, and the vertex of the
-       cluster to be removed sends its vector to that of the one to be kept;
+    2. the least of them, found while the table was written, is told to the links
+       that follow, and the vertex of the cluster to be removed sends its vector
+       to that of the one to be kept;
     3. the vertex that got mail becomes the merged cluster, the other one ends;
     4. the merged cluster's distances to all others join the table, as (other,
        merged), and those of the two are dropped.
 
-    The driver knows one pair a merge.  A merge reads the table of pairs twice;
-    hcluster_distributed does the same merges with less.  No distance at all is a
+    The driver knows one pair a merge.  A merge reads and writes the table of
+    pairs once; hcluster_distributed does the same merges with less.  No distance at all is a
     ValueError; a single row or none have no merges.
     """
     spark, path, block = matrix.sparkSession, folder(matrix.sparkSession), []
@@ -44,10 +47,10 @@ def hcluster_program(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     def all_pairs(state: DataFrame, at: Context) -> dict:
         if at.superstep:
             return {}
-        return {"pairs": cut(pairs(state.select(F.col("cluster").alias("id"), "vec"), arith).toDF("kept", "removed", "d"))}
+        return {"pairs": cut(pairs(state.select(F.col("cluster").alias("id"), "vec"), arith).toDF("kept", "removed", "d"), observed=F.expr(LEAST))}
 
     def least(state: DataFrame, at: Context) -> dict:
-        best = at.shared["pairs"].agg(F.min(F.struct(F.isnan("d").alias("nan"), "d", "kept", "removed")).alias("m")).first()["m"]
+        best = at.shared["pairs"].observed
         if best["nan"]:
             raise ValueError("no two clusters have a distance")
         return {"best": best, "new": -(at.superstep // 4) - 1}
@@ -70,7 +73,7 @@ def hcluster_program(matrix: DataFrame, arith: str = "int64") -> DataFrame:
         block.append((new, *gone, best["d"], merged.first()["with"]))
         if len(block) >= BLOCK:
             write()
-        return {"pairs": cut(at.shared["pairs"].where(~F.col("kept").isin(*gone) & ~F.col("removed").isin(*gone)).unionByName(fresh))}
+        return {"pairs": cut(at.shared["pairs"].where(~F.col("kept").isin(*gone) & ~F.col("removed").isin(*gone)).unionByName(fresh), observed=F.expr(LEAST))}
 
     if graph.size > 1:
         chain = Program(ComputeStep(link=all_pairs), ComputeStep(link=least, send=tell), ComputeStep(columns=merge, combine=F.first), ComputeStep(link=measure))
