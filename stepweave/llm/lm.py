@@ -440,8 +440,10 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     of = model(packets)
     context = spark.sparkContext
     sent = context.broadcast(of)
-    logs = context.broadcast(of.logs(fit(C.cut(count_contexts(packets, sent)), rounds)))
+    counts = C.cut(count_contexts(packets, sent))
+    logs = context.broadcast(of.logs(fit(counts, rounds)))
     rows = C.cut(score_words(packets, sent, logs, parts))
+    C.free(counts, packets)
     number = len(SKIP_WEIGHTS) * len(WORD_WEIGHTS)
     alone = rows.where("NOT text").agg(*[F.sum(F.col("scores")[k]).alias(f"s{k}") for k in range(number)]).first()
     best = int(np.argmax([x or 0.0 for x in alone]))
