@@ -168,6 +168,19 @@ def test_candidates_are_few_where_rows_lie_in_clusters(spark, monkeypatch):
     assert seen[0].count() < 0.05 * 400 * 399 / 2
 
 
+def test_candidates_are_few_where_small_counts_make_negative_distances(spark, monkeypatch):
+    g = random.Random(5)
+    drawn = [[g.randrange(5) for _ in range(g.randrange(20, 40))] for _ in range(300)]
+    rows = [(i, [x.count(c) for c in range(5)]) for i, x in enumerate(drawn)]
+    m = spark.createDataFrame(rows, "id int, vec array<int>")
+    seen = []
+    monkeypatch.setattr(nearest, "candidates", lambda *a, whole=nearest.candidates: seen.append(whole(*a)) or seen[-1])
+    monkeypatch.setattr(nearest, "free", lambda *a: None)
+    got = nearest.closest_pair(m).collect()
+    assert got == cluster.closest(cluster.pairs(m)).collect() and got[0].d < 0
+    assert seen[0].count() < 500  # of 44,850; 839 when rows that vary too much for a negative distance were taken
+
+
 def test_rejected_lines_and_ranges_of_an_index(spark, tmp_path):
     path = tmp_path / "links.txt"
     path.write_text("".join(f"v{i}: a b\n" if i % 100 else "\n" for i in range(5000)) + "v5000 a\n")
