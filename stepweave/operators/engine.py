@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from .graph import PropertyGraph
 from .lineage import cut, dealt, free
 from .program import ComputeStep, Context, CrunchStep, Program, Until
+from .runs import Runs, counted, parallel, single
 
 log = logging.getLogger(__name__)
+#: Rows of one batch that a Python program gives on.
+BATCH = 10_000
 
 
 def run(graph: PropertyGraph, program: Program, iterations: int | None = None, until: Until | Callable[[DataFrame, int], bool] | None = None, columns: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -79,11 +82,14 @@ def _watched(following: ComputeStep | CrunchStep, until: object) -> Callable[[Co
 def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine: Callable[[Column], Column] | None = None, crunch: Callable[[int], CrunchStep | None] | None = None) -> DataFrame:
     """Run an arbitrary Python vertex function, where Columns can't say it.
 
-    update(superstep, size, id, value, inbox, neighbours) -> (value, [(dst,
-    value), ...]); inbox is the list of received values, empty without mail, or
+    update(superstep, size, id, value, inbox, neighbours) -> (value, iterable of
+    (dst, value)); inbox is the sequence of received values, empty without mail, or
     with combine the one value that an aggregate of Columns makes of them
     before they are moved.  Batches of vertices go through one call of Python
     each; mail to ids that are no vertices is dropped.  Values are doubles.
+    Parallel edges and equal messages are kept as Runs, so an update that gives
+    its messages one by one takes memory for different ones alone; mail that no
+    superstep takes is not asked for.
     Repeated vertex ids are vertices of their own, and each gets their mail.
     Superstep s is a crunch where crunch(s) is a CrunchStep: its aggregate or
     fold reduces the values that the superstep finds; update runs as ever, with
@@ -94,32 +100,48 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine:
         raise ValueError("give a positive number of iterations")
     kind = dict(graph.vertices.dtypes)["id"]
     size = graph.size
-    neighbours = cut(graph.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbours")))
+    listed = lambda df, by, what: df.groupBy(F.col(by).alias("id")).agg(F.collect_list(F.struct(what, "times")).alias("runs"))
+    neighbours = cut(listed(parallel(graph.edges.where("dst IS NOT NULL")), "src", "dst").select("id", F.col("runs.dst").alias("near"), F.col("runs.times").alias("near_times")))
     state = graph.vertices.select("id", F.col("value").cast("double").alias("value"))
     out, mail, told = None, None, None
     for s in range(iterations):
         reduce = crunch(s) if crunch else None
         result = None if reduce is None else (reduce.run(state),)
 
-        def step(batches: Iterator[pa.RecordBatch], s: int = s) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, values, to = [], [], []
-                for i, value, inbox, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    value, sent = update(s, size, i, value, inbox or [], near or [])
-                    ids += [i, *[None] * len(sent)]
-                    values += [value, *(x for _, x in sent)]
-                    to += [None, *(d for d, _ in sent)]
-                kinds = batch.schema.field("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array(values, pa.float64()), pa.array(to, kinds), pa.array([d is not None for d in to])], names=["id", "value", "dst", "sent"])
-
-        whole = state.withColumn("inbox", F.lit(None).cast("array<double>"))
+        def step(batches: Iterator[pa.RecordBatch], s: int = s, heard: bool = result is None and s < iterations - 1) -> Iterator[pa.RecordBatch]:
+            waiting, schema = [], None
+
+            def batch() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*waiting, strict=True), schema.types, strict=True)], schema=schema)
+                waiting.clear()
+                return made
+
+            for given in batches:
+                ids = given.schema.field("id").type
+                schema = pa.schema([("id", ids), ("value", pa.float64()), ("dst", ids), ("times", pa.int64())])
+                for i, value, inbox, often, near, times in zip(*(c.to_pylist() for c in given.columns), strict=True):
+                    value, sent = update(s, size, i, value, Runs(inbox, often), Runs(near, times))
+                    waiting.append((i, value, None, None))
+                    for to, x, n in counted(sent) if heard else ():
+                        if to is not None:
+                            waiting.append((None, x, to, n))
+                        if len(waiting) >= BATCH:
+                            yield batch()
+                if waiting:
+                    yield batch()
+
         if told is not None:
-            whole = state.withColumn("inbox", F.array(F.lit(told[0]).cast("double")))
-        elif mail is not None:
-            gathered = F.collect_list("value") if combine is None else F.array(combine(F.col("value")))
-            whole = state.join(mail.groupBy(F.col("dst").alias("id")).agg(gathered.alias("inbox")), "id", "left")
-        before, out = out, cut(whole.join(neighbours, "id", "left").select("id", "value", "inbox", "neighbours").mapInArrow(step, f"id {kind}, value double, dst {kind}, sent boolean"))
+            whole = state.withColumn("inbox", F.array(F.lit(told[0]).cast("double"))).withColumn("inbox_times", F.array(F.lit(1).cast("long")))
+        elif mail is None:
+            whole = state.withColumn("inbox", F.lit(None).cast("array<double>")).withColumn("inbox_times", F.lit(None).cast("array<bigint>"))
+        elif combine is None:
+            equal = mail.where("value IS NOT NULL").groupBy("dst", "value").agg(F.sum("times").alias("times"))
+            whole = state.join(listed(equal, "dst", "value").select("id", F.col("runs.value").alias("inbox"), F.col("runs.times").alias("inbox_times")), "id", "left")
+        else:
+            one = single(mail).groupBy(F.col("dst").alias("id")).agg(F.array(combine(F.col("value"))).alias("inbox"))
+            whole = state.join(one.withColumn("inbox_times", F.array(F.lit(1).cast("long"))), "id", "left")
+        before, out = out, cut(whole.join(neighbours, "id", "left").select("id", "value", "inbox", "inbox_times", "near", "near_times").mapInArrow(step, f"id {kind}, value double, dst {kind}, times long"))
         free(before)
-        state, mail, told = out.where("NOT sent").select("id", "value"), out.where("sent").select("dst", "value"), result
+        state, mail, told = out.where("times IS NULL").select("id", "value"), out.where("times IS NOT NULL").select("dst", "value", "times"), result
     free(neighbours)
     return state

@@ -154,7 +154,8 @@ def udf_program_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """PageRank as a plain Python vertex function."""
     def update(s, n, _, value, inbox, near):
         value = value if s == 0 else 0.15 / n + 0.85 * sum(inbox)
-        return value, [(x, value / len(near)) for x in near]
+        part = value / max(1, len(near))
+        return value, ((x, part) for x in near)
 
     return ranks(run_update(G.trade(spark, d), update, 5))
 

@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from stepweave.operators.engine import run, run_update
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.pagerank import pagerank, with_titles
 from stepweave.operators.program import ComputeStep, CrunchStep, Program
+from stepweave.operators.runs import Runs
 from stepweave.operators.stream import run_streamed
 from stepweave.sources import readers, reports
 
@@ -130,6 +133,22 @@ def test_numbered_lines_of_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("combine", [None, F.sum])
+def test_parallel_edges_and_equal_messages_are_no_long_lists(spark, combine):
+    n = 300_000
+    edges = spark.range(n).select(F.lit(0).cast("long").alias("src"), (F.col("id") % 3).alias("dst"))
+    g = PropertyGraph(spark.range(3).withColumn("value", F.lit(0.0)), edges)
+
+    def update(s, size, i, value, inbox, near):
+        assert len(near) == (n if i == 0 else 0) and sys.getsizeof(near) < 1000
+        assert sys.getsizeof(inbox) < 1000 and len(inbox) == (0 if s == 0 else 1 if combine else n // 3)
+        return value + sum(inbox), ((x, 2.0) for x in near)
+
+    assert {r.id: r.value for r in run_update(g, update, 2, combine).collect()} == {i: 2.0 * n / 3 for i in range(3)}
+    near = Runs(["a", "b"], [2, 1])
+    assert (list(near), near[1], near[-1], near[1:], near + ["c"], near.count("a"), bool(Runs(None, None))) == (["a", "a", "b"], "a", "b", ["a", "b"], ["a", "a", "b", "c"], 2, False)
+
+
 def test_python_updates_drop_mail_to_no_vertex(spark):
     g = web(spark)
     got = values(run_update(g, lambda s, n, i, v, inbox, near: (v + sum(inbox), [(x, 1.0) for x in near] + [("nobody", 1.0)]), 2))
