@@ -239,11 +239,7 @@ def _share(s, value, inbox, degree, near):
 @query(_SHARE_SQL)
 def udf_program_crunch(spark: SparkSession, d: str) -> DataFrame:
     """As a plain Python vertex function, with a crunch of two values."""
-    def update(s, n, _, value, inbox, near):
-        value, sent = _share(s, value, inbox, len(near), near)
-        return value, list(sent)
-
-    got = run_update(G.trade(spark, d), update, 3, crunch=lambda s: CrunchStep(fold=lambda a, b: a + b) if s == 1 else None)
+    got = run_update(G.trade(spark, d), lambda s, n, _, v, inbox, near: _share(s, v, inbox, len(near), near), 3, crunch=lambda s: CrunchStep(fold=lambda a, b: a + b) if s == 1 else None)
     return got.select(F.col("id").cast("string").alias("id"), F.round("value", DIGITS).alias("share"))
 
 
