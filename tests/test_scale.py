@@ -8,7 +8,7 @@ import resource
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank
+from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank, stream
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
 from stepweave.operators.stream import run_streamed
@@ -212,6 +212,18 @@ def test_streamed_vertices_equal_those_of_lists(spark):
     assert run_streamed(PropertyGraph.isolated(g.vertices.limit(0)), None, 2).count() == 0
 
 
+def test_streams_take_parallel_edges_and_equal_messages_as_one_row(spark, monkeypatch):
+    n, tables = 25_000, []
+    monkeypatch.setattr(stream, "cut", lambda df, *a: tables.append(lineage.cut(df, *a)) or tables[-1])
+    monkeypatch.setattr(stream, "free", lambda *a: None)
+    g = PropertyGraph(spark.range(2).withColumn("value", F.lit(0.0)), spark.range(n).select(F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("dst")))
+    for combine in (None, F.sum):
+        tables.clear()
+        got = run_streamed(g, lambda s, size, i, v, inbox, near, degree: (v + sum(inbox), ((x, 1.0 + degree / n) for x in near)), 2, combine)
+        assert {r.id: r.value for r in got.collect()} == {0: 0.0, 1: 2.0 * n}
+        assert [t.count() for t in tables] == [1, 2, 2 + 3, 2]  # edges, start, states and mail of at most 10,000 each, states
+
+
 def test_a_vertex_of_many_neighbours_takes_little_memory(spark):
     n = 1_000_000
     edges = spark.range(n).select(F.lit(0).cast("long").alias("src"), (F.col("id") % 50).alias("dst"))
