@@ -13,7 +13,7 @@ from ..operators import cluster, lineage, nearest
 from ..operators.chain import hcluster_program
 from ..operators.engine import run, run_update
 from ..operators.graph import PropertyGraph
-from ..operators.pagerank import pagerank, top, with_titles
+from ..operators.pagerank import Shares, pagerank, top, with_titles
 from ..operators.program import ComputeStep, CrunchStep, Program, Until
 from ..operators.stream import run_streamed
 from ..sources import readers, reports
@@ -92,11 +92,12 @@ def adjacency_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {G.SUPPLY}, deg AS (SELECT src, count(*) AS c FROM e GROUP BY src) SELECT id, round(coalesce(sum(1.0 / deg.c), 0), 8) AS inbox FROM v LEFT JOIN e ON e.dst = id LEFT JOIN deg ON deg.src = e.src GROUP BY id")
 def inbox_sum_one_superstep(spark: SparkSession, d: str) -> DataFrame:
     g = G.supply(spark, d)
-    shares = lineage.cut(g.shares())
-    send = lambda state, _: shares.join(state, F.col("src") == F.col("id")).select("src", "dst", (F.col("value") * F.col("share")).alias("value"))
+    shares = Shares(g)
     start = PropertyGraph(g.vertices.select("id", F.lit(1.0).alias("value")), g.edges)
-    program = Program(ComputeStep(send=send)).then(ComputeStep(lambda value, inbox, _: F.coalesce(inbox, F.lit(0.0))))
-    return run(start, program, 2).select("id", F.round("value", 8).alias("inbox"))
+    program = Program(ComputeStep(send=lambda state, _: shares.mail(state))).then(ComputeStep(lambda value, inbox, _: F.coalesce(inbox, F.lit(0.0))))
+    got = run(start, program, 2).select("id", F.round("value", 8).alias("inbox"))
+    shares.free()
+    return got
 
 
 @query("SELECT r_regionkey AS id, count(c_custkey) AS customers, round(coalesce(max(c_acctbal), 0), 2) AS most FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")

@@ -110,6 +110,24 @@ def test_hubs_are_spread_and_ranks_stay(spark, monkeypatch):
     assert sum(sizes) == 400 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
 
 
+@pytest.mark.parametrize(("times", "rows"), [(1, 4), (30, 3)])  # few edges stay as they are; of more than there are pairs, parallel ones are one row
+def test_shares_deal_edges_once(spark, monkeypatch, times, rows):
+    plans, tables = [], []
+    monkeypatch.setattr(pagerank, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or tables.append(lineage.cut(df, *a)) or tables[-1])
+    edges = lineage.cut(spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c")] * times, "src string, dst string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shares = pagerank.Shares(PropertyGraph.from_edges(edges))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = tables[2].groupBy("src", "dst").agg(F.sum("share").alias("share")).collect()
+    assert tables[2].count() == rows and {(r.src, r.dst): round(r.share, 9) for r in found} == {("a", "b"): round(2 / 3, 9), ("a", "c"): round(1 / 3, 9), ("b", "c"): 1.0}
+    assert plans[2].count("Exchange") == 2 + (times > 1)  # edges, and degrees beside them
+    mail = shares.mail(spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 9.0)], "id string, value double"))
+    assert "ShuffledHashJoin" in mail._jdf.queryExecution().executedPlan().toString()
+    assert {r.dst: round(r.v, 9) for r in mail.groupBy("dst").agg(F.sum("value").alias("v")).collect()} == {"b": 2.0, "c": 2.0}
+
+
 def test_a_superstep_moves_its_mail_alone(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(engine, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or lineage.cut(df, *a))
