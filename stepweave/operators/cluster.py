@@ -31,18 +31,22 @@ def tiles(matrix: DataFrame, count: int, queries: Column | None = None) -> DataF
     """Rows i and j of each two with i < j: every column of matrix with i or j behind its name; neither side is sent to all tasks.
 
     Rows are dealt to blocks by the hash of their id.  A block of i and one of j
-    are a tile, so each row goes to as many tiles on either side as there are
-    blocks, and a tile looks at about TASK_PAIRS pairs.  With queries, a condition on rows, i are the
-    rows for which it holds and j all others, whatever their ids.
+    are a tile, so each row goes to as many tiles as there are blocks on the
+    other side, and a tile looks at about TASK_PAIRS pairs.  With queries, a
+    condition on rows, i are the rows for which it holds, in as few blocks as
+    they fill, and j all others, whatever their ids.
     """
-    blocks = max(1, math.ceil(count / math.sqrt(TASK_PAIRS)))
-    dealt = matrix.select("*", F.pmod(F.hash("id"), F.lit(blocks)).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"))
-    own, other = F.col("_own"), F.col("_other")
-    side = lambda df, k, tile: df.select(*[F.col(c).alias(f"{c}{k}") for c in matrix.columns], tile.alias("_tile"))
-    left = side(dealt if queries is None else dealt.where(queries), "i", own * blocks + other)
-    right, which = side(dealt, "j", other * blocks + own), F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
-    dealt_out = lambda df: df.repartition(blocks * blocks, "_tile")
-    return dealt_out(left).join(dealt_out(right), "_tile").where(which).drop("_tile")
+    blocks = lambda n: max(1, math.ceil(n / math.sqrt(TASK_PAIRS)))
+    asked = matrix if queries is None else matrix.where(queries)
+    many = {"i": blocks(count if queries is None else asked.count()), "j": blocks(count)}
+
+    def side(df: DataFrame, k: str, other: str) -> DataFrame:
+        of = {k: F.pmod(F.hash("id"), F.lit(many[k])), other: F.col("_other")}
+        spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(many[other] - 1))).alias("_other"))
+        return spread.select(*[F.col(c).alias(f"{c}{k}") for c in matrix.columns], (of["i"] * many["j"] + of["j"]).alias("_tile")).repartition(many["i"] * many["j"], "_tile")
+
+    which = F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
+    return side(asked, "i", "j").join(side(matrix, "j", "i"), "_tile").where(which).drop("_tile")
 
 
 def measured(matrix: DataFrame, arith: str) -> tuple[DataFrame, int, int]:

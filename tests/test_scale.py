@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import resource
 
 import pytest
@@ -91,6 +92,13 @@ def test_tiles_send_no_side_to_all_tasks(spark, monkeypatch):
     assert sorted((r.i, r.j, round(r.d, 9)) for r in found.collect()) == sorted((i, j, round(cluster.distance(vec[i], vec[j]), 9)) for i in ids if i % 20 == 0 for j in ids if i != j)
 
 
+def test_few_queries_are_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TASK_PAIRS", 100)
+    _, m = matrix(spark, 50, 9)
+    plan = cluster.tiles(m, 50, F.col("id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_tile" in plan and all(n == "5" for n in re.findall(r"hashpartitioning\(_tile#\d+, (\d+)\)", plan))  # 3 queries are one block, 50 rows are five
+
+
 def hub_graph(spark):
     edges = [("h", f"v{i}") for i in range(400)] + [(f"v{i}", f"v{(i * 7 + 1) % 400}") for i in range(400)] + [("v1", "h"), ("v1", "h")]
     return PropertyGraph.from_edges(spark.createDataFrame(edges, "src string, dst string").repartition(4))
