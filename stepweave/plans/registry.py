@@ -52,7 +52,7 @@ def ranks(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {G.SUPPLY} SELECT id FROM v")
 def graph_vertices_union(spark: SparkSession, d: str) -> DataFrame:
-    return G.supply(spark, d).vertices.select("id")
+    return G.named(G.supply(spark, d).vertices.select("id"))
 
 
 @query(f"WITH {G.TRADE} SELECT id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = id GROUP BY id")
@@ -95,7 +95,7 @@ def inbox_sum_one_superstep(spark: SparkSession, d: str) -> DataFrame:
     shares = Shares(g)
     start = PropertyGraph(g.vertices.select("id", F.lit(1.0).alias("value")), g.edges)
     program = Program(ComputeStep(send=lambda state, _: shares.mail(state))).then(ComputeStep(lambda value, inbox, _: F.coalesce(inbox, F.lit(0.0))))
-    got = run(start, program, 2).select("id", F.round("value", 8).alias("inbox"))
+    got = G.named(run(start, program, 2)).select("id", F.round("value", 8).alias("inbox"))
     shares.free()
     return got
 
@@ -118,7 +118,7 @@ def pagerank_trade(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rank_sql(G.SUPPLY, 4))
 def pagerank_parts(spark: SparkSession, d: str) -> DataFrame:
-    return ranks(pagerank(G.supply(spark, d), 5))
+    return ranks(G.named(pagerank(G.supply(spark, d), 5)))
 
 
 @query(rank_sql(G.LINKS, 9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,9 +35,27 @@ def trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 TRADE = f"{SALES}, e AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM j), v AS (SELECT n_nationkey AS id FROM nation)"
 
 
+#: What the ids of a supply graph begin with, by their remainder modulo 3.
+KINDS = ("P", "S", "C")
+
+
+def _numbered(key: str, kind: str) -> Column:
+    """A key and its kind as one number, since numbers are dealt, looked up and grouped for far less than texts; an error where 64 bits don't hold it."""
+    k, most = F.col(key).cast("long"), (2**63 - 3) // 3
+    return F.when(k.between(-most, most), k * 3 + KINDS.index(kind)).when(k.isNotNull(), F.raise_error(F.concat(F.lit(f"{key} is too large: "), k.cast("string"))).cast("long"))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """df with the ids of a supply graph as the texts that they stand for."""
+    kind = F.pmod("id", F.lit(3).cast("long"))
+    key = F.call_function("div", F.col("id") - kind, F.lit(3).cast("long"))
+    return df.withColumn("id", F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int")), key.cast("string")))
+
+
 def supply(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Parts to suppliers to customers to parts; ids are numbers, which named turns into texts."""
     j = sales(spark, sf_dir)
-    p, s, c = (F.concat(F.lit(k), F.col(x).cast("string")) for k, x in (("P", "l_partkey"), ("S", "l_suppkey"), ("C", "o_custkey")))
+    p, s, c = (_numbered(x, k) for k, x in (("P", "l_partkey"), ("S", "l_suppkey"), ("C", "o_custkey")))
     made = F.array(F.when(F.col("l_partkey") % 10 != 0, F.struct(p.alias("src"), s.alias("dst"))), F.struct(s.alias("src"), c.alias("dst")), F.struct(c.alias("src"), p.alias("dst")))
     edges = j.select(F.explode(made).alias("e")).where("e is not null").select("e.src", "e.dst")
     return PropertyGraph.from_edges(edges)

@@ -13,6 +13,7 @@ from stepweave.operators import chain, cluster, engine, lineage, nearest, pagera
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
 from stepweave.operators.stream import run_streamed
+from stepweave.plans import testgraphs
 from stepweave.sources import readers
 
 
@@ -271,3 +272,23 @@ def test_a_vertex_of_many_neighbours_takes_little_memory(spark):
 
     got = {r.id: r.value for r in run_streamed(g, update, 2).collect()}
     assert got == {i: n / 50 for i in range(50)}
+
+
+def test_supply_deals_numbers_and_names_them_at_the_end(spark, tmp_path):
+    most = (2**63 - 3) // 3
+    for name, columns, rows in (
+        ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long", [(1, 7, 5), (1, 10, 5), (2, -7, -most), (2, None, 5), (1, most, 5)]),
+        ("orders", "o_orderkey long, o_custkey long", [(1, 7), (2, 0)]),
+        ("customer", "c_custkey long, c_nationkey long", [(7, 1), (0, 1)]),
+        ("supplier", "s_suppkey long, s_nationkey long", [(5, 1), (-most, 1)]),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    g = testgraphs.supply(spark, str(tmp_path))
+    assert {t for _, t in g.edges.dtypes} == {"bigint"}  # texts were dealt, looked up and grouped in each superstep
+    assert sorted(r.id for r in testgraphs.named(g.vertices).collect()) == sorted(["P7", "P10", "P-7", f"P{most}", "S5", f"S-{most}", "C7", "C0"])
+    src, dst = (sorted(str(r.id) for r in testgraphs.named(g.edges.select(F.col(c).alias("id"))).collect()) for c in ("src", "dst"))
+    assert src == sorted(["P7", "P-7", f"P{most}", *["S5"] * 4, f"S-{most}", *["C7"] * 3, *["C0"] * 2])
+    assert dst == sorted(["S5", "S5", f"S-{most}", *["C7"] * 3, *["C0"] * 2, "P7", "P10", f"P{most}", "P-7", "None"])
+    spark.createDataFrame([(1, most + 1, 5)], "l_orderkey long, l_partkey long, l_suppkey long").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="too large"):
+        testgraphs.supply(spark, str(tmp_path))
