@@ -13,7 +13,7 @@ from stepweave.operators import chain, cluster, engine, lineage, nearest, pagera
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
 from stepweave.operators.stream import run_streamed
-from stepweave.plans import testgraphs
+from stepweave.plans import registry, testgraphs
 from stepweave.sources import readers
 
 
@@ -251,6 +251,20 @@ def test_streams_take_parallel_edges_and_equal_messages_as_one_row(spark, monkey
         assert [t.count() for t in tables] == [1, 2, 2 + 3, 2]  # edges, start, states and mail of at most 10,000 each, states
 
 
+def test_a_streamed_crunch_takes_no_more_rows_for_more_parallel_edges(spark, monkeypatch):
+    tables, counts = [], []
+    monkeypatch.setattr(stream, "cut", lambda df, *a: tables.append(lineage.cut(df, *a)) or tables[-1])
+    monkeypatch.setattr(stream, "free", lambda *a: None)
+    for n in (10, 5_000):
+        tables.clear()
+        edges = spark.range(2 * n).select((F.col("id") % 2).alias("src"), (1 - F.col("id") % 2).alias("dst"))
+        monkeypatch.setattr(registry.G, "trade", lambda *_, edges=edges: PropertyGraph(spark.range(2).withColumn("value", F.lit(0.0)), edges))
+        got = registry.QUERIES["streamed_program_crunch"](spark, "")
+        assert {r.id: r.share for r in got.collect()} == {"0": round((n + n * n) / (2 * n), 10), "1": round((n + n * n) / (2 * n), 10)}
+        counts.append([t.count() for t in tables])
+    assert counts == [[2, 2, 2 + 2, 2, 2]] * 2  # edges, start, states and mail, and the states of the crunch and the last superstep, whose mail nobody takes
+
+
 def test_a_vertex_of_many_neighbours_takes_little_memory(spark):
     n = 1_000_000
     edges = spark.range(n).select(F.lit(0).cast("long").alias("src"), (F.col("id") % 50).alias("dst"))
