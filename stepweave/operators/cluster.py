@@ -18,6 +18,8 @@ log = logging.getLogger(__name__)
 WIDE = 64
 #: Pairs of rows, in either order, that one task looks at.
 TASK_PAIRS = 40_000_000
+#: Rows of one vector that are kept together.
+COPIES = 500
 MERGES = "merge_id int, left_id int, right_id int, distance double, vec array<int>"
 
 
@@ -27,10 +29,10 @@ def pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", pearson(F.col("vi"), F.col("vj"), arith).alias("d"))
 
 
-def tiles(matrix: DataFrame, count: int, queries: Column | None = None) -> DataFrame:
-    """Rows i and j of each two with i < j: every column of matrix with i or j behind its name; neither side is sent to all tasks.
+def tiles(matrix: DataFrame, count: int, queries: Column | None = None, key: str = "id", which: Column | None = None) -> DataFrame:
+    """Rows i and j of each two with i < j, or for which `which` holds: every column of matrix with i or j behind its name; neither side is sent to all tasks.
 
-    Rows are dealt to blocks by the hash of their id.  A block of i and one of j
+    Rows are dealt to blocks by the hash of their key.  A block of i and one of j
     are a tile, so each row goes to as many tiles as there are blocks on the
     other side, and a tile looks at about TASK_PAIRS pairs.  With queries, a
     condition on rows, i are the rows for which it holds, in as few blocks as
@@ -41,11 +43,12 @@ def tiles(matrix: DataFrame, count: int, queries: Column | None = None) -> DataF
     many = {"i": blocks(count if queries is None else asked.count()), "j": blocks(count)}
 
     def side(df: DataFrame, k: str, other: str) -> DataFrame:
-        of = {k: F.pmod(F.hash("id"), F.lit(many[k])), other: F.col("_other")}
+        of = {k: F.pmod(F.hash(key), F.lit(many[k])), other: F.col("_other")}
         spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(many[other] - 1))).alias("_other"))
         return spread.select(*[F.col(c).alias(f"{c}{k}") for c in matrix.columns], (of["i"] * many["j"] + of["j"]).alias("_tile")).repartition(many["i"] * many["j"], "_tile")
 
-    which = F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
+    if which is None:
+        which = F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
     return side(asked, "i", "j").join(side(matrix, "j", "i"), "_tile").where(which).drop("_tile")
 
 
@@ -58,19 +61,35 @@ def measured(matrix: DataFrame, arith: str) -> tuple[DataFrame, int, int]:
     return m, rows, most or 0
 
 
+def copies(measured: DataFrame) -> DataFrame:
+    """A table (ids, low, high, vec, s, v) of the rows of one vector, about COPIES at most in one row, and the least and the greatest of their ids."""
+    many = measured.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES)
+    parts = measured.join(many, "vec", "left").withColumn("_part", F.pmod(F.hash("id"), F.ceil(F.coalesce("n", F.lit(1)) / COPIES)))
+    alike = parts.where("id IS NOT NULL").groupBy("vec", "_part").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("s").alias("s"), F.first("v").alias("v"))
+    return cut(alike.select("ids", F.element_at("ids", 1).alias("low"), F.element_at("ids", -1).alias("high"), "vec", "s", "v"))
+
+
 def many_pairs(matrix: DataFrame, arith: str = "int64", queries: Column | None = None) -> DataFrame:
-    """As pairs, for many rows: sums are made once a row, and a pair's distance is compiled arithmetic in a loop over tiles.
+    """As pairs, for many rows: sums are made once a row, and a distance is compiled arithmetic in a loop over tiles.
 
-    All vectors must have one length.  With queries (a condition on id), the
+    All vectors must have one length.  Distances are worked out for vectors, and
+    given to all pairs of their copies, which then stand behind each other, so
+    that a table of them is small.  With queries (a condition on id), the
     distances of the rows for which it holds to all other rows.
     """
     m, rows, most = measured(matrix, arith)
+    given, how = (copies(m), {"key": "ids", "which": F.col("lowi") < F.col("highj")}) if queries is None else (m, {"queries": queries})
+    id_ = ["ids", "low", "high"] if queries is None else ["id"]
     if not most or most > WIDE:
-        both = tiles(m.select("id", "vec"), rows, queries)
-        return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), pearson(F.col("veci"), F.col("vecj"), arith).alias("d"))
-    both = tiles(m.select("id", "s", "v", *[F.get("vec", F.lit(c)).cast("long").alias(f"c{c}_") for c in range(most)]), rows, queries)
-    x, y = ([F.col(f"c{c}_{k}") for c in range(most)] for k in "ij")
-    return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith).alias("d"))
+        both = tiles(given.select(*id_, "vec"), rows, **how)
+        d = pearson(F.col("veci"), F.col("vecj"), arith)
+    else:
+        both = tiles(given.select(*id_, "s", "v", *[F.get("vec", F.lit(c)).cast("long").alias(f"c{c}_") for c in range(most)]), rows, **how)
+        x, y = ([F.col(f"c{c}_{k}") for c in range(most)] for k in "ij")
+        d = pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith)
+    if queries is not None:
+        return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), d.alias("d"))
+    return both.select("idsi", "idsj", d.alias("d")).select(F.explode("idsi").alias("i"), "idsj", "d").select("i", F.explode("idsj").alias("j"), "d").where("i < j")
 
 
 def ordered_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:

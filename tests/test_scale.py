@@ -306,3 +306,17 @@ def test_supply_deals_numbers_and_names_them_at_the_end(spark, tmp_path):
     spark.createDataFrame([(1, most + 1, 5)], "l_orderkey long, l_partkey long, l_suppkey long").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
     with pytest.raises(Exception, match="too large"):
         testgraphs.supply(spark, str(tmp_path))
+
+
+def test_all_pairs_of_copies_are_one_distance(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "COPIES", 7)
+    monkeypatch.setattr(cluster, "TASK_PAIRS", 900)
+    rows = [(i, [i % 3 * 7, 5, i % 2]) for i in range(-20, 40)] + [(90, [3, 3, 3]), (91, [3, 3, 3]), (91, [3, 3, 3]), (91, [1, 9, 4]), (None, [3, 3, 3])]
+    m = spark.createDataFrame(rows, "id int, vec array<int>")
+    tables = []
+    monkeypatch.setattr(cluster, "cut", lambda df, *a: tables.append(lineage.cut(df, *a)) or tables[-1])
+    got = cluster.many_pairs(m)
+    assert sorted(map(str, got.collect())) == sorted(map(str, cluster.pairs(m).collect()))
+    kept = [r.ids for r in tables[-1].collect()]
+    assert sorted(i for ids in kept for i in ids) == sorted(i for i, _ in rows if i is not None)
+    assert 8 < len(kept) < 25 and max(map(len, kept)) < 11 and all(ids == sorted(ids) for ids in kept)  # 65 rows before; those of many copies are some parts
