@@ -88,8 +88,9 @@ def run_update(graph: PropertyGraph, update: Callable, iterations: int, combine:
     before they are moved.  Batches of vertices go through one call of Python
     each; mail to ids that are no vertices is dropped.  Values are doubles.
     Parallel edges and equal messages are kept as Runs, so an update that gives
-    its messages one by one takes memory for different ones alone; mail that no
-    superstep takes is not asked for.
+    its messages one by one takes memory for different ones alone, and one that
+    gives (dst, value, times) for neighbours.runs() takes no time for the others
+    either; mail that no superstep takes is not asked for.
     Repeated vertex ids are vertices of their own, and each gets their mail.
     Superstep s is a crunch where crunch(s) is a CrunchStep: its aggregate or
     fold reduces the values that the superstep finds; update runs as ever, with

@@ -23,11 +23,11 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, by: str | None = None, observed: Column | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None, observed: Column | None = None, buckets: int | None = None) -> DataFrame:
     """Write df as a table in the checkpoint folder and read it back.
 
     by: the table is in buckets of that column, as many as there are shuffle
-    partitions, so that joins and groups on it take it where it lies.  Rows
+    partitions or as buckets says, so that joins and groups on it take it where it lies.  Rows
     should already be dealt so, or every task writes to every bucket.
     observed: an aggregate that is worked out while the table is written; it is
     then the table's `observed`.
@@ -39,7 +39,7 @@ def cut(df: DataFrame, by: str | None = None, observed: Column | None = None) ->
         out = spark.read.schema(df.schema).parquet(path)
     else:
         name = f"stepweave_{uuid.uuid4().hex}"
-        kept.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(name)
+        kept.write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(name)
         out = spark.table(name)
         out.schema  # noqa: B018  resolved before its name goes; the files stay
         spark.sql(f"DROP TABLE {name}")
@@ -49,9 +49,9 @@ def cut(df: DataFrame, by: str | None = None, observed: Column | None = None) ->
     return out
 
 
-def dealt(df: DataFrame, by: str) -> DataFrame:
+def dealt(df: DataFrame, by: str, buckets: int | None = None) -> DataFrame:
     """df dealt to the buckets that cut writes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    return df.repartition(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -23,6 +23,10 @@ class Runs(Sequence):
     def __len__(self) -> int:
         return self._ends[-1] if self._ends else 0
 
+    def runs(self) -> Iterator[tuple]:
+        """Each value with how often it comes."""
+        return zip(self._values, self._times, strict=True)
+
     def __iter__(self) -> Iterator:
         return chain.from_iterable(map(repeat, self._values, self._times))
 
@@ -41,9 +45,9 @@ class Runs(Sequence):
 
 
 def counted(messages: Iterable[tuple]) -> Iterator[tuple]:
-    """(dst, value, times) of messages (dst, value), equal ones behind each other as one."""
-    for (to, x), run in groupby(messages):
-        n = sum(1 for _ in run)
+    """(dst, value, times) of messages (dst, value) or (dst, value, times), equal ones behind each other as one."""
+    for (to, x, *often), run in groupby(messages):
+        n = sum(1 for _ in run) * (often[0] if often else 1)
         for k in range(0, n, RUN):
             yield to, x, min(RUN, n - k)
 

@@ -156,7 +156,7 @@ def udf_program_pagerank(spark: SparkSession, d: str) -> DataFrame:
     def update(s, n, _, value, inbox, near):
         value = value if s == 0 else 0.15 / n + 0.85 * sum(inbox)
         part = value / max(1, len(near))
-        return value, ((x, part) for x in near)
+        return value, ((x, part, n) for x, n in near.runs())
 
     return ranks(run_update(G.trade(spark, d), update, 5))
 
@@ -166,7 +166,7 @@ def streamed_program_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """As a Python vertex function over streams of mail and neighbours."""
     def update(s, n, _, value, inbox, near, degree):
         value = value if s == 0 else 0.15 / n + 0.85 * sum(inbox)
-        return value, ((x, value / degree) for x in near)
+        return value, ((x, value / degree, n) for x, n in near.runs())
 
     return ranks(run_streamed(G.trade(spark, d), update, 5, F.sum))
 
@@ -234,7 +234,7 @@ def _share(s, value, inbox, degree, near):
         value += sum(inbox)
     else:
         value /= next(iter(inbox))
-    return float(value), ((x, float(degree)) for x in near)
+    return float(value), ((x, float(degree), n) for x, n in near.runs())
 
 
 @query(_SHARE_SQL)

@@ -15,13 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line item with its customer and supplier."""
+    """Each line item with its customer and supplier.  Orders meet their customers first, so that line items, of which there are more, are moved once less."""
     t = lambda name: table(spark, sf_dir, name)
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     suppliers = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey")
+    return lines.join(orders.join(customers, "o_custkey"), "l_orderkey").join(suppliers, "l_suppkey")
 
 
 SALES = "j AS (SELECT l_partkey, l_suppkey, o_custkey, c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"

@@ -9,7 +9,7 @@ import resource
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank, stream
+from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank, runs, stream
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
 from stepweave.operators.stream import run_streamed
@@ -265,6 +265,55 @@ def test_a_streamed_crunch_takes_no_more_rows_for_more_parallel_edges(spark, mon
     assert counts == [[2, 2, 2 + 2, 2, 2]] * 2  # edges, start, states and mail, and the states of the crunch and the last superstep, whose mail nobody takes
 
 
+def test_updates_take_runs_of_neighbours_and_give_runs_of_messages(spark):
+    assert list(runs.counted([(1, 2.0, 25_000), (1, 2.0, 1), (2, 3.0), (2, 3.0)])) == [(1, 2.0, 10_000), (1, 2.0, 10_000), (1, 2.0, 5_000), (1, 2.0, 1), (2, 3.0, 2)]
+    near = runs.Runs(["a", "b"], [1_000_000, 2])
+    assert list(registry._share(0, 0.0, [], 1_000_002, near)[1]) == [("a", 1_000_002.0, 1_000_000), ("b", 1_000_002.0, 2)]  # 1,000,002 messages before
+    n = 25_000
+    g = PropertyGraph(spark.range(3).withColumn("value", F.lit(0.0)), spark.range(n).select((F.col("id") % 2).alias("src"), F.lit(2).cast("long").alias("dst")))
+    want = {0: 0.0, 1: 0.0, 2: n / 2 * 3.0}
+    assert {r.id: r.value for r in engine.run_update(g, lambda s, size, i, v, inbox, near: (v + sum(inbox), ((x, 1.0 + i, k) for x, k in near.runs())), 2).collect()} == want
+    for combine in (None, F.sum):
+        got = run_streamed(g, lambda s, size, i, v, inbox, near, degree: (v + sum(inbox), ((x, 1.0 + i, k) for x, k in near.runs())), 2, combine)
+        assert {r.id: r.value for r in got.collect()} == want
+    by_run = run_streamed(g, lambda s, size, i, v, inbox, near, degree: (v + sum(x * k for x, k in inbox.runs()), ((x, 1.0 + i, k) for x, k in near.runs())), 2)
+    assert {r.id: r.value for r in by_run.collect()} == want
+
+
+def test_streams_of_few_vertices_are_few_tasks(spark):
+    g = PropertyGraph(spark.range(2).withColumn("value", F.lit(0.0)), spark.range(10).select((F.col("id") % 2).alias("src"), (1 - F.col("id") % 2).alias("dst")))
+    tracker, before, partitions = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup()), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = run_streamed(g, lambda s, n, i, v, inbox, near, degree: (v + sum(inbox), [(x, 1.0) for x in near]), 3, F.sum).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert {r.value for r in got} == {10.0}
+    stages = {s for job in set(tracker.getJobIdsForGroup()) - before for s in tracker.getJobInfo(job).stageIds}
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 20  # 64 and more before, of which 62 had no vertex
+
+
+def test_line_items_are_moved_for_orders_and_suppliers_alone(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = testgraphs.sales(spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan()
+        want = df.count()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+    def moves(node, over=0):
+        over += node.nodeName() == "Exchange"
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        return max((moves(c, over) for c in children), default=over if "l_orderkey" in node.toString() else 0)
+
+    assert moves(plan) == 2  # a third for customers before
+    assert want == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
 def test_a_vertex_of_many_neighbours_takes_little_memory(spark):
     n = 1_000_000
     edges = spark.range(n).select(F.lit(0).cast("long").alias("src"), (F.col("id") % 50).alias("dst"))
