@@ -241,13 +241,13 @@ def _share(s, value, inbox, degree, near):
 def udf_program_crunch(spark: SparkSession, d: str) -> DataFrame:
     """As a plain Python vertex function, with a crunch of two values."""
     got = run_update(G.trade(spark, d), lambda s, n, _, v, inbox, near: _share(s, v, inbox, len(near), near), 3, crunch=lambda s: CrunchStep(fold=lambda a, b: a + b) if s == 1 else None)
-    return got.select(F.col("id").cast("string").alias("id"), F.round("value", DIGITS).alias("share"))
+    return got.select(F.col("id").cast("string").alias("id"), rounded(F.col("value"), DIGITS).alias("share"))
 
 
 @query(_SHARE_SQL)
 def streamed_program_crunch(spark: SparkSession, d: str) -> DataFrame:
     got = run_streamed(G.trade(spark, d), lambda s, n, _, v, inbox, near, degree: _share(s, v, inbox, degree, near), 3, F.sum, lambda s: CrunchStep(F.sum) if s == 1 else None)
-    return got.select(F.col("id").cast("string").alias("id"), F.round("value", DIGITS).alias("share"))
+    return got.select(F.col("id").cast("string").alias("id"), rounded(F.col("value"), DIGITS).alias("share"))
 
 
 @query("SELECT n_nationkey AS id, ceil(100.0 / (SELECT count(*) FROM nation))::DOUBLE AS value FROM nation")
