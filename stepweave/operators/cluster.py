@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import mean, moments, pearson, pearson_given, pearson_of
 from .lineage import cut, folder, free
@@ -18,6 +19,8 @@ log = logging.getLogger(__name__)
 WIDE = 64
 #: Pairs of rows, in either order, that one task looks at.
 TASK_PAIRS = 40_000_000
+#: Rows of a pack at most (a multiple of 8, so that equal runs of them lie alike in files), and numbers in the vectors of a pack or a slice.
+PACK, PACK_VALUES = 168, 1_000_000
 #: Rows of one vector that are kept together.
 COPIES = 500
 MERGES = "merge_id int, left_id int, right_id int, distance double, vec array<int>"
@@ -29,10 +32,10 @@ def pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", pearson(F.col("vi"), F.col("vj"), arith).alias("d"))
 
 
-def tiles(matrix: DataFrame, count: int, queries: Column | None = None, key: str = "id", which: Column | None = None) -> DataFrame:
-    """Rows i and j of each two with i < j, or for which `which` holds: every column of matrix with i or j behind its name; neither side is sent to all tasks.
+def tiles(matrix: DataFrame, count: int, queries: Column | None = None) -> DataFrame:
+    """Rows i and j of each two with i < j: every column of matrix with i or j behind its name; neither side is sent to all tasks.
 
-    Rows are dealt to blocks by the hash of their key.  A block of i and one of j
+    Rows are dealt to blocks by the hash of their id.  A block of i and one of j
     are a tile, so each row goes to as many tiles as there are blocks on the
     other side, and a tile looks at about TASK_PAIRS pairs.  With queries, a
     condition on rows, i are the rows for which it holds, in as few blocks as
@@ -43,12 +46,11 @@ def tiles(matrix: DataFrame, count: int, queries: Column | None = None, key: str
     many = {"i": blocks(count if queries is None else asked.count()), "j": blocks(count)}
 
     def side(df: DataFrame, k: str, other: str) -> DataFrame:
-        of = {k: F.pmod(F.hash(key), F.lit(many[k])), other: F.col("_other")}
+        of = {k: F.pmod(F.hash("id"), F.lit(many[k])), other: F.col("_other")}
         spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(many[other] - 1))).alias("_other"))
         return spread.select(*[F.col(c).alias(f"{c}{k}") for c in matrix.columns], (of["i"] * many["j"] + of["j"]).alias("_tile")).repartition(many["i"] * many["j"], "_tile")
 
-    if which is None:
-        which = F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
+    which = F.col("idi") < F.col("idj") if queries is None else F.col("idi") != F.col("idj")
     return side(asked, "i", "j").join(side(matrix, "j", "i"), "_tile").where(which).drop("_tile")
 
 
@@ -69,27 +71,57 @@ def copies(measured: DataFrame) -> DataFrame:
     return cut(alike.select("ids", F.element_at("ids", 1).alias("low"), F.element_at("ids", -1).alias("high"), "vec", "s", "v"))
 
 
+def packs(rows: DataFrame, groups: int, size: int) -> DataFrame:
+    """Packs (group, high, js) of measured rows: groups of like variation, each in ranges of ids of `size` rows but for the last one; their greatest id, and the rows by v and vec."""
+    grouped = rows.where("id IS NOT NULL").repartitionByRange(groups, "v", "id", "vec").withColumn("group", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("group").orderBy("id", "vec")) - 1
+    js = F.sort_array(F.collect_list(F.struct("v", "vec", "id", "s"))).alias("js")
+    return grouped.withColumn("_pack", F.floor(place / size)).groupBy("group", "_pack").agg(F.max("id").alias("high"), js).drop("_pack")
+
+
 def many_pairs(matrix: DataFrame, arith: str = "int64", queries: Column | None = None) -> DataFrame:
     """As pairs, for many rows: sums are made once a row, and a distance is compiled arithmetic in a loop over tiles.
 
-    All vectors must have one length.  Distances are worked out for vectors, and
-    given to all pairs of their copies, which then stand behind each other, so
-    that a table of them is small.  With queries (a condition on id), the
+    All vectors must have one length.  With queries (a condition on id), the
     distances of the rows for which it holds to all other rows.
+
+    The answer is far larger than the rows, so it comes in an order in which a
+    table of it is small.  A slice of i and a group of j are a tile, and neither
+    side is sent whole; both are rows of like variation, so a tile has few
+    different distances.  In it each i meets the rows of a pack of j in one
+    order, i of the same distances behind each other, so that what is written
+    repeats.  A tile looks at a tenth of TASK_PAIRS pairs.
     """
     m, rows, most = measured(matrix, arith)
-    given, how = (copies(m), {"key": "ids", "which": F.col("lowi") < F.col("highj")}) if queries is None else (m, {"queries": queries})
-    id_ = ["ids", "low", "high"] if queries is None else ["id"]
-    if not most or most > WIDE:
-        both = tiles(given.select(*id_, "vec"), rows, **how)
-        d = pearson(F.col("veci"), F.col("vecj"), arith)
-    else:
-        both = tiles(given.select(*id_, "s", "v", *[F.get("vec", F.lit(c)).cast("long").alias(f"c{c}_") for c in range(most)]), rows, **how)
-        x, y = ([F.col(f"c{c}_{k}") for c in range(most)] for k in "ij")
+    narrow = 0 < most <= WIDE
+    asked = m if queries is None else m.where(queries)
+    side, fitting = math.isqrt(TASK_PAIRS), max(1, PACK_VALUES // max(1, most))
+    groups = max(1, math.ceil(rows / max(1, side // 2)))
+    slices = max(1, math.ceil((rows if queries is None else asked.count()) / max(1, min(side // 5, fitting))))
+
+    cells = [F.get("vec", F.lit(c)).cast("long") for c in range(most)] if narrow else []
+    shape = [(x - cells[0]).alias(f"x{c}_") for c, x in enumerate(cells)][1:]  # vectors that differ by a constant have the same distances
+    alike = copies(asked).select("v", *shape, "vec", "low", "ids", "s")
+    sliced = alike.repartitionByRange(slices, *alike.columns[:-2]).withColumn("_slice", F.spark_partition_id())
+    sliced = sliced.groupBy("_slice").agg(F.sort_array(F.collect_list(F.struct(*alike.columns))).alias("is"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = (F.col("_slice") * groups + F.col("group")).alias("_tile")
+    left = sliced.withColumn("group", every(groups)).select(tile, "is").repartitionById(slices * groups, "_tile")
+    right = packs(m, groups, min(PACK, fitting)).withColumn("_slice", every(slices)).select(tile, "high", "js").repartitionById(slices * groups, "_tile")
+
+    reached, which = (F.col("low") < F.col("high"), F.col("i") < F.col("j")) if queries is None else (F.lit(True), F.col("i") != F.col("j"))
+    of = lambda k: [F.col(f"{k}.{c}").alias(f"{c}{k}") for c in ("s", "v", "vec")]
+    both = right.join(left.hint("merge"), "_tile").select("high", "js", F.explode("is").alias("i"))
+    both = both.select("high", "js", F.col("i.low").alias("low"), F.col("i.ids").alias("ids"), *of("i")).where(reached)
+    both = both.select("high", "js", "si", "vi", "veci", F.explode("ids").alias("low")).where(reached)
+    both = both.select(F.col("low").alias("i"), "si", "vi", "veci", F.explode("js").alias("j"))
+    both = both.select("i", "si", "vi", "veci", F.col("j.id").alias("j"), *of("j")).where(which)
+    if narrow:
+        x, y = ([F.get(f"vec{k}", F.lit(c)).cast("long") for c in range(most)] for k in "ij")
         d = pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith)
-    if queries is not None:
-        return both.select(F.col("idi").alias("i"), F.col("idj").alias("j"), d.alias("d"))
-    return both.select("idsi", "idsj", d.alias("d")).select(F.explode("idsi").alias("i"), "idsj", "d").select("i", F.explode("idsj").alias("j"), "d").where("i < j")
+    else:
+        d = pearson(F.col("veci"), F.col("vecj"), arith)
+    return both.select("i", "j", d.alias("d"))
 
 
 def ordered_pairs(matrix: DataFrame, arith: str = "int64") -> DataFrame:

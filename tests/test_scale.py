@@ -7,9 +7,11 @@ import re
 import resource
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stepweave.functions.vectors import rounded
 from stepweave.operators import chain, cluster, engine, lineage, nearest, pagerank, runs, stream
 from stepweave.operators.graph import PropertyGraph
 from stepweave.operators.program import ComputeStep, Program, Until
@@ -381,3 +383,20 @@ def test_all_pairs_of_copies_are_one_distance(spark, monkeypatch):
     kept = [r.ids for r in tables[-1].collect()]
     assert sorted(i for ids in kept for i in ids) == sorted(i for i, _ in rows if i is not None)
     assert 8 < len(kept) < 25 and max(map(len, kept)) < 11 and all(ids == sorted(ids) for ids in kept)  # 65 rows before; those of many copies are some parts
+
+
+def counts(spark, rows, seed):
+    """Rows of five counts that are drawn, hardly any of them copies."""
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(seed).poisson(13.3, (rows, 5)))], "id int, vec array<int>")
+
+
+def table_bytes(df, path):
+    """Rows, and bytes of df written as a table."""
+    df.select("i", "j", rounded(F.col("d"), 10).alias("d")).write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path)).count(), sum(f.stat().st_size for f in path.glob("*.parquet"))
+
+
+def test_a_table_of_all_pairs_is_small(spark, tmp_path):
+    """pairwise_triangular, where vectors hardly repeat."""
+    many, size = table_bytes(cluster.many_pairs(counts(spark, 3000, 1)), tmp_path / "out")
+    assert many == 3000 * 2999 // 2 and size < 6 * many
