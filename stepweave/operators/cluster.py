@@ -64,19 +64,19 @@ def measured(matrix: DataFrame, arith: str) -> tuple[DataFrame, int, int]:
 
 
 def copies(measured: DataFrame) -> DataFrame:
-    """A table (ids, low, high, vec, s, v) of the rows of one vector, about COPIES at most in one row, and the least and the greatest of their ids."""
+    """A table (ids, vec, s, v) of the rows of one vector, about COPIES at most in one row."""
     many = measured.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES)
     parts = measured.join(many, "vec", "left").withColumn("_part", F.pmod(F.hash("id"), F.ceil(F.coalesce("n", F.lit(1)) / COPIES)))
     alike = parts.where("id IS NOT NULL").groupBy("vec", "_part").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("s").alias("s"), F.first("v").alias("v"))
-    return cut(alike.select("ids", F.element_at("ids", 1).alias("low"), F.element_at("ids", -1).alias("high"), "vec", "s", "v"))
+    return cut(alike.select("ids", "vec", "s", "v"))
 
 
 def packs(rows: DataFrame, groups: int, size: int) -> DataFrame:
-    """Packs (group, high, js) of measured rows: groups of like variation, each in ranges of ids of `size` rows but for the last one; their greatest id, and the rows by v and vec."""
+    """Packs (group, low, is) of measured rows: groups of like variation, each in ranges of ids of `size` rows but for the last one; their least id, and the rows by v and vec."""
     grouped = rows.where("id IS NOT NULL").repartitionByRange(groups, "v", "id", "vec").withColumn("group", F.spark_partition_id())
     place = F.row_number().over(Window.partitionBy("group").orderBy("id", "vec")) - 1
-    js = F.sort_array(F.collect_list(F.struct("v", "vec", "id", "s"))).alias("js")
-    return grouped.withColumn("_pack", F.floor(place / size)).groupBy("group", "_pack").agg(F.max("id").alias("high"), js).drop("_pack")
+    packed = F.sort_array(F.collect_list(F.struct("v", "vec", "id", "s"))).alias("is")
+    return grouped.withColumn("_pack", F.floor(place / size)).groupBy("group", "_pack").agg(F.min("id").alias("low"), packed).drop("_pack")
 
 
 def many_pairs(matrix: DataFrame, arith: str = "int64", queries: Column | None = None) -> DataFrame:
@@ -86,36 +86,35 @@ def many_pairs(matrix: DataFrame, arith: str = "int64", queries: Column | None =
     distances of the rows for which it holds to all other rows.
 
     The answer is far larger than the rows, so it comes in an order in which a
-    table of it is small.  A slice of i and a group of j are a tile, and neither
+    table of it is small.  A group of i and a slice of j are a tile, and neither
     side is sent whole; both are rows of like variation, so a tile has few
-    different distances.  In it each i meets the rows of a pack of j in one
-    order, i of the same distances behind each other, so that what is written
+    different distances.  In it each j meets the rows of a pack of i in one
+    order, j of the same distances behind each other, so that what is written
     repeats.  A tile looks at a tenth of TASK_PAIRS pairs.
     """
     m, rows, most = measured(matrix, arith)
     narrow = 0 < most <= WIDE
-    asked = m if queries is None else m.where(queries)
+    asked, many = (m, rows) if queries is None else ((q := m.where(queries)), q.count())
     side, fitting = math.isqrt(TASK_PAIRS), max(1, PACK_VALUES // max(1, most))
-    groups = max(1, math.ceil(rows / max(1, side // 2)))
-    slices = max(1, math.ceil((rows if queries is None else asked.count()) / max(1, min(side // 5, fitting))))
+    groups = max(1, math.ceil(many / max(1, side // 2)))
+    slices = max(1, math.ceil(rows / max(1, min(side // 5, fitting))))
 
     cells = [F.get("vec", F.lit(c)).cast("long") for c in range(most)] if narrow else []
     shape = [(x - cells[0]).alias(f"x{c}_") for c, x in enumerate(cells)][1:]  # vectors that differ by a constant have the same distances
-    alike = copies(asked).select("v", *shape, "vec", "low", "ids", "s")
-    sliced = alike.repartitionByRange(slices, *alike.columns[:-2]).withColumn("_slice", F.spark_partition_id())
-    sliced = sliced.groupBy("_slice").agg(F.sort_array(F.collect_list(F.struct(*alike.columns))).alias("is"))
+    alike = copies(m).select("v", *shape, "vec", "ids", "s")
+    sliced = alike.repartitionByRange(slices, *alike.columns[:-1]).withColumn("_slice", F.spark_partition_id())
+    sliced = sliced.groupBy("_slice").agg(F.sort_array(F.collect_list(F.struct(*alike.columns))).alias("js"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tile = (F.col("_slice") * groups + F.col("group")).alias("_tile")
-    left = sliced.withColumn("group", every(groups)).select(tile, "is").repartitionById(slices * groups, "_tile")
-    right = packs(m, groups, min(PACK, fitting)).withColumn("_slice", every(slices)).select(tile, "high", "js").repartitionById(slices * groups, "_tile")
+    right = sliced.withColumn("group", every(groups)).select(tile, "js").repartitionById(slices * groups, "_tile")
+    left = packs(asked, groups, min(PACK, fitting)).withColumn("_slice", every(slices)).select(tile, "low", "is").repartitionById(slices * groups, "_tile")
 
-    reached, which = (F.col("low") < F.col("high"), F.col("i") < F.col("j")) if queries is None else (F.lit(True), F.col("i") != F.col("j"))
     of = lambda k: [F.col(f"{k}.{c}").alias(f"{c}{k}") for c in ("s", "v", "vec")]
-    both = right.join(left.hint("merge"), "_tile").select("high", "js", F.explode("is").alias("i"))
-    both = both.select("high", "js", F.col("i.low").alias("low"), F.col("i.ids").alias("ids"), *of("i")).where(reached)
-    both = both.select("high", "js", "si", "vi", "veci", F.explode("ids").alias("low")).where(reached)
-    both = both.select(F.col("low").alias("i"), "si", "vi", "veci", F.explode("js").alias("j"))
-    both = both.select("i", "si", "vi", "veci", F.col("j.id").alias("j"), *of("j")).where(which)
+    reached, which = (F.col("low") < F.col("j"), F.col("i") < F.col("j")) if queries is None else (F.lit(True), F.col("i") != F.col("j"))
+    both = left.join(right.hint("merge"), "_tile").select("low", "is", F.explode("js").alias("j"))
+    both = both.select("low", "is", *of("j"), F.explode("j.ids").alias("j")).where(reached)
+    both = both.select("j", "sj", "vj", "vecj", F.explode("is").alias("i"))
+    both = both.select(F.col("i.id").alias("i"), *of("i"), "j", "sj", "vj", "vecj").where(which)
     if narrow:
         x, y = ([F.get(f"vec{k}", F.lit(c)).cast("long") for c in range(most)] for k in "ij")
         d = pearson_of(x, y, (F.col("si"), F.col("vi")), (F.col("sj"), F.col("vj")), arith)

@@ -400,3 +400,20 @@ def test_a_table_of_all_pairs_is_small(spark, tmp_path):
     """pairwise_triangular, where vectors hardly repeat."""
     many, size = table_bytes(cluster.many_pairs(counts(spark, 3000, 1)), tmp_path / "out")
     assert many == 3000 * 2999 // 2 and size < 6 * many
+
+
+def test_a_table_of_queries_is_small(spark, tmp_path):
+    """pairwise_queries, where vectors hardly repeat."""
+    many, size = table_bytes(cluster.many_pairs(counts(spark, 8000, 2), queries=F.col("id") % 20 == 0), tmp_path / "out")
+    assert many == 400 * 7999 and size < 6 * many
+
+
+def test_queries_of_odd_rows(spark, monkeypatch):
+    """Ids that repeat, are missing or negative, and copies of vectors."""
+    monkeypatch.setattr(cluster, "TASK_PAIRS", 400)
+    monkeypatch.setattr(cluster, "PACK", 4)
+    monkeypatch.setattr(cluster, "COPIES", 3)
+    rows = [(i, [i % 3 * 7, 5, i % 2]) for i in range(-25, 45)] + [(40, [3, 3, 3]), (60, [-9, 2, 0]), (60, [-9, 2, 0]), (90, [1, 9, 4]), (None, [3, 3, 3])]
+    got = cluster.many_pairs(spark.createDataFrame(rows, "id int, vec array<int>"), queries=F.col("id") % 20 == 0).collect()
+    rows = [r for r in rows if r[0] is not None]
+    assert sorted(map(tuple, got)) == sorted((i, j, cluster.distance(x, y)) for i, x in rows if i % 20 == 0 for j, y in rows if i != j)
